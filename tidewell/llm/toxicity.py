@@ -1,0 +1,27 @@
+"""Toxicity: a character n-gram linear classifier with features scaled by naive Bayes log-count ratios.
+
+Null and empty texts get the score of a document without n-grams; very long texts are scored whole;
+labels that are null or not 0/1 and rows with a null id teach nothing; repeated labels of one id
+count once (the larger). Without labelled rows the score is 0.0; with one class only it is that class.
+Columns besides the id and the text are not read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .ngram_linear import NgramModel, NgramSpec, fit, labelled_sample, logistic, text_of
+
+SPEC = NgramSpec(orders=(3, 4, 5), bits=20, fold=True, features=1 << 12, least_docs=5, sample=16_000)
+THRESHOLD = 0.3
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, label: str = "toxic", spec: NgramSpec = SPEC) -> NgramModel:
+    """Fits on at most ``spec.sample`` labelled rows; ``eligible`` is a condition on ``labels``."""
+    return fit(labelled_sample(docs, labels, label, F.lit(True) if eligible is None else eligible, spec), spec, logistic(l2=10.0))
+
+
+def score_toxicity(docs: DataFrame, model: NgramModel, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the probability that the whole text is toxic in the column ``into``."""
+    return docs.withColumn(into, model.scorer(docs)(text_of(docs, text)))
