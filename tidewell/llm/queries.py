@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .exact_dedup import duplicate_table
 from .quality import score_quality, train_quality
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
+from .url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,12 @@ def fold_of(col: str, folds: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % folds
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_topics(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "embeddings"))
+    category = {c: F.coalesce(c, F.lit("(null)")).alias(c) for c in ("source", "lang", "topic")}
+    return mixing.mix(docs).select("doc_id", *category.values(), F.col("_tw_tokens").alias("n_tokens"), F.round("_tw_weight", 6).alias("weight"), F.round("_tw_prob", 6).alias("prob"), F.col("_tw_sampled").alias("sampled"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = duplicate_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("_tw_id").alias("doc_id"), "keep_id", "group_size", F.col("_tw_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_tw_sha").alias("text_sha256"))
@@ -49,9 +57,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, THRESHOLD)
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return pages.select("page_id", F.col("_tw_host").alias("host"), F.col("_tw_path").alias("path"), F.col("_tw_rule").alias("rule"), F.col("_tw_verdict").alias("verdict"), F.round("_tw_score", 6).alias("margin"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": mixing.sql(), "op2_exact_dedup": OP2_SQL}
