@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .exact_dedup import duplicate_table
+from .html_main import extract
 from .quality import score_quality, train_quality
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 from .url_filter import filter_urls
@@ -57,6 +58,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, THRESHOLD)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
