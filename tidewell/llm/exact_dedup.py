@@ -128,11 +128,12 @@ def repeated_filter(hashes: DataFrame, rows: int, most_bits: int):
     return maybe
 
 
-def _groups(flagged: DataFrame) -> DataFrame:
-    return saved(flagged.groupBy("_tw_sha").agg(F.max("_tw_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+def _groups(flagged: DataFrame, keep: str = "max") -> DataFrame:
+    first = F.max("_tw_id") if keep == "max" else F.min_by("_tw_id", F.struct("_tw_id"))
+    return saved(flagged.groupBy("_tw_sha").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
 
 
-def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28) -> DataFrame:
+def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28, keep: str = "max") -> DataFrame:
     """One row per document: ``_tw_id, _tw_sha, keep_id, group_size, _tw_passed``.
 
     ``_tw_passed`` marks rows that the filter let through without a shuffle.
@@ -142,7 +143,7 @@ def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     flagged = saved(keyed.withColumn("_tw_maybe", repeated_filter(keyed, rows, most_bits)(F.col("_tw_h"))).drop("_tw_h"))
     alone = flagged.where(~F.col("_tw_maybe")).select("_tw_id", "_tw_sha", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("_tw_passed"))
     again = flagged.where("_tw_maybe").select("_tw_id", "_tw_sha")
-    groups = _groups(again)
+    groups = _groups(again, keep)
     # at most a thousand groups can hold more than a thousandth of the rows each: those are
     # broadcast, so that no group's rows meet in one task
     large = F.col("group_size") > F.lit(max(1000, rows // 1000))
@@ -152,14 +153,16 @@ def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return alone.unionByName(hot.select(*cols)).unionByName(rest.select(*cols))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28, keep: str = "max") -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id has; columns as they were.
 
+    With ``keep="min"`` the row with the smallest id stays instead (a null id if the group has one).
+
     Rows that the filter clears never shuffle; of the others only the row that stays does.
     """
     keyed = saved(_keyed(docs, doc_id, text).select(docs[doc_id].alias("_tw_id"), "_tw_sha", "_tw_h"))
     maybe = repeated_filter(keyed, keyed.count(), most_bits)
-    keepers = _groups(keyed.where(maybe(F.col("_tw_h")))).select(F.col("_tw_sha").alias("_tw_s"), F.col("keep_id").alias("_tw_k"))
+    keepers = _groups(keyed.where(maybe(F.col("_tw_h"))), keep).select(F.col("_tw_sha").alias("_tw_s"), F.col("keep_id").alias("_tw_k"))
     rows = _keyed(docs, doc_id, text).withColumn("_tw_maybe", maybe(F.col("_tw_h"))).drop("_tw_h")
     through = rows.where(~F.col("_tw_maybe")).select(docs.columns)
     again = rows.where("_tw_maybe").join(keepers, (F.col("_tw_sha") == F.col("_tw_s")) & F.col(doc_id).eqNullSafe(F.col("_tw_k")), "left_semi")

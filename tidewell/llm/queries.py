@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import mixing
 from .exact_dedup import duplicate_table
 from .html_main import extract
+from .jaccard_join import join_documents
 from .quality import score_quality, train_quality
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 from .url_filter import filter_urls
@@ -58,6 +59,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, THRESHOLD)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
