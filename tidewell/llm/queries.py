@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .exact_dedup import duplicate_table
+from .hmm import score_documents
 from .html_main import extract
 from .jaccard_join import join_documents
 from .quality import score_quality, train_quality
@@ -63,6 +64,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold_of("doc_id", 10) == 0
+    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
