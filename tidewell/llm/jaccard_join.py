@@ -18,8 +18,9 @@ documents of an entry with its most shared document first, and then only those t
 different components; every comparison is of the whole sets, so no link between components is lost.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing; texts of
-fewer than five words are one shingle; long texts are used whole. Rows that repeat an id are one
-document. Rows with a null id are compared with nothing: n_shingles is theirs, component_id null.
+fewer than five words are one shingle; long texts are used whole. Rows that repeat an id and a text
+are one document; where an id has several texts, any of them links it and its n_shingles is the
+largest. Rows with a null id are compared with nothing: n_shingles 0, component_id null.
 Empty tables give empty results.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, saved, text_of, words_of
 from .components import components
-from .exact_dedup import duplicate_table, exact_dedup
+from .exact_dedup import duplicate_table
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def frequent_entries(heavy: np.ndarray, n: int, rare: int, percent: int) -> np.n
     """Index entries of a document's frequent shingles (sorted by hash)."""
     out, spare = [], misses(n, percent) - rare
     for level in levels(n, percent):
-        tag = np.uint64(level + 1) * np.uint64(0xD6E8FEB86659FD93)
+        tag = np.uint64((level + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
         if level < 3:
             out.append(mix64(heavy[: spare + 1] ^ tag))
             continue
@@ -106,34 +107,52 @@ def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[i
 CHUNK = 2_000_000
 
 
-def heavy_shingles(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> np.ndarray:
-    """Sorted keys (the top ``bucket_bits + 32`` bits of the hash) of shingles in ``least`` documents or more.
+BINS = 128
 
-    A task sends four bytes for each distinct shingle of a chunk of its documents, by bucket.
+
+def histogram(s: np.ndarray) -> bytes:
+    """Hashes by the low seven bits, 16 bits each; empty where a count would not fit."""
+    n = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return n.astype(np.uint16).tobytes() if n.max() < 1 << 16 else b""
+
+
+def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> tuple[np.ndarray, DataFrame]:
+    """(sorted keys of the frequent class, (doc, n, bins) of every document with words).
+
+    A key is the top ``bucket_bits + 32`` bits of a hash that ``least`` documents or more have. A
+    task sends four bytes for each distinct shingle of a chunk of its documents, by bucket, and the
+    documents' sizes and histograms along with them.
     """
-    low = np.uint64(32 - bucket_bits)
+    low, spread = np.uint64(32 - bucket_bits), 1 << 9
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, waiting = WordHashes(), [], 0
+        hashes, parts, sizes, waiting = WordHashes(), [], [], 0
 
         def out():
             keys, n = np.unique(np.concatenate(parts) >> low, return_counts=True)
             cut = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(32))
             print_, once = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), n == 1
-            rows = [(b, p[o].tobytes(), p[~o].tobytes(), c[~o].astype(np.int32).tobytes()) for b, (p, o, c) in enumerate(zip(np.split(print_, cut), np.split(once, cut), np.split(n, cut), strict=True)) if len(p)]
+            rows = [(b, p[o].tobytes(), p[~o].tobytes(), c[~o].astype(np.int32).tobytes()) for b, (p, o, c) in enumerate(zip(np.split(print_, cut), np.split(once, cut), np.split(n, cut), strict=True)) if len(p)] + sizes
             return pa.record_batch({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate((("bucket", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("n", pa.binary())))})
 
         for batch in it:
-            for _, s in _sets(batch, hashes, spec.words):
+            for doc, s in _sets(batch, hashes, spec.words):
+                if not len(s):
+                    continue
                 parts.append(s)
+                sizes.append((-1 - doc % spread, np.array([doc], dtype=np.int64).tobytes(), histogram(s), np.array([len(s)], dtype=np.int32).tobytes()))
                 waiting += len(s)
                 if waiting >= CHUNK:
                     yield out()
-                    parts, waiting = [], 0
+                    parts, sizes, waiting = [], [], 0
         if waiting:
             yield out()
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(group["bucket"].iloc[0])
+        if bucket < 0:
+            doc, n = (np.frombuffer(b"".join(group[c]), dtype=kind) for c, kind in (("once", np.int64), ("n", np.int32)))
+            return pd.DataFrame({"keys": None, "doc": doc, "n": n, "bins": group["more"].to_numpy()})
         once = [np.frombuffer(x, dtype=np.uint32) for x in group["once"]]
         more = [np.frombuffer(x, dtype=np.uint32) for x in group["more"]]
         n = [np.frombuffer(x, dtype=np.int32) for x in group["n"]]
@@ -143,12 +162,12 @@ def heavy_shingles(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int
         prints, weights = prints[order], weights[order]
         starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
         heavy = prints[starts][np.add.reduceat(weights, starts) >= least].astype(np.uint64)
-        bucket = int(group["bucket"].iloc[0])
-        return pd.DataFrame({"keys": [((np.uint64(bucket) << np.uint64(32)) | heavy).tobytes()]})
+        return pd.DataFrame({"keys": [((np.uint64(bucket) << np.uint64(32)) | heavy).tobytes()], "doc": pd.array([None], dtype="Int64"), "n": pd.array([None], dtype="Int32"), "bins": [None]})
 
-    found = docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "keys binary")
-    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.toLocalIterator()]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+    found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "keys binary, doc long, n int, bins binary"))
+    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.where(F.length("keys") > 0).select("keys").toLocalIterator()]
+    heavy = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+    return heavy, found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
 
 
 class HeavyTest:
@@ -234,10 +253,6 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
         full = (np.uint64(bucket) << np.uint64(32)) | sig[shared_].astype(np.uint64)
         yield pd.DataFrame({"sig": full.view(np.int64), "doc": doc[shared_], "n": n[shared_]})
 
-    def matched(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in groups:
-            yield from match(group)
-
     packed = docs.mapInArrow(index, "bucket int, sig binary, doc binary, n binary")
     return packed.groupBy("bucket").applyInPandas(lambda g: pd.concat(list(match(g))), "sig long, doc long, n int")
 
@@ -254,14 +269,20 @@ def document_sets(docs: DataFrame, spec: JoinSpec) -> DataFrame:
     return docs.select(F.col("_id").alias("doc"), packed("_text").alias("s"))
 
 
-def set_sizes(text: str, spec: JoinSpec):
-    @F.arrow_udf("long")
-    def size(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for texts in parts:
-            yield pa.array([len(shingles(words_of(x), hashes, spec.words)) for x in texts.to_pylist()], pa.int64())
+def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose histograms allow enough common shingles: no true link is lost."""
+
+    @F.arrow_udf("boolean")
+    def may(x: pa.Array, y: pa.Array, m: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for p, q, i, j in zip(x.to_pylist(), y.to_pylist(), m.to_pylist(), n.to_pylist(), strict=True):
+            most = int(np.minimum(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)).sum()) if p and q else min(i, j)
+            out.append(100 * most >= percent * (i + j - most))
+        return pa.array(out, pa.bool_())
 
-    return size(text)
+    one = sizes.select(F.col("doc").alias("a"), F.col("bins").alias("_pa"), F.col("n").alias("_na"))
+    two = sizes.select(F.col("doc").alias("b"), F.col("bins").alias("_pb"), F.col("n").alias("_nb"))
+    return pairs.join(one, "a").join(two, "b").where(may("_pa", "_pb", "_na", "_nb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,12 +306,21 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def links(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Links (a, b) that join every component of ``docs`` (_id, _text; no two texts equal)."""
+def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The links among the candidate pairs (a, b)."""
+    pairs = saved(possible(pairs, sizes, spec.percent))
+    wanted = saved(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= spec.most_ids else wanted
+    sets = saved(document_sets(docs.join(few, docs["_id"] == few["doc"], "left_semi"), spec))
+    return saved(verified(pairs, sets, spec.percent))
+
+
+def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) that join every component, (doc, n)) of ``docs`` (_id, _text; no two texts equal)."""
     chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     total = max(1, chars // 5)
     bucket_bits = min(16, max(8, (total >> 19).bit_length()))
-    heavy = heavy_shingles(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
+    heavy, sizes = measured(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
     entries = saved(index_entries(docs, spec, heavy, bucket_bits))
     counts = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
     entries = saved(entries.join(counts, "sig"))
@@ -298,43 +328,47 @@ def links(docs: DataFrame, spec: JoinSpec) -> DataFrame:
     weight = entries.groupBy("doc").agg(F.avg("m").alias("w"))
     entries = saved(entries.join(weight, "doc"))
     centers = entries.groupBy("sig").agg(F.max_by(F.struct("doc", "n"), F.struct("w", "doc")).alias("c")).select("sig", F.col("c.doc").alias("c"), F.col("c.n").alias("cn"))
-    first = entries.join(centers, "sig").where((F.col("doc") != F.col("c")) & _sizes_fit("n", "cn", spec.percent)).select(F.col("doc").alias("a"), F.col("c").alias("b")).distinct()
+    first = entries.join(centers, "sig").where((F.col("doc") != F.col("c")) & _sizes_fit("n", "cn", spec.percent)).select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
     first = saved(first)
-    involved = saved(entries.select("doc").distinct())
-    wanted = F.broadcast(involved) if involved.count() <= spec.most_ids else involved
-    sets = saved(document_sets(docs.join(wanted, docs["_id"] == wanted["doc"], "left_semi"), spec))
-    found = saved(verified(first, sets, spec.percent))
+    found = compared(first, docs, sizes, spec)
     labels = components(found)
     labelled = entries.join(labels, entries["doc"] == labels["node"], "left").select("sig", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
     open_ = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("sig")
     labelled = saved(labelled.join(open_, "sig", "left_semi"))
     other = labelled.select("sig", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
     second = labelled.join(other, "sig").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _sizes_fit("n", "bn", spec.percent)).select(F.col("doc").alias("a"), "b").distinct()
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = saved(second.join(seen, ["a", "b"], "left_anti"))
-    return found.unionByName(verified(second, sets, spec.percent))
+    second = second.join(first, ["a", "b"], "left_anti")
+    return found.unionByName(compared(second, docs, sizes, spec)), sizes.select("doc", "n")
+
+
+def _without(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """``docs`` without the rows of these ids (_lost); the ids travel whole only up to ``most`` of them."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, docs[docs.columns[0]] == ids["_lost"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """(doc_id, component_id) of the documents that are equal or linked to another; the others are alone."""
+    """(doc_id, n_shingles, component_id) of the distinct ids of documents with words."""
     known = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].cast("long").alias("_id"), text_of(docs, text).alias("_text"))
     wordy = known.where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    copies = duplicate_table(wordy, "_id", "_text", keep="min").where("group_size > 1").select(F.col("_tw_id").alias("node"), F.col("keep_id").alias("rep"))
-    copies = saved(copies)
-    labels = components(links(exact_dedup(wordy, "_id", "_text", keep="min"), spec))
-    of_copies = copies.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("node", F.coalesce("comp", "rep").alias("comp"))
-    return of_copies.unionByName(labels).groupBy(F.col("node").alias(doc_id)).agg(F.min("comp").alias("component_id"))
+    table = duplicate_table(wordy, "_id", "_text", keep="min").where("group_size > 1")
+    copies = saved(table.where(F.col("_tw_id") != F.col("keep_id")).select(F.col("_tw_id").alias("node"), F.col("keep_id").alias("rep")).distinct())
+    found, sizes = links(_without(wordy, copies.select(F.col("node").alias("_lost")), spec.most_ids), spec)
+    labels = components(found)
+    own = saved(sizes.groupBy("doc").agg(F.max("n").cast("long").alias("n")).join(labels, F.col("doc") == labels["node"], "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp")))
+    of_copies = copies.join(own, copies["rep"] == own["doc"]).select("node", "n", "comp")
+    every = own.unionByName(of_copies.withColumnRenamed("node", "doc"))
+    return every.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: JoinSpec = JoinSpec()) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
-    found = saved(near_duplicates(docs, doc_id, text, spec))
-    rows = docs.select(doc_id, text_of(docs, text).alias("_text")).withColumn("n_shingles", set_sizes("_text", spec)).drop("_text")
-    return rows.join(found, doc_id, "left").select(doc_id, "n_shingles", F.coalesce("component_id", F.col(doc_id)).alias("component_id"))
+    found = near_duplicates(docs, doc_id, text, spec)
+    return docs.select(doc_id).join(found, doc_id, "left").select(doc_id, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.col(doc_id)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: JoinSpec = JoinSpec()) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; columns as they were."""
-    lost = saved(near_duplicates(docs, doc_id, text, spec).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_tw_lost")))
+    found = near_duplicates(docs, doc_id, text, spec)
+    lost = saved(found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_tw_lost")))
     small = lost.count() <= spec.most_ids
     return docs.join(F.broadcast(lost) if small else lost, docs[doc_id] == F.col("_tw_lost"), "left_anti")
