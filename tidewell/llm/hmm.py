@@ -275,7 +275,7 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     encoded = saved(encode(rows.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
     train = encoded.where("_learn").select("_row", "symbols")
     model = Hmm.begin(vocabulary.frequency, spec.states)
-    sample = saved(train.orderBy(F.xxhash64("_row"), "_row").limit(spec.sample).select("symbols").repartition(6))
+    sample = saved(train.orderBy(F.xxhash64("_row"), "_row").limit(spec.sample).select("symbols").repartition(2))
     for _ in range(spec.sample_rounds):
         model, _ = baum_welch_round(sample, model, vocabulary.frequency, spec)
     for _ in range(spec.rounds):

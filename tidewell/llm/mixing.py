@@ -91,14 +91,16 @@ def calibrate(cells: DataFrame, keep: float, rounds: int = 12) -> DataFrame:
     return cells.withColumn("prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight"))).otherwise(F.lit(1.0)))
 
 
-def mix(docs: DataFrame, dims: tuple[str, str, str] = ("source", "lang", "topic"), doc_id: str = "doc_id", text: str = "text", alpha: float = 0.7, keep: float = 0.8, targets: dict[str, dict[str, float]] | None = None, rounds: int = 12) -> DataFrame:
+def mix(docs: DataFrame, dims: tuple[str, str, str] = ("source", "lang", "topic"), doc_id: str = "doc_id", text: str = "text", alpha: float = 0.7, keep: float = 0.8, targets: dict[str, dict[str, float]] | None = None, rounds: int = 12, tokens: str | None = None) -> DataFrame:
     """``docs`` with ``_tw_tokens, _tw_weight, _tw_prob, _tw_sampled``.
 
+    tokens: a column with the number of tokens, where ``docs`` come without their text.
+
     targets: dimension -> category -> weight; a dimension without one is flattened: each category's
     share of tokens to the power ``alpha``. keep: share of all tokens that is kept in expectation.
     """
     names = [f"_tw_{i}" for i in range(len(dims))]
-    rows = docs.withColumns({n: _category(docs, d) for n, d in zip(names, dims, strict=True)}).withColumn("_tw_tokens", tokens_of(text_of(docs, text)))
+    rows = docs.withColumns({n: _category(docs, d) for n, d in zip(names, dims, strict=True)}).withColumn("_tw_tokens", F.col(tokens).cast("long") if tokens else tokens_of(text_of(docs, text)))
     cells = saved(rows.groupBy(*names).agg(F.sum("_tw_tokens").alias("tokens")))
     raked = rake(cells, names, alpha, {f"_tw_{i}": targets[d] for i, d in enumerate(dims) if d in targets} if targets else None, rounds)
     cells = saved(calibrate(raked, keep).select(*names, F.col("weight").alias("_tw_weight"), F.col("prob").alias("_tw_prob")))
@@ -106,6 +108,13 @@ def mix(docs: DataFrame, dims: tuple[str, str, str] = ("source", "lang", "topic"
     return joined.withColumn("_tw_sampled", draw(doc_id) < F.col("_tw_prob")).drop(*names)
 
 
+def keep_sampled(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", most_ids: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` whose id ``mixed`` has sampled; the ids travel whole only up to ``most_ids``."""
+    sampled = saved(mixed.where("_tw_sampled").select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_tw_id")).distinct())
+    ids = F.broadcast(sampled) if sampled.count() <= most_ids else sampled
+    return docs.join(ids, F.coalesce(docs[doc_id].cast("string"), F.lit("")) == ids["_tw_id"], "left_semi")
+
+
 def with_topics(docs: DataFrame, topics: DataFrame, doc_id: str = "doc_id", key: str = "vec_id", label: str = "label") -> DataFrame:
     """``docs`` with ``topic``: the label of the row of ``topics`` with the document's id, the smallest where it repeats."""
     known = topics.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_tw_key")).agg(F.min(label).cast("string").alias("topic"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, pieces
 from .ann import search
+from .common import text_of
 from .exact_dedup import duplicate_table
 from .hmm import score_documents
 from .html_main import extract
@@ -28,9 +29,11 @@ def fold_of(col: str, folds: int):
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.with_topics(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "embeddings"))
+    docs = table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", "source", "lang", mixing.tokens_of(text_of(docs, "text")).alias("n_tokens"))
+    slim = mixing.with_topics(slim, table(spark, sf_dir, "embeddings"))
     category = {c: F.coalesce(c, F.lit("(null)")).alias(c) for c in ("source", "lang", "topic")}
-    return mixing.mix(docs).select("doc_id", *category.values(), F.col("_tw_tokens").alias("n_tokens"), F.round("_tw_weight", 6).alias("weight"), F.round("_tw_prob", 6).alias("prob"), F.col("_tw_sampled").alias("sampled"))
+    return mixing.mix(slim, tokens="n_tokens").select("doc_id", *category.values(), F.col("_tw_tokens").alias("n_tokens"), F.round("_tw_weight", 6).alias("weight"), F.round("_tw_prob", 6).alias("prob"), F.col("_tw_sampled").alias("sampled"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +52,12 @@ def _scored(scored: DataFrame, folds: int, held: int, threshold: float) -> DataF
     return scored.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = docs.select("doc_id", pieces.digester(spark, most=4)(text_of(docs, "text")).alias("d"))
+    return digest.select("doc_id", "d.n_pieces", F.element_at("d.scores", 1).alias("score"), F.col("d.scores").alias("path_scores"), F.sha2("d.ids", 256).alias("ids_sha256"), F.col("d.decoded").alias("round_trip"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), fold_of("doc_id", 4) != 2)

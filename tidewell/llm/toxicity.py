@@ -19,7 +19,7 @@ THRESHOLD = 0.3
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, label: str = "toxic", spec: NgramSpec = SPEC) -> NgramModel:
     """Fits on at most ``spec.sample`` labelled rows; ``eligible`` is a condition on ``labels``."""
-    return fit(labelled_sample(docs, labels, label, F.lit(True) if eligible is None else eligible, spec), spec, logistic(l2=10.0))
+    return fit(labelled_sample(docs, labels, label, F.lit(True) if eligible is None else eligible, spec), spec, logistic())
 
 
 def score_toxicity(docs: DataFrame, model: NgramModel, text: str = "text", into: str = "score") -> DataFrame:
