@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,23 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``saved`` that nothing will read again, and lets Spark drop the shuffle files
+    of finished jobs, which it does when the driver's JVM collects what refers to them."""
+    for df in tables:
+        _remove(df.sparkSession, _paths[id(df)])
+    for df in tables[:1]:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

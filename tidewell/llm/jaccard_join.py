@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, saved, text_of, words_of
+from .common import WordHashes, discard, mix64, saved, text_of, words_of
 from .components import components
 from .exact_dedup import duplicate_table
 
@@ -312,7 +312,9 @@ def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec
     wanted = saved(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
     few = F.broadcast(wanted) if wanted.count() <= spec.most_ids else wanted
     sets = saved(document_sets(docs.join(few, docs["_id"] == few["doc"], "left_semi"), spec))
-    return saved(verified(pairs, sets, spec.percent))
+    found = saved(verified(pairs, sets, spec.percent))
+    discard(sets, pairs, wanted)
+    return found
 
 
 def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
@@ -321,12 +323,14 @@ def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     total = max(1, chars // 5)
     bucket_bits = min(16, max(8, (total >> 19).bit_length()))
     heavy, sizes = measured(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
-    entries = saved(index_entries(docs, spec, heavy, bucket_bits))
-    counts = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
-    entries = saved(entries.join(counts, "sig"))
+    raw = saved(index_entries(docs, spec, heavy, bucket_bits))
+    counts = raw.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
+    counted = saved(raw.join(counts, "sig"))
+    discard(raw)
     # the document whose entries are shared most is the likeliest to be like all others
-    weight = entries.groupBy("doc").agg(F.avg("m").alias("w"))
-    entries = saved(entries.join(weight, "doc"))
+    weight = counted.groupBy("doc").agg(F.avg("m").alias("w"))
+    entries = saved(counted.join(weight, "doc"))
+    discard(counted)
     centers = entries.groupBy("sig").agg(F.max_by(F.struct("doc", "n"), F.struct("w", "doc")).alias("c")).select("sig", F.col("c.doc").alias("c"), F.col("c.n").alias("cn"))
     first = entries.join(centers, "sig").where((F.col("doc") != F.col("c")) & _sizes_fit("n", "cn", spec.percent)).select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
     first = saved(first)
