@@ -2,12 +2,496 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions.filters import condition
+from .functions.vectors import cosine, hash_embedding
+from .operators import context, dialogue, quality, search, vocabulary
+from .plans import answer, spec
+from .sources import collection, readers
+from .streaming import ingest
+
 FLAGSHIP = "hybrid_search"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query; ``sql`` gives the same rows on the same tables."""
+
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# Tables of the engine, as views of the given ones ------------------------------------------------
+
+TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as collection rows with their vectors where there are some."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("text").alias("answer"), F.col("source").alias("origin"), "lang")
+    rows = collection.shape_records(docs, collection.Mapping(source="lang", source_name="origin", parent="origin", chunk="doc_id"))
+    return rows.withColumnRenamed("pk", "content_key").withColumn("pk", F.col("chunk_id"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("pk"), "embedding", "label")
+
+
+def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.tokenised(_table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "pk")
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+
+
+def bm25_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, statistics, postings by pk)"""
+    docs = doc_tokens(spark, sf)
+    vocab, stats = vocabulary.vocabulary(docs), vocabulary.statistics(docs)
+    return vocab, stats, vocabulary.weights(docs, vocab, stats, "pk")
+
+
+def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.tokenised(_table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+
+
+def query_weights(spark: SparkSession, sf: str, vocab: DataFrame, stats: DataFrame) -> DataFrame:
+    return vocabulary.weights(query_tokens(spark, sf), vocab, stats, "query_id").select("query_id", "term", "w")
+
+
+SQL_BM25 = f"""
+tok AS (SELECT doc_id pk, {TOKENS.format('text')} t FROM documents),
+st AS (SELECT count(*) n, greatest(1.0, sum(len(t)) / count(*)) avgdl FROM tok),
+tf AS (SELECT pk, term, count(*) tf FROM (SELECT pk, unnest(t) term FROM tok) GROUP BY ALL),
+voc AS (SELECT term, count(*) df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) idf FROM tf, st GROUP BY term),
+dl AS (SELECT pk, sum(tf) dl FROM tf GROUP BY pk),
+post AS (SELECT pk, term, tf, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) w FROM tf JOIN voc USING (term) JOIN dl USING (pk), st),
+qtf AS (SELECT query_id, term, count(*) tf FROM (SELECT item_id query_id, unnest({TOKENS.format('text')}) term FROM benchmark) GROUP BY ALL),
+qk AS (SELECT query_id, term, tf, idf FROM qtf JOIN voc USING (term)),
+qdl AS (SELECT query_id, sum(tf) dl FROM qk GROUP BY query_id),
+qw AS (SELECT query_id, term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) w FROM qk JOIN qdl USING (query_id), st)"""
+SQL_COS = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
+SQL_DENSE = """
+qv AS (SELECT vec_id query_id, embedding q FROM embeddings WHERE vec_id % 50 = 0),
+ds AS (SELECT query_id, vec_id pk, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) score FROM qv, embeddings)"""
+
+
+def _top(name: str, limit: int) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM {name} QUALIFY rank <= {limit}"
+
+
+# Sources, shaping, sinks -------------------------------------------------------------------------
+
+
+@query("SELECT md5(substr(text, 1, 60)) AS content_key, '问题: ' || substr(text, 1, 60) || chr(10) || chr(10) || '答案: ' || text AS text, doc_id AS chunk_id, source AS lt_doc_id FROM documents WHERE text IS NOT NULL")
+def shape_records(spark, sf):
+    docs = _table(spark, sf, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("text").alias("answer"), F.col("source").alias("parent"))
+    rows = collection.shape_records(docs, collection.Mapping(parent="parent", chunk="doc_id"))
+    return rows.select(F.col("pk").alias("content_key"), "text", "chunk_id", "lt_doc_id")
+
+
+@query("SELECT md5(coalesce(split_part(text, chr(10), 1), '')) AS pk, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY 1")
+def upsert_latest(spark, sf):
+    docs = _table(spark, sf, "documents").select(F.md5(F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))).alias("pk"), "doc_id", "source")
+    half = F.col("doc_id") % 2 == 0
+    old = collection.latest(docs.where(half), order=[F.desc("doc_id")])
+    # the later half upserted into the earlier one, then what of the earlier is newer after all
+    both = collection.upserted(old, docs.where(~half), order=[F.desc("doc_id")])
+    return collection.latest(both.unionByName(old), order=[F.desc("doc_id")])
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_ids(spark, sf):
+    gone = _table(spark, sf, "labels").where("toxic = 1")
+    return collection.deleted(_table(spark, sf, "documents").select("doc_id", "lang", "source"), gone, "doc_id")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch FROM documents")
+def batch_chunks(spark, sf):
+    return collection.chunks(_table(spark, sf, "documents").select("doc_id"), "doc_id", 20).select("doc_id", "batch")
+
+
+@query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 25")
+def first_rows(spark, sf):
+    return readers.first_rows(_table(spark, sf, "benchmark"), "item_id", 25)
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), '') AS quality, coalesce(CAST(toxic AS VARCHAR), '') AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def to_text(spark, sf):
+    rows = _table(spark, sf, "documents").select("doc_id").join(_table(spark, sf, "labels"), "doc_id", "left")
+    return rows.select("doc_id", T.to_text(F.col("quality")).alias("quality"), T.to_text(F.col("toxic")).alias("toxic"))
+
+
+@query("SELECT conv_id AS session_id, turn AS seq, 'answer' AS type, text AS message FROM conversations WHERE role = 'assistant'")
+def event_lines(spark, sf):
+    rows = messages(spark, sf).where("role = 'assistant'")
+    lines = rows.select(F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("answer").alias("type"), F.col("content").alias("message"), F.to_json(F.struct("session_id", "seq")).alias("data")))).alias("value"))
+    noise = rows.select(F.lit("data: {broken").alias("value")).unionByName(rows.select(F.lit(": ping").alias("value")))
+    found = readers.event_lines(lines.unionByName(noise))
+    return found.select(F.from_json("data", "session_id long, seq long").alias("d"), "type", "message").select("d.session_id", "d.seq", "type", "message")
+
+
+# Text --------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
+def strip_tags(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(regexp_replace('<think>' || text || chr(10) || 'x</think>' || chr(10) || ' ' || text || ' <think>open', '<think>.*?</think>\s*', '', 'gs'), '^\s+|\s+$', '', 'g') AS text FROM conversations")
+def strip_thinking(spark, sf):
+    raw = F.concat(F.lit("<think>"), "text", F.lit("\nx</think>\n "), "text", F.lit(" <think>open"))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", T.strip_thinking(raw).alias("text"))
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
+def json_extract(spark, sf):
+    body = F.to_json(F.struct("role", F.length("text").alias("n")))
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("so "), body, F.lit(" then"))).alias("reply"))
+    parsed = F.from_json(T.fenced_json(F.col("reply")), "role string, n int")
+    return rows.select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.role", F.col("p.n").cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens, array_to_string(list_slice({TOKENS.format('text')}, 1, 5), ' ') AS head FROM documents")
+def tokenise(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+
+
+@query(f"SELECT doc_id, len(list_filter({TOKENS.format('text')}, lambda x: x NOT IN ('the','of','and','de','la','der','die'))) AS n_tokens FROM documents")
+def stop_word_filter(spark, sf):
+    words = T.tokens(F.coalesce("text", F.lit("")), ["the", "of", "and", "de", "la", "der", "die"])
+    return _table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS preview, substr(text, 1, 20) AS title, CAST(ceil(length(text) / 4) AS BIGINT) AS n_estimated FROM documents")
+def previews(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.preview(F.col("text"), 20).alias("title"), T.estimate(F.col("text")).cast("long").alias("n_estimated"))
+
+
+@query("SELECT doc_id, CASE quality % 7 WHEN 0 THEN '内科系统' WHEN 1 THEN '外科系统' END || ',' || CASE WHEN toxic = 1 THEN '未知类别' ELSE '疾病诊断类' END AS names FROM labels WHERE quality IN (0, 1)")
+def label_names(spark, sf):
+    rows = _table(spark, sf, "labels").where("quality in (0, 1)")
+    one = T.label_names(F.array(F.col("quality")), T.DEPARTMENTS, T.UNKNOWN_DEPARTMENT)
+    two = T.label_names(F.array(F.col("toxic") * 99), T.CATEGORIES, T.UNKNOWN_CATEGORY)
+    return rows.select("doc_id", F.concat_ws(",", F.array_join(one, ","), F.array_join(two, ",")).alias("names"))
+
+
+@query("SELECT conv_id, 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:' AS prompt FROM conversations WHERE turn = 1")
+def prompt_template(spark, sf):
+    return _table(spark, sf, "conversations").where("turn = 1").select("conv_id", T.fill(T.template("unknown name"), context=F.col("text"), question=F.col("role")).alias("prompt"))
+
+
+# Vocabulary and weights --------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_BM25} SELECT n, CAST(sum_dl AS BIGINT) AS sum_dl, round(avgdl, 6) AS avgdl FROM st, (SELECT sum(len(t)) sum_dl FROM tok)")
+def corpus_statistics(spark, sf):
+    return vocabulary.statistics(doc_tokens(spark, sf)).select("n", F.col("sum_dl").cast("long").alias("sum_dl"), F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {SQL_BM25} SELECT term, df, round(idf, 6) AS idf FROM voc")
+def vocabulary_idf(spark, sf):
+    return vocabulary.vocabulary(doc_tokens(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {SQL_BM25} SELECT pk AS doc_id, term, tf, round(w, 6) AS w FROM post")
+def bm25_weights(spark, sf):
+    return bm25_tables(spark, sf)[2].select(F.col("pk").alias("doc_id"), "term", "tf", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {SQL_BM25} SELECT term, df, round(idf, 6) AS idf FROM voc")
+def vocabulary_update(spark, sf):
+    docs = doc_tokens(spark, sf)
+    early, late = docs.where("pk % 3 != 0"), docs.where("pk % 3 = 0")
+    vocab, _ = vocabulary.updated(vocabulary.vocabulary(early), vocabulary.statistics(early), late)
+    return vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# Search ------------------------------------------------------------------------------------------
+
+
+def _dense_queries(spark, sf):
+    return _table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "pk", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SQL_DENSE} SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('ds', 10)})")
+def dense_cosine_search(spark, sf):
+    return _rounded(search.dense_top(_dense_queries(spark, sf), vectors(spark, sf), "embedding", 10))
+
+
+@query(f"WITH qv AS (SELECT vec_id query_id, embedding q FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT query_id, vec_id pk, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) score FROM qv, embeddings WHERE label IN (1, 2, 3) AND label != 2) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('ds', 5)})")
+def filtered_inner_search(spark, sf):
+    return _rounded(search.dense_top(_dense_queries(spark, sf), vectors(spark, sf), "embedding", 5, "IP", "label in [1, 2, 3] && label != 2"))
+
+
+@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL), r AS (SELECT query_id, pk, round(score, 6) score FROM s) SELECT query_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM r QUALIFY rank <= 10)")
+def sparse_search(spark, sf):
+    vocab, stats, postings = bm25_tables(spark, sf)
+    return _rounded(search.sparse_top(query_weights(spark, sf, vocab, stats), postings, 10)).drop("pk")
+
+
+@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qtf.tf * post.w) score FROM qtf JOIN post USING (term) GROUP BY ALL), r AS (SELECT query_id, pk, round(score, 6) score FROM s) SELECT query_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM r QUALIFY rank <= 10)")
+def bm25_search(spark, sf):
+    return _rounded(search.bm25_top(query_tokens(spark, sf), bm25_tables(spark, sf)[2], 10)).drop("pk")
+
+
+@query(f"WITH {SQL_BM25} SELECT query_id, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w, term) r, count(*) OVER (PARTITION BY query_id) n FROM qw) WHERE r > floor(n * 0.25)")
+def drop_ratio(spark, sf):
+    vocab, stats, _ = bm25_tables(spark, sf)
+    return search.pruned(query_weights(spark, sf, vocab, stats), 0.25).select("query_id", "term", F.round("w", 6).alias("w"))
+
+
+ROUTE_SQL = f"""{SQL_BM25},
+qx AS (SELECT item_id query_id FROM benchmark),
+ds AS (SELECT query_id, e.vec_id pk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) score FROM qx JOIN embeddings q ON q.vec_id = query_id, embeddings e),
+ss AS (SELECT query_id, pk, round(score, 6) score FROM (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL)),
+d AS ({_top('ds', 10)}), s AS ({_top('ss', 10)})"""
+
+
+def _routes(spark, sf) -> list[DataFrame]:
+    """Two ranked lists for the benchmark's items, scores rounded so that ties are the same everywhere."""
+    vocab, stats, postings = bm25_tables(spark, sf)
+    ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
+    dense = search.dense_scores(asked, vectors(spark, sf), "embedding").withColumn("score", F.round("score", 9))
+    sparse = search.sparse_scores(query_weights(spark, sf, vocab, stats), postings).withColumn("score", F.round("score", 6))
+    return [search.ranked(dense, 10), search.ranked(sparse, 10)]
+
+
+@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, round(sum(1.0 / (60 + rank)), 12) score FROM (SELECT query_id, pk, rank FROM d UNION ALL SELECT query_id, pk, rank FROM s) GROUP BY ALL) SELECT query_id, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
+def fusion_rrf(spark, sf):
+    return _rounded(search.fused(_routes(spark, sf), spec.Fusion("rrf", 60), ["COSINE", "IP"], 10)).drop("pk")
+
+
+@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
+def fusion_weighted(spark, sf):
+    return _rounded(search.fused(_routes(spark, sf), spec.default_search().fusion, ["COSINE", "IP"], 10)).drop("pk")
+
+
+@query()
+def hybrid_search(spark, sf):
+    """Both routes of the default request for the benchmark's items, fused, with the hits' rows."""
+    vocab, stats, postings = bm25_tables(spark, sf)
+    rows = corpus(spark, sf).join(vectors(spark, sf).select("pk", F.col("embedding").alias("summary_dense")), "pk")
+    ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
+    hits = search.hybrid(asked, rows, postings.join(rows.select("pk"), "pk", "left_semi"), query_weights(spark, sf, vocab, stats), spec.default_search())
+    return search.source_cards(hits)
+
+
+@query("SELECT vec_id AS query_id, len(embedding) AS d, CASE WHEN label >= 8 THEN 'high' WHEN label >= 6 THEN 'middle' ELSE 'low' END AS band FROM embeddings")
+def score_bands(spark, sf):
+    return vectors(spark, sf).select(F.col("pk").alias("query_id"), F.size("embedding").cast("long").alias("d"), T.score_band(F.col("label"), 8, 6).alias("band"))
+
+
+@query("SELECT item_id, 1.0::DOUBLE AS self_score, 64::BIGINT AS d FROM benchmark")
+def hash_embedder(spark, sf):
+    made = hash_embedding(T.tokens(F.col("text")), 64)
+    rows = _table(spark, sf, "benchmark").select("item_id", made.alias("v"))
+    return rows.select("item_id", F.round(cosine(F.col("v"), F.col("v")), 6).alias("self_score"), F.size("v").cast("long").alias("d"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (source IN ('src1', 'src2') OR doc_id < 100)")
+def filter_expression(spark, sf):
+    return _table(spark, sf, "documents").where(condition('lang == "en" && (source in ["src1", "src2"] || doc_id < 100)')).select("doc_id", "lang", "source")
+
+
+@query()
+def web_search(spark, sf):
+    """The stored pages that hold most words of each benchmark item."""
+    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(3).alias("cnt"))
+    return readers.page_search(_table(spark, sf, "pages"))(asked).select("query_id", "rank", "page_id", "url")
+
+
+# Context, dialogue, answers ----------------------------------------------------------------------
+
+PACK_SQL = """
+r AS (SELECT source query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) rank, text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, 4 + ceil(length(text) * 0.25) cost FROM r),
+u AS (SELECT *, 2000 - coalesce(sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) room FROM c),
+p AS (SELECT query_id, rank, CASE WHEN cost <= room THEN text WHEN floor((room - 4) / 0.25) > 0 THEN substr(text, 1, CAST(floor((room - 4) / 0.25) AS INT)) || chr(10) || '...[内容已截断]' || chr(10) END packed,
+      CAST(CASE WHEN cost <= room THEN cost ELSE 4 + ceil(greatest(floor((room - 4) / 0.25), 0) * 0.25) END AS BIGINT) n_tokens FROM u WHERE room > 0)"""
+
+
+def _packed(spark, sf):
+    docs = _table(spark, sf, "documents").where("text is not null")
+    rows = docs.select(F.col("source").alias("query_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), "text")
+    return context.pack(rows, F.lit(2000))
+
+
+@query(f"WITH {PACK_SQL} SELECT query_id, rank, packed, n_tokens FROM p WHERE packed IS NOT NULL")
+def pack_context(spark, sf):
+    return _packed(spark, sf)
+
+
+@query(f"WITH {PACK_SQL} SELECT query_id, string_agg('## 文档' || n || '：' || chr(10) || packed || chr(10), '' ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) n FROM p WHERE packed IS NOT NULL) GROUP BY query_id")
+def numbered_context(spark, sf):
+    return context.joined(_packed(spark, sf))
+
+
+@query("SELECT session_id, seq, content AS question, CASE WHEN r2 = 'assistant' THEN c2 END AS answer FROM (SELECT conv_id session_id, turn seq, role, text content, lead(role) OVER w r2, lead(text) OVER w c2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'")
+def pair_turns(spark, sf):
+    return dialogue.turns(messages(spark, sf))
+
+
+@query("SELECT conv_id AS session_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_message(spark, sf):
+    return dialogue.last_of_role(messages(spark, sf))
+
+
+@query("SELECT conv_id AS session_id, string_agg(text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+def transcripts(spark, sf):
+    return dialogue.transcript(messages(spark, sf))
+
+
+@query("SELECT conv_id AS session_id, round(sum(ceil(length(text) / 4)) / sum(length(text)), 6) AS per_char, round(sum(length(text)) / count(*), 6) AS mean_chars FROM conversations GROUP BY conv_id")
+def token_average(spark, sf):
+    return dialogue.tokens_per_char(messages(spark, sf)).select("session_id", F.round("per_char", 6).alias("per_char"), F.round("mean_chars", 6).alias("mean_chars"))
+
+
+COMPRESS_SQL = "SELECT conv_id session_id, turn seq, text content, t >= 200 * 0.7 AND r <= greatest(2, n // 2) folded FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) n, sum(ceil(length(text) / 4)) OVER (PARTITION BY conv_id) t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) r FROM conversations)"
+
+
+@query(f"SELECT session_id, seq, folded FROM ({COMPRESS_SQL})")
+def compress_history(spark, sf):
+    return dialogue.compression(messages(spark, sf), max_tokens=200).select("session_id", "seq", "folded")
+
+
+@query(f"SELECT session_id, coalesce(string_agg(content, chr(10) ORDER BY seq) FILTER (folded), '') AS summary, count(*) FILTER (NOT folded) AS kept FROM ({COMPRESS_SQL}) GROUP BY session_id")
+def history_summaries(spark, sf):
+    return dialogue.summaries(dialogue.compression(messages(spark, sf), max_tokens=200))
+
+
+@query("WITH u AS (SELECT CAST(user_id AS VARCHAR) u, event_type s, ts FROM events) SELECT s || '/' || u AS session_id, u AS user_id, min(ts) AS created_at, max(ts) AS updated_at FROM u GROUP BY ALL")
+def session_upsert(spark, sf):
+    rows = _table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("session_id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("title"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), "event_id")
+    early = F.col("event_id") % 2 == 0
+    merged = dialogue.sessions_after(rows.where(early).drop("event_id"), rows.where(~early).drop("event_id"))
+    return merged.select("session_id", "user_id", "created_at", "updated_at")
+
+
+@query("SELECT conv_id AS session_id, turn AS seq FROM conversations WHERE conv_id % 7 = 3")
+def owned_messages(spark, sf):
+    sessions = messages(spark, sf).select("session_id", (F.col("session_id") % 7).alias("user_id")).distinct()
+    return dialogue.owned(messages(spark, sf), sessions, F.lit(3)).select("session_id", "seq")
+
+
+@query("SELECT conv_id AS session_id, turn AS seq FROM conversations WHERE NOT (conv_id % 7 = 3 AND conv_id % 2 = 0)")
+def cascade_delete(spark, sf):
+    rows = messages(spark, sf)
+    sessions = rows.select("session_id", (F.col("session_id") % 7).alias("user_id")).distinct()
+    _, left = dialogue.without_sessions(sessions, rows, sessions.where("session_id % 2 = 0").select("session_id"), F.lit(3))
+    return left.select("session_id", "seq")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")
+def token_expiry(spark, sf):
+    rows = _table(spark, sf, "events").withColumn("expires_at", F.col("ts"))
+    return dialogue.valid_tokens(rows, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query("WITH e AS (SELECT conv_id, list(text ORDER BY turn) e FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, CASE WHEN len(e) >= 4 THEN list_prepend(array_to_string(e[1:3], chr(10)), e[4:]) ELSE e END e FROM e) SELECT conv_id AS session_id, array_to_string(CASE WHEN len(e) > 3 THEN e[len(e)-2:] ELSE e END, '|') AS entries FROM m")
+def rolling_summary(spark, sf):
+    rows = messages(spark, sf).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("e"))
+    return rows.select("session_id", F.array_join(dialogue.rolled(F.col("e"), fold_at=4, fold=3, keep=3), "|").alias("entries"))
+
+
+@query("SELECT session_id AS query_id, CAST(i AS INT) AS sub_id, CASE WHEN len(p) > 1 THEN p[i] ELSE w END AS query FROM (SELECT conv_id session_id, list(text ORDER BY turn) p, min_by(text, turn) w FROM conversations WHERE role = 'user' GROUP BY conv_id), range(1, 4) t(i) WHERE i <= CASE WHEN len(p) > 1 THEN len(p) ELSE 1 END")
+def split_queries(spark, sf):
+    asked = messages(spark, sf).where("role = 'user'").groupBy(F.col("session_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("sub_query"))
+    plans = asked.select("query_id", F.element_at("sub_query", 1).alias("question"), (F.size("sub_query") > 1).alias("need_split"), "sub_query", F.lit("  ").alias("rewrite_query"))
+    return answer.sub_queries(plans)
+
+
+@query("SELECT conv_id AS query_id, CASE WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'No answer was found.' WHEN count(*) FILTER (role = 'assistant') = 1 THEN min(text) FILTER (role = 'assistant') ELSE string_agg('### 子问题 ' || n || ' 分析' || chr(10) || text, chr(10) || chr(10) ORDER BY n) FILTER (role = 'assistant') END AS answer FROM (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) n FROM conversations) GROUP BY conv_id")
+def gather_answers(spark, sf):
+    rows = messages(spark, sf).select(F.col("session_id").alias("query_id"), F.col("seq").alias("sub_id"), F.when(F.col("role") == "assistant", F.col("content")).alias("answer"))
+    return answer.gathered(rows)
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' WHEN toxic > 0 THEN 'retry' ELSE 'fail' END AS route, CASE WHEN quality = 1 THEN toxic ELSE greatest(toxic - 1, 0) END AS attempts_left FROM labels")
+def judge_route(spark, sf):
+    rows = _table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "YES.").otherwise("no").alias("verdict"), F.col("toxic").alias("attempts_left"))
+    return answer.judged(rows).select("doc_id", "route", "attempts_left")
+
+
+@query()
+def answer_questions(spark, sf):
+    """Benchmark items answered from the pages that match them, within a budget."""
+    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(3).alias("cnt"))
+    hits = readers.page_search(_table(spark, sf, "pages"))(asked.withColumnRenamed("question", "query")).withColumnRenamed("passage", "text")
+    return answer.answers(asked.drop("cnt"), hits).select("query_id", "question", F.length("context").alias("n_context"), "answer", "ok")
+
+
+# Annotation, evaluation, streams -----------------------------------------------------------------
+
+
+@query("SELECT doc_id, quality = 1 AS ok, CASE WHEN quality = 1 THEN '内科系统,急诊与综合' ELSE '内科系统,未知科室' END AS names FROM labels WHERE quality IN (0, 1)")
+def annotation_check(spark, sf):
+    rows = _table(spark, sf, "labels").where("quality in (0, 1)")
+    reply = F.concat(F.lit('```json\n{"departments": [0, '), F.when(F.col("quality") == 1, "5").otherwise("6"), F.lit('], "categories": [7], "reasoning": "r"}\n```'))
+    return quality.parsed_annotations(rows.select("doc_id", reply.alias("reply"))).select("doc_id", "ok", F.array_join("department_names", ",").alias("names"))
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality <> 1) AS failed FROM labels")
+def annotation_counters(spark, sf):
+    return quality.counters(_table(spark, sf, "labels").select((F.col("quality") == 1).alias("ok")))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '#7'), doc_id LIMIT 50")
+def seeded_sample(spark, sf):
+    return quality.sampled(_table(spark, sf, "documents").select("doc_id"), "doc_id", 50, 7)
+
+
+@query(f"WITH {SQL_DENSE}, t AS ({_top('ds', 10)}), rel AS (SELECT q.vec_id query_id, e.vec_id pk FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0), w AS (SELECT query_id, count(*) n FROM rel GROUP BY 1), h AS (SELECT query_id, count(*) hit, min(rank) f FROM t SEMI JOIN rel USING (query_id, pk) GROUP BY 1) SELECT query_id, round(coalesce(hit, 0) / n, 6) AS recall, round(coalesce(hit, 0) / 10, 6) AS precision, round(coalesce(1 / f, 0), 6) AS reciprocal_rank FROM w LEFT JOIN h USING (query_id)")
+def retrieval_metrics(spark, sf):
+    rows = vectors(spark, sf)
+    hits = search.dense_top(_dense_queries(spark, sf), rows, "embedding", 10)
+    labels = rows.select(F.col("pk").alias("query_id"), "label").where("query_id % 50 = 0").join(rows.select("pk", "label"), "label").select("query_id", "pk")
+    return quality.retrieval_metrics(hits, labels, 10).select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
+
+
+SHARE = "CASE WHEN len({0}) > 0 THEN len(list_intersect({0}, {1})) / len({0}) ELSE 0 END"
 
 
-def queries() -> dict:
-    return {}
+@query(f"WITH p AS (SELECT list_distinct({TOKENS.format('text')}) q, list_distinct({TOKENS.format('c2')}) a FROM (SELECT role, text, lead(text) OVER w c2, lead(role) OVER w r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant') SELECT round(avg({SHARE.format('q', 'a')}), 6) AS answer_relevancy, round(avg({SHARE.format('a', 'q')}), 6) AS faithfulness, round(avg({SHARE.format('a', 'q')}), 6) AS context_recall, round(avg({SHARE.format('q', 'a')}), 6) AS context_precision FROM p")
+def answer_metrics(spark, sf):
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null")
+    rows = rows.select(F.col("question").alias("user_input"), F.array("question").alias("retrieved_contexts"), F.col("answer").alias("response"), F.col("answer").alias("reference"))
+    means = quality.means(quality.answer_metrics(rows))
+    return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_activity(spark, sf):
+    out = ingest.activity(_table(spark, sf, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
