@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hashed_share, saved
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -41,8 +41,8 @@ class AnnSpec:
     density: float = 0.3
     most_lists: int = 4096
     #: Share of the lists that a query scans, and the least number. Vectors without any cluster
-    #: structure need about half of the lists for nine tenths of the true neighbours.
-    probe: float = 0.55
+    #: structure need well over half of the lists for nine tenths of the true neighbours.
+    probe: float = 0.7
     least_probe: int = 16
     #: Bound on the vectors that the centres are fitted on.
     sample: int = 20_000
@@ -91,7 +91,9 @@ class Index:
 
 def fit_index(base: DataFrame, n: int, spec: AnnSpec) -> Index:
     norm = float(base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
-    rows = base.orderBy(F.xxhash64("id"), "id").limit(spec.sample).select("v").toPandas()["v"]
+    rows = base.where(hashed_share("id", spec.sample, n)).orderBy("id").limit(spec.sample).select("v").toPandas()["v"]
+    if not len(rows):
+        rows = base.orderBy("id").limit(spec.sample).select("v").toPandas()["v"]
     x = np.array(rows.tolist(), dtype=np.float64)
     rng = np.random.default_rng(spec.seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1] + 1,) * 2))

@@ -8,10 +8,8 @@ import hashlib
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,12 +70,9 @@ def text_of(df: DataFrame, text: str):
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
-def partitions_for(rows: int, each: int, least: int = 1) -> int:
-    return max(least, -(-rows // each))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def hashed_share(column: str, wanted: int, rows: int):
+    """A condition that holds, by a hash of the column, for about ``wanted`` of ``rows`` rows."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(rows, 1))))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,9 +107,3 @@ class WordHashes(dict):
 
 def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
-
-
-def batches(it: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[list]:
-    """Consecutive rows' Python values of one column, by Arrow batch."""
-    for batch in it:
-        yield batch.column(column).to_pylist()

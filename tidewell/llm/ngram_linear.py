@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import hashed_share, saved, text_of
 
 
 @dataclass(frozen=True)
@@ -107,8 +107,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Co
     The chosen ids are at most ``spec.sample`` rows, so broadcasting them is bounded; the documents
     themselves do not move.
     """
+    known = labels.where(eligible & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
     chosen = (
-        labels.where(eligible & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
+        known.where(hashed_share(doc_id, 2 * spec.sample, known.count()))
         .groupBy(F.col(doc_id).alias("_id"))
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("_id"), "_id")
