@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of, words_of
+from .common import hashed_share, saved, text_of, words_of
 
 END = b""
 
@@ -83,7 +83,15 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame, spec: HmmSpec):
         self.spec = spec
-        top = counts.orderBy(F.desc("c"), "word").limit(spec.known).collect()
+        # eighths of powers of two: the largest that at most ``known`` tokens reach bounds what is collected
+        step = F.floor(F.log2("c") * 8).cast("int")
+        reach, least = 0, None
+        for r in sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"]):
+            reach += r["count"]
+            if reach > spec.known:
+                break
+            least = r["b"]
+        top = sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"]))) if least is not None else []
         self.words = [bytes(r["word"]) for r in top]
         c = np.array([r["c"] for r in top], dtype=np.float64)
         k = np.array([r["k"] for r in top], dtype=np.int64)
@@ -113,26 +121,27 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spec, shared = vocabulary.spec, docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.symbol, vocabulary.log_count, vocabulary.inside))
     kind = "struct<symbols: binary, n: bigint, n_common: bigint, log_count: double, inside: double, rare: array<struct<word: binary, k: int>>>"
 
+    arrow = pa.struct([("symbols", pa.binary()), ("n", pa.int64()), ("n_common", pa.int64()), ("log_count", pa.float64()), ("inside", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))])
+
     @F.arrow_udf(kind)
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, symbol, log_count, inside = shared.value
         place = dict(zip(words, range(len(words)), strict=True))
+
+        def one(text: str) -> dict:
+            tokens = words_of(text)
+            tokens.append(END)
+            at = np.array([place.get(w, -1) for w in tokens], dtype=np.int64)
+            missing = np.flatnonzero(at < 0)
+            rare = [{"word": tokens[i], "k": word_class(tokens[i], spec)} for i in missing.tolist()]
+            ids = symbol[at] if len(symbol) else np.zeros(len(at), dtype=np.int32)
+            ids[missing] = [spec.emitted + r["k"] for r in rare]
+            known = at[at >= 0]
+            return {"symbols": ids.astype(np.int32).tobytes(), "n": len(tokens), "n_common": len(known), "log_count": float(log_count[known].sum()), "inside": float(inside[known].sum()), "rare": rare}
+
         for texts in parts:
-            out = []
-            for text in texts.to_pylist():
-                tokens = words_of(text)
-                tokens.append(END)
-                at = np.array([place.get(w, -1) for w in tokens], dtype=np.int64)
-                missing = np.flatnonzero(at < 0)
-                rare = [{"word": tokens[i], "k": word_class(tokens[i], spec)} for i in missing.tolist()]
-                ids = symbol[at] if len(symbol) else np.zeros(len(at), dtype=np.int32)
-                ids[missing] = [spec.emitted + r["k"] for r in rare]
-                known = at[at >= 0]
-                out.append({"symbols": ids.astype(np.int32).tobytes(), "n": len(tokens), "n_common": len(known), "log_count": float(log_count[known].sum()) if len(known) else 0.0, "inside": float(inside[known].sum()) if len(known) else 0.0, "rare": rare})
-            yield pa.array(out, texts_type())
-
-    def texts_type():
-        return pa.struct([("symbols", pa.binary()), ("n", pa.int64()), ("n_common", pa.int64()), ("log_count", pa.float64()), ("inside", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))])
+            done = [pa.array([one(x.as_py()) for x in texts[i : i + 256]], arrow) for i in range(0, len(texts), 256)]
+            yield pa.concat_arrays(done) if done else pa.array([], arrow)
 
     return docs.withColumn("_e", encoded("_text")).select(*[c for c in docs.columns if c != "_text"], "_e.*")
 
@@ -275,7 +284,7 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     encoded = saved(encode(rows.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
     train = encoded.where("_learn").select("_row", "symbols")
     model = Hmm.begin(vocabulary.frequency, spec.states)
-    sample = saved(train.orderBy(F.xxhash64("_row"), "_row").limit(spec.sample).select("symbols").repartition(2))
+    sample = saved(train.where(hashed_share("_row", spec.sample, train.count())).select("symbols").repartition(2))
     for _ in range(spec.sample_rounds):
         model, _ = baum_welch_round(sample, model, vocabulary.frequency, spec)
     for _ in range(spec.rounds):
