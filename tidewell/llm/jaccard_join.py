@@ -104,7 +104,7 @@ def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[i
         yield doc, shingles(words_of(text), hashes, k)
 
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 BINS = 128
