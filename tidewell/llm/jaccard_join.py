@@ -107,13 +107,23 @@ def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[i
 CHUNK = 1_000_000
 
 
-BINS = 128
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of hashes by their low bits, one byte each, about four in a bin; empty where one does not fit."""
+    bins = 1 << max(7, (len(s) // 4).bit_length())
+    n = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """Hashes by the low seven bits, 16 bits each; empty where a count would not fit."""
-    n = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-    return n.astype(np.uint16).tobytes() if n.max() < 1 << 16 else b""
+def most_common(p: bytes, q: bytes, m: int, n: int) -> int:
+    """How many of m and n shingles can be the same, by their histograms."""
+    if not p or not q:
+        return min(m, n)
+    x, y = np.frombuffer(p, np.uint8).astype(np.int32), np.frombuffer(q, np.uint8).astype(np.int32)
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(0)
+    return int(np.minimum(x, y).sum())
 
 
 def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> tuple[np.ndarray, DataFrame]:
@@ -257,18 +267,6 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
     return packed.groupBy("bucket").applyInPandas(lambda g: pd.concat(list(match(g))), "sig long, doc long, n int")
 
 
-def document_sets(docs: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(doc, s): each document's sorted shingle hashes, packed."""
-
-    @F.arrow_udf("binary")
-    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for texts in parts:
-            yield pa.array([shingles(words_of(x), hashes, spec.words).tobytes() for x in texts.to_pylist()], pa.binary())
-
-    return docs.select(F.col("_id").alias("doc"), packed("_text").alias("s"))
-
-
 def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose histograms allow enough common shingles: no true link is lost."""
 
@@ -276,7 +274,7 @@ def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     def may(x: pa.Array, y: pa.Array, m: pa.Array, n: pa.Array) -> pa.Array:
         out = []
         for p, q, i, j in zip(x.to_pylist(), y.to_pylist(), m.to_pylist(), n.to_pylist(), strict=True):
-            most = int(np.minimum(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)).sum()) if p and q else min(i, j)
+            most = most_common(p, q, i, j)
             out.append(100 * most >= percent * (i + j - most))
         return pa.array(out, pa.bool_())
 
@@ -285,35 +283,58 @@ def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(may("_pa", "_pb", "_na", "_nb")).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
-
-    @F.arrow_udf("boolean")
-    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p.as_buffer(), dtype=np.uint64), np.frombuffer(q.as_buffer(), dtype=np.uint64)
-            both = len(p) + len(q)
-            common = both - len(np.unique(np.concatenate([p, q])))
-            out.append(100 * common >= percent * (both - common))
-        return pa.array(out, pa.bool_())
-
-    one, two = sets.select(F.col("doc").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("doc").alias("b"), F.col("s").alias("_sb"))
-    return pairs.join(one, "a").join(two, "b").where(alike("_sa", "_sb")).select("a", "b")
-
-
 def _sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+#: Shingles of the documents of a cluster that are compared in one group, of either side.
+GROUP = 1 << 18
+
+
 def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """The links among the candidate pairs (a, b)."""
+    """The links among the candidate pairs (a, b).
+
+    Pairs are compared by cluster, the components of the candidate graph, so that a document's set
+    travels once and not with each of its pairs. A large cluster is cut into blocks of documents; a
+    group is a pair of blocks and gets only the documents that its pairs name.
+    """
     pairs = saved(possible(pairs, sizes, spec.percent))
-    wanted = saved(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= spec.most_ids else wanted
-    sets = saved(document_sets(docs.join(few, docs["_id"] == few["doc"], "left_semi"), spec))
-    found = saved(verified(pairs, sets, spec.percent))
-    discard(sets, pairs, wanted)
+    clusters = components(pairs)
+    weighed = clusters.join(sizes.groupBy("doc").agg(F.max("n").alias("n")), F.col("node") == F.col("doc")).select("doc", "comp", "n")
+    blocks = weighed.groupBy("comp").agg(F.ceil(F.sum("n") / GROUP).alias("_m"))
+    placed = saved(weighed.join(blocks, "comp").select("doc", "comp", F.pmod(F.xxhash64("doc"), F.col("_m")).alias("block")))
+    one, two = placed.select(F.col("doc").alias("a"), "comp", F.col("block").alias("_x")), placed.select(F.col("doc").alias("b"), F.col("block").alias("_y"))
+    key = ["comp", "x", "y"]
+    keyed = saved(pairs.join(one, "a").join(two, "b").select("comp", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"), "a", "b"))
+    need = saved(keyed.select(*key, F.col("a").alias("doc")).unionByName(keyed.select(*key, F.col("b").alias("doc"))).distinct())
+
+    @F.arrow_udf("binary")
+    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in parts:
+            yield pa.array([shingles(words_of(x), hashes, spec.words).tobytes() for x in texts.to_pylist()], pa.binary())
+
+    def check(sets: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        known: dict[int, list[np.ndarray]] = {}
+        for doc, s in zip(sets["doc"], sets["s"], strict=True):
+            known.setdefault(doc, []).append(np.frombuffer(s, dtype=np.uint64))
+        found = []
+        for a, b in zip(asked["a"], asked["b"], strict=True):
+            for p in known.get(a, ()):
+                for q in known.get(b, ()):
+                    small, large = (p, q) if len(p) < len(q) else (q, p)
+                    if not len(small):
+                        continue
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    common = int((large[at] == small).sum())
+                    if 100 * common >= spec.percent * (len(p) + len(q) - common):
+                        found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    asked = F.broadcast(need) if need.count() <= spec.most_ids else need
+    sets = docs.join(asked, docs["_id"] == asked["doc"]).select(*key, "doc", packed("_text").alias("s"))
+    found = saved(sets.groupBy(*key).cogroup(keyed.groupBy(*key)).applyInPandas(check, "a long, b long"))
+    discard(pairs, placed, keyed, need)
     return found
 
 
