@@ -109,7 +109,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     ruled = rows.where(F.col("_tw_rule").isNotNull()).select("_tw_url", (F.col("_tw_by_rule") == "allow").alias("accepted"))
     open_ = rows.where(F.col("_tw_rule").isNull())
     scores, cut = url_scores(open_.select("_tw_url"), ruled, order)
-    judged = rows.join(scores, (rows["_tw_url"] == scores["_tw_url"]) & rows["_tw_rule"].isNull(), "left").drop(scores["_tw_url"])
-    margin = F.when(F.col("_tw_rule").isNull(), F.coalesce("score", F.lit(0.0)) - F.lit(float(cut)))
+    scores = scores.select(F.col("_tw_url").alias("_tw_scored"), F.col("score").alias("_tw_raw"))
+    judged = rows.join(scores, (F.col("_tw_url") == F.col("_tw_scored")) & F.col("_tw_rule").isNull(), "left")
+    margin = F.when(F.col("_tw_rule").isNull(), F.coalesce("_tw_raw", F.lit(0.0)) - F.lit(float(cut)))
     out = judged.withColumn("_tw_score", margin).withColumn("_tw_verdict", F.coalesce("_tw_by_rule", F.when(F.col("_tw_score") >= 0, F.lit("allow")).otherwise(F.lit("block"))))
-    return out.drop("_tw_by_rule", "_tw_url") if "score" in pages.columns else out.drop("_tw_by_rule", "_tw_url", "score")
+    return out.drop("_tw_by_rule", "_tw_url", "_tw_scored", "_tw_raw")
