@@ -495,3 +495,102 @@ def answer_metrics(spark, sf):
 def event_activity(spark, sf):
     out = ingest.activity(_table(spark, sf, "events"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Shaping in detail -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang AS passed, md5('') AS empty_key FROM documents")
+def extra_passthrough(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "lang", F.lit(None).cast("string").alias("question"), F.lit("a").alias("answer"))
+    rows = collection.shape_records(docs, collection.Mapping(chunk="doc_id"))
+    return rows.select(F.col("chunk_id").alias("doc_id"), F.col("extras")["lang"].alias("passed"), F.col("pk").alias("empty_key"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(list_sum(embedding::DOUBLE[]), 4) ELSE 0 END AS total FROM embeddings")
+def precomputed_vectors(spark, sf):
+    rows = _table(spark, sf, "embeddings").select("vec_id", F.lit("").alias("summary"), F.lit("").alias("text"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("summary_dense"))
+    made = collection.with_vectors(rows)
+    return made.select("vec_id", F.round(F.aggregate(F.col("summary_dense").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT item_id AS query_id, 1 AS rank, coalesce(source, '') AS source, 0.5::DOUBLE AS distance, substr(d.text, 1, 200) AS content_preview FROM benchmark b JOIN documents d ON b.item_id = d.doc_id")
+def source_cards(spark, sf):
+    hits = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("pk"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"))
+    rows = corpus(spark, sf).drop("source").withColumnRenamed("lt_doc_id", "source").where("text is not null").drop("text").withColumnRenamed("document", "text")
+    cards = search.source_cards(search.with_payload(hits, rows, ["source", "source_name", "summary", "text"]))
+    return cards.select("query_id", "rank", "source", "distance", "content_preview")
+
+
+@query(f"WITH {SQL_BM25} SELECT pk AS doc_id, count(*) AS n_terms, round(sum(w), 4) AS total FROM post GROUP BY pk")
+def sparse_vectors(spark, sf):
+    vectors_ = vocabulary.sparse_vectors(bm25_tables(spark, sf)[2], "pk")
+    total = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + x)
+    return vectors_.select(F.col("pk").alias("doc_id"), F.size("vector").cast("long").alias("n_terms"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT doc_id, quality AS label, lang, source FROM labels JOIN documents USING (doc_id)")
+def annotation_results(spark, sf):
+    made = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"), F.lit(None).cast("long").alias("n_chars"))
+    return quality.annotation_results(made, _table(spark, sf, "documents").drop("text"), "doc_id").select("doc_id", "label", "lang", "source")
+
+
+@query("SELECT conv_id, turn, role AS new_question, 'a' AS new_answer FROM conversations WHERE turn % 3 <> 0")
+def rewritten_pairs(spark, sf):
+    reply = F.when(F.col("turn") % 3 == 0, "no json").otherwise(F.concat(F.lit("<think>{</think>ok "), F.to_json(F.struct(F.col("role").alias("question"), F.lit("a").alias("answer"))), F.lit(" }")))
+    return quality.rewritten_pairs(_table(spark, sf, "conversations").withColumn("reply", reply)).select("conv_id", "turn", "new_question", "new_answer")
+
+
+@query("SELECT conv_id, string_agg(role || '：' || trim(left(text, 9)), '；' ORDER BY turn) FILTER (turn % 2 = 0) AS merged FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) > 0")
+def clarification_merge(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 9)).otherwise(F.lit(" ")).alias("a"))))
+    grouped = _table(spark, sf, "conversations").groupBy("conv_id").agg(rows.alias("r"))
+    merged = answer.clarified(F.transform("r", lambda x: x["role"]), F.transform("r", lambda x: x["a"]))
+    return grouped.select("conv_id", merged.alias("merged")).where("merged != ''")
+
+
+@query("SELECT conv_id AS session_id, round(1024 - (sum(ceil(length(text) / 4)) - 10.24), 4) AS remaining FROM conversations GROUP BY conv_id")
+def remaining_budget(spark, sf):
+    spent = F.sum(T.estimate(F.col("content")))
+    return messages(spark, sf).groupBy("session_id").agg(spent.alias("s")).select("session_id", F.round(context.remaining(1024, F.col("s")), 4).alias("remaining"))
+
+
+@query("SELECT query_id, pk, rank FROM (SELECT vec_id % 10 query_id, vec_id pk, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) rank FROM embeddings) WHERE rank IN (3, 1) AND query_id <> 4")
+def retained_documents(spark, sf):
+    ranked = vectors(spark, sf).select((F.col("pk") % 10).alias("query_id"), "pk").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pk")))
+    choice = ranked.select("query_id").distinct().withColumn("keep", F.when(F.col("query_id") == 4, F.array().cast("array<int>")).otherwise(F.array(F.lit(3), F.lit(1))))
+    return answer.retained(ranked, choice).select("query_id", "pk", "rank")
+
+
+@query("SELECT lpad(CAST(user_id AS VARCHAR), 11, '0') AS phone, sha256('secret' || user_id) AS password_hash FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0 AND user_id % 2 = 0")
+def user_registration(spark, sf):
+    ids = _table(spark, sf, "events").select("user_id").distinct()
+    phone = F.lpad(F.col("user_id").cast("string"), 11, "0")
+    taken = ids.where("user_id % 3 = 0").select(phone.alias("phone"))
+    wanted = ids.select(phone.alias("phone"), F.concat(F.lit("secret"), "user_id").alias("password"), F.when(F.col("user_id") % 2 == 0, "user").otherwise("ghost").alias("role"))
+    return dialogue.new_users(taken, wanted).select("phone", "password_hash")
+
+
+@query("SELECT session_id, role, content, title FROM (SELECT session_id, 'user' AS role, q AS content, substr(q, 1, 20) AS title FROM (SELECT conv_id session_id, text q, lead(role) OVER w r FROM (SELECT * FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r = 'assistant' AND false UNION ALL SELECT session_id, u.role, u.content, substr(q, 1, 20) FROM (SELECT conv_id session_id, role r0, text q, lead(role) OVER w r, lead(text) OVER w a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t, LATERAL (VALUES ('user', q), ('assistant', a)) u(role, content) WHERE r0 = 'user' AND r = 'assistant')")
+def persist_turns(spark, sf):
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null").withColumns({"query": F.col("question"), "documents": F.array(F.lit("d"))})
+    return answer.saved_turn(rows).select("session_id", "role", "content", "title")
+
+
+@query("SELECT conv_id AS query_id, i::INT AS seq, 'data: ' || CASE i WHEN 0 THEN '{\"type\":\"rewrite\",\"data\":\"q\"}' WHEN 1 THEN '{\"type\":\"documents\",\"data\":\"[\\\"d\\\"]\"}' WHEN 2 THEN '{\"type\":\"answer\",\"data\":\"a\"}' ELSE '{\"type\":\"done\",\"data\":\"\"}' END || chr(10) || chr(10) AS event FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 4) r(i)")
+def event_stream_rows(spark, sf):
+    rows = messages(spark, sf).select(F.col("session_id").alias("query_id")).distinct().withColumns({"query": F.lit("q"), "documents": F.array(F.lit("d")), "answer": F.lit("a")})
+    return ingest.event_rows(rows)
+
+
+@query("SELECT conv_id AS session_id, count(*) AS n_messages, max(turn) AS last_seq FROM conversations WHERE conv_id % 7 = 3 GROUP BY conv_id")
+def session_list(spark, sf):
+    rows = messages(spark, sf)
+    sessions = rows.groupBy("session_id").agg((F.first("session_id") % 7).alias("user_id"), F.count(F.lit(1)).alias("n_messages"), F.max("seq").alias("last_seq"))
+    return sessions.where("user_id = 3").orderBy(F.desc("last_seq"), "session_id").select("session_id", "n_messages", "last_seq")
+
+
+@query("SELECT conv_id AS query_id, CASE WHEN turn % 2 = 0 THEN 'update' WHEN role = 'user' AND turn < 5 THEN 'ask' ELSE 'extract' END AS step, turn FROM conversations")
+def clarification_steps(spark, sf):
+    rows = _table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), "turn", (F.col("role") == "user").alias("need_ask"), F.col("turn").alias("asked"), F.when(F.col("turn") % 2 == 0, "b").alias("background"))
+    return answer.clarification(rows).select("query_id", "step", "turn")

@@ -58,3 +58,17 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
 def means(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.avg(c).alias(c) for c, kind in metrics.dtypes if kind == "double"])
+
+
+def annotation_results(annotated: DataFrame, original: DataFrame, key: str) -> DataFrame:
+    """Annotations first, then the original's columns that they do not have."""
+    more = [c for c in original.columns if c == key or c not in annotated.columns]
+    return annotated.join(original.select(*more), key)
+
+
+def rewritten_pairs(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """Records with ``new_question`` and ``new_answer`` from model replies; those without both are dropped, and ``text`` with them."""
+    body = T.first_object(F.regexp_replace(F.col(reply), r"(?s)<think>.*?</think>", ""))
+    parsed = F.from_json(body, "question string, answer string")
+    out = rows.withColumn("_p", parsed).withColumns({"new_question": F.coalesce("_p.question", F.lit("")), "new_answer": F.coalesce("_p.answer", F.lit(""))})
+    return answerable(out, "new_question", "new_answer").drop("_p", reply, "text")
