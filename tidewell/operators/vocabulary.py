@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25
@@ -25,9 +25,15 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(term, df, idf) of (key, tokens): one exchange, with partial counts before it."""
-    counts = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counts.join(F.broadcast(statistics(docs)), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    """(term, df, idf) of (key, tokens): one scan and one exchange, with partial counts before it.
+
+    A row without a term for each document carries its length, so that the statistics come out of the
+    same exchange; they are told apart after it, which lets Spark use it for both.
+    """
+    rows = docs.select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"), F.size("tokens").alias("dl"))
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("_s"))
+    n = counts.where("_s is not null").select(F.col("df").alias("n"))
+    return counts.where("_s is null").join(F.broadcast(n), how="cross").select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def updated(vocab: DataFrame, stats: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,8 +55,8 @@ def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25:
     """Postings (key, term, tf, w) of (key, tokens): terms outside the vocabulary are dropped before
     lengths are taken, and weights that are not positive after."""
     known = frequencies(docs, key).join(vocab.select("term", "idf"), "term")
-    dl = known.groupBy(key).agg(F.sum("tf").alias("dl"))
-    rows = known.join(dl, key).join(F.broadcast(stats.select("avgdl")), how="cross")
+    dl = F.sum("tf").over(Window.partitionBy(key))
+    rows = known.withColumn("dl", dl).join(F.broadcast(stats.select("avgdl")), how="cross")
     f, length = F.col("tf"), 1 - bm25.b + bm25.b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
     w = F.col("idf") * f * (bm25.k1 + 1) / (f + bm25.k1 * length)
     return rows.select(key, "term", "tf", w.alias("w")).where("w > 0")
