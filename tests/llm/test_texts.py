@@ -59,9 +59,11 @@ def plain_components(rows: list[tuple], percent: int = 80) -> dict:
     return {i: (max(map(len, sets[i])), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("heavy", [64, 2])
-def test_join_against_all_pairs(spark, awkward, heavy):
-    """With ``heavy=2`` every shared shingle is of the frequent class."""
+@pytest.mark.parametrize(("heavy", "crowd"), [(64, 64), (2, 64), (2, 2)])
+def test_join_against_all_pairs(spark, awkward, monkeypatch, heavy, crowd):
+    """With ``heavy=2`` every shared shingle is of the frequent class; with a crowd of 2 all is compared in blocks."""
+    monkeypatch.setattr(J, "CROWD", crowd)
+    monkeypatch.setattr(J, "GROUP", 1 << 17 if crowd > 2 else 300)
     rng = random.Random(heavy)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rng.choice(vocabulary) for _ in range(60)]

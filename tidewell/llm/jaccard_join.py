@@ -15,7 +15,8 @@ can miss e = floor((1 - t) n) of them in a partner:
 
 Documents that share an index entry are candidates. To find components it is enough to compare all
 documents of an entry with its most shared document first, and then only those that are still in
-different components; every comparison is of the whole sets, so no link between components is lost.
+different components: by pairs where an entry has few documents, by blocks of documents where it has
+many. Every comparison is of the whole sets, so no link between components is lost.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing; texts of
 fewer than five words are one shingle; long texts are used whole. Rows that repeat an id and a text
@@ -288,7 +289,68 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 
 #: Shingles of the documents of a cluster that are compared in one group, of either side.
-GROUP = 1 << 18
+GROUP = 1 << 17
+#: Documents from which an index entry is compared by blocks and not by pairs.
+CROWD = 64
+
+
+def _packer(spec: JoinSpec):
+    @F.arrow_udf("binary")
+    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for texts in parts:
+            yield pa.array([shingles(words_of(x), hashes, spec.words).tobytes() for x in texts.to_pylist()], pa.binary())
+
+    return packed
+
+
+def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the documents that ask with all others of another component, one for each component."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["s"]]
+    size = np.array([len(x) for x in sets])
+    if not size.all():
+        group, sets, size = group[size > 0], [x for x in sets if len(x)], size[size > 0]
+    doc, comp = group["doc"].to_numpy(), group["comp"].to_numpy()
+    found: list[tuple[int, int]] = []
+    if len(sets):
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, mark = np.concatenate([[0], np.cumsum(size)[:-1]]), np.zeros(len(names), dtype=np.int32)
+        for k in np.flatnonzero(group["ask"].to_numpy()).tolist():
+            own = at[starts[k] : starts[k] + size[k]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[at], starts)
+            mark[own] = 0
+            hit = np.flatnonzero((comp != comp[k]) & (100 * common >= percent * (size[k] + size - common)))
+            found += [(doc[k], doc[hit[i]]) for i in np.unique(comp[hit], return_index=True)[1]]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def crowd_links(crowd: DataFrame, docs: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Links between components among documents that share crowded entries: crowd (sig, doc, n, comp).
+
+    A cluster is what crowded entries join. Its largest component's documents need no comparison
+    with each other, so only the others ask: their blocks meet all blocks, no pair becomes a row, and
+    every pair of different components is compared.
+    """
+    hub = crowd.groupBy("sig").agg(F.min("doc").alias("b"))
+    clusters = components(crowd.join(hub, "sig").where("doc != b").select(F.col("doc").alias("a"), "b").distinct())
+    members = saved(crowd.groupBy("doc").agg(F.max("n").cast("long").alias("n"), F.min("comp").alias("comp")).join(clusters.select(F.col("node").alias("doc"), F.col("comp").alias("cluster")), "doc"))
+    parts = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("_k"))
+    top = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("_k", "comp")).alias("top"))
+    sided = members.join(top, "cluster").withColumn("ask", F.col("comp") != F.col("top"))
+    blocks = sided.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("ask"), F.col("n"))) / GROUP).alias("_u"), F.ceil(F.sum(F.when(~F.col("ask"), F.col("n"))) / GROUP).alias("_t")).where("_u > 0")
+    placed = sided.join(blocks, "cluster").withColumn("i", F.pmod(F.xxhash64("doc"), F.when(F.col("ask"), F.col("_u")).otherwise(F.col("_t"))))
+    others = F.explode(F.sequence(F.lit(0), F.col("_u") - 1)).alias("o")
+    asks = placed.where("ask").select("cluster", "doc", "comp", "ask", "i", "_t", others).select("cluster", "doc", "comp", "ask", F.least("i", "o").alias("x"), (-1 - F.greatest("i", "o")).alias("y"))
+    meets = placed.where("ask").select("cluster", "doc", "comp", "ask", F.col("i").alias("x"), F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("y"))
+    told = placed.where("not ask").select("cluster", "doc", "comp", "ask", others, "i").select("cluster", "doc", "comp", "ask", F.col("o").alias("x"), F.col("i").alias("y"))
+    need = saved(asks.unionByName(meets).unionByName(told))
+    wanted = F.broadcast(need) if need.count() <= spec.most_ids else need
+    sets = docs.join(wanted, docs["_id"] == wanted["doc"]).select("cluster", "x", "y", "doc", "comp", "ask", _packer(spec)("_text").alias("s"))
+    percent = spec.percent
+    found = saved(sets.groupBy("cluster", "x", "y").applyInPandas(lambda g: block_links(g, percent), "a long, b long"))
+    discard(members, need)
+    return found
 
 
 def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -308,12 +370,6 @@ def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec
     keyed = saved(pairs.join(one, "a").join(two, "b").select("comp", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"), "a", "b"))
     need = saved(keyed.select(*key, F.col("a").alias("doc")).unionByName(keyed.select(*key, F.col("b").alias("doc"))).distinct())
 
-    @F.arrow_udf("binary")
-    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for texts in parts:
-            yield pa.array([shingles(words_of(x), hashes, spec.words).tobytes() for x in texts.to_pylist()], pa.binary())
-
     def check(sets: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, list[np.ndarray]] = {}
         for doc, s in zip(sets["doc"], sets["s"], strict=True):
@@ -332,7 +388,7 @@ def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     asked = F.broadcast(need) if need.count() <= spec.most_ids else need
-    sets = docs.join(asked, docs["_id"] == asked["doc"]).select(*key, "doc", packed("_text").alias("s"))
+    sets = docs.join(asked, docs["_id"] == asked["doc"]).select(*key, "doc", _packer(spec)("_text").alias("s"))
     found = saved(sets.groupBy(*key).cogroup(keyed.groupBy(*key)).applyInPandas(check, "a long, b long"))
     discard(pairs, placed, keyed, need)
     return found
@@ -357,13 +413,16 @@ def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     first = saved(first)
     found = compared(first, docs, sizes, spec)
     labels = components(found)
-    labelled = entries.join(labels, entries["doc"] == labels["node"], "left").select("sig", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
+    labelled = entries.join(labels, entries["doc"] == labels["node"], "left").select("sig", "doc", "n", "m", F.coalesce("comp", "doc").alias("comp"))
     open_ = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("sig")
     labelled = saved(labelled.join(open_, "sig", "left_semi"))
-    other = labelled.select("sig", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
-    second = labelled.join(other, "sig").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _sizes_fit("n", "bn", spec.percent)).select(F.col("doc").alias("a"), "b").distinct()
+    crowd = labelled.where(F.col("m") >= CROWD)
+    few = labelled.where(F.col("m") < CROWD)
+    other = few.select("sig", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
+    second = few.join(other, "sig").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _sizes_fit("n", "bn", spec.percent)).select(F.col("doc").alias("a"), "b").distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    return found.unionByName(compared(second, docs, sizes, spec)), sizes.select("doc", "n")
+    more = compared(second, docs, sizes, spec).unionByName(crowd_links(crowd, docs, spec))
+    return found.unionByName(more), sizes.select("doc", "n")
 
 
 def _without(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
