@@ -101,8 +101,8 @@ def frequent_entries(heavy: np.ndarray, n: int, rare: int, percent: int) -> np.n
 
 
 def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-        yield doc, shingles(words_of(text), hashes, k)
+    for doc, text in zip(batch.column("_id"), batch.column("_text"), strict=True):
+        yield doc.as_py(), shingles(words_of(text.as_py()), hashes, k)
 
 
 CHUNK = 1_000_000
@@ -299,7 +299,8 @@ def _packer(spec: JoinSpec):
     def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for texts in parts:
-            yield pa.array([shingles(words_of(x), hashes, spec.words).tobytes() for x in texts.to_pylist()], pa.binary())
+            for k in range(0, len(texts), 256):
+                yield pa.array([shingles(words_of(x.as_py()), hashes, spec.words).tobytes() for x in texts[k : k + 256]], pa.binary())
 
     return packed
 
