@@ -299,12 +299,13 @@ def fusion_weighted(spark, sf):
 
 @query()
 def hybrid_search(spark, sf):
-    """Both routes of the default request for the benchmark's items, fused, with the hits' rows."""
+    """Both routes of the default request for the benchmark's items, fused, with the hits' rows; documents
+    without a vector are found by the sparse route."""
     vocab, stats, postings = bm25_tables(spark, sf)
-    rows = corpus(spark, sf).join(vectors(spark, sf).select("pk", F.col("embedding").alias("summary_dense")), "pk")
+    rows = corpus(spark, sf).join(vectors(spark, sf).select("pk", F.col("embedding").alias("summary_dense")), "pk", "left")
     ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
-    hits = search.hybrid(asked, rows, postings.join(rows.select("pk"), "pk", "left_semi"), query_weights(spark, sf, vocab, stats), spec.default_search())
+    hits = search.hybrid(asked, rows, postings, query_weights(spark, sf, vocab, stats), spec.default_search())
     return search.source_cards(hits)
 
 

@@ -28,8 +28,9 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, vector: str, metric: str
     """(query_id, pk, score) of every query (query_id, q) against every row of the corpus.
 
     The stated query set is sent to the corpus in blocks of bounded size; the corpus does not move.
+    Rows without a vector have no score.
     """
-    rows = corpus.select("pk", F.col(vector).alias("_v"))
+    rows = corpus.select("pk", F.col(vector).alias("_v")).where(F.col("_v").isNotNull())
     if metric == "COSINE":  # lengths once a row and not once a pair
         rows = rows.withColumn("_n", norm(F.col("_v")))
         queries = queries.withColumn("_qn", norm(F.col("q")))
