@@ -31,12 +31,16 @@ SKIPPED = {"script", "style", "noscript", "template", "title", "textarea", "ifra
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements that hold no main text.
-OUTER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label", "legend", "datalist", "output"}
+OUTER = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset", "label", "legend", "datalist", "output"}
 OUTER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 OUTER_NAME = re.compile(r"^(?:ads?|adverts?|advert\w*|adsense|sponsor\w*|promos?|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|footers?|foot|headers?|masthead|topbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|widgets?|toolbars?|pagination|pager|login|search|copyright|legal|disclaimer|hidden|teasers?)$")
 INNER_NAME = re.compile(r"^(?:article|content|post|entry|story|main|body|text|prose|maincontent)$")
+#: Those of them that hold texts in articles of their own.
+LISTED_NAME = re.compile(r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|teasers?)$")
 STATE = {"has", "with", "no", "is", "without", "js", "not"}
+#: What a name that speaks against a text costs.
+DOUBT = 100
 
 
 @dataclass
@@ -49,6 +53,8 @@ class Block:
     outer: bool
     inner: bool
     named: bool
+    #: Elements around it that only their names, or a form, speak against.
+    doubts: int
 
 
 def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
@@ -67,11 +73,19 @@ def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
     return names, role, hidden
 
 
+def _against(name: list[str], inner: bool) -> str:
+    """The part of a name that speaks against an element: its first or last before a word of state."""
+    name = name[: next((i for i, x in enumerate(name) if x in STATE), len(name))]
+    found = [x for x in (name[:1] + name[-1:]) if OUTER_NAME.match(x)]
+    # the header of an article or entry is its own
+    return "" if not found or found[-1] in ("header", "headers") and (inner or INNER_NAME.match(name[0])) else found[-1]
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; those of skipped elements are left out."""
     out: list[Block] = []
-    # an open element: tag, number, outer, inner, named as content
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # an open element: tag, number, outer, inner, named as content, doubts, those that an article does not end
+    stack: list[tuple[str, int, bool, bool, bool, int, int]] = [("", 0, False, False, False, 0, 0)]
     parts: list[str] = []
     shown = linked = 0
     in_link, number, at = False, 0, 0
@@ -80,9 +94,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal shown, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            tag, own, outer, inner, named = stack[-1]
+            tag, own, outer, inner, named, doubts, _ = stack[-1]
             box = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "pre", "blockquote") else own
-            out.append(Block(text, tag, box, len(stack), linked / max(shown, 1), outer, inner, named))
+            out.append(Block(text, tag, box, len(stack), linked / max(shown, 1), outer, inner, named, doubts))
         parts.clear()
         shown = linked = 0
 
@@ -129,20 +143,25 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         number += 1
-        outer, inner, named = stack[-1][2:]
+        outer, inner, named, doubts, listed = stack[-1][2:]
         names, role, hidden = _names(m[3] or m[6] or "")
-        whole = tag in ("html", "body", "main", "article")
-        outer |= tag in OUTER or tag == "header" and not inner or role in OUTER_ROLES or hidden
-        outer |= any(x[0] not in STATE and (OUTER_NAME.match(x[0]) if whole else any(map(OUTER_NAME.match, x))) for x in names) and tag not in ("html", "body")
-        inner |= tag in ("article", "main") or role in ("main", "article")
-        named |= not whole and any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names)
-        stack.append((tag, number, outer, inner, named))
+        whole = tag in ("article", "main") or role in ("main", "article")
+        outer |= tag in OUTER or tag == "header" and not inner or role in OUTER_ROLES - {"form"} or hidden
+        if whole:
+            doubts, inner = listed, True
+        against = [] if tag in ("html", "body") else [x for x in (_against(n[:1] if whole else n, inner) for n in names) if x]
+        if against or tag == "form" or role == "form":
+            # what speaks for an element around it does not speak for this one
+            doubts, inner, named = doubts + 1, whole, False
+            listed += any(map(LISTED_NAME.match, against))
+        named |= not whole and tag not in ("html", "body") and not against and any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names)
+        stack.append((tag, number, outer, inner, named, doubts, listed))
     end_block()
     return out
 
 
 def score(block: Block) -> int:
-    """Positive: the cost of calling the block boilerplate; negative: of calling it content."""
+    """Positive: the cost of calling the block boilerplate; negative: of calling it content. Without doubts."""
     words = block.text.count(" ") + 1
     s = -40 + min(words, 50) * 1.5
     s += 15 * (block.text[-1] in ".!?…:\"'”»") - 100 * block.links
@@ -222,7 +241,14 @@ def label(blocks: list[Block], near: int = 15, same_box: int = 30) -> list[bool]
         if 0 <= before < i - 1:
             edges.append((before, i, same_box))
         last[b.container] = i
-    return minimum_cut([score(b) for b in blocks], [e for e in edges if e[2]])
+    scores = [score(b) for b in blocks]
+    # a doubt that nearly all of the page's likely text is under tells nothing
+    likely: dict[int, int] = {}
+    for b, s in zip(blocks, scores, strict=True):
+        likely[b.doubts] = likely.get(b.doubts, 0) + max(s, 0)
+    shared = sum(likely.values()) and next(k for k in sorted(likely) if 10 * sum(v for x, v in likely.items() if x <= k) >= sum(likely.values()))
+    scores = [s - DOUBT * max(0, b.doubts - shared) for b, s in zip(blocks, scores, strict=True)]
+    return minimum_cut(scores, [e for e in edges if e[2]])
 
 
 def main_text(page: str) -> str:
