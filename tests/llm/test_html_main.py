@@ -34,3 +34,16 @@ def test_names_still_speak_against(name):
     for around in ("article", "div class='content'"):
         assert main_text(f"<{around}>{BODY}<div class='{name}'><p>{LONG} {LONG} {LONG}</p><p>{OTHER}</p></div></{around.split()[0]}>") == TEXT
     assert main_text(f"<article>{BODY}</article><div class='comments'><article class='comment-body'><p>{LONG}</p></article></div>") == TEXT
+
+
+@pytest.mark.parametrize("mark", ["<svg class='i'/>", "<svg viewBox='0 0 1 1' />", "<math/>", *(f"<{tag} id='x'>" for tag in ("svg", "math", "object", "select", "video", "audio", "canvas", "template"))])
+def test_skipped_elements_without_an_end(mark):
+    assert main_text(f"<article><h1>The title{mark}</h1>{mark}<p>{LONG}</p>{mark}<p>{OTHER}</p></article>") == TEXT
+
+
+def test_skipped_elements_with_an_end():
+    icon = "<svg/>"
+    for tag in ("svg", "math", "object", "select", "video", "audio", "canvas", "template", "iframe", "script"):
+        assert main_text(f"<article><h1>The title</h1><p>{LONG}</p><{tag} a='/'>no text</{tag}><p>{OTHER}</p></article>") == TEXT
+    assert main_text(f"<article><h1>The title</h1>{icon}<p>{LONG}</p><svg><text>no</text></svg><p>{OTHER}</p></article>") == TEXT
+    assert main_text(f"<article><h1>The title</h1><p>{LONG}</p><p>{OTHER}</p><script>no</article>") == TEXT

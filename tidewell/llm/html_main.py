@@ -28,6 +28,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose text is never shown as text of the page.
 SKIPPED = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "head"}
+#: Those whose content is no markup: without an end they last to the end of the page.
+RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements that hold no main text.
@@ -89,6 +91,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     shown = linked = 0
     in_link, number, at = False, 0, 0
+    endless: set[str] = set()  # skipped elements that have no further end on the page
 
     def end_block() -> None:
         nonlocal shown, linked
@@ -122,10 +125,15 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in SKIPPED:
-            if not closing:
+            empty = tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+            if not closing and not empty and tag not in endless:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                if end or tag != "head":
-                    at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             parts.append(" ")
             continue
         end_block()
