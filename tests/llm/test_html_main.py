@@ -47,3 +47,34 @@ def test_skipped_elements_with_an_end():
         assert main_text(f"<article><h1>The title</h1><p>{LONG}</p><{tag} a='/'>no text</{tag}><p>{OTHER}</p></article>") == TEXT
     assert main_text(f"<article><h1>The title</h1>{icon}<p>{LONG}</p><svg><text>no</text></svg><p>{OTHER}</p></article>") == TEXT
     assert main_text(f"<article><h1>The title</h1><p>{LONG}</p><p>{OTHER}</p><script>no</article>") == TEXT
+
+
+LISTS = [
+    ("<ul><li>Two eggs</li><li>Some flour</li><li>Salt</li></ul>", "Two eggs\nSome flour\nSalt"),
+    ("<ol><li>One<li>Two<li>Three</ol>", "One\nTwo\nThree"),
+    ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1990</td><td>12</td></tr><tr><td>1991</td><td>15</td></tr></table>", "Year\nSum\n1990\n12\n1991\n15"),
+    ("<dl><dt>Term</dt><dd>Its meaning</dd><dt>Word</dt><dd>Another</dd></dl>", "Term\nIts meaning\nWord\nAnother"),
+    ("<ul><li>Fruit<ul><li>Apple</li><li>Pear</li></ul></li><li>Bread</li></ul>", "Fruit\nApple\nPear\nBread"),
+    (f"<ul>{'<li>Two words</li>' * 40}</ul>", "\n".join(["Two words"] * 40)),
+]
+
+
+@pytest.mark.parametrize(("part", "text"), LISTS)
+@pytest.mark.parametrize("around", ["<div class='post-content'>", "<div>", "<article>"])
+def test_lists_and_tables_follow_the_text_around_them(around, part, text):
+    links = "<ul><li><a>Home page</a></li><li><a>All news</a></li></ul>"
+    end = f"</{around[1:].split()[0].rstrip('>')}>"
+    assert main_text(f"<html><body>{links}{around}<p>{LONG}</p>{part}<p>{OTHER}</p>{end}{links}<footer>{part}<p>{LONG}</p></footer></body></html>") == f"{LONG}\n{text}\n{OTHER}"
+    assert main_text(f"<html><body>{around}<p>{LONG}</p><p>{OTHER}</p>{part}{end}<div class='menu'>{part}</div></body></html>") == f"{LONG}\n{OTHER}\n{text}"
+
+
+def test_lists_of_links_stay_out():
+    links = "<ul><li><a>Home page</a></li><li><a>All news</a></li></ul>"
+    assert main_text(f"<div class='content'><p>{LONG}</p><p>{OTHER}</p>{links}</div>") == f"{LONG}\n{OTHER}"
+
+
+def test_large_tables_and_lists():
+    rows = "".join(f"<tr><td>a</td><td>{LONG}</td></tr>" for _ in range(2000))
+    assert main_text(f"<table>{rows}</table>").count("\n") == 3999
+    items = f"<p>{LONG}</p><ul><li>a</li><li><a>b</a></li></ul>" * 1000
+    assert main_text(f"<ul><li>a</li></ul><div>{items}</div>").count(LONG) == 1000

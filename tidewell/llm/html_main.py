@@ -30,6 +30,8 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:
 SKIPPED = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "head"}
 #: Those whose content is no markup: without an end they last to the end of the page.
 RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
+#: Elements whose short parts are judged by their links and what is around the whole.
+GROUPS = {"ul", "ol", "dl", "table"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements that hold no main text.
@@ -57,6 +59,10 @@ class Block:
     named: bool
     #: Elements around it that only their names, or a form, speak against.
     doubts: int
+    #: The list or table around it (0: none), the element around that, and the characters.
+    group: int
+    holder: int
+    size: int
 
 
 def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
@@ -86,8 +92,9 @@ def _against(name: list[str], inner: bool) -> str:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; those of skipped elements are left out."""
     out: list[Block] = []
-    # an open element: tag, number, outer, inner, named as content, doubts, those that an article does not end
-    stack: list[tuple[str, int, bool, bool, bool, int, int]] = [("", 0, False, False, False, 0, 0)]
+    # an open element: tag, number, outer, inner, named as content, doubts, those that an article does not end,
+    # list or table, element around that
+    stack: list[tuple[str, int, bool, bool, bool, int, int, int, int]] = [("", 0, False, False, False, 0, 0, 0, 0)]
     parts: list[str] = []
     shown = linked = 0
     in_link, number, at = False, 0, 0
@@ -97,9 +104,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal shown, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            tag, own, outer, inner, named, doubts, _ = stack[-1]
+            tag, own, outer, inner, named, doubts, _, group, holder = stack[-1]
             box = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "pre", "blockquote") else own
-            out.append(Block(text, tag, box, len(stack), linked / max(shown, 1), outer, inner, named, doubts))
+            out.append(Block(text, tag, box, len(stack), linked / max(shown, 1), outer, inner, named, doubts, group, holder, shown))
         parts.clear()
         shown = linked = 0
 
@@ -151,19 +158,21 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         number += 1
-        outer, inner, named, doubts, listed = stack[-1][2:]
+        outer, inner, named, doubts, listed, group, holder = stack[-1][2:]
         names, role, hidden = _names(m[3] or m[6] or "")
         whole = tag in ("article", "main") or role in ("main", "article")
         outer |= tag in OUTER or tag == "header" and not inner or role in OUTER_ROLES - {"form"} or hidden
         if whole:
-            doubts, inner = listed, True
+            doubts, inner, group = listed, True, 0
         against = [] if tag in ("html", "body") else [x for x in (_against(n[:1] if whole else n, inner) for n in names) if x]
         if against or tag == "form" or role == "form":
             # what speaks for an element around it does not speak for this one
             doubts, inner, named = doubts + 1, whole, False
             listed += any(map(LISTED_NAME.match, against))
         named |= not whole and tag not in ("html", "body") and not against and any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names)
-        stack.append((tag, number, outer, inner, named, doubts, listed))
+        if tag in GROUPS:
+            group, holder = number, stack[-1][1]
+        stack.append((tag, number, outer, inner, named, doubts, listed, group, holder))
     end_block()
     return out
 
@@ -241,15 +250,38 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
 
 def label(blocks: list[Block], near: int = 15, same_box: int = 30) -> list[bool]:
     """True for content: the minimum cut over adjacency and DOM edges."""
-    edges, last = [], {}
+    # short parts of lists and tables speak against them by their links only
+    of_group: dict[int, list[float]] = {}
+    for b in blocks:
+        sums = of_group.setdefault(b.group, [0.0, 0.0])
+        sums[0] += b.links * b.size
+        sums[1] += b.size
+    linked = {k: min(1.0, 2 * x / max(n, 1)) if k else 1.0 for k, (x, n) in of_group.items()}
+    scores = []
+    for b in blocks:
+        s = score(b) + 400 * b.outer
+        if b.group and s < 0:
+            s = round(s * max(linked[b.group], min(1.0, 2 * b.links)))
+        scores.append(s - 400 * b.outer)
+    # a list or table holds together and to what stands before and after it, the less the more links it has
+    tie = {k: round(same_box * (1 - x)) for k, x in linked.items()}
+    edges, last, begun, ended = [], {}, set(), {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, same_box if blocks[i - 1].container == b.container else near // (1 + abs(blocks[i - 1].depth - b.depth))))
+            edge = same_box if blocks[i - 1].container == b.container else near // (1 + abs(blocks[i - 1].depth - b.depth))
+            edges.append((i - 1, i, max(edge, tie[b.group]) if blocks[i - 1].group == b.group else edge))
         before = last.get(b.container, -1)
         if 0 <= before < i - 1:
             edges.append((before, i, same_box))
+        if b.container in ended:
+            k = ended.pop(b.container)
+            edges.append((k, i, tie[blocks[k].group]))
+        if b.group:
+            if b.group not in begun and b.holder in last:
+                edges.append((last[b.holder], i, tie[b.group]))
+            begun.add(b.group)
+            ended[b.holder] = i
         last[b.container] = i
-    scores = [score(b) for b in blocks]
     # a doubt that nearly all of the page's likely text is under tells nothing
     likely: dict[int, int] = {}
     for b, s in zip(blocks, scores, strict=True):
