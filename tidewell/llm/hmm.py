@@ -3,10 +3,9 @@
 Tokens are words (A-Z lower-cased) and one end a text. Counts over all training tokens give the
 vocabulary: the ``emitted`` most frequent tokens are symbols of the model, all other words are
 symbols by a hash of their last three bytes, inside which a word has its smoothed relative
-frequency. A few rounds on a bounded sample of documents start the states; then every round is one
-pass over all training documents, cut into segments for the forward-backward recursion, whose
-expected counts are summed by task and then by block of symbols. Scoring is the scaled forward
-recursion over each whole text and is exact.
+frequency. Every round is one pass over all training documents, cut into segments for the
+forward-backward recursion, whose expected counts are summed by task and then by block of symbols.
+Scoring is the scaled forward recursion over each whole text and is exact.
 
 Null and empty texts are the end alone; long texts are scored whole. Rows that repeat are scored
 each; a null id counts as the empty text in ``learn``. Without training rows every probability is
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, saved, text_of, words_of
+from .common import saved, text_of, words_of
 
 END = b""
 
@@ -40,7 +39,7 @@ class HmmSpec:
     classes: int = 1 << 10
     #: Most frequent tokens sent to every task; the counts of all others are joined by a shuffle.
     known: int = 1 << 17
-    sample: int = 2_000
+    #: Rounds of training are these and ``rounds``.
     sample_rounds: int = 12
     rounds: int = 3
     segment: int = 256
@@ -284,10 +283,7 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     encoded = saved(encode(rows.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
     train = encoded.where("_learn").select("_row", "symbols")
     model = Hmm.begin(vocabulary.frequency, spec.states)
-    sample = saved(train.where(hashed_share("_row", spec.sample, train.count())).select("symbols").repartition(2))
-    for _ in range(spec.sample_rounds):
-        model, _ = baum_welch_round(sample, model, vocabulary.frequency, spec)
-    for _ in range(spec.rounds):
+    for _ in range(spec.sample_rounds + spec.rounds):
         model, _ = baum_welch_round(train, model, vocabulary.frequency, spec)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
