@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, discard, mix64, saved, text_of, words_of
 from .components import components
-from .exact_dedup import duplicate_table
+from .exact_dedup import _keyed, duplicate_table
 
 
 @dataclass(frozen=True)
@@ -436,9 +436,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].cast("long").alias("_id"), text_of(docs, text).alias("_text"))
     wordy = known.where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     table = duplicate_table(wordy, "_id", "_text", keep="min").where("group_size > 1")
-    copies = saved(table.where(F.col("_tw_id") != F.col("keep_id")).select(F.col("_tw_id").alias("node"), F.col("keep_id").alias("rep")).distinct())
-    found, sizes = links(_without(wordy, copies.select(F.col("node").alias("_lost")), spec.most_ids), spec)
-    labels = components(found)
+    copies = saved(table.where(F.col("_tw_id") != F.col("keep_id")).select(F.col("_tw_id").alias("node"), F.col("keep_id").alias("rep"), "_tw_sha").distinct())
+    several = saved(known.groupBy("_id").count().where("count > 1").select(F.col("_id").alias("own")))
+    if not several.count():
+        found, sizes = links(_without(wordy, copies.select(F.col("node").alias("_lost")), spec.most_ids), spec)
+        return _labelled(sizes, components(found), copies, doc_id)
+    # an id with several texts loses only the copied ones; its copies are links like others
+    alone = copies.join(several, copies["node"] == several["own"], "left_anti")
+    partly = copies.join(several, copies["node"] == several["own"], "left_semi")
+    kept = _without(wordy, alone.select(F.col("node").alias("_lost")), spec.most_ids)
+    gone = saved(partly.groupBy("node").agg(F.collect_set("_tw_sha").alias("_gone")))
+    small = gone.count() <= spec.most_ids
+    kept = _keyed(kept.join(F.broadcast(gone) if small else gone, kept["_id"] == gone["node"], "left"), "_id", "_text")
+    found, sizes = links(kept.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("_tw_sha"))).select("_id", "_text"), spec)
+    mixed = saved(partly.unionByName(alone.join(several, alone["rep"] == several["own"], "left_semi")).select("node", "rep").distinct())
+    labels = components(found.select("a", "b").unionByName(mixed.select(F.col("rep").alias("a"), F.col("node").alias("b"))))
+    ids = saved(mixed.select(F.col("node").alias("_mixed")).distinct())
+    every = _labelled(sizes, labels, copies.drop("_tw_sha").distinct(), doc_id).join(ids, F.col(doc_id) == F.col("_mixed"), "left_anti")
+    whole = shingle_counts(wordy.join(ids, wordy["_id"] == ids["_mixed"], "left_semi"), spec).groupBy("doc").agg(F.max("n").alias("n")).join(labels, F.col("doc") == labels["node"])
+    return every.unionByName(whole.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id")))
+
+
+def shingle_counts(docs: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(doc, n) of every row of ``docs`` (_id, _text) with words."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in it:
+            rows = [(doc, len(s)) for doc, s in _sets(batch, hashes, spec.words) if len(s)]
+            yield pa.record_batch({"doc": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64())})
+
+    return docs.select("_id", "_text").mapInArrow(count, "doc long, n long")
+
+
+def _labelled(sizes: DataFrame, labels: DataFrame, copies: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the documents of ``sizes`` and their copies."""
     own = saved(sizes.groupBy("doc").agg(F.max("n").cast("long").alias("n")).join(labels, F.col("doc") == labels["node"], "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp")))
     of_copies = copies.join(own, copies["rep"] == own["doc"]).select("node", "n", "comp")
     every = own.unionByName(of_copies.withColumnRenamed("node", "doc"))
