@@ -101,9 +101,11 @@ def test_minimum_cut_against_all_labellings():
     for _ in range(200):
         n = rng.randint(1, 7)
         scores = [rng.randint(-9, 9) for _ in range(n)]
-        edges = [(a, b, rng.randint(0, 6)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.5]
-        cost = lambda lab: sum(s for s, c in zip(scores, lab, strict=True) if s > 0 and not c) + sum(-s for s, c in zip(scores, lab, strict=True) if s < 0 and c) + sum(w for a, b, w in edges if lab[a] != lab[b])
-        assert cost(html_main.minimum_cut(scores, edges)) == min(map(cost, itertools.product([False, True], repeat=n)))
+        edges = [(a, b, rng.randint(0, 6), rng.randint(0, 6)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.5]
+        cost = lambda lab: sum(s for s, c in zip(scores, lab, strict=True) if s > 0 and not c) + sum(-s for s, c in zip(scores, lab, strict=True) if s < 0 and c) + sum((there if lab[a] else back) for a, b, there, back in edges if lab[a] != lab[b])
+        every = list(itertools.product([False, True], repeat=n))
+        best = [x for x in every if cost(x) == min(map(cost, every))]
+        assert tuple(html_main.minimum_cut(scores, edges)) == max(best, key=sum)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar">
@@ -118,7 +120,10 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 def test_pages(spark):
     long = "<div>" * 3000 + "<p>Text of some length that is good to read, it says. " * 3000
     rows = [(1, PAGE), (2, None), (3, ""), (4, "<p"), (5, "plain words only, no tags at all here."), (6, long), (6, long), (7, "<a>x</a>" * 50)]
-    got = [(r["page_id"], r["text"]) for r in html_main.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("n", F.lit(0))).collect()]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({"n": F.lit(0), "text": F.lit("own"), "words": F.lit("w")})
+    out = html_main.extract(pages)
+    assert out.columns == [*pages.columns, "_tw_text"] and html_main.extract(pages, into="text").columns == pages.columns
+    got = [(r["page_id"], r["_tw_text"]) for r in out.collect()]
     text = dict(got)
     assert text[1] == "The title\nA long paragraph of text here, with a & ref é and a link.\nShort.\nMore text that is real content."
     assert text[2] == text[3] == text[4] == text[7] == "" and len(got) == len(rows) and text[6].count("\n") == 2999

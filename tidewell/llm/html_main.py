@@ -1,23 +1,33 @@
 """Main text of HTML pages by minimum cut.
 
-A page is cut into text blocks. A block's classifier score (words, punctuation, link share, tag,
-the elements and class names around it) is its capacity from the content terminal or to the
-boilerplate terminal; neighbouring blocks, and blocks that follow each other in one container, are
-joined by smoothness edges, stronger where the DOM holds them together. The maximum flow's cut is
-the cheapest labelling, and the content side is the text.
+A page is cut into text blocks. A classifier of a block's own text (words, closing punctuation, link
+share, tag) gives its capacity from the content terminal or to the boilerplate terminal. Elements
+whose tag, role, names or links say what they hold are nodes too: their evidence, times the blocks
+below, is their capacity. Neighbouring blocks are joined by adjacency edges, a block and the
+nearest such element around it, and such elements inside one another, by DOM edges. The maximum
+flow's cut is the cheapest labelling, and the blocks on the content side are the text: a short
+paragraph stays with its article, a fluent sentence goes with the advert that it is in.
+
+The classifier is a logistic regression over all blocks whose markup leaves no doubt (in an article
+without a contrary sign, or in navigation and the like), counted over all pages by cell of feature
+values, of which there are at most ``CELLS``. Counts are scaled to one weight, so that fixed prior
+weights, which alone decide where no page has such blocks, matter the same at every size.
 
 Null and empty pages, and pages without a content block, give the empty text. Pages are parsed
 whole in one pass; broken markup is read as browsers do, near enough: unknown ends are dropped, open
-elements end with the page. Repeated rows get equal texts. Other columns pass through.
+elements end with the page. Repeated rows get equal texts; an empty table gives an empty result.
+Other columns pass through, whatever their names; one named as ``into`` is replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
-from dataclasses import dataclass
+from collections import Counter, deque
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +46,41 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements that hold no main text.
 OUTER = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset", "label", "legend", "datalist", "output"}
-OUTER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
+OUTER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+IN_BOX = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "pre", "blockquote"}
 OUTER_NAME = re.compile(r"^(?:ads?|adverts?|advert\w*|adsense|sponsor\w*|promos?|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|footers?|foot|headers?|masthead|topbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|widgets?|toolbars?|pagination|pager|login|search|copyright|legal|disclaimer|hidden|teasers?)$")
 INNER_NAME = re.compile(r"^(?:article|content|post|entry|story|main|body|text|prose|maincontent)$")
 #: Those of them that hold texts in articles of their own.
 LISTED_NAME = re.compile(r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|teasers?)$")
 STATE = {"has", "with", "no", "is", "without", "js", "not"}
-#: What a name that speaks against a text costs.
-DOUBT = 100
+
+#: Features of a block: constant, words (50 at most) over 50, closing punctuation, link share, tag
+#: of a paragraph, of a list item, of a heading. The weights are the prior, in log odds.
+PRIOR = np.array([-4.0, 7.5, 1.5, -10.0, 2.0, -0.5, 1.0])
+CELLS = 50 * 2 * 11 * 4
+#: Weight of all counts together, and the prior's precision: what a text is like is learnt, what
+#: tags tell of it hardly, as pages of one make would teach their template's habits.
+WEIGHT, PRECISION = 200.0, np.array([0.44, 0.44, 0.44, 0.44, 50.0, 50.0, 50.0])
+#: Capacity of one unit of log odds, and the most that a block's own text counts.
+UNIT, MOST = 10, 50
+#: Capacity of the edge of a block to the element that holds it; the unit of elements' evidence.
+HOLD = 120
+#: Evidence of elements, in ``HOLD`` a block below: articles, tags and roles of no main text, names
+#: (and forms) against and for, lists of links.
+WHOLE, APART, AGAINST, FOR, LINKS = 3.0, -3.0, -2.5, 0.4, -2.5
+
+
+@dataclass
+class Element:
+    """An element with evidence: its like around it (-1: none), the evidence, and how many elements
+    around and itself are there that only names, or a form, speak against."""
+
+    parent: int
+    evidence: float
+    doubts: int
+    named: bool
+    blocks: int = 0
 
 
 @dataclass
@@ -54,17 +90,25 @@ class Block:
     container: int
     depth: int
     links: float
-    outer: bool
-    inner: bool
-    named: bool
-    #: Elements around it that only their names, or a form, speak against.
+    #: The nearest element with evidence (-1: none) and its count of doubts.
+    holder: int
     doubts: int
+    #: 1 or -1 where markup leaves no doubt.
+    sure: int
     #: The list or table around it (0: none), the element around that, and the characters.
     group: int
-    holder: int
+    around: int
     size: int
 
 
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+    #: list or table -> the element with evidence around it
+    groups: dict[int, int] = field(default_factory=dict)
+
+
 def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
     """Class and id names in parts, the role, and whether the element is hidden."""
     names, role, hidden = [], "", False
@@ -82,19 +126,39 @@ def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
 
 
 def _against(name: list[str], inner: bool) -> str:
-    """The part of a name that speaks against an element: its first or last before a word of state."""
+    """The part of a name that speaks against an element: its last before a word of state, or its first
+    unless a part after that speaks for it."""
     name = name[: next((i for i, x in enumerate(name) if x in STATE), len(name))]
-    found = [x for x in (name[:1] + name[-1:]) if OUTER_NAME.match(x)]
-    # the header of an article or entry is its own
-    return "" if not found or found[-1] in ("header", "headers") and (inner or INNER_NAME.match(name[0])) else found[-1]
+    if not name:
+        return ""
+    first, last = name[0], name[-1]
+    if OUTER_NAME.match(last):
+        # the header of an article or entry is its own
+        return "" if last in ("header", "headers") and (inner or INNER_NAME.match(first)) else last
+    told = OUTER_NAME.match(first) and (LISTED_NAME.match(first) or not any(map(INNER_NAME.match, name[1:])))
+    return first if told else ""
+
+
+@dataclass
+class _Open:
+    """An open element: what holds for the texts in it."""
+
+    tag: str
+    number: int = 0
+    holder: int = -1
+    outer: bool = False
+    inner: bool = False
+    doubts: int = 0
+    #: Doubts that an article does not end.
+    listed: int = 0
+    group: int = 0
+    around: int = 0
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order; those of skipped elements are left out."""
-    out: list[Block] = []
-    # an open element: tag, number, outer, inner, named as content, doubts, those that an article does not end,
-    # list or table, element around that
-    stack: list[tuple[str, int, bool, bool, bool, int, int, int, int]] = [("", 0, False, False, False, 0, 0, 0, 0)]
+def parsed(page: str) -> Page:
+    """The text blocks of a page in order, those of skipped elements left out, and the elements with evidence."""
+    out = Page()
+    stack = [_Open("")]
     parts: list[str] = []
     shown = linked = 0
     in_link, number, at = False, 0, 0
@@ -104,9 +168,10 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal shown, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            tag, own, outer, inner, named, doubts, _, group, holder = stack[-1]
-            box = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "pre", "blockquote") else own
-            out.append(Block(text, tag, box, len(stack), linked / max(shown, 1), outer, inner, named, doubts, group, holder, shown))
+            own = stack[-1]
+            box = stack[-2].number if len(stack) > 1 and own.tag in IN_BOX else own.number
+            sure = -1 if own.outer else int(own.inner and not own.doubts)
+            out.blocks.append(Block(text, own.tag, box, len(stack), linked / max(shown, 1), own.holder, own.doubts, sure, own.group, own.around, shown))
         parts.clear()
         shown = linked = 0
 
@@ -147,49 +212,92 @@ def blocks_of(page: str) -> list[Block]:
         in_link = False
         if closing:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
-        if tag in CLOSES_P and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] in (tag, "p", "dt", "dd"):
+        if tag in CLOSES_P and stack[-1].tag == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag in (tag, "p", "dt", "dd"):
             del stack[-1:]
-            if tag in ("li", "dt", "dd") and stack[-1][0] == tag:
+            if tag in ("li", "dt", "dd") and stack[-1].tag == tag:
                 del stack[-1:]
         if tag in VOID:
             continue
         number += 1
-        outer, inner, named, doubts, listed, group, holder = stack[-1][2:]
+        up = stack[-1]
+        own = _Open(tag, number, up.holder, up.outer, up.inner, up.doubts, up.listed, up.group, up.around)
         names, role, hidden = _names(m[3] or m[6] or "")
         whole = tag in ("article", "main") or role in ("main", "article")
-        outer |= tag in OUTER or tag == "header" and not inner or role in OUTER_ROLES - {"form"} or hidden
-        if whole:
-            doubts, inner, group = listed, True, 0
-        against = [] if tag in ("html", "body") else [x for x in (_against(n[:1] if whole else n, inner) for n in names) if x]
-        if against or tag == "form" or role == "form":
-            # what speaks for an element around it does not speak for this one
-            doubts, inner, named = doubts + 1, whole, False
-            listed += any(map(LISTED_NAME.match, against))
-        named |= not whole and tag not in ("html", "body") and not against and any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names)
+        evidence, named = 0.0, False
+        if tag not in ("html", "body"):
+            against = [x for x in (_against(n[:1] if whole else n, up.inner) for n in names) if x and (not whole or LISTED_NAME.match(x))]
+            if tag in OUTER or tag == "header" and not up.inner or role in OUTER_ROLES or hidden:
+                evidence, own.outer = APART, True
+            elif against or tag == "form" or role == "form":
+                evidence, named, own.inner = AGAINST, True, False
+                own.doubts += 1
+                own.listed += any(map(LISTED_NAME.match, against))
+            elif whole and not up.outer:
+                own.doubts, own.inner, own.group = up.listed, True, 0
+                evidence = 0.0 if up.listed else WHOLE
+            elif any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names):
+                evidence = FOR
+        if evidence:
+            out.elements.append(Element(up.holder, evidence, own.doubts, named))
+            own.holder = len(out.elements) - 1
         if tag in GROUPS:
-            group, holder = number, stack[-1][1]
-        stack.append((tag, number, outer, inner, named, doubts, listed, group, holder))
+            own.group, own.around = number, up.number
+            out.groups[number] = own.holder
+        stack.append(own)
     end_block()
     return out
 
 
-def score(block: Block) -> int:
-    """Positive: the cost of calling the block boilerplate; negative: of calling it content. Without doubts."""
-    words = block.text.count(" ") + 1
-    s = -40 + min(words, 50) * 1.5
-    s += 15 * (block.text[-1] in ".!?…:\"'”»") - 100 * block.links
-    s += {"p": 20, "pre": 20, "blockquote": 20, "li": -5}.get(block.tag, 10 if re.match(r"h[1-6]$", block.tag) else 0)
-    s += 60 * block.inner + 30 * block.named - 400 * block.outer
-    return round(s)
+def cell(block: Block) -> tuple[int, int, int, int]:
+    """The feature values of a block's text: words, closing punctuation, tenths of links, kind of tag."""
+    kind = 1 if block.tag in ("p", "pre", "blockquote") else 2 if block.tag == "li" else 3 if len(block.tag) == 2 and block.tag[0] == "h" and block.tag[1] in "123456" else 0
+    return min(block.text.count(" ") + 1, 50), int(block.text[-1] in ".!?…:\"'”»"), round(10 * min(block.links, 1.0)), kind
+
+
+def features(cells: np.ndarray) -> np.ndarray:
+    """One row of features for each row of ``cells``."""
+    words, closed, links, kind = np.asarray(cells, dtype=np.float64).reshape(-1, 4).T
+    return np.stack([np.ones_like(words), words / 50, closed, links / 10, kind == 1, kind == 2, kind == 3], 1)
+
+
+def fit(cells: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """Weights of the logistic regression over counted cells, drawn to the prior: Newton's method."""
+    w = PRIOR.copy()
+    total = float(yes.sum() + no.sum())
+    if not (yes.sum() and no.sum()):
+        return w
+    x, yes, no = features(cells), yes * (WEIGHT / total), no * (WEIGHT / total)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ ((yes + no) * p - yes) + PRECISION * (w - PRIOR)
+        bend = (x * ((yes + no) * p * (1 - p))[:, None]).T @ x + np.diag(PRECISION)
+        step = np.linalg.solve(bend, slope)
+        w -= step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+class Scores(dict):
+    """cell -> capacity: positive is the cost of calling a block with this text boilerplate, negative
+    that of calling it content."""
+
+    def __init__(self, weights: np.ndarray = PRIOR):
+        self.weights = weights
 
+    def __missing__(self, key: tuple[int, int, int, int]) -> int:
+        value = self[key] = max(-MOST, min(MOST, round(UNIT * float((features(np.array(key)) @ self.weights)[0]))))
+        return value
 
-def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source: the scores are terminal capacities (source if positive,
-    sink if negative), edges (a, b, capacity) hold both ways. Dinic's maximum flow."""
+
+def minimum_cut(scores: list[int], edges: list[tuple[int, int, int, int]]) -> list[bool]:
+    """Which nodes stay with the source: the scores are terminal capacities (source if positive, sink
+    if negative); an edge (a, b, there, back) costs ``there`` if only a stays, ``back`` if only b
+    does. Dinic's maximum flow; of equally cheap cuts the one where most nodes stay."""
     n = len(scores)
     source, sink = n, n + 1
     to: list[int] = []
@@ -209,8 +317,8 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
             join(source, v, s, 0)
         elif s < 0:
             join(v, sink, -s, 0)
-    for a, b, c in edges:
-        join(a, b, c, c)
+    for edge in edges:
+        join(*edge)
     while True:
         level = [-1] * (n + 2)
         level[source], queue = 0, deque([source])
@@ -221,7 +329,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
                     level[to[e]] = level[v] + 1
                     queue.append(to[e])
         if level[sink] < 0:
-            return [x >= 0 for x in level[:n]]
+            break
         nxt, path, v = [0] * (n + 2), [], source
         while True:
             if v == sink:
@@ -246,10 +354,21 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
                 e = path.pop()
                 v = to[e ^ 1]
                 nxt[v] += 1
+    # all stay but those from which the sink can still be reached
+    lost, queue = [False] * (n + 2), deque([sink])
+    lost[sink] = True
+    while queue:
+        v = queue.popleft()
+        for e in out[v]:
+            if left[e ^ 1] and not lost[to[e]]:
+                lost[to[e]] = True
+                queue.append(to[e])
+    return [not x for x in lost[:n]]
 
 
-def label(blocks: list[Block], near: int = 15, same_box: int = 30) -> list[bool]:
-    """True for content: the minimum cut over adjacency and DOM edges."""
+def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 30) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """(capacities of the blocks and then of the elements, edges) of a page."""
+    blocks = page.blocks
     # short parts of lists and tables speak against them by their links only
     of_group: dict[int, list[float]] = {}
     for b in blocks:
@@ -259,48 +378,99 @@ def label(blocks: list[Block], near: int = 15, same_box: int = 30) -> list[bool]
     linked = {k: min(1.0, 2 * x / max(n, 1)) if k else 1.0 for k, (x, n) in of_group.items()}
     scores = []
     for b in blocks:
-        s = score(b) + 400 * b.outer
-        if b.group and s < 0:
-            s = round(s * max(linked[b.group], min(1.0, 2 * b.links)))
-        scores.append(s - 400 * b.outer)
+        s = of_text[cell(b)]
+        scores.append(round(s * max(linked[b.group], min(1.0, 2 * b.links))) if b.group and s < 0 else s)
+    edges: list[tuple[int, int, int, int]] = []
     # a list or table holds together and to what stands before and after it, the less the more links it has
     tie = {k: round(same_box * (1 - x)) for k, x in linked.items()}
-    edges, last, begun, ended = [], {}, set(), {}
+    last: dict[int, int] = {}
+    begun: set[int] = set()
+    ended: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
             edge = same_box if blocks[i - 1].container == b.container else near // (1 + abs(blocks[i - 1].depth - b.depth))
-            edges.append((i - 1, i, max(edge, tie[b.group]) if blocks[i - 1].group == b.group else edge))
+            edge = max(edge, tie[b.group]) if blocks[i - 1].group == b.group else edge
+            edges.append((i - 1, i, edge, edge))
         before = last.get(b.container, -1)
         if 0 <= before < i - 1:
-            edges.append((before, i, same_box))
+            edges.append((before, i, same_box, same_box))
         if b.container in ended:
             k = ended.pop(b.container)
-            edges.append((k, i, tie[blocks[k].group]))
+            edges.append((k, i, tie[blocks[k].group], tie[blocks[k].group]))
         if b.group:
-            if b.group not in begun and b.holder in last:
-                edges.append((last[b.holder], i, tie[b.group]))
+            if b.group not in begun and b.around in last:
+                edges.append((last[b.around], i, tie[b.group], tie[b.group]))
             begun.add(b.group)
-            ended[b.holder] = i
+            ended[b.around] = i
         last[b.container] = i
     # a doubt that nearly all of the page's likely text is under tells nothing
-    likely: dict[int, int] = {}
+    likely: Counter[int] = Counter()
     for b, s in zip(blocks, scores, strict=True):
-        likely[b.doubts] = likely.get(b.doubts, 0) + max(s, 0)
-    shared = sum(likely.values()) and next(k for k in sorted(likely) if 10 * sum(v for x, v in likely.items() if x <= k) >= sum(likely.values()))
-    scores = [s - DOUBT * max(0, b.doubts - shared) for b, s in zip(blocks, scores, strict=True)]
-    return minimum_cut(scores, [e for e in edges if e[2]])
+        likely[b.doubts] += max(s, 0)
+    shared = likely.total() and next(k for k in sorted(likely) if 10 * sum(v for x, v in likely.items() if x <= k) >= likely.total())
+    # lists of links are elements with evidence of their own
+    elements, of_list = list(page.elements), {}
+    for k, x in linked.items():
+        share = of_group[k][0] / max(of_group[k][1], 1)
+        if k and share > 0.5:
+            of_list[k] = len(elements)
+            elements.append(Element(page.groups[k], LINKS, 0, False))
+    count = [0] * len(elements)
+    for i, b in enumerate(blocks):
+        e = of_list.get(b.group, b.holder)
+        if e >= 0:
+            count[e] += 1
+            hold = round(HOLD * (1 - 0.75 * b.links)) if elements[e].evidence > 0 else HOLD
+            edges.append((i, len(blocks) + e, HOLD, hold))
+    for e in [*of_list.values(), *range(len(page.elements) - 1, -1, -1)]:  # from the inside out
+        up = elements[e].parent
+        if up >= 0:
+            count[up] += count[e]
+    for e, element in enumerate(elements):
+        void = element.named and element.doubts <= shared
+        scores.append(0 if void else round(element.evidence * HOLD * count[e]))
+        if element.parent >= 0 and count[e]:
+            # text inside what is apart from the text is rarer than a part of an article that is none
+            whole = HOLD * count[e]
+            edges.append((len(blocks) + e, len(blocks) + element.parent, whole, whole if void or element.evidence > 0 else whole // 5))
+    return scores, [x for x in edges if x[2] or x[3]]
+
+
+def label(page: Page, of_text: Scores | None = None) -> list[bool]:
+    """True for the blocks on the content side of the minimum cut."""
+    scores, edges = network(page, of_text if of_text is not None else Scores())
+    return minimum_cut(scores, edges)[: len(page.blocks)]
+
+
+def main_text(page: str, of_text: Scores | None = None) -> str:
+    found = parsed(page)
+    return "\n".join(b.text for b, content in zip(found.blocks, label(found, of_text), strict=True) if content)
+
+
+def trained(pages: DataFrame, html: str = "html") -> np.ndarray:
+    """The classifier's weights from all blocks of all pages that markup decides beyond doubt."""
 
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple] = Counter()
+        for batch in it:
+            for page in batch.column(0):
+                n.update((*cell(b), b.sure) for b in parsed(page.as_py()).blocks if b.sure)
+        yield pa.RecordBatch.from_pydict({name: pa.array([key[i] for key in n], pa.int32()) for i, name in enumerate(("words", "closed", "links", "kind", "sure"))} | {"n": pa.array(list(n.values()), pa.int64())})
 
-def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    return "\n".join(b.text for b, content in zip(blocks, label(blocks), strict=True) if content)
+    key = ["words", "closed", "links", "kind"]
+    counted = pages.select(text_of(pages, html).alias("_tw_html")).mapInArrow(count, "words int, closed int, links int, kind int, sure int, n long")
+    rows = counted.groupBy(*key).agg(F.sum(F.when(F.col("sure") > 0, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("sure") < 0, F.col("n")).otherwise(0)).alias("no")).orderBy(*key).collect()
+    return fit(np.array([[r[k] for k in key] for r in rows]), np.array([r["yes"] for r in rows], dtype=np.float64), np.array([r["no"] for r in rows], dtype=np.float64))
 
 
-def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """``pages`` with the main text of each page in ``into``."""
+def extract(pages: DataFrame, html: str = "html", into: str = "_tw_text") -> DataFrame:
+    """``pages`` with the main text of each page in ``into``; the classifier is fitted on these pages."""
+    weights = trained(pages, html)
 
     @F.arrow_udf("string")
-    def main(column: pa.Array) -> pa.Array:
-        return pa.array([main_text(x or "") for x in column.to_pylist()], pa.string())
+    def main(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of_text = Scores(weights)
+        for column in parts:
+            yield pa.array([main_text(x.as_py() or "", of_text) for x in column], pa.string())
 
     return pages.withColumn(into, main(text_of(pages, html)))

@@ -86,7 +86,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return pages.select("page_id", "url", F.col("_tw_text").alias("text"), F.length("_tw_text").cast("long").alias("n_chars"))
 
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
