@@ -26,20 +26,41 @@ def test_duplicates(spark, awkward, nothing):
     for most in (1 << 28, 1 << 14):  # one filter, and four slices
         got = D.duplicate_table(awkward, most_bits=most).collect()
         assert sorted((str(r["_tw_id"]), str(r["keep_id"]), r["group_size"]) for r in got) == want
-    kept = D.exact_dedup(awkward)
-    assert kept.columns == awkward.columns and kept.count() == len(groups)
-    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(groups)
+        kept = D.exact_dedup(awkward, most_bits=most)
+        assert kept.columns == awkward.columns and kept.count() == len(groups)
+        assert sorted(r["text"] or "" for r in kept.collect()) == sorted(groups)
     assert D.exact_dedup(nothing).count() == 0 and D.duplicate_table(nothing).count() == 0
 
 
 def test_filter_has_no_misses(spark):
-    h = spark.range(3000).select(F.xxhash64(F.col("id") % 2500).alias("_tw_h"))
-    maybe = D.repeated_filter(h, 3000, 1 << 28)
-    counted = h.withColumn("m", maybe(F.col("_tw_h"))).groupBy("_tw_h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))
+    h = spark.range(3000).select(F.xxhash64(F.col("id") % 2500).alias("h"))
+    maybe, _ = D.repeated_filter(h, D.slicing(3000, 1 << 28)[0])
+    counted = h.withColumn("m", maybe(F.col("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))
     assert counted.where("n > 1 and not m").count() == 0
     assert counted.where("n = 1 and m").count() < 200
 
 
+def test_filter_holds_one_slice_at_a_time(spark, monkeypatch):
+    """Sixteen slices: every table has an eighth of a KB, and at most one is alive when the next is made."""
+    keyed = D.saved(spark.range(4000).select(F.col("id").alias("_tw_id"), F.sha2((F.col("id") % 3500).cast("string"), 256).alias("_tw_sha")).withColumn("_tw_h", F.xxhash64("_tw_sha")))
+    alive, most, sizes, make = set(), [0], [], D.repeated_filter
+
+    def watched(hashes, bits):
+        maybe, table = make(hashes, bits)
+        sizes.append(table.value.nbytes)
+        alive.add(id(table))
+        most[0] = max(most[0], len(alive))
+        end = table.destroy
+        table.destroy = lambda *a: (alive.discard(id(table)), end(*a))
+        return maybe, table
+
+    monkeypatch.setattr(D, "repeated_filter", watched)
+    got = D.flagged(keyed, 4000, 1 << 12)
+    assert most[0] == 1 and not alive and len(sizes) == 16 and set(sizes) == {(1 << 12) // 8}
+    n = got.groupBy("_tw_sha").agg(F.count(F.lit(1)).alias("n"), F.min("_tw_maybe").alias("m"))
+    assert got.count() == 4000 and n.where("n > 1 and not m").count() == 0 and n.where("n = 1 and m").count() < 300
+
+
 def plain_components(rows: list[tuple], percent: int = 80) -> dict:
     sets = {}
     for i, text in rows:

@@ -8,6 +8,7 @@ import hashlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,21 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def saved_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """The union of one or more tables, each made and written before the next is asked for."""
+    path = schema = spark = None
+    for df in parts:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
+            atexit.register(_remove, spark, path)
+        df.write.mode("append").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
 _paths: dict[int, str] = {}
 
 

@@ -6,9 +6,10 @@ at least twice over all rows. Pass two: a row whose bits are not all among them
 other row has, and passes straight through; only the others shuffle, to be grouped by the SHA-256
 of the text. False positives cost a shuffle of that row and nothing else.
 
-The bit table has ``BITS_PER_ROW`` bits a row up to ``most_bits``, which bounds what is broadcast;
-beyond that the hash space is cut into slices and each slice has its own table and pass over the
-(id, hash) table.
+The bit table has ``BITS_PER_ROW`` bits a row up to ``most_bits``, which bounds what is broadcast and
+what a Python worker holds. Beyond that the hash space is cut into slices, which are taken one after
+the other: a slice's table is built, its rows of the (id, hash) table are flagged and written, and the
+table is given up before the next. The (id, hash) table is read twice a slice, the texts are not.
 
 Null text counts as empty; very long texts only move as hashes; the text is not changed before
 comparison. Equal texts: the row with the largest id stays, a null id below all others. Rows that
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, text_of
+from .common import mix64, saved, saved_parts, text_of
 
 BITS_PER_ROW = 16
 HASHES = 2
 BLOCK_BITS = 1 << 16
+#: A table of 256 MB, for 130 million rows.
+MOST_BITS = 1 << 31
 
 
 def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -86,8 +89,10 @@ def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _maybe_repeated(spark, table: np.ndarray, bits: int):
-    shared = spark.sparkContext.broadcast(table)
+def repeated_filter(hashes: DataFrame, bits: int):
+    """Pass one over the column ``h``: (a function of a hash column that is true for every hash that
+    occurs twice and false for nearly all others, the broadcast table that it needs)."""
+    shared = hashes.sparkSession.sparkContext.broadcast(repeated_bits(hashes, bits))
 
     @F.arrow_udf("boolean")
     def maybe(h: pa.Array) -> pa.Array:
@@ -97,7 +102,7 @@ def _maybe_repeated(spark, table: np.ndarray, bits: int):
             hit &= (table[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
         return pa.array(hit)
 
-    return maybe
+    return maybe, shared
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -105,27 +110,25 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("_tw_sha", F.sha2(text_of(docs, text), 256)).withColumn("_tw_h", F.xxhash64("_tw_sha"))
 
 
-def repeated_filter(hashes: DataFrame, rows: int, most_bits: int):
-    """Pass one over the column ``_tw_h``: a function of a hash column that is true for every hash
-    that occurs twice and false for nearly all others."""
+def slicing(rows: int, most_bits: int) -> tuple[int, int]:
+    """(bits of a slice's table, slices) for so many rows; both are powers of two."""
     bits = 1 << max(16, (max(rows, 1) * BITS_PER_ROW - 1).bit_length())
     slices = max(1, bits // most_bits)
-    bits //= slices
-    spark, own = hashes.sparkSession, lambda h: F.pmod(F.shiftright(h, 40), F.lit(slices))
-    tables = []
-    for i in range(slices):
-        part = hashes.select(F.col("_tw_h").alias("h"))
-        tables.append(_maybe_repeated(spark, repeated_bits(part if slices == 1 else part.where(own(F.col("h")) == i), bits), bits))
-    if slices == 1:
-        return tables[0]
+    return bits // slices, slices
+
 
-    def maybe(h):
-        found = F.lit(False)
-        for i, table in enumerate(tables):
-            found = F.when(own(h) == i, table(h)).otherwise(found)
-        return found
+def flagged(keyed: DataFrame, rows: int, most_bits: int) -> DataFrame:
+    """``keyed`` with ``_tw_maybe`` in place of ``_tw_h``, written; one slice's table is held at a time."""
+    bits, slices = slicing(rows, most_bits)
 
-    return maybe
+    def parts() -> Iterator[DataFrame]:
+        for i in range(slices):
+            own = keyed if slices == 1 else keyed.where(F.pmod(F.shiftright("_tw_h", 40), F.lit(slices)) == i)
+            maybe, table = repeated_filter(own.select(F.col("_tw_h").alias("h")), bits)
+            yield own.withColumn("_tw_maybe", maybe(F.col("_tw_h"))).drop("_tw_h")
+            table.destroy()
+
+    return saved_parts(parts())
 
 
 def _groups(flagged: DataFrame, keep: str = "max") -> DataFrame:
@@ -133,16 +136,16 @@ def _groups(flagged: DataFrame, keep: str = "max") -> DataFrame:
     return saved(flagged.groupBy("_tw_sha").agg(first.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
 
 
-def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28, keep: str = "max") -> DataFrame:
+def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, keep: str = "max") -> DataFrame:
     """One row per document: ``_tw_id, _tw_sha, keep_id, group_size, _tw_passed``.
 
     ``_tw_passed`` marks rows that the filter let through without a shuffle.
     """
     keyed = saved(_keyed(docs, doc_id, text).select(docs[doc_id].alias("_tw_id"), "_tw_sha", "_tw_h"))
     rows = keyed.count()
-    flagged = saved(keyed.withColumn("_tw_maybe", repeated_filter(keyed, rows, most_bits)(F.col("_tw_h"))).drop("_tw_h"))
-    alone = flagged.where(~F.col("_tw_maybe")).select("_tw_id", "_tw_sha", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("_tw_passed"))
-    again = flagged.where("_tw_maybe").select("_tw_id", "_tw_sha")
+    every = flagged(keyed, rows, most_bits)
+    alone = every.where(~F.col("_tw_maybe")).select("_tw_id", "_tw_sha", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("_tw_passed"))
+    again = every.where("_tw_maybe").select("_tw_id", "_tw_sha")
     groups = _groups(again, keep)
     # at most a thousand groups can hold more than a thousandth of the rows each: those are
     # broadcast, so that no group's rows meet in one task
@@ -153,17 +156,29 @@ def duplicate_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return alone.unionByName(hot.select(*cols)).unionByName(rest.select(*cols))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = 1 << 28, keep: str = "max") -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, keep: str = "max", most_ids: int = 1 << 20) -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id has; columns as they were.
 
     With ``keep="min"`` the row with the smallest id stays instead (a null id if the group has one).
 
-    Rows that the filter clears never shuffle; of the others only the row that stays does.
+    Rows that the filter clears never shuffle; of the others only the row that stays does. Where the
+    filter has several slices, which no task can hold together, the rows that leave are found on the
+    (id, hash) table and taken out by their ids and hashes, broadcast up to ``most_ids`` of them.
     """
     keyed = saved(_keyed(docs, doc_id, text).select(docs[doc_id].alias("_tw_id"), "_tw_sha", "_tw_h"))
-    maybe = repeated_filter(keyed, keyed.count(), most_bits)
-    keepers = _groups(keyed.where(maybe(F.col("_tw_h"))), keep).select(F.col("_tw_sha").alias("_tw_s"), F.col("keep_id").alias("_tw_k"))
-    rows = _keyed(docs, doc_id, text).withColumn("_tw_maybe", maybe(F.col("_tw_h"))).drop("_tw_h")
+    n = keyed.count()
+    bits, slices = slicing(n, most_bits)
+    rows = _keyed(docs, doc_id, text)
+    if slices == 1:
+        maybe, _ = repeated_filter(keyed.select(F.col("_tw_h").alias("h")), bits)
+        again = keyed.where(maybe(F.col("_tw_h")))
+        rows = rows.withColumn("_tw_maybe", maybe(F.col("_tw_h")))
+    else:
+        again = flagged(keyed, n, most_bits).where("_tw_maybe")
+        hashes = again.select("_tw_sha").distinct()
+        hashes = F.broadcast(hashes) if hashes.count() <= most_ids else hashes
+        rows = rows.join(hashes.withColumn("_tw_maybe", F.lit(True)), "_tw_sha", "left").withColumn("_tw_maybe", F.col("_tw_maybe").isNotNull())
+    keepers = _groups(again, keep).select(F.col("_tw_sha").alias("_tw_s"), F.col("keep_id").alias("_tw_k"))
     through = rows.where(~F.col("_tw_maybe")).select(docs.columns)
-    again = rows.where("_tw_maybe").join(keepers, (F.col("_tw_sha") == F.col("_tw_s")) & F.col(doc_id).eqNullSafe(F.col("_tw_k")), "left_semi")
-    return through.unionByName(again.dropDuplicates(["_tw_sha", doc_id]).select(docs.columns))
+    stay = rows.where("_tw_maybe").join(keepers, (F.col("_tw_sha") == F.col("_tw_s")) & F.col(doc_id).eqNullSafe(F.col("_tw_k")), "left_semi")
+    return through.unionByName(stay.dropDuplicates(["_tw_sha", doc_id]).select(docs.columns))
