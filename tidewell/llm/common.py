@@ -14,16 +14,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the session names no spark.checkpoint.dir (tests only): one folder a process.
+#: Where a local session names no spark.checkpoint.dir: one folder a process.
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; where a local session names none, a temporary one. On a
+    cluster a setting is needed, as its machines share no temporary folder."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tidewell-")
     return _own_dir
