@@ -158,6 +158,23 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, []).where("_tw_verdict = 'allow'").count() == len(urls)
 
 
+def test_rows_of_a_long_url_are_short(spark):
+    url = "http://a.example/" + "zé漢x" * 10_000
+    rows = url_filter._windows(spark.createDataFrame([(b"k" * 16, url)], "_tw_key binary, _tw_url string"), 4)
+    got = rows.select(F.sum(F.length("gram")).alias("n"), F.count(F.lit(1)).alias("rows"), F.max(F.length("_tw_key"))).first()
+    assert tuple(got) == (5 * (len(url) + 1), len(url) + 1, 16) and rows.columns == ["_tw_key", "gram"]
+    padded = "\u0002" * 4 + url + "\u0003"
+    assert {r["gram"] for r in rows.distinct().collect()} == {padded[i : i + 5] for i in range(len(url) + 1)}
+
+
+def test_hot_and_cold_keys_are_joined_alike(spark):
+    left = spark.createDataFrame([("a", i) for i in range(5000)] + [(f"k{i}", i) for i in range(30)], "k string, v int")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).unionByName(spark.createDataFrame([("none", 0, 0)], "k string, n long, top int"))
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    for small in (True, False):
+        assert sorted(map(tuple, url_filter._by_size(left, right, "k", "n", 5030, small).collect())) == want
+
+
 def test_url_model_against_plain(spark):
     labelled = [("abab", True), ("abc", True), ("bbb", False), ("cab", False), ("ab", False)]
     order = 2
@@ -185,6 +202,8 @@ def test_url_model_against_plain(spark):
             g = p[i - order : i + 1]
             want[g] = math.log(chance(n[True], g)) - math.log(chance(n[False], g))
     seen = spark.createDataFrame(labelled, "_tw_url string, accepted boolean")
-    grams = url_filter._windows(spark.createDataFrame([(u,) for u in ask], "_tw_url string"), order).select("gram").distinct()
+    windows = url_filter._windows(spark.createDataFrame([(u, 1) for u in ask], "_tw_url string, own int"), order)
+    assert windows.columns == ["own", "gram"]
+    grams = windows.select("gram").distinct()
     got = {r["gram"]: r["ratio"] for r in url_filter.ratio_table(seen, grams, order).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[g], want[g], abs_tol=1e-9) for g in want)
