@@ -208,7 +208,7 @@ def test_language_model(spark, awkward, nothing):
 
 def test_round_raises_likelihood(spark, awkward):
     spec = hmm.HmmSpec(states=3, emitted=64, classes=16, known=128)
-    rows = awkward.select(F.coalesce("text", F.lit("")).alias("_text"))
+    rows = awkward.select(F.coalesce("text", F.lit("")).alias("_text"), F.lit(True).alias("_learn"))
     vocabulary = hmm.Vocabulary(hmm.count_tokens(rows, spec), spec)
     encoded = hmm.encode(rows, vocabulary).select("symbols").cache()
     model, last = hmm.Hmm.begin(vocabulary.frequency, 3), []

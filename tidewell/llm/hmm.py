@@ -1,15 +1,17 @@
 """LM scoring: a hidden Markov language model trained by Baum-Welch over Spark partitions.
 
 Tokens are words (A-Z lower-cased) and one end a text. Counts over all training tokens give the
-vocabulary: the ``emitted`` most frequent tokens are symbols of the model, all other words are
-symbols by a hash of their last three bytes, inside which a word has its smoothed relative
-frequency. Every round is one pass over all training documents, cut into segments for the
-forward-backward recursion, whose expected counts are summed by task and then by block of symbols.
-Scoring is the scaled forward recursion over each whole text and is exact.
+vocabulary: the most frequent tokens are symbols of the model, one for every ``types_a_symbol`` types
+(``emitted`` at least, ``known`` at most), all other words are symbols by a hash of their last three
+bytes, inside which a word has its smoothed relative frequency. Every round is one pass over all
+training documents, cut into segments for the forward-backward recursion. A task sends the expected
+counts of the symbols that it met; they are summed by block of symbols in a tree, so no group grows
+with the number of tasks. Scoring is the scaled forward recursion over each whole text and is exact.
 
 Null and empty texts are the end alone; long texts are scored whole. Rows that repeat are scored
 each; a null id counts as the empty text in ``learn``. Without training rows every probability is
-the smoothing's. An empty table gives an empty result.
+the smoothing's. An empty table gives an empty result. Only the id, the text and what ``learn`` reads
+are used, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ END = b""
 @dataclass(frozen=True)
 class HmmSpec:
     states: int = 8
-    #: Most frequent tokens with emission probabilities of their own; bounds what a task sums.
+    #: Symbols of their own: one for so many types, but so many at least, and ``known`` at most.
+    types_a_symbol: int = 16
     emitted: int = 1 << 15
     #: Classes of the other words.
     classes: int = 1 << 10
@@ -44,10 +48,9 @@ class HmmSpec:
     rounds: int = 3
     segment: int = 256
     add: float = 0.1
-
-    @property
-    def symbols(self) -> int:
-        return self.emitted + self.classes
+    #: Symbols in a block, and tasks whose sums meet in one group.
+    block: int = 1 << 12
+    fan: int = 64
 
 
 def word_class(word: bytes, spec: HmmSpec) -> int:
@@ -55,26 +58,29 @@ def word_class(word: bytes, spec: HmmSpec) -> int:
 
 
 def count_tokens(texts: DataFrame, spec: HmmSpec) -> DataFrame:
-    """(word binary, k class, c): counts of all tokens of the column ``_text``."""
+    """(word binary, k class, c, other): counts of all tokens of ``_text``, in rows that ``_learn`` chooses and in others."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[bytes] = Counter()
+        n: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def out():
-            words = list(n)
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "k": pa.array([word_class(w, spec) for w in words], pa.int32()), "c": pa.array([n[w] for w in words], pa.int64())})
+            words = list(n[0].keys() | n[1].keys())
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "k": pa.array([word_class(w, spec) for w in words], pa.int32()), "c": pa.array([n[1][w] for w in words], pa.int64()), "other": pa.array([n[0][w] for w in words], pa.int64())})
 
         for batch in it:
-            for text in batch.column(0).to_pylist():
-                n.update(words_of(text))
-                n[END] += 1
-                if len(n) > 400_000:
+            for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = n[bool(learn)]
+                own.update(words_of(text))
+                own[END] += 1
+                if len(n[0]) + len(n[1]) > 400_000:
                     yield out()
-                    n.clear()
-        if n:
+                    n[0].clear()
+                    n[1].clear()
+        if n[0] or n[1]:
             yield out()
 
-    return texts.select("_text").mapInArrow(count, "word binary, k int, c long").groupBy("word").agg(F.first("k").alias("k"), F.sum("c").alias("c"))
+    counted = texts.select("_text", "_learn").mapInArrow(count, "word binary, k int, c long, other long")
+    return counted.groupBy("word").agg(F.first("k").alias("k"), F.sum("c").alias("c"), F.sum("other").alias("other"))
 
 
 class Vocabulary:
@@ -82,49 +88,55 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame, spec: HmmSpec):
         self.spec = spec
+        learnt = counts.where("c > 0")
+        total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("other").alias("m")).first()
+        self.tokens, self.types = int(total["n"] or 0), int(total["v"])
         # eighths of powers of two: the largest that at most ``known`` tokens reach bounds what is collected
         step = F.floor(F.log2("c") * 8).cast("int")
         reach, least = 0, None
-        for r in sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        for r in sorted(learnt.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"]):
             reach += r["count"]
             if reach > spec.known:
                 break
             least = r["b"]
-        top = sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"]))) if least is not None else []
+        top = sorted(learnt.where(step >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"]))) if least is not None else []
+        # of the words that training hardly saw, those with a thousandth of the other rows' tokens go to
+        # every task too, so that no word is frequent in the join of the rest
+        often = F.col("other") > max(1000, (total["m"] or 0) // 1000)
+        seen = F.col("c") > 0 if least is not None else F.lit(False)
+        top += sorted(counts.where(often & ~(seen & (step >= (least or 0)))).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
         self.words = [bytes(r["word"]) for r in top]
         c = np.array([r["c"] for r in top], dtype=np.float64)
         k = np.array([r["k"] for r in top], dtype=np.int64)
-        total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-        self.tokens, self.types = int(total["n"] or 0), int(total["v"])
+        self.known = c > 0
         in_class = np.zeros((2, spec.classes))
-        for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        for r in learnt.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
             in_class[:, r["k"]] = r["n"], r["v"]
-        own = min(spec.emitted, len(top))
+        #: Words that are symbols; classes come after them.
+        self.emitted = own = min(max(spec.emitted, self.types // spec.types_a_symbol), int(self.known.sum()))
         np.subtract.at(in_class[0], k[:own], c[:own])
         np.subtract.at(in_class[1], k[:own], 1)
         self.class_mass = in_class[0] + spec.add * (in_class[1] + 1)
-        self.symbol = np.where(np.arange(len(top)) < own, np.arange(len(top)), spec.emitted + k).astype(np.int32)
+        self.symbol = np.where(np.arange(len(top)) < own, np.arange(len(top)), own + k).astype(np.int32)
         self.log_count = np.log10(c + spec.add)
         #: log10 of a word's probability within its class; 0 for symbols of their own
         self.inside = np.where(np.arange(len(top)) < own, 0.0, self.log_count - np.log10(self.class_mass[k]))
-        weight = np.zeros(spec.symbols)
-        weight[:own] = c[:own]
-        weight[spec.emitted :] = in_class[0]
-        self.frequency = np.where(np.concatenate([np.arange(spec.emitted) < own, np.ones(spec.classes, bool)]), weight + spec.add, 0.0)
+        self.frequency = np.concatenate([c[:own], in_class[0]]) + spec.add
         self.frequency /= self.frequency.sum()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``docs`` (_row, _learn, _text ...) with ``symbols`` (packed int32), sums over the words sent to
-    every task, and the other words with their classes; without ``_text``."""
-    spec, shared = vocabulary.spec, docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.symbol, vocabulary.log_count, vocabulary.inside))
-    kind = "struct<symbols: binary, n: bigint, n_common: bigint, log_count: double, inside: double, rare: array<struct<word: binary, k: int>>>"
+    every task, and the other words with their classes and numbers; without ``_text``."""
+    spec, own_symbols = vocabulary.spec, vocabulary.emitted
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.symbol, vocabulary.log_count, vocabulary.inside, vocabulary.known))
+    kind = "struct<symbols: binary, n: bigint, n_common: bigint, log_count: double, inside: double, rare: array<struct<word: binary, k: int, m: int>>>"
 
-    arrow = pa.struct([("symbols", pa.binary()), ("n", pa.int64()), ("n_common", pa.int64()), ("log_count", pa.float64()), ("inside", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))])
+    arrow = pa.struct([("symbols", pa.binary()), ("n", pa.int64()), ("n_common", pa.int64()), ("log_count", pa.float64()), ("inside", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("m", pa.int32())])))])
 
     @F.arrow_udf(kind)
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, symbol, log_count, inside = shared.value
+        words, symbol, log_count, inside, learnt = shared.value
         place = dict(zip(words, range(len(words)), strict=True))
 
         def one(text: str) -> dict:
@@ -132,11 +144,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             tokens.append(END)
             at = np.array([place.get(w, -1) for w in tokens], dtype=np.int64)
             missing = np.flatnonzero(at < 0)
-            rare = [{"word": tokens[i], "k": word_class(tokens[i], spec)} for i in missing.tolist()]
+            others = [tokens[i] for i in missing.tolist()]
+            rare = [{"word": w, "k": word_class(w, spec), "m": m} for w, m in Counter(others).items()]
             ids = symbol[at] if len(symbol) else np.zeros(len(at), dtype=np.int32)
-            ids[missing] = [spec.emitted + r["k"] for r in rare]
+            ids[missing] = [own_symbols + word_class(w, spec) for w in others]
             known = at[at >= 0]
-            return {"symbols": ids.astype(np.int32).tobytes(), "n": len(tokens), "n_common": len(known), "log_count": float(log_count[known].sum()), "inside": float(inside[known].sum()), "rare": rare}
+            return {"symbols": ids.astype(np.int32).tobytes(), "n": len(tokens), "n_common": int(learnt[known].sum()), "log_count": float(log_count[known].sum()), "inside": float(inside[known].sum()), "rare": rare}
 
         for texts in parts:
             done = [pa.array([one(x.as_py()) for x in texts[i : i + 256]], arrow) for i in range(0, len(texts), 256)]
@@ -208,17 +221,19 @@ def expected_counts(sequences: list[np.ndarray], first: np.ndarray, model: tuple
     return total
 
 
-def baum_welch_round(rows: DataFrame, model: Hmm, frequency: np.ndarray, spec: HmmSpec) -> tuple[Hmm, float]:
-    """One pass over the column ``symbols``: the next model, and the log-likelihood under this one."""
+def baum_welch_round(rows: DataFrame, model: Hmm, frequency: np.ndarray, spec: HmmSpec, tasks: int = 1) -> tuple[Hmm, float]:
+    """One pass over the column ``symbols``: the next model, and the log-likelihood under this one.
+
+    tasks: how many tasks read ``rows``, from which the depth of the tree of sums follows.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model.packed())
-    block = 1 << 12
-    blocks = -(-spec.symbols // block)
-    s = spec.states
+    s, size, block = spec.states, len(frequency), spec.block
+    kind = "block int, part int, at binary, x binary"
 
     def expect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shared.value
-        sums = [np.zeros(s), np.zeros((s, s)), np.zeros((spec.symbols, s)), np.zeros(s)]
-        waiting, firsts, size, total, any_ = [], [], 0, 0.0, False
+        sums = [np.zeros(s), np.zeros((s, s)), np.zeros((size, s)), np.zeros(s)]
+        waiting, firsts, held, total, any_ = [], [], 0, 0.0, False
         for batch in it:
             for packed in batch.column(0).to_pylist():
                 ids = np.frombuffer(packed, dtype=np.int32)
@@ -226,28 +241,51 @@ def baum_welch_round(rows: DataFrame, model: Hmm, frequency: np.ndarray, spec: H
                 for k in range(0, len(ids), spec.segment):
                     waiting.append(ids[k : k + spec.segment])
                     firsts.append(k == 0)
-                    size += len(waiting[-1])
-                if size >= 300_000:
+                    held += len(waiting[-1])
+                if held >= 300_000:
                     total += expected_counts(waiting, np.array(firsts), given, sums)
-                    waiting, firsts, size = [], [], 0
+                    waiting, firsts, held = [], [], 0
         if waiting:
             total += expected_counts(waiting, np.array(firsts), given, sums)
         if any_:
             head = np.concatenate([sums[0], (sums[1] * given[1]).ravel(), sums[3], [total]])
-            parts = [sums[2][b * block : (b + 1) * block].astype(np.float32).tobytes() for b in range(blocks)]
-            yield pa.record_batch({"block": pa.array([-1, *range(blocks)], pa.int32()), "x": pa.array([head.tobytes(), *parts], pa.binary())})
+            met = np.flatnonzero(sums[2].any(1))
+            cuts = np.searchsorted(met, np.arange(block, size, block))
+            parts = [(b, at) for b, at in enumerate(np.split(met, cuts)) if len(at)]
+            own = TaskContext.get().partitionId()
+            yield pa.record_batch(
+                {
+                    "block": pa.array([-1, *(b for b, _ in parts)], pa.int32()),
+                    "part": pa.array([own] * (len(parts) + 1), pa.int32()),
+                    "at": pa.array([b"", *((at - b * block).astype(np.int32).tobytes() for b, at in parts)], pa.binary()),
+                    "x": pa.array([head.tobytes(), *(sums[2][at].astype(np.float32).tobytes() for _, at in parts)], pa.binary()),
+                }
+            )
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float64 if group["block"].iloc[0] < 0 else np.float32
-        total = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in group["x"])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "x": [total.tobytes()]})
-
-    got = {r["block"]: np.frombuffer(r["x"]) for r in rows.select("symbols").mapInArrow(expect, "block int, x binary").groupBy("block").applyInPandas(add, "block int, x binary").collect()}
+        b = int(group["block"].iloc[0])
+        if b < 0:
+            at, x = b"", np.sum([np.frombuffer(x) for x in group["x"]], axis=0).tobytes()
+        else:
+            total = np.zeros((block, s))
+            for at, x in zip(group["at"], group["x"], strict=True):
+                total[np.frombuffer(at, dtype=np.int32)] += np.frombuffer(x, dtype=np.float32).reshape(-1, s)
+            met = np.flatnonzero(total.any(1))
+            at, x = met.astype(np.int32).tobytes(), total[met].astype(np.float32).tobytes()
+        return pd.DataFrame({"block": [b], "part": [int(group["part"].iloc[0])], "at": [at], "x": [x]})
+
+    sums = rows.select("symbols").mapInArrow(expect, kind)
+    while tasks > spec.fan:
+        tasks = -(-tasks // spec.fan)
+        sums = sums.withColumn("part", F.floor(F.col("part") / spec.fan).cast("int")).groupBy("block", "part").applyInPandas(add, kind)
+    got = {r["block"]: r for r in sums.groupBy("block").applyInPandas(add, kind).collect()}
     if not got:
         return model, 0.0
-    head = got[-1]
+    head = np.frombuffer(got.pop(-1)["x"])
     start, move, share = head[:s] + 1, head[s : s + s * s].reshape(s, s) + 1, head[s + s * s : 2 * s + s * s] + 1
-    emit = np.concatenate([got[b].reshape(-1, s) for b in range(blocks)]) + 50.0 * frequency[:, None]
+    emit = np.repeat(50.0 * frequency[:, None], s, axis=1)
+    for b, r in got.items():
+        emit[b * block + np.frombuffer(r["at"], dtype=np.int32)] += np.frombuffer(r["x"], dtype=np.float32).reshape(-1, s)
     return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), share / share.sum()), float(head[-1])
 
 
@@ -278,13 +316,14 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     ``learn`` is a condition on ``docs`` that chooses the training rows.
     """
     rows = docs.select(docs[doc_id], learn.alias("_learn"), text_of(docs, text).alias("_text"))
-    counts = saved(count_tokens(rows.where("_learn"), spec))
+    counts = saved(count_tokens(rows, spec))
     vocabulary = Vocabulary(counts, spec)
     encoded = saved(encode(rows.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
     train = encoded.where("_learn").select("_row", "symbols")
     model = Hmm.begin(vocabulary.frequency, spec.states)
+    tasks = (train.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     for _ in range(spec.sample_rounds + spec.rounds):
-        model, _ = baum_welch_round(train, model, vocabulary.frequency, spec)
+        model, _ = baum_welch_round(train, model, vocabulary.frequency, spec, tasks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -295,10 +334,10 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
 
     log_mass = vocabulary.class_mass
     masses = docs.sparkSession.createDataFrame([(i, float(np.log10(x))) for i, x in enumerate(log_mass)], "k int, mass double")
-    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    looked_up = rare.join(counts.select("word", "c"), "word", "left").join(F.broadcast(masses), "k")
+    rare = encoded.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.k").alias("k"), F.col("r.m").alias("m"))
+    looked_up = rare.join(counts.where("c > 0").select("word", "c"), "word", "left").join(F.broadcast(masses), "k")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(spec.add))
-    sums = looked_up.groupBy("_row").agg(F.sum(log_c).alias("rare_log"), F.sum(log_c - F.col("mass")).alias("rare_inside"), F.count("c").alias("rare_known"))
+    sums = looked_up.groupBy("_row").agg(F.sum(log_c * F.col("m")).alias("rare_log"), F.sum((log_c - F.col("mass")) * F.col("m")).alias("rare_inside"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("rare_known"))
     log_z = float(np.log10(vocabulary.tokens + spec.add * (vocabulary.types + 1)))
     zero = F.lit(0.0)
     return encoded.drop("rare").join(sums, "_row", "left").select(
