@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import ann, html_main, quality, toxicity, url_filter
+from tidewell.llm.common import join_by_size
 from tidewell.llm.ngram_linear import Grams, NgramSpec, hinge_dual, platt
 
 
@@ -172,7 +173,7 @@ def test_hot_and_cold_keys_are_joined_alike(spark):
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).unionByName(spark.createDataFrame([("none", 0, 0)], "k string, n long, top int"))
     want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
     for small in (True, False):
-        assert sorted(map(tuple, url_filter._by_size(left, right, "k", "n", 5030, small).collect())) == want
+        assert sorted(map(tuple, join_by_size(left, right, "k", "n", 5030, small).collect())) == want
 
 
 def test_url_model_against_plain(spark):

@@ -94,6 +94,18 @@ def hashed_share(column: str, wanted: int, rows: int):
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, wanted / max(rows, 1))))
 
 
+def join_by_size(left: DataFrame, right: DataFrame, on: str, rows: str, total: int, small: bool = False) -> DataFrame:
+    """The inner join on a key that ``right`` has once for each value, with the number of its rows in
+    ``left`` in the column ``rows``: keys with more than a thousandth of ``total`` rows, of which there
+    are fewer than a thousand, are broadcast, all others shuffle; all are broadcast where ``right`` is small."""
+    if small:
+        return left.join(F.broadcast(right.drop(rows)), on)
+    often = F.col(rows) > max(1000, total // 1000)
+    hot = F.broadcast(saved(right.where(often).drop(rows)))
+    rest = left.join(hot.select(on), on, "left_anti").join(right.where(~often).drop(rows), on)
+    return left.join(hot, on).unionByName(rest)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

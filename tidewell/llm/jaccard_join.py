@@ -16,7 +16,14 @@ can miss e = floor((1 - t) n) of them in a partner:
 Documents that share an index entry are candidates. To find components it is enough to compare all
 documents of an entry with its most shared document first, and then only those that are still in
 different components: by pairs where an entry has few documents, by blocks of documents where it has
-many. Every comparison is of the whole sets, so no link between components is lost.
+many. Every comparison is of the whole sets, so no link between components is lost. Sets are of 64-bit
+hashes of shingles: two shingles of one hash would count as one, which among 10^10 documents is to be
+expected for a few shingles and moves a similarity by one part in their number.
+
+Buckets of shingles, and what a task packs for them, grow with the number of shingles, so that a group
+holds half a million up to 5 * 10^11 shingles in all and grows slowly beyond. Index entries with more
+than a thousandth of all entries' rows are joined by broadcast, so that no entry's documents meet in
+one task.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing; texts of
 fewer than five words are one shingle; long texts are used whole. Rows that repeat an id and a text
@@ -36,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, mix64, saved, text_of, words_of
+from .common import WordHashes, discard, join_by_size, mix64, saved, text_of, words_of
 from .components import components
 from .exact_dedup import _keyed, duplicate_table
 
@@ -105,7 +112,10 @@ def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[i
         yield doc.as_py(), shingles(words_of(text.as_py()), hashes, k)
 
 
-CHUNK = 1_000_000
+def chunk_of(bucket_bits: int) -> int:
+    """Shingles that a task packs together: a million, and 16 a bucket where there are many buckets."""
+    return max(1_000_000, 16 << bucket_bits)
+
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -134,7 +144,7 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
     task sends four bytes for each distinct shingle of a chunk of its documents, by bucket, and the
     documents' sizes and histograms along with them.
     """
-    low, spread = np.uint64(32 - bucket_bits), 1 << 9
+    low, spread, chunk = np.uint64(32 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, sizes, waiting = WordHashes(), [], [], 0
@@ -153,7 +163,7 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
                 parts.append(s)
                 sizes.append((-1 - doc % spread, np.array([doc], dtype=np.int64).tobytes(), histogram(s), np.array([len(s)], dtype=np.int32).tobytes()))
                 waiting += len(s)
-                if waiting >= CHUNK:
+                if waiting >= chunk:
                     yield out()
                     parts, sizes, waiting = [], [], 0
         if waiting:
@@ -207,7 +217,7 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
     they are and are combined on arrival, one row an entry.
     """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    shift, spread = np.uint64(64 - bucket_bits), 1 << 9
+    shift, spread, chunk = np.uint64(64 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, test = WordHashes(), HeavyTest(shared.value, bucket_bits)
@@ -239,7 +249,7 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
                     most = e - len(rare) + max(2, (1 << levels(len(s), spec.percent)[-1]) // 16) + 1
                     frequent.append((-1 - doc % spread, often[:most].tobytes(), np.array([doc], dtype=np.int64).tobytes(), np.array([len(s), len(rare)], dtype=np.int32).tobytes()))
                     waiting += most
-                if waiting >= CHUNK:
+                if waiting >= chunk:
                     yield out()
                     parts, frequent, waiting = [], [], 0
         if parts:
@@ -326,15 +336,15 @@ def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def crowd_links(crowd: DataFrame, docs: DataFrame, spec: JoinSpec) -> DataFrame:
+def crowd_links(crowd: DataFrame, docs: DataFrame, spec: JoinSpec, rows: int) -> DataFrame:
     """Links between components among documents that share crowded entries: crowd (sig, doc, n, comp).
 
     A cluster is what crowded entries join. Its largest component's documents need no comparison
     with each other, so only the others ask: their blocks meet all blocks, no pair becomes a row, and
     every pair of different components is compared.
     """
-    hub = crowd.groupBy("sig").agg(F.min("doc").alias("b"))
-    clusters = components(crowd.join(hub, "sig").where("doc != b").select(F.col("doc").alias("a"), "b").distinct())
+    hub = crowd.groupBy("sig").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("_rows"))
+    clusters = components(join_by_size(crowd, hub, "sig", "_rows", rows).where("doc != b").select(F.col("doc").alias("a"), "b").distinct())
     members = saved(crowd.groupBy("doc").agg(F.max("n").cast("long").alias("n"), F.min("comp").alias("comp")).join(clusters.select(F.col("node").alias("doc"), F.col("comp").alias("cluster")), "doc"))
     parts = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("_k"))
     top = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("_k", "comp")).alias("top"))
@@ -399,30 +409,33 @@ def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) that join every component, (doc, n)) of ``docs`` (_id, _text; no two texts equal)."""
     chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     total = max(1, chars // 5)
-    bucket_bits = min(16, max(8, (total >> 19).bit_length()))
+    bucket_bits = min(20, max(8, (total >> 19).bit_length()))
     heavy, sizes = measured(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
     raw = saved(index_entries(docs, spec, heavy, bucket_bits))
     counts = raw.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
-    counted = saved(raw.join(counts, "sig"))
+    counts = saved(counts)
+    rows = int(counts.agg(F.sum("m")).first()[0] or 0)
+    by_entry = lambda left, right: join_by_size(left, right, "sig", "_rows", rows)
+    counted = saved(by_entry(raw, counts.withColumn("_rows", F.col("m"))))
     discard(raw)
     # the document whose entries are shared most is the likeliest to be like all others
     weight = counted.groupBy("doc").agg(F.avg("m").alias("w"))
     entries = saved(counted.join(weight, "doc"))
     discard(counted)
-    centers = entries.groupBy("sig").agg(F.max_by(F.struct("doc", "n"), F.struct("w", "doc")).alias("c")).select("sig", F.col("c.doc").alias("c"), F.col("c.n").alias("cn"))
-    first = entries.join(centers, "sig").where((F.col("doc") != F.col("c")) & _sizes_fit("n", "cn", spec.percent)).select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
+    centers = entries.groupBy("sig").agg(F.max_by(F.struct("doc", "n"), F.struct("w", "doc")).alias("c"), F.count(F.lit(1)).alias("_rows")).select("sig", F.col("c.doc").alias("c"), F.col("c.n").alias("cn"), "_rows")
+    first = by_entry(entries, centers).where((F.col("doc") != F.col("c")) & _sizes_fit("n", "cn", spec.percent)).select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
     first = saved(first)
     found = compared(first, docs, sizes, spec)
     labels = components(found)
     labelled = entries.join(labels, entries["doc"] == labels["node"], "left").select("sig", "doc", "n", "m", F.coalesce("comp", "doc").alias("comp"))
-    open_ = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("sig")
-    labelled = saved(labelled.join(open_, "sig", "left_semi"))
+    open_ = labelled.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_rows")).where("_lo < _hi").select("sig", "_rows")
+    labelled = saved(by_entry(labelled, open_))
     crowd = labelled.where(F.col("m") >= CROWD)
     few = labelled.where(F.col("m") < CROWD)
     other = few.select("sig", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
     second = few.join(other, "sig").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & _sizes_fit("n", "bn", spec.percent)).select(F.col("doc").alias("a"), "b").distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    more = compared(second, docs, sizes, spec).unionByName(crowd_links(crowd, docs, spec))
+    more = compared(second, docs, sizes, spec).unionByName(crowd_links(crowd, docs, spec, rows))
     return found.unionByName(more), sizes.select("doc", "n")
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_by_size, saved
 
 START, END = "\u0002", "\u0003"
 #: n-gram tables up to this many rows are sent to every executor; larger ones are joined by a shuffle.
@@ -65,17 +65,6 @@ def _windows(urls: DataFrame, order: int) -> DataFrame:
     return chars.select(*chars.columns[:-1], F.explode(F.expr(f"transform(sequence({order}, size(_p) - 1), i -> concat({gram}))")).alias("gram"))
 
 
-def _by_size(left: DataFrame, right: DataFrame, on: str, rows: str, total: int, small: bool) -> DataFrame:
-    """The inner join on a key of which ``right`` has each value once, with the number of its rows in
-    ``left``: those with more than a thousandth of ``total`` are broadcast, or all where ``right`` is small."""
-    if small:
-        return left.join(F.broadcast(right.drop(rows)), on)
-    often = F.col(rows) > max(1000, total // 1000)
-    hot = right.where(often).drop(rows)
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(~often).drop(rows), on)
-    return left.join(F.broadcast(hot), on).unionByName(rest)
-
-
 def ratio_table(labelled: DataFrame, every: DataFrame, order: int) -> DataFrame:
     """``every`` (gram, ...) with ratio: log P(accepted) - log P(rejected) of a gram's last character
     after the others; counts come from ``labelled`` (_tw_url, accepted boolean)."""
@@ -117,7 +106,7 @@ def url_scores(urls: DataFrame, labelled: DataFrame, order: int = 4) -> tuple[Da
     places = _windows(ask.select("_tw_key", "_tw_url"), order)
     table = saved(ratio_table(seen, saved(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), order))
     size = table.agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("rows")).first()
-    means = _by_size(places, table, "gram", "n", size["rows"] or 0, size["grams"] <= MOST_BROADCAST).groupBy("_tw_key").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    means = join_by_size(places, table, "gram", "n", size["rows"] or 0, size["grams"] <= MOST_BROADCAST).groupBy("_tw_key").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
     scores = saved(ask.select("_tw_key", "_tw_rows").join(means, "_tw_key"))
     stats = {r["accepted"]: r for r in kept_back.select("accepted", _key("_tw_url").alias("_tw_key")).join(scores, "_tw_key").groupBy("accepted").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("d")).collect()}
     if len(stats) < 2:
@@ -142,7 +131,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
     scores, cut = url_scores(open_.select("_tw_url"), ruled, order)
     found = scores.where("_tw_rows > 0").select("_tw_key", F.col("score").alias("_tw_raw"), "_tw_rows")
     size = found.agg(F.count(F.lit(1)).alias("urls"), F.sum("_tw_rows").alias("rows")).first()
-    by_model = _by_size(open_.withColumn("_tw_key", _key("_tw_url")), found, "_tw_key", "_tw_rows", size["rows"] or 0, size["urls"] <= MOST_BROADCAST)
+    by_model = join_by_size(open_.withColumn("_tw_key", _key("_tw_url")), found, "_tw_key", "_tw_rows", size["rows"] or 0, size["urls"] <= MOST_BROADCAST)
     margin = by_model.withColumn("_tw_score", F.col("_tw_raw") - F.lit(float(cut))).drop("_tw_key", "_tw_raw")
     judged = margin.unionByName(rows.where(F.col("_tw_rule").isNotNull()).withColumn("_tw_score", F.lit(None).cast("double")))
     out = judged.withColumn("_tw_verdict", F.coalesce("_tw_by_rule", F.when(F.col("_tw_score") >= 0, F.lit("allow")).otherwise(F.lit("block"))))
