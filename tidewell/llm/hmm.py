@@ -1,8 +1,8 @@
 """LM scoring: a hidden Markov language model trained by Baum-Welch over Spark partitions.
 
 Tokens are words (A-Z lower-cased) and one end a text. Counts over all training tokens give the
-vocabulary: the most frequent tokens are symbols of the model, one for every ``types_a_symbol`` types
-(``emitted`` at least, ``known`` at most), all other words are symbols by a hash of their last three
+vocabulary: the most frequent tokens are symbols of the model, ``growth`` times the square root of the
+number of types (``emitted`` at least, ``known`` at most), all other words are symbols by a hash of their last three
 bytes, inside which a word has its smoothed relative frequency. Every round is one pass over all
 training documents, cut into segments for the forward-backward recursion. A task sends the expected
 counts of the symbols that it met; they are summed by block of symbols in a tree, so no group grows
@@ -36,8 +36,8 @@ END = b""
 @dataclass(frozen=True)
 class HmmSpec:
     states: int = 8
-    #: Symbols of their own: one for so many types, but so many at least, and ``known`` at most.
-    types_a_symbol: int = 16
+    #: Symbols of their own: this times the square root of the types, but so many at least, and ``known`` at most.
+    growth: float = 20.0
     emitted: int = 1 << 15
     #: Classes of the other words.
     classes: int = 1 << 10
@@ -113,7 +113,7 @@ class Vocabulary:
         for r in learnt.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
             in_class[:, r["k"]] = r["n"], r["v"]
         #: Words that are symbols; classes come after them.
-        self.emitted = own = min(max(spec.emitted, self.types // spec.types_a_symbol), int(self.known.sum()))
+        self.emitted = own = min(max(spec.emitted, int(spec.growth * self.types**0.5)), int(self.known.sum()))
         np.subtract.at(in_class[0], k[:own], c[:own])
         np.subtract.at(in_class[1], k[:own], 1)
         self.class_mass = in_class[0] + spec.add * (in_class[1] + 1)
@@ -322,6 +322,9 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     train = encoded.where("_learn").select("_row", "symbols")
     model = Hmm.begin(vocabulary.frequency, spec.states)
     tasks = (train.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    # a task sends its sums once, so four splits a task send a quarter, as long as all cores have work
+    tasks = max(-(-tasks // 4), min(tasks, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    train = train.coalesce(tasks)
     for _ in range(spec.sample_rounds + spec.rounds):
         model, _ = baum_welch_round(train, model, vocabulary.frequency, spec, tasks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
