@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -15,7 +16,7 @@ from tidewell.functions.filters import condition
 from tidewell.functions.vectors import cosine
 from tidewell.operators import context, dialogue, quality, search, vocabulary
 from tidewell.plans import answer, spec
-from tidewell.sources import collection, readers
+from tidewell.sources import collection, readers, term_index
 from tidewell.streaming import ingest
 
 
@@ -65,11 +66,32 @@ def test_bm25_by_hand(spark):
     assert vocabulary.sparse_vectors(vocabulary.weights(tok, vocabulary.vocabulary(tok), vocabulary.statistics(tok), "pk"), "pk").count() == 2
 
 
-def test_vocabulary_saved(spark, tmp_path):
-    tok = vocabulary.tokenised(spark.createDataFrame([(1, "a b")], "pk long, text string"), "pk", "text")
-    assert vocabulary.load_vocabulary(spark, str(tmp_path / "none")) is None
-    vocabulary.save_vocabulary(vocabulary.vocabulary(tok), vocabulary.statistics(tok), str(tmp_path / "v"))
-    assert vocabulary.load_vocabulary(spark, str(tmp_path / "v"))[0].count() == 2
+def test_terms_are_counted_in_the_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],)], "t array<string>")
+    got = [[(x["term"], x["tf"]) for x in r["c"]] for r in rows.select(T.counted(F.col("t")).alias("c")).collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)]]
+
+
+def test_term_index(spark, tmp_path):
+    path = str(tmp_path / "terms")
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "")], "pk long, text string")
+    tok = vocabulary.tokenised(docs, "pk", "text")
+    assert term_index.load(spark, path) is None
+    built = term_index.build(tok, path)
+    plain = vocabulary.weights(tok, vocabulary.vocabulary(tok), vocabulary.statistics(tok), "pk")
+    assert sorted(map(tuple, built.postings.select("pk", "term", "tf", "w").collect())) == sorted(map(tuple, plain.collect()))
+    term_index.build(vocabulary.tokenised(docs.where("pk < 2"), "pk", "text"), path)
+    (tmp_path / "terms" / "v2" / "vocabulary").mkdir(parents=True)  # a build that ended half-way
+    assert term_index.version(spark, path) == 1 and term_index.load(spark, path).statistics.first()["n"] == 1
+    a = spark.createDataFrame([("a",)], "term string")
+    assert {r["term"] for r in built.postings_of(a).collect()} >= {"a"} and built.postings_of(a).count() <= 3
+
+
+def test_frequent_terms_are_joined_alike(spark):
+    docs = spark.range(3000).select(F.col("id").alias("pk"), F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 40)).alias("tokens"))
+    vocab, stats = vocabulary.vocabulary(docs), vocabulary.statistics(docs)
+    own = vocabulary.weights(docs, vocab, stats, "pk", own=True)
+    assert own.count() == 6000 and own.exceptAll(vocabulary.weights(docs, vocab, stats, "pk")).count() == 0
 
 
 def test_fusion_by_hand(spark):
@@ -93,6 +115,8 @@ def test_text_helpers(spark):
     row = spark.range(1).select(
         T.strip_thinking(F.lit("<think>a\nb</think>\n  x <think>c</think> y ")).alias("think"),
         T.fenced_json(F.lit('so {"a": {"b": 1}} end')).alias("braces"),
+        T.fenced_json(F.lit('so {"a":{"b":{"c":1}},"d":2} end {')).alias("deep"),
+        T.fenced_json(F.lit("{ open")).alias("open"),
         T.fenced_json(F.lit(" none ")).alias("plain"),
         T.first_object(F.lit("x {a} {b}")).alias("first"),
         T.label_names(F.array(F.lit(0), F.lit(9)), T.DEPARTMENTS, T.UNKNOWN_DEPARTMENT).alias("names"),
@@ -101,6 +125,7 @@ def test_text_helpers(spark):
         answer.clarified(F.array(F.lit("q1"), F.lit("q2")), F.array(F.lit("a"), F.lit(" "))).alias("clar"),
         answer.final_text(F.lit("fail"), F.lit("")).alias("final"),
     ).first()
+    assert row["deep"] == '{"a":{"b":{"c":1}},"d":2}' and row["open"] == ""
     assert row["think"] == "x y" and row["braces"] == '{"a": {"b": 1}}' and row["plain"] == "none" and row["first"] == "{a}"
     assert row["names"] == ["内科系统", "未知科室"] and row["last"] == "## 文档1：\nc\n## 文档2：\nb\n" and row["grams"] == ["中文", "文字"]
     assert row["clar"] == "q1：a" and row["final"] == T.EMPTY_MARK + T.DOUBT_MARK
@@ -142,6 +167,34 @@ def test_collection(spark, tmp_path):
     assert store.read().count() == 2 and store.read(["extras"]).where("extras['tag'] = 't'").count() == 1
 
 
+def test_collection_touches_only_its_buckets(spark, tmp_path):
+    store = collection.Collection(spark, str(tmp_path / "c"), buckets=8)
+    rows = spark.range(200).select(F.col("id").cast("string").alias("pk"), F.lit(0).alias("v"))
+    store.create(rows)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "c" / "data").rglob("*.parquet")}
+    before = files()
+    store.insert(spark.createDataFrame([("new", 1, "x")], "pk string, v int, more string"))
+    assert before.items() <= files().items() and store.read().count() == 201 and store.read().where("more is not null").count() == 1
+    store.upsert(spark.createDataFrame([("7", 5, None)], "pk string, v int, more string"))
+    store.delete(spark.createDataFrame([("8",)], "pk string"))
+    assert before.items() <= files().items()
+    got = {r["pk"]: r["v"] for r in store.read().collect()}
+    assert len(got) == 200 and got["7"] == 5 and "8" not in got and got["9"] == 0
+    named = json.loads((tmp_path / "c" / "versions" / "v3").read_text())["buckets"]
+    first = json.loads((tmp_path / "c" / "versions" / "v0").read_text())["buckets"]
+    assert sum(named[b][0] == first[b][0] for b in first) >= 5
+    assert store.vacuum() == 0 or store.read().count() == 200
+    with pytest.raises(Exception, match="v3|exist"):
+        store._commit({"version": 2}, rows.schema, {})
+
+
+def test_ingest_in_batches(spark, tmp_path):
+    store, told = collection.Collection(spark, str(tmp_path / "c")), []
+    rec = spark.range(25).select(F.concat(F.lit("q"), "id").alias("question"), F.lit("a").alias("answer"))
+    assert store.ingest(rec, batch=10, progress=lambda *x: told.append(x)) == 25
+    assert told == [(10, 25), (20, 25), (25, 25)]
+
+
 def test_readers(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "k string, v int").write.json(str(tmp_path / "x.json"))
     assert readers.read_records(spark, str(tmp_path / "x.json"), "k string, v int").count() == 1

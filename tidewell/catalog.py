@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import text as T
 from .functions.filters import condition
-from .functions.vectors import cosine, hash_embedding
+from .functions.vectors import hash_embedding
 from .operators import context, dialogue, quality, search, vocabulary
-from .plans import answer, spec
-from .sources import collection, readers
+from .plans import answer, chains, spec
+from .sources import collection, readers, term_index
 from .streaming import ingest
 
 FLAGSHIP = "hybrid_search"
@@ -51,7 +52,7 @@ TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as collection rows with their vectors where there are some."""
-    docs = _table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("text").alias("answer"), F.col("source").alias("origin"), "lang")
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("question"), F.col("text").alias("answer"), F.col("source").alias("origin"), "lang")
     rows = collection.shape_records(docs, collection.Mapping(source="lang", source_name="origin", parent="origin", chunk="doc_id"))
     return rows.withColumnRenamed("pk", "content_key").withColumn("pk", F.col("chunk_id"))
 
@@ -69,10 +70,9 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vocabulary, statistics, postings by pk)"""
-    docs = doc_tokens(spark, sf)
-    vocab, stats = vocabulary.vocabulary(docs), vocabulary.statistics(docs)
-    return vocab, stats, vocabulary.weights(docs, vocab, stats, "pk")
+    """(vocabulary, statistics, postings by pk) of the stored index of the documents."""
+    index = term_index.for_table(spark, f"{sf}/documents.parquet", doc_tokens(spark, sf))
+    return index.vocabulary, index.statistics, index.postings
 
 
 def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,27 +101,26 @@ ds AS (SELECT query_id, vec_id pk, list_cosine_similarity(q::DOUBLE[], embedding
 
 
 def _top(name: str, limit: int) -> str:
-    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM {name} QUALIFY rank <= {limit}"
+    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pk) rank FROM {name} QUALIFY rank <= {limit}"
 
 
 # Sources, shaping, sinks -------------------------------------------------------------------------
 
 
-@query("SELECT md5(substr(text, 1, 60)) AS content_key, '问题: ' || substr(text, 1, 60) || chr(10) || chr(10) || '答案: ' || text AS text, doc_id AS chunk_id, source AS lt_doc_id FROM documents WHERE text IS NOT NULL")
+@query("SELECT md5(coalesce(text, '')) AS content_key, '问题: ' || coalesce(text, '') || chr(10) || chr(10) || '答案: ' || coalesce(text, '') AS text, doc_id AS chunk_id, coalesce(source, '') AS lt_doc_id FROM documents")
 def shape_records(spark, sf):
-    docs = _table(spark, sf, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 60).alias("question"), F.col("text").alias("answer"), F.col("source").alias("parent"))
+    docs = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("question"), F.col("text").alias("answer"), F.col("source").alias("parent"))
     rows = collection.shape_records(docs, collection.Mapping(parent="parent", chunk="doc_id"))
     return rows.select(F.col("pk").alias("content_key"), "text", "chunk_id", "lt_doc_id")
 
 
-@query("SELECT md5(coalesce(split_part(text, chr(10), 1), '')) AS pk, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY 1")
+@query("SELECT md5(coalesce(text, '')) AS pk, arg_max(doc_id, (doc_id % 2) * 1000000000000 + doc_id) AS doc_id, arg_max(coalesce(source, ''), (doc_id % 2) * 1000000000000 + doc_id) AS source FROM documents GROUP BY 1")
 def upsert_latest(spark, sf):
-    docs = _table(spark, sf, "documents").select(F.md5(F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))).alias("pk"), "doc_id", "source")
+    """Documents of odd ids upserted into those of even ids, by their texts."""
+    docs = _table(spark, sf, "documents").select(T.content_key(T.to_text(F.col("text"))).alias("pk"), "doc_id", T.to_text(F.col("source")).alias("source"))
     half = F.col("doc_id") % 2 == 0
     old = collection.latest(docs.where(half), order=[F.desc("doc_id")])
-    # the later half upserted into the earlier one, then what of the earlier is newer after all
-    both = collection.upserted(old, docs.where(~half), order=[F.desc("doc_id")])
-    return collection.latest(both.unionByName(old), order=[F.desc("doc_id")])
+    return collection.upserted(old, docs.where(~half), order=[F.desc("doc_id")])
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -171,7 +170,8 @@ def strip_thinking(spark, sf):
 
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def json_extract(spark, sf):
-    body = F.to_json(F.struct("role", F.length("text").alias("n")))
+    deep = F.struct(F.struct(F.struct("turn").alias("c")).alias("b"))
+    body = F.to_json(F.struct(deep.alias("a"), "role", F.length("text").alias("n")))
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("so "), body, F.lit(" then"))).alias("reply"))
     parsed = F.from_json(T.fenced_json(F.col("reply")), "role string, n int")
     return rows.select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.role", F.col("p.n").cast("long").alias("n"))
@@ -193,17 +193,17 @@ def previews(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.preview(F.col("text"), 20).alias("title"), T.estimate(F.col("text")).cast("long").alias("n_estimated"))
 
 
-@query("SELECT doc_id, CASE quality % 7 WHEN 0 THEN '内科系统' WHEN 1 THEN '外科系统' END || ',' || CASE WHEN toxic = 1 THEN '未知类别' ELSE '疾病诊断类' END AS names FROM labels WHERE quality IN (0, 1)")
+@query("SELECT doc_id, CASE quality WHEN 0 THEN '内科系统' WHEN 1 THEN '外科系统' ELSE '未知科室' END || ',' || CASE toxic WHEN 0 THEN '疾病诊断类' ELSE '未知类别' END AS names FROM labels")
 def label_names(spark, sf):
-    rows = _table(spark, sf, "labels").where("quality in (0, 1)")
+    rows = _table(spark, sf, "labels")
     one = T.label_names(F.array(F.col("quality")), T.DEPARTMENTS, T.UNKNOWN_DEPARTMENT)
     two = T.label_names(F.array(F.col("toxic") * 99), T.CATEGORIES, T.UNKNOWN_CATEGORY)
     return rows.select("doc_id", F.concat_ws(",", F.array_join(one, ","), F.array_join(two, ",")).alias("names"))
 
 
-@query("SELECT conv_id, 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:' AS prompt FROM conversations WHERE turn = 1")
+@query("SELECT conv_id, turn, 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role || chr(10) || 'Answer:' AS prompt FROM conversations")
 def prompt_template(spark, sf):
-    return _table(spark, sf, "conversations").where("turn = 1").select("conv_id", T.fill(T.template("unknown name"), context=F.col("text"), question=F.col("role")).alias("prompt"))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", T.fill(T.template("unknown name"), context=F.col("text"), question=F.col("role")).alias("prompt"))
 
 
 # Vocabulary and weights --------------------------------------------------------------------------
@@ -253,15 +253,15 @@ def filtered_inner_search(spark, sf):
     return _rounded(search.dense_top(_dense_queries(spark, sf), vectors(spark, sf), "embedding", 5, "IP", "label in [1, 2, 3] && label != 2"))
 
 
-@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL), r AS (SELECT query_id, pk, round(score, 6) score FROM s) SELECT query_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM r QUALIFY rank <= 10)")
+@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('s', 10)})")
 def sparse_search(spark, sf):
     vocab, stats, postings = bm25_tables(spark, sf)
-    return _rounded(search.sparse_top(query_weights(spark, sf, vocab, stats), postings, 10)).drop("pk")
+    return _rounded(search.sparse_top(query_weights(spark, sf, vocab, stats), postings, 10))
 
 
-@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qtf.tf * post.w) score FROM qtf JOIN post USING (term) GROUP BY ALL), r AS (SELECT query_id, pk, round(score, 6) score FROM s) SELECT query_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pk) rank FROM r QUALIFY rank <= 10)")
+@query(f"WITH {SQL_BM25}, s AS (SELECT query_id, pk, sum(qtf.tf * post.w) score FROM qtf JOIN post USING (term) GROUP BY ALL) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('s', 10)})")
 def bm25_search(spark, sf):
-    return _rounded(search.bm25_top(query_tokens(spark, sf), bm25_tables(spark, sf)[2], 10)).drop("pk")
+    return _rounded(search.bm25_top(query_tokens(spark, sf), bm25_tables(spark, sf)[2], 10))
 
 
 @query(f"WITH {SQL_BM25} SELECT query_id, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w, term) r, count(*) OVER (PARTITION BY query_id) n FROM qw) WHERE r > floor(n * 0.25)")
@@ -272,32 +272,32 @@ def drop_ratio(spark, sf):
 
 ROUTE_SQL = f"""{SQL_BM25},
 qx AS (SELECT item_id query_id FROM benchmark),
-ds AS (SELECT query_id, e.vec_id pk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) score FROM qx JOIN embeddings q ON q.vec_id = query_id, embeddings e),
-ss AS (SELECT query_id, pk, round(score, 6) score FROM (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL)),
+ds AS (SELECT query_id, e.vec_id pk, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) score FROM qx JOIN embeddings q ON q.vec_id = query_id, embeddings e),
+ss AS (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) GROUP BY ALL),
 d AS ({_top('ds', 10)}), s AS ({_top('ss', 10)})"""
 
 
 def _routes(spark, sf) -> list[DataFrame]:
-    """Two ranked lists for the benchmark's items, scores rounded so that ties are the same everywhere."""
+    """Two ranked lists for the benchmark's items."""
     vocab, stats, postings = bm25_tables(spark, sf)
     ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
-    dense = search.dense_scores(asked, vectors(spark, sf), "embedding").withColumn("score", F.round("score", 9))
-    sparse = search.sparse_scores(query_weights(spark, sf, vocab, stats), postings).withColumn("score", F.round("score", 6))
+    dense = search.dense_scores(asked, vectors(spark, sf), "embedding")
+    sparse = search.sparse_scores(query_weights(spark, sf, vocab, stats), postings)
     return [search.ranked(dense, 10), search.ranked(sparse, 10)]
 
 
-@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, round(sum(1.0 / (60 + rank)), 12) score FROM (SELECT query_id, pk, rank FROM d UNION ALL SELECT query_id, pk, rank FROM s) GROUP BY ALL) SELECT query_id, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
+@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(1.0 / (60 + rank)) score FROM (SELECT query_id, pk, rank FROM d UNION ALL SELECT query_id, pk, rank FROM s) GROUP BY ALL) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
 def fusion_rrf(spark, sf):
-    return _rounded(search.fused(_routes(spark, sf), spec.Fusion("rrf", 60), ["COSINE", "IP"], 10)).drop("pk")
+    return _rounded(search.fused(_routes(spark, sf), spec.Fusion("rrf", 60), ["COSINE", "IP"], 10))
 
 
-@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
+@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
 def fusion_weighted(spark, sf):
-    return _rounded(search.fused(_routes(spark, sf), spec.default_search().fusion, ["COSINE", "IP"], 10)).drop("pk")
+    return _rounded(search.fused(_routes(spark, sf), spec.default_search().fusion, ["COSINE", "IP"], 10))
 
 
-@query()
+@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, pk, rank, coalesce(lang, '') AS source, coalesce(source, '') AS source_name, round(score, 6) AS distance, coalesce(text, '') AS summary, substr(coalesce(text, ''), 1, 200) AS content_preview FROM ({_top('f', 10)}) JOIN documents ON doc_id = pk")
 def hybrid_search(spark, sf):
     """Both routes of the default request for the benchmark's items, fused, with the hits' rows; documents
     without a vector are found by the sparse route."""
@@ -306,7 +306,8 @@ def hybrid_search(spark, sf):
     ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
     hits = search.hybrid(asked, rows, postings, query_weights(spark, sf, vocab, stats), spec.default_search())
-    return search.source_cards(hits)
+    cards = search.source_cards(hits)
+    return cards.withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT vec_id AS query_id, len(embedding) AS d, CASE WHEN label >= 8 THEN 'high' WHEN label >= 6 THEN 'middle' ELSE 'low' END AS band FROM embeddings")
@@ -314,11 +315,17 @@ def score_bands(spark, sf):
     return vectors(spark, sf).select(F.col("pk").alias("query_id"), F.size("embedding").cast("long").alias("d"), T.score_band(F.col("label"), 8, 6).alias("band"))
 
 
-@query("SELECT item_id, 1.0::DOUBLE AS self_score, 64::BIGINT AS d FROM benchmark")
+EMBED_SQL = """
+et AS (SELECT id, ('0x' || substr(md5(term), 1, 4))::INT % 128 code FROM (SELECT {1} id, unnest({0}) term FROM {2})),
+es AS (SELECT id, code // 2 slot, sum(CASE code % 2 WHEN 1 THEN 1 ELSE -1 END) v FROM et GROUP BY ALL),
+el AS (SELECT id, sqrt(sum(v * v)) n FROM es GROUP BY id)"""
+
+
+@query(f"WITH {EMBED_SQL.format(TOKENS.format('text'), 'item_id', 'benchmark')} SELECT id AS item_id, CAST(slot AS BIGINT) AS slot, round(v / n, 6) AS value FROM es JOIN el USING (id) WHERE v <> 0")
 def hash_embedder(spark, sf):
     made = hash_embedding(T.tokens(F.col("text")), 64)
-    rows = _table(spark, sf, "benchmark").select("item_id", made.alias("v"))
-    return rows.select("item_id", F.round(cosine(F.col("v"), F.col("v")), 6).alias("self_score"), F.size("v").cast("long").alias("d"))
+    rows = _table(spark, sf, "benchmark").select("item_id", F.posexplode(made).alias("slot", "value"))
+    return rows.where("value != 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (source IN ('src1', 'src2') OR doc_id < 100)")
@@ -326,7 +333,15 @@ def filter_expression(spark, sf):
     return _table(spark, sf, "documents").where(condition('lang == "en" && (source in ["src1", "src2"] || doc_id < 100)')).select("doc_id", "lang", "source")
 
 
-@query()
+WEB_SQL = f"""
+wp AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', '', 'g') passage FROM pages),
+wt AS (SELECT page_id, unnest(list_distinct({TOKENS.format('passage')})) term FROM wp),
+wq AS (SELECT query_id, unnest(list_distinct({TOKENS.format('query')})) term FROM asked),
+wn AS (SELECT query_id, page_id, count(*) n FROM wq JOIN wt USING (term) GROUP BY ALL),
+wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, page_id) rank FROM wn QUALIFY rank <= 3)"""
+
+
+@query(f"WITH asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL} SELECT query_id, rank, page_id, url FROM wr JOIN wp USING (page_id)")
 def web_search(spark, sf):
     """The stored pages that hold most words of each benchmark item."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(3).alias("cnt"))
@@ -345,8 +360,8 @@ p AS (SELECT query_id, rank, CASE WHEN cost <= room THEN text WHEN floor((room -
 
 def _packed(spark, sf):
     docs = _table(spark, sf, "documents").where("text is not null")
-    rows = docs.select(F.col("source").alias("query_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), "text")
-    return context.pack(rows, F.lit(2000))
+    first = context.first_of_each(docs.select(F.col("source").alias("query_id"), "doc_id"), "query_id", "doc_id", 2000)
+    return context.pack(docs.select("doc_id", "text").join(first, "doc_id"), 2000)
 
 
 @query(f"WITH {PACK_SQL} SELECT query_id, rank, packed, n_tokens FROM p WHERE packed IS NOT NULL")
@@ -392,12 +407,11 @@ def history_summaries(spark, sf):
     return dialogue.summaries(dialogue.compression(messages(spark, sf), max_tokens=200))
 
 
-@query("WITH u AS (SELECT CAST(user_id AS VARCHAR) u, event_type s, ts FROM events) SELECT s || '/' || u AS session_id, u AS user_id, min(ts) AS created_at, max(ts) AS updated_at FROM u GROUP BY ALL")
+@query("WITH u AS (SELECT CAST(user_id AS VARCHAR) u, event_type s, ts FROM events) SELECT s || '/' || u AS session_id, u AS user_id, s AS title, min(ts) AS created_at, max(ts) AS updated_at FROM u GROUP BY ALL")
 def session_upsert(spark, sf):
     rows = _table(spark, sf, "events").select(F.concat_ws("/", "event_type", "user_id").alias("session_id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("title"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), "event_id")
     early = F.col("event_id") % 2 == 0
-    merged = dialogue.sessions_after(rows.where(early).drop("event_id"), rows.where(~early).drop("event_id"))
-    return merged.select("session_id", "user_id", "created_at", "updated_at")
+    return dialogue.sessions_after(rows.where(early).drop("event_id"), rows.where(~early).drop("event_id"))
 
 
 @query("SELECT conv_id AS session_id, turn AS seq FROM conversations WHERE conv_id % 7 = 3")
@@ -445,24 +459,153 @@ def judge_route(spark, sf):
     return answer.judged(rows).select("doc_id", "route", "attempts_left")
 
 
-@query()
+ANSWER_SQL = """
+hc AS (SELECT query_id, rank, passage, 4 + ceil(length(passage) * 0.25) cost FROM wr JOIN wp USING (page_id)),
+hu AS (SELECT *, {budget} - coalesce(sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) room FROM hc {join}),
+hp AS (SELECT query_id, rank, CASE WHEN cost <= room THEN passage WHEN floor((room - 4) / 0.25) > 0 THEN substr(passage, 1, CAST(floor((room - 4) / 0.25) AS INT)) || chr(10) || '...[内容已截断]' || chr(10) END packed FROM hu WHERE room > 0),
+hx AS (SELECT query_id, string_agg('## 文档' || n || '：' || chr(10) || packed || chr(10), '' ORDER BY n) context, string_agg(rank, ',' ORDER BY n) documents FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) n FROM hp WHERE packed IS NOT NULL) GROUP BY query_id)"""
+PROMPT_SQL = "'Context:' || chr(10) || {0} || chr(10) || chr(10) || 'Question: ' || {1} || chr(10) || 'Answer:'"
+
+
+@query(f"WITH asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL}, {ANSWER_SQL.format(budget=512, join='')} SELECT query_id, query AS question, coalesce(length(context), 0) AS n_context, 'ref ' || md5({PROMPT_SQL.format(chr(99) + 'oalesce(context, ' + chr(39) * 2 + ')', 'query')}) AS answer, true AS ok FROM asked LEFT JOIN hx USING (query_id)")
 def answer_questions(spark, sf):
     """Benchmark items answered from the pages that match them, within a budget."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(3).alias("cnt"))
     hits = readers.page_search(_table(spark, sf, "pages"))(asked.withColumnRenamed("question", "query")).withColumnRenamed("passage", "text")
-    return answer.answers(asked.drop("cnt"), hits).select("query_id", "question", F.length("context").alias("n_context"), "answer", "ok")
+    return answer.answers(asked.drop("cnt"), hits, model=chains.fingerprint).select("query_id", "question", F.length("context").cast("long").alias("n_context"), "answer", "ok")
+
+
+# Whole chains ------------------------------------------------------------------------------------
+
+STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+HISTORY_SQL = """
+lu AS (SELECT conv_id sid, max(turn) lt, arg_max(text, turn) question FROM conversations WHERE role = 'user' GROUP BY 1),
+mf AS (SELECT sid, seq, content, t >= 200 * 0.7 AND r <= greatest(2, n // 2) folded FROM (SELECT sid, turn seq, text content, count(*) OVER (PARTITION BY sid) n, sum(ceil(length(text) / 4)) OVER (PARTITION BY sid) t, row_number() OVER (PARTITION BY sid ORDER BY turn) r FROM conversations JOIN lu ON conv_id = sid WHERE turn < lt)),
+mh AS (SELECT sid, concat_ws(chr(10), nullif(string_agg(content, chr(10) ORDER BY seq) FILTER (folded), ''), string_agg(content, chr(10) ORDER BY seq) FILTER (NOT folded)) history FROM mf GROUP BY sid)"""
+
+
+def _told(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(the last thing that each session's user said, what was said before)"""
+    rows = messages(spark, sf)
+    last = rows.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "seq").alias("question"), F.max("seq").alias("_last"))
+    return last.drop("_last"), rows.join(last.select("session_id", "_last"), "session_id").where("seq < _last").drop("_last")
+
+
+@query(f"""WITH {HISTORY_SQL},
+tq AS (SELECT lu.sid query_id, question, coalesce(history, '') history, {STRIP_SQL.format("list_extract(string_split(" + STRIP_SQL.format("'History:' || chr(10) || coalesce(history, '') || chr(10) || chr(10) || 'Rewrite as one question: ' || question") + ", chr(10)), -1)")} query FROM lu LEFT JOIN mh USING (sid)),
+asked AS (SELECT query_id, query FROM tq), {WEB_SQL},
+bg AS (SELECT query_id, 1024 - (ceil(length(history) / 4) + ceil(length(query) / 4) - 10.24) budget FROM tq),
+{ANSWER_SQL.format(budget='budget', join='JOIN bg USING (query_id)')}
+SELECT query_id AS session_id, question, query, coalesce(documents, '') AS documents, 'ref ' || md5('History:' || chr(10) || history || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:') AS answer, length(query) AS query_len, CAST(ceil(length(query) / 4) AS BIGINT) AS query_tokens FROM tq LEFT JOIN hx USING (query_id)""")
+def multi_turn_chain(spark, sf):
+    """Every session's last user message as one more turn: compressed history, rewriting, retrieval over the pages, packing, answer."""
+    asked, before = _told(spark, sf)
+    turns = chains.multi_turn(asked, before, readers.page_search(_table(spark, sf, "pages")), config.Dialogue(max_tokens=200))
+    book = chains.token_book(turns)
+    return turns.select("session_id", "question", "query", F.array_join("documents", ",").alias("documents"), "answer").join(book.select("session_id", F.get("msg_len", 0).cast("long").alias("query_len"), F.get("msg_tokens", 0).cast("long").alias("query_tokens")), "session_id")
+
+
+GRAPH_SQL = f"""
+asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL},
+gd AS (SELECT query_id, rank, passage FROM wr JOIN wp USING (page_id)),
+gr AS (SELECT query_id, CASE WHEN query_id % 2 = 1 THEN rank WHEN rank = 2 THEN 1 ELSE 2 END pos, passage FROM gd WHERE query_id % 2 = 1 OR rank <= 2
+       UNION ALL SELECT query_id, 2 + rank, passage FROM gd WHERE query_id % 2 = 0 AND rank = 1),
+gx AS (SELECT query_id, string_agg('## 文档' || n || '：' || chr(10) || passage || chr(10), '' ORDER BY n) context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) n FROM gr) GROUP BY query_id),
+ga AS (SELECT query_id, query, [('ref ' || md5({PROMPT_SQL.format("coalesce(context, '')", 'query')} || '#' || i)) FOR i IN [0, 1, 2]] a FROM asked LEFT JOIN gx USING (query_id)),
+gv AS (SELECT *, [substr(x, 5, 1) < '6' FOR x IN a] v FROM ga)"""
+
+
+@query(f"WITH {GRAPH_SQL} SELECT query_id, a[i] AS answer, route, a[i] || CASE route WHEN 'fail' THEN chr(10) || chr(10) || '（内容可能不属实）' ELSE '' END AS final FROM (SELECT *, CASE WHEN v[1] THEN 1 WHEN v[2] THEN 2 ELSE 3 END i, CASE WHEN v[1] OR v[2] OR v[3] THEN 'pass' ELSE 'fail' END route FROM gv)")
+def search_graph_run(spark, sf):
+    """The search graph in analysis mode over the benchmark: even items go to the web with two documents
+    kept in turned order, odd ones have a reply that cannot be read; a judge that passes three answers in
+    eight, two further attempts."""
+    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pages = readers.page_search(_table(spark, sf, "pages"))
+    reply = F.to_json(F.struct(F.lit(True).alias("need_search"), F.col("query").alias("search_query"), F.array(F.lit(2), F.lit(1)).alias("remain_doc_index")))
+
+    def router(rows: DataFrame) -> DataFrame:
+        return rows.select("query_id", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("<think>{</think>"), reply)).otherwise(F.lit("no { json")).alias("reply"))
+
+    def web(queries: DataFrame) -> DataFrame:
+        return pages(queries.withColumn("cnt", F.lit(1)))
+
+    judge = lambda text, _: F.when(F.substring(text, 5, 1) < "6", "Yes.").otherwise("no")
+    return chains.search_graph(asked, pages, web, router, judge).select("query_id", "answer", "route", "final")
+
+
+AGENT_SQL = f"""
+st AS (SELECT sid, question, history, CASE WHEN sid % 3 = 0 THEN '' ELSE 'b' || sid END background, sid % 2 = 0 need_ask, sid % 7 asked, sid % 4 = 1 AS split FROM lu LEFT JOIN mh USING (sid)),
+sx AS (SELECT *, CASE WHEN background <> '' THEN 'update' WHEN need_ask AND asked < 5 THEN 'ask' ELSE 'extract' END step FROM st),
+sb AS (SELECT *, 'ref ' || md5('Known: ' || background || chr(10) || 'Said: ' || question || chr(10) || 'Background:') bg FROM sx WHERE step <> 'ask'),
+sa AS (SELECT *, md5(question || '/1') a1, md5(question || '/2') a2 FROM sb),
+sy AS (SELECT *, CASE WHEN split THEN 'ref ' || md5({PROMPT_SQL.format("'用户背景：' || bg || chr(10) || '历史摘要：r' || chr(10) || chr(10) || '### 子问题 1 分析：' || chr(10) || a1 || chr(10) || chr(10) || '### 子问题 2 分析：' || chr(10) || a2", 'question')}) ELSE md5(question) END fa FROM sa),
+se AS (SELECT *, '问：' || question || chr(10) || '答：' || substr(fa, 1, 300) e, CASE WHEN sid % 5 = 0 THEN 7 ELSE 1 END n FROM sy)"""
+
+
+def _agent_turns(spark, sf) -> DataFrame:
+    asked, _ = _told(spark, sf)
+    sid = F.col("session_id")
+    states = asked.select(
+        sid.alias("query_id"),
+        "question",
+        F.when(sid % 3 == 0, "").otherwise(F.concat(F.lit("b"), sid)).alias("background"),
+        (sid % 2 == 0).alias("need_ask"),
+        (sid % 7).cast("int").alias("asked"),
+        F.lit("r").alias("running"),
+        F.transform(F.sequence(F.lit(1), F.when(sid % 5 == 0, 7).otherwise(1)), lambda i: F.concat(F.lit("e"), i)).alias("entries"),
+        (sid % 4 == 1).alias("need_split"),
+        F.array(F.concat("question", F.lit("/1")), F.concat("question", F.lit("/2"))).alias("sub_query"),
+        F.lit(" ").alias("rewrite_query"),
+    )
+    return chains.agent_turn(states, lambda parts: parts.select("query_id", "sub_id", F.md5("query").alias("answer")))
+
+
+@query(f"WITH {HISTORY_SQL}, {AGENT_SQL} SELECT sid AS query_id, step, 0 AS asked, bg AS background, CASE WHEN split THEN question || '/1' ELSE ' ' END AS query, fa AS final_answer, CASE WHEN n = 7 THEN 'r' || chr(10) || 'ref ' || md5(array_to_string(['e1', 'e2', 'e3', 'e4'], chr(10))) ELSE 'r' END AS running, CASE WHEN n = 7 THEN array_to_string(['e5', 'e6', 'e7', e], '|') ELSE 'e1|' || e END AS entries FROM se UNION ALL SELECT sid, step, asked + 1, background, NULL, NULL, 'r', CASE WHEN sid % 5 = 0 THEN 'e1|e2|e3|e4|e5|e6|e7' ELSE 'e1' END FROM sx WHERE step = 'ask'")
+def agent_turns(spark, sf):
+    """One turn of every session's agent: asking back, background, splitting, sub-answers, synthesis, summaries."""
+    return _agent_turns(spark, sf).withColumns({"entries": F.array_join("entries", "|"), "asked": F.col("asked").cast("int")})
+
+
+@query(f"WITH {HISTORY_SQL}, {AGENT_SQL}, ev AS (SELECT sid, 0 seq, json_object('type', 'background', 'data', bg) j FROM se UNION ALL SELECT sid, 1, json_object('type', 'rewrite', 'data', CASE WHEN split THEN question || '/1' ELSE ' ' END) FROM se UNION ALL SELECT sid, 2, json_object('type', 'answer', 'data', fa) FROM se UNION ALL SELECT sid, 3, json_object('type', 'done', 'data', '') FROM se UNION ALL SELECT sid, 0, json_object('type', 'ask', 'data', background) FROM sx WHERE step = 'ask' UNION ALL SELECT sid, 1, json_object('type', 'done', 'data', '') FROM sx WHERE step = 'ask') SELECT sid AS query_id, seq, 'data: ' || j::VARCHAR || chr(10) || chr(10) AS event FROM ev")
+def agent_event_rows(spark, sf):
+    return chains.agent_events(_agent_turns(spark, sf))
 
 
 # Annotation, evaluation, streams -----------------------------------------------------------------
 
+TURN_SQL = "tt AS (SELECT conv_id session_id, turn, text q, a FROM (SELECT conv_id, turn, role, text, lead(role) OVER w r, lead(text) OVER w a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')"
+
 
-@query("SELECT doc_id, quality = 1 AS ok, CASE WHEN quality = 1 THEN '内科系统,急诊与综合' ELSE '内科系统,未知科室' END AS names FROM labels WHERE quality IN (0, 1)")
+@query("SELECT doc_id, coalesce(quality = 1, false) AS ok, CASE WHEN quality = 1 THEN '内科系统,急诊与综合' ELSE '内科系统,未知科室' END AS names FROM labels")
 def annotation_check(spark, sf):
-    rows = _table(spark, sf, "labels").where("quality in (0, 1)")
+    rows = _table(spark, sf, "labels")
     reply = F.concat(F.lit('```json\n{"departments": [0, '), F.when(F.col("quality") == 1, "5").otherwise("6"), F.lit('], "categories": [7], "reasoning": "r"}\n```'))
     return quality.parsed_annotations(rows.select("doc_id", reply.alias("reply"))).select("doc_id", "ok", F.array_join("department_names", ",").alias("names"))
 
 
+@query("SELECT coalesce(CAST(CASE WHEN turn % 4 = 0 THEN NULL ELSE conv_id * 1000 + turn END AS VARCHAR), 'item_' || conv_id || '_' || turn) AS id, text AS question, role || ' ' || text AS answer, CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END AS attempt, '外科系统' AS departments, turn FROM conversations WHERE text <> '' AND turn % 5 <> 0")
+def annotation_run(spark, sf):
+    """Conversations annotated by a stand-in that fails once for two turns in three and always for every fifth."""
+    rows = _table(spark, sf, "conversations").select(F.when(F.col("turn") % 4 != 0, F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id"), F.concat_ws("_", F.lit("item"), "conv_id", "turn").alias("fallback"), F.col("text").alias("question"), F.concat_ws(" ", "role", "text").alias("answer"), "turn")
+
+    def model(prompt, attempt: int):
+        good = F.lit('{"departments": [1], "categories": [2], "reasoning": {"a": {"b": 1}}}')
+        fails = (F.col("turn") % 5 == 0) | ((F.col("turn") % 3 != 0) & (attempt == 1))
+        return F.when(fails, F.lit('{"departments": [77], "categories": []}')).otherwise(good)
+
+    done = quality.annotated(rows, model, retries=3, fallback="fallback")
+    return done.where("ok").select("id", "question", "answer", F.col("attempt").cast("int").alias("attempt"), F.array_join("department_names", ",").alias("departments"), "turn")
+
+
+@query(f"WITH {TURN_SQL}, sm AS (SELECT *, session_id * 1000 + turn k FROM tt ORDER BY md5(CAST(session_id * 1000 + turn AS VARCHAR) || '#3'), session_id * 1000 + turn LIMIT 40) SELECT count(*) AS n, round(avg(CASE WHEN md5(q) < '8' THEN 1.0 ELSE 0.0 END), 6) AS passed FROM sm")
+def evaluation_run(spark, sf):
+    """A seeded sample of turns, answered by a stand-in and judged by another."""
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null").withColumn("k", F.col("session_id") * 1000 + F.col("seq"))
+    done = quality.evaluated(rows, "k", 40, 3, answer=lambda r: r.withColumn("response", F.md5("question")), judge=lambda r: (r["response"] < "8").cast("double"))
+    return done.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("verdict"), 6).alias("passed"))
+
+
 @query("SELECT count(*) AS processed, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality <> 1) AS failed FROM labels")
 def annotation_counters(spark, sf):
     return quality.counters(_table(spark, sf, "labels").select((F.col("quality") == 1).alias("ok")))
@@ -484,11 +627,20 @@ def retrieval_metrics(spark, sf):
 SHARE = "CASE WHEN len({0}) > 0 THEN len(list_intersect({0}, {1})) / len({0}) ELSE 0 END"
 
 
-@query(f"WITH p AS (SELECT list_distinct({TOKENS.format('text')}) q, list_distinct({TOKENS.format('c2')}) a FROM (SELECT role, text, lead(text) OVER w c2, lead(role) OVER w r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant') SELECT round(avg({SHARE.format('q', 'a')}), 6) AS answer_relevancy, round(avg({SHARE.format('a', 'q')}), 6) AS faithfulness, round(avg({SHARE.format('a', 'q')}), 6) AS context_recall, round(avg({SHARE.format('q', 'a')}), 6) AS context_precision FROM p")
+METRIC_SQL = f"""
+pt AS (SELECT conv_id, text, lead(text) OVER w c2, role, lead(role) OVER w r2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pc AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (turn % 2 = 1), '') ctx, coalesce(arg_max(text, turn), '') ref FROM conversations GROUP BY conv_id),
+p AS (SELECT list_distinct({TOKENS.format('text')}) q, list_distinct({TOKENS.format('c2')}) a, list_distinct({TOKENS.format('ctx')}) c, list_distinct({TOKENS.format('ref')}) r FROM pt JOIN pc USING (conv_id) WHERE role = 'user' AND r2 = 'assistant')"""
+
+
+@query(f"WITH {METRIC_SQL} SELECT round(avg({SHARE.format('q', 'a')}), 6) AS answer_relevancy, round(avg({SHARE.format('a', 'c')}), 6) AS faithfulness, round(avg({SHARE.format('r', 'c')}), 6) AS context_recall, round(avg({SHARE.format('c', 'r')}), 6) AS context_precision FROM p")
 def answer_metrics(spark, sf):
-    rows = dialogue.turns(messages(spark, sf)).where("answer is not null")
-    rows = rows.select(F.col("question").alias("user_input"), F.array("question").alias("retrieved_contexts"), F.col("answer").alias("response"), F.col("answer").alias("reference"))
-    means = quality.means(quality.answer_metrics(rows))
+    """Answers of conversations against the session's odd messages as contexts and its last message as the reference."""
+    rows = messages(spark, sf)
+    odd = F.array_sort(F.collect_list(F.when(F.col("seq") % 2 == 1, F.struct("seq", "content"))))
+    per = rows.groupBy("session_id").agg(F.transform(odd, lambda x: x["content"]).alias("retrieved_contexts"), F.max_by("content", "seq").alias("reference"))
+    pairs = dialogue.turns(rows).where("answer is not null").join(per, "session_id")
+    means = quality.means(quality.answer_metrics(pairs.withColumnsRenamed({"question": "user_input", "answer": "response"})))
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
@@ -508,17 +660,21 @@ def extra_passthrough(spark, sf):
     return rows.select(F.col("chunk_id").alias("doc_id"), F.col("extras")["lang"].alias("passed"), F.col("pk").alias("empty_key"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(list_sum(embedding::DOUBLE[]), 4) ELSE 0 END AS total FROM embeddings")
+@query(f"WITH {EMBED_SQL.format(TOKENS.format('text'), 'doc_id', 'documents')} SELECT vec_id, round(CASE WHEN vec_id % 2 = 0 THEN list_sum(embedding::DOUBLE[]) ELSE coalesce(t, 0) END, 4) AS total FROM embeddings JOIN documents ON doc_id = vec_id LEFT JOIN (SELECT id, sum((v / n)::FLOAT::DOUBLE) t FROM es JOIN el USING (id) WHERE n > 0 GROUP BY id) ON id = vec_id")
 def precomputed_vectors(spark, sf):
-    rows = _table(spark, sf, "embeddings").select("vec_id", F.lit("").alias("summary"), F.lit("").alias("text"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("summary_dense"))
+    """Documents whose vector is given keep it; the others' is made from their text."""
+    given = _table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>")).alias("summary_dense"))
+    rows = given.join(_table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "summary_dense", T.to_text(F.col("text")).alias("summary"), F.lit("").alias("text"))
     made = collection.with_vectors(rows)
     return made.select("vec_id", F.round(F.aggregate(F.col("summary_dense").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("SELECT item_id AS query_id, 1 AS rank, coalesce(source, '') AS source, 0.5::DOUBLE AS distance, substr(d.text, 1, 200) AS content_preview FROM benchmark b JOIN documents d ON b.item_id = d.doc_id")
+@query("SELECT item_id AS query_id, i AS rank, coalesce(source, '') AS source, CASE WHEN i = 3 THEN 99999.0::DOUBLE ELSE (1.0::DOUBLE / (item_id + i + 1)) END AS distance, substr(coalesce(d.text, ''), 1, 200) AS content_preview FROM benchmark b, range(1, 4) r(i) LEFT JOIN documents d ON item_id * i = d.doc_id")
 def source_cards(spark, sf):
-    hits = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("pk"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"))
-    rows = corpus(spark, sf).drop("source").withColumnRenamed("lt_doc_id", "source").where("text is not null").drop("text").withColumnRenamed("document", "text")
+    """Three hits an item, the last without a score; a hit whose document is gone has an empty card."""
+    ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank"))
+    hits = ids.select("query_id", (F.col("query_id") * F.col("rank")).alias("pk"), F.col("rank").cast("long").alias("rank"), F.when(F.col("rank") < 3, 1 / (F.col("query_id") + F.col("rank") + 1)).alias("score"))
+    rows = corpus(spark, sf).drop("source", "text").withColumnsRenamed({"lt_doc_id": "source", "document": "text"})
     cards = search.source_cards(search.with_payload(hits, rows, ["source", "source_name", "summary", "text"]))
     return cards.select("query_id", "rank", "source", "distance", "content_preview")
 
@@ -536,15 +692,15 @@ def annotation_results(spark, sf):
     return quality.annotation_results(made, _table(spark, sf, "documents").drop("text"), "doc_id").select("doc_id", "label", "lang", "source")
 
 
-@query("SELECT conv_id, turn, role AS new_question, 'a' AS new_answer FROM conversations WHERE turn % 3 <> 0")
+@query("SELECT conv_id, turn, text AS new_question, role || ' ' || text AS new_answer FROM conversations WHERE turn % 3 <> 0 AND text <> '' AND text NOT LIKE '%}%'")
 def rewritten_pairs(spark, sf):
-    reply = F.when(F.col("turn") % 3 == 0, "no json").otherwise(F.concat(F.lit("<think>{</think>ok "), F.to_json(F.struct(F.col("role").alias("question"), F.lit("a").alias("answer"))), F.lit(" }")))
+    reply = F.when(F.col("turn") % 3 == 0, "no json").otherwise(F.concat(F.lit("<think>{</think>ok "), F.to_json(F.struct(F.col("text").alias("question"), F.concat_ws(" ", "role", "text").alias("answer"))), F.lit(" }")))
     return quality.rewritten_pairs(_table(spark, sf, "conversations").withColumn("reply", reply)).select("conv_id", "turn", "new_question", "new_answer")
 
 
-@query("SELECT conv_id, string_agg(role || '：' || trim(left(text, 9)), '；' ORDER BY turn) FILTER (turn % 2 = 0) AS merged FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0) > 0")
+@query("SELECT conv_id, string_agg(role || '：' || trim(text), '；' ORDER BY turn) FILTER (turn % 2 = 0 AND trim(text) <> '') AS merged FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 2 = 0 AND trim(text) <> '') > 0")
 def clarification_merge(spark, sf):
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 9)).otherwise(F.lit(" ")).alias("a"))))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit(" ")).alias("a"))))
     grouped = _table(spark, sf, "conversations").groupBy("conv_id").agg(rows.alias("r"))
     merged = answer.clarified(F.transform("r", lambda x: x["role"]), F.transform("r", lambda x: x["a"]))
     return grouped.select("conv_id", merged.alias("merged")).where("merged != ''")
@@ -556,11 +712,11 @@ def remaining_budget(spark, sf):
     return messages(spark, sf).groupBy("session_id").agg(spent.alias("s")).select("session_id", F.round(context.remaining(1024, F.col("s")), 4).alias("remaining"))
 
 
-@query("SELECT query_id, pk, rank FROM (SELECT vec_id % 10 query_id, vec_id pk, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) rank FROM embeddings) WHERE rank IN (3, 1) AND query_id <> 4")
+@query("SELECT query_id, pk, rank, CASE rank WHEN 3 THEN 0 ELSE 1 END AS position FROM (SELECT vec_id % 10 query_id, vec_id pk, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) rank FROM embeddings) WHERE rank IN (3, 1) AND query_id <> 4")
 def retained_documents(spark, sf):
     ranked = vectors(spark, sf).select((F.col("pk") % 10).alias("query_id"), "pk").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pk")))
     choice = ranked.select("query_id").distinct().withColumn("keep", F.when(F.col("query_id") == 4, F.array().cast("array<int>")).otherwise(F.array(F.lit(3), F.lit(1))))
-    return answer.retained(ranked, choice).select("query_id", "pk", "rank")
+    return answer.retained(ranked, choice).select("query_id", "pk", "rank", "position")
 
 
 @query("SELECT lpad(CAST(user_id AS VARCHAR), 11, '0') AS phone, sha256('secret' || user_id) AS password_hash FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0 AND user_id % 2 = 0")
@@ -572,16 +728,25 @@ def user_registration(spark, sf):
     return dialogue.new_users(taken, wanted).select("phone", "password_hash")
 
 
-@query("SELECT session_id, role, content, title FROM (SELECT session_id, 'user' AS role, q AS content, substr(q, 1, 20) AS title FROM (SELECT conv_id session_id, text q, lead(role) OVER w r FROM (SELECT * FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r = 'assistant' AND false UNION ALL SELECT session_id, u.role, u.content, substr(q, 1, 20) FROM (SELECT conv_id session_id, role r0, text q, lead(role) OVER w r, lead(text) OVER w a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t, LATERAL (VALUES ('user', q), ('assistant', a)) u(role, content) WHERE r0 = 'user' AND r = 'assistant')")
+@query(f"WITH {TURN_SQL} SELECT session_id, u.role, u.content, substr(q, 1, 20) AS title, u.extra FROM tt, LATERAL (VALUES ('user', q, NULL), ('assistant', a, json_object('rewritten_query', q, 'documents', [a])::VARCHAR)) u(role, content, extra)")
 def persist_turns(spark, sf):
-    rows = dialogue.turns(messages(spark, sf)).where("answer is not null").withColumns({"query": F.col("question"), "documents": F.array(F.lit("d"))})
-    return answer.saved_turn(rows).select("session_id", "role", "content", "title")
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null").withColumns({"query": F.col("question"), "documents": F.array("answer")})
+    return answer.saved_turn(rows).select("session_id", "role", "content", "title", "extra")
 
 
-@query("SELECT conv_id AS query_id, i::INT AS seq, 'data: ' || CASE i WHEN 0 THEN '{\"type\":\"rewrite\",\"data\":\"q\"}' WHEN 1 THEN '{\"type\":\"documents\",\"data\":\"[\\\"d\\\"]\"}' WHEN 2 THEN '{\"type\":\"answer\",\"data\":\"a\"}' ELSE '{\"type\":\"done\",\"data\":\"\"}' END || chr(10) || chr(10) AS event FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 4) r(i)")
+@query(f"WITH {TURN_SQL} SELECT session_id, role, content, rewritten_query, n_documents FROM (SELECT session_id, 'user' AS role, q AS content, '' AS rewritten_query, 0::BIGINT AS n_documents FROM tt UNION ALL SELECT session_id, 'assistant', a, q, 2 FROM tt)")
+def stored_extras(spark, sf):
+    """What a reader gets back out of saved messages; a message whose extra cannot be read has none."""
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null").withColumns({"query": F.col("question"), "documents": F.array("answer", "question")})
+    saved = answer.saved_turn(rows)
+    broken = saved.withColumn("extra", F.when(F.col("role") == "user", "{broken").otherwise(F.col("extra")))
+    return dialogue.with_extras(broken).select("session_id", "role", "content", "rewritten_query", F.size("documents").cast("long").alias("n_documents"))
+
+
+@query(f"WITH {TURN_SQL} SELECT session_id * 1000 + turn AS query_id, i::INT AS seq, 'data: ' || CASE i WHEN 0 THEN json_object('type', 'rewrite', 'data', q) WHEN 1 THEN json_object('type', 'documents', 'data', json_array(q, a)::VARCHAR) WHEN 2 THEN json_object('type', 'answer', 'data', a) ELSE json_object('type', 'done', 'data', '') END::VARCHAR || chr(10) || chr(10) AS event FROM tt, range(0, 4) r(i)")
 def event_stream_rows(spark, sf):
-    rows = messages(spark, sf).select(F.col("session_id").alias("query_id")).distinct().withColumns({"query": F.lit("q"), "documents": F.array(F.lit("d")), "answer": F.lit("a")})
-    return ingest.event_rows(rows)
+    rows = dialogue.turns(messages(spark, sf)).where("answer is not null")
+    return ingest.event_rows(rows.select((F.col("session_id") * 1000 + F.col("seq")).alias("query_id"), F.col("question").alias("query"), F.array("question", "answer").alias("documents"), "answer"))
 
 
 @query("SELECT conv_id AS session_id, count(*) AS n_messages, max(turn) AS last_seq FROM conversations WHERE conv_id % 7 = 3 GROUP BY conv_id")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 #: The labels that annotation ids stand for, in the order of their ids.
 DEPARTMENTS = ["内科系统", "外科系统", "妇产儿科", "五官感官", "肿瘤与影像", "急诊与综合"]
 CATEGORIES = ["疾病诊断类", "治疗方案类", "药物与用药安全类", "检查与检验类", "症状与体征类", "预防与保健类", "术后护理与康复类", "人群特异性健康类"]
@@ -46,11 +48,30 @@ def strip_thinking(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", ""))
 
 
+def balanced_object(text: Column) -> Column:
+    """From the first ``{`` to the ``}`` that closes it, every brace counted; empty where none does.
+
+    Only the braces are looked at one by one: the text between them is measured as a whole.
+    """
+    rest = F.substring(text, F.instr(text, "{"), F.length(text))
+    # pieces end with their brace; the fold carries (depth, characters so far, end of the object)
+    pieces = F.regexp_extract_all(rest, F.lit(r"([^{}]*[{}])"), 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
+        at = acc["at"] + F.length(piece)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (depth == 0), at).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step)["end"]
+    return F.when(F.contains(text, F.lit("{")), F.substring(rest, F.lit(1), end)).otherwise(F.lit(""))
+
+
 def fenced_json(text: Column) -> Column:
-    """The body of the first json fence, else the first object that holds no braces of its own beyond one level, else the stripped text."""
+    """The body of the first json fence, else the first object with balanced braces, else the stripped
+    text; empty where braces are open to the end."""
     fence = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
-    braces = F.regexp_extract(text, r"(?s)\{(?:[^{}]|\{[^{}]*\})*\}", 0)
-    return F.when(fence != "", fence).when(braces != "", braces).otherwise(strip(text))
+    return F.when(fence != "", fence).when(F.contains(text, F.lit("{")), balanced_object(text)).otherwise(strip(text))
 
 
 def first_object(text: Column) -> Column:
@@ -65,6 +86,17 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda x: ~x.isin(stop_words)) if stop_words else words
 
 
+def counted(items: Column) -> Column:
+    """An array of strings as array<struct<term, tf>> sorted by term: one sort, then the places where it changes."""
+
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        firsts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
+        return let(firsts, lambda f: F.transform(f, lambda x, i: F.struct(F.get(s, x - 1).alias("term"), (F.coalesce(F.get(f, i + 1), n + 1) - x).cast("long").alias("tf"))))
+
+    return let(F.sort_array(items), cut)
+
+
 def cjk_grams(text: Column, n: int = 2) -> Column:
     """Character n-grams of runs of Han characters, for texts without blanks."""
     runs = F.regexp_extract_all(text, F.lit(r"(\p{IsHan}+)"), 1)
@@ -114,9 +146,20 @@ TEMPLATES: dict[str, str] = {
     "answer": "Context:\n{context}\n\nQuestion: {question}\nAnswer:",
     "rewrite": "History:\n{history}\n\nRewrite as one question: {question}",
     "summary": "Summarise:\n{history}",
+    "dialogue": "History:\n{history}\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:",
+    "background": "Known: {background}\nSaid: {question}\nBackground:",
 }
 
 
+def register_template(name: str, text: str) -> None:
+    """Adds a template, or replaces one."""
+    TEMPLATES[name] = text
+
+
+def template_names() -> list[str]:
+    return sorted(TEMPLATES)
+
+
 def template(name: str) -> str:
     """A registered template; an unknown name is the answer template."""
     return TEMPLATES.get(name, TEMPLATES["answer"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, inner(a, b) / length).otherwise(F.lit(0.0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def hash_embedding(tokens: Column, dimension: int = 64) -> Column:
-    """A deterministic embedding of a token array: signed counts by hash, scaled to length 1."""
-    slot = lambda t: F.pmod(F.crc32(t), F.lit(dimension))
-    sign = lambda t: F.when(F.crc32(F.concat(t, F.lit("#"))) % 2 == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(tokens, lambda t: slot(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
-    return F.transform(raw, lambda x: F.when(norm(raw) > 0, x / norm(raw)).otherwise(F.lit(0.0)))
+    """A deterministic embedding of a token array: signed counts by hash, scaled to length 1.
+
+    Every token is hashed once, to a number whose last bit is the sign and whose others are the slot.
+    The sorted numbers are cut where they change, so the counts take one pass and a slot one look-up.
+    """
+    codes = F.sort_array(F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % (2 * dimension)))
+
+    def counts(c: Column) -> Column:
+        n = F.size(c)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | (F.get(c, i) != F.get(c, i - 1))))
+        own = lambda e: F.transform(e, lambda x, i: x - F.when(i > 0, F.get(e, i - 1)).otherwise(0))
+        return let(ends, lambda e: F.map_from_arrays(F.transform(e, lambda x: F.get(c, x - 1)), own(e)))
+
+    def slots(m: Column) -> Column:
+        at = lambda k: F.coalesce(F.try_element_at(m, k.cast("int")), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (at(2 * i + 1) - at(2 * i)).cast("double"))
+
+    raw = let(let(codes, counts), slots)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return let(raw, lambda v: let(length(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def normalised(score: Column, metric: str) -> Column:

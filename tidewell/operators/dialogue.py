@@ -91,3 +91,24 @@ def new_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
     good = wanted.where((F.length("phone") == 11) & (F.length("password") >= 6) & F.col("role").isin("user", "doctor", "admin"))
     one = good.groupBy("phone").agg(F.min(F.struct("password", "role")).alias("_x")).select("phone", F.sha2("_x.password", 256).alias("password_hash"), "_x.role")
     return one.join(users.select("phone"), "phone", "left_anti")
+
+
+def with_extras(saved: DataFrame) -> DataFrame:
+    """Saved messages with what their ``extra`` JSON holds: rewritten_query, documents, sub_queries;
+    empty where there is none or it cannot be read."""
+    kind = "rewritten_query string, documents array<string>, sub_queries array<string>"
+    none = F.array().cast("array<string>")
+    rows = saved.withColumn("_x", F.from_json("extra", kind))
+    return rows.withColumns({"rewritten_query": F.coalesce("_x.rewritten_query", F.lit("")), "documents": F.coalesce("_x.documents", none), "sub_queries": F.coalesce("_x.sub_queries", none)}).drop("_x")
+
+
+def logins(users: DataFrame, attempts: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Tokens (phone, role, token, expires_at) of the attempts (phone, password) that match a stored user."""
+    known = attempts.withColumn("password_hash", F.sha2("password", 256)).join(users, ["phone", "password_hash"])
+    expires = (now + F.expr(f"INTERVAL {days} DAYS")).alias("expires_at")
+    return known.select("phone", "role", F.sha2(F.concat_ws("|", "phone", "password_hash", now.cast("string")), 256).alias("token"), expires)
+
+
+def user_info(tokens: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """(token, phone, role) of the tokens that have not expired, by the users that they belong to."""
+    return valid_tokens(tokens, now).select("token", "phone").join(users.select("phone", "role"), "phone").select("token", "phone", "role")

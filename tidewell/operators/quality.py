@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import read_records
 
 ANNOTATION = "departments array<int>, categories array<int>, reasoning string"
+PROMPT = "Question: {question}\nAnswer: {answer}\nLabels:"
 
 
 def valid_ids(ids: Column, most_id: int) -> Column:
@@ -23,6 +27,56 @@ def parsed_annotations(raw: DataFrame, reply: str = "reply") -> DataFrame:
     return rows.withColumns({"ok": ok, "department_names": T.label_names(F.col("departments"), T.DEPARTMENTS, T.UNKNOWN_DEPARTMENT), "category_names": T.label_names(F.col("categories"), T.CATEGORIES, T.UNKNOWN_CATEGORY)})
 
 
+def annotated(records: DataFrame, model: Callable[[Column, int], Column], retries: int = 3, fallback: str | None = None) -> DataFrame:
+    """Records (id, question, answer, ...) with a model's annotation: ``ok``, ``attempt`` (from 1; null
+    where none was good), departments, categories, reasoning and their names.
+
+    Records without a question or answer are left out. A reply that cannot be read or has ids outside the
+    tables is asked for again, ``retries`` times in all; the rounds are unrolled, so a record's later
+    prompts are made only where the earlier replies failed. A null id becomes that of ``fallback``.
+    """
+    rows = answerable(records)
+    if fallback:
+        rows = rows.withColumn("id", F.coalesce("id", F.col(fallback)))
+    prompt = T.fill(PROMPT, question=F.col("question"), answer=F.col("answer"))
+    good: Column | None = None
+    replies = [model(prompt, attempt) for attempt in range(1, retries + 1)]
+    for attempt in range(retries, 0, -1):
+        one = F.from_json(T.fenced_json(replies[attempt - 1]), ANNOTATION)
+        ok = valid_ids(one["departments"], len(T.DEPARTMENTS) - 1) & valid_ids(one["categories"], len(T.CATEGORIES) - 1)
+        mine = F.struct(F.lit(attempt).alias("attempt"), one.alias("a"))
+        good = F.when(ok, mine) if good is None else F.when(ok, mine).otherwise(good)
+    out = rows.withColumn("_g", good).select("*", F.col("_g").isNotNull().alias("ok"), F.col("_g.attempt").alias("attempt"), "_g.a.departments", "_g.a.categories", "_g.a.reasoning").drop("_g", fallback or "_g")
+    return out.withColumns({"department_names": T.label_names(F.col("departments"), T.DEPARTMENTS, T.UNKNOWN_DEPARTMENT), "category_names": T.label_names(F.col("categories"), T.CATEGORIES, T.UNKNOWN_CATEGORY)})
+
+
+def run_annotation(spark: SparkSession, source: str, target: str, model: Callable[[Column, int], Column], retries: int = 3) -> dict[str, int]:
+    """Reads records, annotates them and writes the good ones as JSON lines; the counters."""
+    done = annotated(read_records(spark, source), model, retries)
+    done.where("ok").drop("ok").write.mode("overwrite").json(target)
+    return counters(done).first().asDict()
+
+
+def evaluated(rows: DataFrame, key: str, n: int, seed: int, answer: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], Column]) -> DataFrame:
+    """A seeded sample of n rows, answered and with its ``verdict``."""
+    done = answer(sampled(rows, key, n, seed))
+    return done.withColumn("verdict", judge(done))
+
+
+def run_rewriting(spark: SparkSession, source: str, target: str, key: str, n: int, seed: int, model: Callable[[Column], Column]) -> int:
+    """Samples records, has their questions and answers rewritten and writes those with both as JSON
+    lines; how many."""
+    rows = sampled(read_records(spark, source), key, n, seed)
+    prompt = T.fill(PROMPT, question=T.to_text(F.col("question")), answer=T.to_text(F.col("answer")))
+    rewritten_pairs(rows.withColumn("reply", model(prompt))).write.mode("overwrite").json(target)
+    return spark.read.json(target).count()
+
+
+def all_healthy(checks: DataFrame) -> DataFrame:
+    """One row: whether every service (service, ok) is well, and which are not."""
+    return checks.agg(F.coalesce(F.every(F.coalesce("ok", F.lit(False))), F.lit(True)).alias("ok"), F.array_sort(F.collect_list(F.when(~F.coalesce("ok", F.lit(False)), F.col("service")))).alias("failing"))
+
+
 def answerable(records: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """Records with both a question and an answer."""
     return records.where((F.coalesce(F.col(question), F.lit("")) != "") & (F.coalesce(F.col(answer), F.lit("")) != ""))

@@ -19,8 +19,9 @@ QUERY_BLOCK = 4096
 
 
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
-    """The best ``limit`` rows of every query; ties go to the smaller key."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pk")
+    """The best ``limit`` rows of every query; ties go to the smaller key. Scores that agree to nine
+    digits are ties, so that the order in which a sum was taken decides nothing."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "pk")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -56,8 +57,17 @@ def pruned(query_weights: DataFrame, drop_ratio: float) -> DataFrame:
     return query_weights.withColumn("_r", F.row_number().over(by_weight)).withColumn("_n", n).where(F.col("_r") > F.floor(F.col("_n") * drop_ratio)).drop("_r", "_n")
 
 
+#: Terms of a batch of queries that are sent to the postings; more of them are joined by a shuffle.
+QUERY_TERMS = 1 << 20
+
+
 def sparse_scores(query_weights: DataFrame, postings: DataFrame) -> DataFrame:
-    """Inner products of query terms (query_id, term, w) and postings (pk, term, w)."""
+    """Inner products of query terms (query_id, term, w) and postings (pk, term, w).
+
+    Query terms go to the postings, which stay where they are: however many documents a term has, they
+    meet in no task, and sums are partial before the only exchange.
+    """
+    query_weights = F.broadcast(query_weights) if query_weights.count() <= QUERY_TERMS else query_weights
     return query_weights.withColumnRenamed("w", "_q").join(postings.select("pk", "term", "w"), "term").groupBy("query_id", "pk").agg(F.sum(F.col("_q") * F.col("w")).alias("score"))
 
 
@@ -108,8 +118,8 @@ def hybrid(queries: DataFrame, corpus: DataFrame, postings: DataFrame, query_wei
 
 
 def source_cards(hits: DataFrame) -> DataFrame:
-    """What a client shows of hits: source, score, question and the text's first 200 characters."""
-    return hits.select("query_id", "rank", "source", "source_name", F.coalesce("score", F.lit(99999.0)).alias("distance"), "summary", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("content_preview"))
+    """What a client shows of hits: key, source, score, question and the text's first 200 characters."""
+    return hits.select("query_id", "pk", "rank", "source", "source_name", F.coalesce("score", F.lit(99999.0)).alias("distance"), "summary", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("content_preview"))
 
 
 __all__ = ["bm25_top", "cosine", "dense_top", "fused", "hybrid", "pruned", "ranked", "source_cards", "sparse_top", "with_payload"]

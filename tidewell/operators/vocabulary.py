@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25
-from ..functions.text import tokens
+from ..functions.text import counted, tokens
+from .joins import by_size
 
 
 def tokenised(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -47,16 +48,24 @@ def updated(vocab: DataFrame, stats: DataFrame, more: DataFrame) -> tuple[DataFr
 
 
 def frequencies(docs: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf)"""
-    return docs.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, dl, term, tf) of (key, tokens), one row a key: terms are counted inside the row, without an exchange."""
+    return docs.select(key, F.size("tokens").cast("long").alias("dl"), F.explode(counted(F.col("tokens"))).alias("_t")).select(key, "dl", "_t.term", "_t.tf")
 
 
-def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25: Bm25 = Bm25()) -> DataFrame:
-    """Postings (key, term, tf, w) of (key, tokens): terms outside the vocabulary are dropped before
-    lengths are taken, and weights that are not positive after."""
-    known = frequencies(docs, key).join(vocab.select("term", "idf"), "term")
-    dl = F.sum("tf").over(Window.partitionBy(key))
-    rows = known.withColumn("dl", dl).join(F.broadcast(stats.select("avgdl")), how="cross")
+def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25: Bm25 = Bm25(), own: bool = False) -> DataFrame:
+    """Postings (key, term, tf, w) of (key, tokens), one row a key: terms outside the vocabulary are
+    dropped before lengths are taken, and weights that are not positive after.
+
+    own: the vocabulary holds all terms of ``docs``, so that lengths are known without an exchange.
+    Terms that more than a thousandth of all rows have are joined by broadcast, so that no term's
+    documents meet in one task.
+    """
+    rows = frequencies(docs, key)
+    if own:
+        known = by_size(rows, vocab.select("term", "idf", "df"), "term", "df", docs.count())
+    else:
+        known = rows.join(vocab.select("term", "idf"), "term").withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+    rows = known.join(F.broadcast(stats.select("avgdl")), how="cross")
     f, length = F.col("tf"), 1 - bm25.b + bm25.b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
     w = F.col("idf") * f * (bm25.k1 + 1) / (f + bm25.k1 * length)
     return rows.select(key, "term", "tf", w.alias("w")).where("w > 0")
@@ -65,18 +74,3 @@ def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25:
 def sparse_vectors(postings: DataFrame, key: str) -> DataFrame:
     """(key, vector map<term, weight>) of postings; one row a document."""
     return postings.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "w")))).alias("vector"))
-
-
-def save_vocabulary(vocab: DataFrame, stats: DataFrame, path: str) -> None:
-    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    stats.write.mode("overwrite").parquet(f"{path}/statistics")
-
-
-def load_vocabulary(spark, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(vocabulary, statistics), or None where there is none at the path."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/statistics")
-    except AnalysisException:
-        return None

@@ -1,11 +1,18 @@
-"""The collection: one wide table of records, written by overwrite, append, upsert and delete."""
+"""The collection: one wide table of records, written by overwrite, append, upsert and delete.
+
+A read of ``old`` rows and a write of the new ones never share a folder, so nothing is read while it is
+overwritten.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Mapping, Settings
 from ..functions import text as T
@@ -85,50 +92,128 @@ def chunks(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 class Collection:
-    """A collection stored as Parquet versions under one path; every change writes the next version, which a reader sees whole or not at all."""
+    """A collection stored under one path, by bucket of its key's hash.
+
+    Every write puts its rows into a folder of its own, ``data/<name>/bucket=k``, and then a manifest,
+    ``versions/v<n>``, that says which folders each bucket has. A manifest is written once, by whoever
+    is first, so of two writers at the same time one fails instead of undoing the other's change; a
+    reader sees a version whole or not at all. Inserts only add folders. Upserts and deletes rewrite the
+    buckets of the keys that they name; the files of all others stay as they are.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()):
-        self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), buckets: int = 16):
+        self.spark, self.path, self.settings, self.buckets = spark, path.rstrip("/"), settings, buckets
 
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _at(self, name: str = ""):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def version(self) -> int:
-        fs, at = self._fs()
-        if not fs.exists(at):
-            return -1
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=-1)
+        fs, at = self._at("versions")
+        return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(at)), default=-1) if fs.exists(at) else -1
+
+    def _manifest(self) -> dict:
+        n = self.version()
+        if n < 0:
+            return {"version": -1, "schema": None, "buckets": {}}
+        row = self.spark.read.option("wholetext", True).text(f"{self.path}/versions/v{n}").first()
+        return json.loads(row["value"])
+
+    def _commit(self, old: dict, schema: StructType, buckets: dict[str, list[str]]) -> None:
+        version = old["version"] + 1
+        fs, at = self._at(f"versions/v{version}")
+        out = fs.create(at, False)  # fails where another writer was first
+        out.write(json.dumps({"version": version, "schema": schema.jsonValue(), "buckets": buckets}).encode())
+        out.close()
+
+    def _bucket(self, key: str = "pk") -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _put(self, rows: DataFrame) -> tuple[str, list[str]]:
+        """Writes rows into a folder of their own; its name and the buckets in it."""
+        name = uuid.uuid4().hex
+        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        fs, at = self._at(f"data/{name}")
+        return name, [s.getPath().getName()[7:] for s in fs.listStatus(at) if s.getPath().getName().startswith("bucket=")]
+
+    def _rows(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"])
+        folders = [f"{self.path}/data/{name}/bucket={b}" for b, names in manifest["buckets"].items() if buckets is None or b in buckets for name in names]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def read(self, fields: list[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/v{self.version()}")
+        """The newest version; an error where there is none."""
+        manifest = self._manifest()
+        if manifest["version"] < 0:
+            raise FileNotFoundError(self.path)
+        df = self._rows(manifest)
         return df.select(*fields) if fields else df
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
-
     def create(self, rows: DataFrame, drop_old: bool = True) -> bool:
         """Writes ``rows`` as the whole collection; an existing one is left alone unless ``drop_old``."""
-        if self.version() >= 0 and not drop_old:
+        old = self._manifest()
+        if old["version"] >= 0 and not drop_old:
             return False
-        self._write(rows)
+        name, found = self._put(rows if "pk" in rows.columns else rows.withColumn("pk", F.lit(None).cast("string")))
+        self._commit(old, rows.schema, {b: [name] for b in found})
         return True
 
     def insert(self, rows: DataFrame) -> None:
-        self._write(self.read().unionByName(rows, allowMissingColumns=True) if self.version() >= 0 else rows)
+        """Adds rows, without a look at what is there; columns that only one side has are null in the other."""
+        old = self._manifest()
+        if old["version"] < 0:
+            self.create(rows)
+            return
+        schema = StructType.fromJson(old["schema"])
+        more = [f for f in rows.schema.fields if f.name not in schema.names]
+        name, found = self._put(rows)
+        self._commit(old, StructType([*schema.fields, *more]), {b: old["buckets"].get(b, []) + [name] * (b in found) for b in {*old["buckets"], *found}})
+
+    def _replace(self, old: dict, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrites the buckets that hold one of the keys; the others keep their files."""
+        touched = [str(r["b"]) for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+        rows = change(self._rows(old, touched))
+        name, found = self._put(rows)
+        kept = {b: names for b, names in old["buckets"].items() if b not in touched}
+        self._commit(old, rows.schema, kept | {b: [name] for b in found})
 
     def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> None:
-        self._write(upserted(self.read(), rows, order=order) if self.version() >= 0 else latest(rows, order=order))
+        old = self._manifest()
+        if old["version"] < 0:
+            self.create(latest(rows, order=order))
+        else:
+            self._replace(old, rows, lambda before: upserted(before, rows, order=order))
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(deleted(self.read(), ids))
-
-    def ingest(self, records: DataFrame, drop_old: bool = True) -> int:
-        """Shapes, embeds and writes records, the last of equal keys; the number of rows stored after."""
+        self._replace(self._manifest(), ids, lambda before: deleted(before, ids))
+
+    def vacuum(self) -> int:
+        """Removes the folders that the newest version does not name; how many."""
+        named = {name for names in self._manifest()["buckets"].values() for name in names}
+        fs, at = self._at("data")
+        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in named] if fs.exists(at) else []
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def ingest(self, records: DataFrame, drop_old: bool = True, batch: int | None = None, progress: Callable[[int, int], None] | None = None) -> int:
+        """Shapes, embeds and writes records, the last of equal keys; the number of rows stored after.
+
+        With ``batch`` and ``progress``, records are written in batches of so many by key and ``progress``
+        is told the number written and the whole number after each.
+        """
         rows = with_vectors(shape_records(records, self.settings.mapping), self.settings.dimension)
         if drop_old or self.version() < 0:
-            self._write(latest(rows))
-        else:
+            rows = latest(rows)
+            self.create(rows.limit(0) if batch else rows)
+        elif not batch:
             self.upsert(rows)
+        if batch:
+            parts = chunks(latest(rows), "pk", batch)
+            total, done = parts.count(), 0
+            for i in range(-(-total // batch)):
+                self.upsert(parts.where(F.col("batch") == i).drop("batch"))
+                done = min(total, done + batch)
+                if progress:
+                    progress(done, total)
         return self.read(["pk"]).count()
