@@ -297,7 +297,11 @@ def fusion_weighted(spark, sf):
     return _rounded(search.fused(_routes(spark, sf), spec.default_search().fusion, ["COSINE", "IP"], 10))
 
 
-@query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, pk, rank, coalesce(lang, '') AS source, coalesce(source, '') AS source_name, round(score, 6) AS distance, coalesce(text, '') AS summary, substr(coalesce(text, ''), 1, 200) AS content_preview FROM ({_top('f', 10)}) JOIN documents ON doc_id = pk")
+#: The collection's dense route: only vectors of documents that are there.
+STORED_SQL = ROUTE_SQL.replace("embeddings e),", "(SELECT * FROM embeddings SEMI JOIN documents ON doc_id = vec_id) e),")
+
+
+@query(f"WITH {STORED_SQL}, f AS (SELECT query_id, pk, sum(w) score FROM (SELECT query_id, pk, 0.8 * (1 + score) / 2 w FROM d UNION ALL SELECT query_id, pk, 0.2 * (0.5 + atan(score) / pi()) w FROM s) GROUP BY ALL) SELECT query_id, pk, rank, coalesce(lang, '') AS source, coalesce(source, '') AS source_name, round(score, 6) AS distance, coalesce(text, '') AS summary, substr(coalesce(text, ''), 1, 200) AS content_preview FROM ({_top('f', 10)}) JOIN documents ON doc_id = pk")
 def hybrid_search(spark, sf):
     """Both routes of the default request for the benchmark's items, fused, with the hits' rows; documents
     without a vector are found by the sparse route."""
