@@ -53,3 +53,16 @@ def test_new_words_of_held_out_rows(spark):
         assert (r["n_tokens"], r["n_known"]) == (5, 2) and math.isclose(r["base_score"], want, rel_tol=1e-9)
     small = hmm.Vocabulary(hmm.count_tokens(docs.select(F.col("text").alias("_text"), (F.col("doc_id") % 2 == 1).alias("_learn")), spec), spec)
     assert b"new" in small.words
+
+
+def test_counts_and_classes(spark, awkward):
+    """Counts by word are those of a plain count, and classes the same in Spark and in Python."""
+    spec = hmm.HmmSpec(classes=16)
+    rows = awkward.select(F.coalesce("text", F.lit("")).alias("_text"), (F.coalesce("doc_id", F.lit(0)) % 4 != 0).alias("_learn"))
+    want: dict = {}
+    for r in rows.collect():
+        for w in r["_text"].encode().lower().split() + [b""]:
+            want.setdefault(w, [0, 0])[not r["_learn"]] += 1
+    got = hmm.count_tokens(rows, spec).collect()
+    assert {bytes(r["word"]): [r["c"], r["other"]] for r in got} == want
+    assert all(r["k"] == hmm.word_class(bytes(r["word"]), spec) for r in got) and len({r["k"] for r in got}) > 8

@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -64,8 +65,8 @@ def count_tokens(texts: DataFrame, spec: HmmSpec) -> DataFrame:
         n: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def out():
-            words = list(n[0].keys() | n[1].keys())
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "k": pa.array([word_class(w, spec) for w in words], pa.int32()), "c": pa.array([n[1][w] for w in words], pa.int64()), "other": pa.array([n[0][w] for w in words], pa.int64())})
+            words, sizes = [*n[1], *n[0]], [*n[1].values(), *n[0].values()]
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "n": pa.array(sizes, pa.int64()), "learn": pa.array(np.arange(len(words)) < len(n[1]))})
 
         for batch in it:
             for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -79,8 +80,9 @@ def count_tokens(texts: DataFrame, spec: HmmSpec) -> DataFrame:
         if n[0] or n[1]:
             yield out()
 
-    counted = texts.select("_text", "_learn").mapInArrow(count, "word binary, k int, c long, other long")
-    return counted.groupBy("word").agg(F.first("k").alias("k"), F.sum("c").alias("c"), F.sum("other").alias("other"))
+    counted = texts.select("_text", "_learn").mapInArrow(count, "word binary, n long, learn boolean").groupBy("word")
+    sums = counted.agg(F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("learn"), 0).otherwise(F.col("n"))).alias("other"))
+    return sums.select("word", (F.crc32(F.substring("word", -3, 3)) % spec.classes).cast("int").alias("k"), "c", "other")
 
 
 class Vocabulary:
@@ -132,28 +134,38 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.symbol, vocabulary.log_count, vocabulary.inside, vocabulary.known))
     kind = "struct<symbols: binary, n: bigint, n_common: bigint, log_count: double, inside: double, rare: array<struct<word: binary, k: int, m: int>>>"
 
-    arrow = pa.struct([("symbols", pa.binary()), ("n", pa.int64()), ("n_common", pa.int64()), ("log_count", pa.float64()), ("inside", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("m", pa.int32())])))])
-
     @F.arrow_udf(kind)
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, symbol, log_count, inside, learnt = shared.value
         place = dict(zip(words, range(len(words)), strict=True))
 
-        def one(text: str) -> dict:
-            tokens = words_of(text)
-            tokens.append(END)
-            at = np.array([place.get(w, -1) for w in tokens], dtype=np.int64)
-            missing = np.flatnonzero(at < 0)
-            others = [tokens[i] for i in missing.tolist()]
-            rare = [{"word": w, "k": word_class(w, spec), "m": m} for w, m in Counter(others).items()]
-            ids = symbol[at] if len(symbol) else np.zeros(len(at), dtype=np.int32)
-            ids[missing] = [own_symbols + word_class(w, spec) for w in others]
-            known = at[at >= 0]
-            return {"symbols": ids.astype(np.int32).tobytes(), "n": len(tokens), "n_common": int(learnt[known].sum()), "log_count": float(log_count[known].sum()), "inside": float(inside[known].sum()), "rare": rare}
+        def some(texts: pa.Array) -> pa.Array:
+            packed, sums, ends = [], [], [0]
+            rare: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+            for text in texts.to_pylist():
+                tokens = words_of(text)
+                tokens.append(END)
+                at = np.fromiter(map(place.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+                ids = symbol[at] if len(symbol) else np.zeros(len(at), dtype=np.int32)
+                missing = np.flatnonzero(at < 0)
+                if len(missing):
+                    others = [tokens[i] for i in missing.tolist()]
+                    times = Counter(others)
+                    own = {w: word_class(w, spec) for w in times}
+                    ids[missing] = [own_symbols + own[w] for w in others]
+                    for column, values in zip(rare, (own.keys(), own.values(), times.values()), strict=True):
+                        column.extend(values)
+                ends.append(len(rare[0]))
+                known = at[at >= 0]
+                packed.append(ids.tobytes())
+                sums.append((len(tokens), int(learnt[known].sum()), float(log_count[known].sum()), float(inside[known].sum())))
+            others_ = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(rare, (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["word", "k", "m"])
+            columns = [pa.array(packed, pa.binary()), *(pa.array([x[i] for x in sums], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others_)]
+            return pa.StructArray.from_arrays(columns, ["symbols", "n", "n_common", "log_count", "inside", "rare"])
 
         for texts in parts:
-            done = [pa.array([one(x.as_py()) for x in texts[i : i + 256]], arrow) for i in range(0, len(texts), 256)]
-            yield pa.concat_arrays(done) if done else pa.array([], arrow)
+            for i in range(0, len(texts), 256):
+                yield some(texts[i : i + 256])
 
     return docs.withColumn("_e", encoded("_text")).select(*[c for c in docs.columns if c != "_text"], "_e.*")
 
@@ -179,46 +191,44 @@ class Hmm:
 
 
 def expected_counts(sequences: list[np.ndarray], first: np.ndarray, model: tuple, sums: list[np.ndarray]) -> float:
-    """Adds the expected counts of segments to ``sums`` (start, move, emit, share); their log-likelihood."""
+    """Adds the expected counts of segments to ``sums`` (start, move, emit, share); their log-likelihood.
+
+    Tokens lie place by place, those of the longest segments first, so that a step is a slice of every
+    table, states are rows, and nothing is padded.
+    """
     start, move, emit, share = model
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    order = np.argsort([-len(x) for x in sequences], kind="stable")
     lengths = np.array([len(sequences[i]) for i in order])
     steps, s = int(lengths[0]), len(start)
-    ids = np.zeros((steps, len(order)), dtype=np.int32)
-    for j, i in enumerate(order):
-        ids[: lengths[j], j] = sequences[i]
-    active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(steps)]
-    alpha, scale = np.zeros((steps, len(order), s), dtype=np.float32), np.ones((steps, len(order)), dtype=np.float32)
+    tokens, begins = np.concatenate([sequences[i] for i in order]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    at = np.concatenate([[0], np.cumsum(active)])
+    ids = np.concatenate([tokens[begins[:n] + t] for t, n in enumerate(active)])
+    seen = np.ascontiguousarray(emit[ids].T)
+    alpha, scale, forward = np.empty_like(seen), np.empty(len(ids), dtype=np.float32), np.ascontiguousarray(move.T)
     at_start = first[order]
-    now = np.where(at_start[:, None], start, share)
+    now = np.where(at_start, start[:, None], share[:, None])
     for t in range(steps):
-        n = active[t]
-        if t:
-            now = alpha[t - 1, :n] @ move
-        now = now[:n] * emit[ids[t, :n]]
-        c = now.sum(1)
-        now = now / c[:, None]
-        alpha[t, :n], scale[t, :n] = now, c
-    total = float(np.log(scale, dtype=np.float64).sum())
-    beta = np.ones((len(order), s), dtype=np.float32)
-    ahead = 0
+        here = slice(at[t], at[t + 1])
+        now = (forward @ now[:, : active[t]] if t else now) * seen[:, here]
+        c = now.sum(0)
+        now /= c
+        alpha[:, here], scale[here] = now, c
+    beta = np.ones((s, len(order)), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
-        n = active[t]
-        if ahead:
-            after = emit[ids[t + 1, :ahead]] * beta[:ahead] / scale[t + 1, :ahead, None]
-            sums[1] += alpha[t, :ahead].T @ after
-            beta[:ahead] = after @ move.T
-        if t:
-            ahead = n
-        alpha[t, :n] *= beta[:n]
-        if not t:
-            sums[0] += alpha[0][at_start].sum(0)
-    mask = np.arange(steps)[:, None] < lengths[None, :]
-    flat, gamma = ids[mask], alpha[mask]
+        here, n = slice(at[t], at[t + 1]), active[t]
+        if t + 1 < steps:
+            next_, ahead = slice(at[t + 1], at[t + 2]), active[t + 1]
+            after = seen[:, next_] * beta[:, :ahead]
+            after /= scale[next_]
+            sums[1] += alpha[:, at[t] : at[t] + ahead] @ after.T
+            beta[:, :ahead] = move @ after
+        alpha[:, here] *= beta[:, :n]
+    sums[0] += alpha[:, : active[0]][:, at_start].sum(1, dtype=np.float64)
     for k in range(s):
-        sums[2][:, k] += np.bincount(flat, gamma[:, k], len(emit))
-    sums[3] += gamma.sum(0, dtype=np.float64)
-    return total
+        sums[2][:, k] += np.bincount(ids, alpha[k], len(emit))
+    sums[3] += alpha.sum(1, dtype=np.float64)
+    return float(np.log(scale, dtype=np.float64).sum())
 
 
 def baum_welch_round(rows: DataFrame, model: Hmm, frequency: np.ndarray, spec: HmmSpec, tasks: int = 1) -> tuple[Hmm, float]:
@@ -296,13 +306,13 @@ def forward_log10(sequences: list[np.ndarray], model: Hmm) -> np.ndarray:
     lengths = lengths[order]
     flat = np.concatenate([sequences[i] for i in order])
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    out, now = np.zeros(len(order)), np.tile(model.start, (len(order), 1))
+    out, now, ones = np.zeros(len(order)), np.tile(model.start, (len(order), 1)), np.ones(len(model.start))
     ends = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")
     for t, n in enumerate(ends.tolist()):
         if t:
             now = now[:n] @ model.move
         now = now[:n] * model.emit[flat[offsets[:n] + t]]
-        c = now.sum(1)
+        c = now @ ones
         out[:n] += np.log10(c)
         now /= c[:, None]
     back = np.empty(len(order))
