@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime  # noqa: F401
 import random
 
 import pytest

@@ -35,7 +35,8 @@ def test_classifiers(spark, labelled, awkward, nothing, train, score):
     labels = labelled.select("doc_id", "y").unionByName(spark.createDataFrame([(3, None), (None, 1), (4, 7), (8, 1)], "doc_id long, y int"))
     model = train(labelled, labels, F.col("doc_id") % 3 != 0, label="y")
     got = score(labelled, model).where("doc_id % 3 = 0").collect()
-    assert np.mean([(r["score"] >= 0.3) == r["y"] for r in got]) > 0.9
+    assert np.mean([(r["_tw_score"] >= 0.3) == r["y"] for r in got]) > 0.9
+    assert score(awkward, model).columns == [*awkward.columns, "_tw_score"] and score(awkward, model, into="score").columns == awkward.columns
     odd = score(awkward, model, into="tox")
     assert odd.count() == awkward.count() and odd.where("tox between 0 and 1").count() == awkward.count()
     assert score(nothing, model).count() == 0

@@ -5,8 +5,9 @@ source, language and topic. A document is kept with the probability min(1, l * r
 of its cell, where l makes the expected tokens kept the asked share of all; the draw is a hash of
 the id, so it is the same on every run. DataFrame functions only.
 
-Null categories are the category ``(null)``; null and empty texts have no tokens, and take their
-cell's probability; a cell without tokens has probability 1 (it costs nothing). Repeated ids share one draw. Targets
+Nulls are a category of their own; null and empty texts have no tokens, and take their
+cell's probability; a cell without tokens has probability 1 (it costs nothing). Repeated ids share one
+draw; ``keep_sampled`` keeps all rows of an id of which any is sampled, and null is an id. Targets
 that name no category present leave that dimension as it is; named categories that are not there
 are dropped and the others scaled up; categories that a given target does not name get weight 0.
 An empty table gives an empty result. Other columns pass through and may have any name but ``_tw_*``.
@@ -34,7 +35,8 @@ def draw(doc_id: str) -> Column:
 
 
 def _category(df: DataFrame, name: str) -> Column:
-    return F.coalesce(df[name].cast("string"), F.lit("(null)"))
+    """The category with a sign before it; null as the empty string, which no category is then."""
+    return F.coalesce(F.concat(F.lit("="), df[name].cast("string")), F.lit(""))
 
 
 def targets_of(cells: DataFrame, dim: str, alpha: float, given: dict[str, float] | None) -> DataFrame:
@@ -42,7 +44,7 @@ def targets_of(cells: DataFrame, dim: str, alpha: float, given: dict[str, float]
     spark = cells.sparkSession
     own = cells.groupBy(dim).agg(F.sum("tokens").alias("_t")).where("_t > 0")
     if given is not None:
-        asked = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()] or [("", 0.0)], f"`{dim}` string, _w double")
+        asked = spark.createDataFrame([("" if k is None else f"={k}", float(v)) for k, v in given.items()] or [("", 0.0)], f"`{dim}` string, _w double")
         raw = own.join(asked, dim, "left").select(dim, F.coalesce("_w", F.lit(0.0)).alias("_raw"))
         if (raw.agg(F.sum("_raw")).first()[0] or 0) <= 0:
             raw = own.select(dim, F.col("_t").cast("double").alias("_raw"))
@@ -110,9 +112,9 @@ def mix(docs: DataFrame, dims: tuple[str, str, str] = ("source", "lang", "topic"
 
 def keep_sampled(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", most_ids: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` whose id ``mixed`` has sampled; the ids travel whole only up to ``most_ids``."""
-    sampled = saved(mixed.where("_tw_sampled").select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_tw_id")).distinct())
+    sampled = saved(mixed.where("_tw_sampled").select(F.col(doc_id).alias("_tw_id")).distinct())
     ids = F.broadcast(sampled) if sampled.count() <= most_ids else sampled
-    return docs.join(ids, F.coalesce(docs[doc_id].cast("string"), F.lit("")) == ids["_tw_id"], "left_semi")
+    return docs.join(ids, docs[doc_id].eqNullSafe(ids["_tw_id"]), "left_semi")
 
 
 def with_topics(docs: DataFrame, topics: DataFrame, doc_id: str = "doc_id", key: str = "vec_id", label: str = "label") -> DataFrame:

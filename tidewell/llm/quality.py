@@ -7,6 +7,9 @@ repeats the word before it counts as one sign of its own, so that runs of a word
 Null and empty texts get the score of a document without n-grams; very long texts are scored whole;
 labels that are null or not 0/1 and rows with a null id teach nothing; repeated labels of one id
 count once (the larger). Without labelled rows the score is 0.0; with one class only it is that class.
+Repeated rows and equal texts get equal scores; no order or tie enters a score. An empty table gives an
+empty result. Other columns are not read and pass through, whatever their names; one named as ``into``
+is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +28,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, eligible: Column | None =
     return fit(labelled_sample(docs, labels, label, F.lit(True) if eligible is None else eligible, spec), spec, hinge_dual(c=0.1))
 
 
-def score_quality(docs: DataFrame, model: NgramModel, text: str = "text", into: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, model: NgramModel, text: str = "text", into: str = "_tw_score") -> DataFrame:
     """``docs`` with the probability that the whole text is of good quality in the column ``into``."""
     return docs.withColumn(into, model.scorer(docs)(text_of(docs, text)))

@@ -49,7 +49,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def _scored(scored: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
-    return scored.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), F.col("_tw_score").alias("score"), (F.col("_tw_score") >= threshold).cast("int").alias("predicted"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
