@@ -15,7 +15,7 @@ from tidewell.functions import text as T
 from tidewell.functions.filters import condition
 from tidewell.functions.vectors import cosine
 from tidewell.operators import context, dialogue, quality, search, vocabulary
-from tidewell.plans import answer, spec
+from tidewell.plans import answer, chains, spec
 from tidewell.sources import collection, readers, term_index
 from tidewell.streaming import ingest
 
@@ -242,3 +242,73 @@ def test_answers(spark):
 
 def test_cosine_of_zero(spark):
     assert spark.range(1).select(cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("c")).first()["c"] == 0.0
+
+
+def test_login_and_user_info(spark):
+    users = spark.createDataFrame([("12345678901", "secret1", "doctor")], "phone string, password string, role string").select("phone", F.sha2("password", 256).alias("password_hash"), "role")
+    tries = spark.createDataFrame([("12345678901", "secret1"), ("12345678901", "wrong"), ("0", "secret1")], "phone string, password string")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    tokens = dialogue.logins(users, tries, now)
+    assert tokens.count() == 1
+    assert dialogue.user_info(tokens, users, F.lit("2024-01-05").cast("timestamp")).first()["role"] == "doctor"
+    assert dialogue.user_info(tokens, users, F.lit("2024-02-05").cast("timestamp")).count() == 0
+
+
+def test_health(spark):
+    rows = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "service string, ok boolean")
+    assert quality.all_healthy(rows).first().asDict() == {"ok": False, "failing": ["b", "c"]}
+    assert quality.all_healthy(rows.limit(0)).first()["ok"] is True
+
+
+def test_annotation_run_with_sinks(spark, tmp_path):
+    source = str(tmp_path / "in.json")
+    spark.createDataFrame([("1", "q", "a"), ("2", "", "a"), ("3", "bad", "a")], "id string, question string, answer string").write.json(source)
+    calls = lambda prompt, attempt: F.when(F.contains(prompt, F.lit("bad")), "junk").otherwise('{"departments": [1], "categories": [2]}')
+    assert quality.run_annotation(spark, source, str(tmp_path / "out.json"), calls) == {"processed": 2, "succeeded": 1, "failed": 1}
+    row = spark.read.json(str(tmp_path / "out.json")).first()
+    assert (row["id"], row["attempt"], row["department_names"]) == ("1", 1, ["外科系统"])
+
+
+def test_rewriting_run(spark, tmp_path):
+    source = str(tmp_path / "in.json")
+    spark.createDataFrame([(str(i), f"q{i}", "a", "t") for i in range(9)], "id string, question string, answer string, text string").write.json(source)
+    model = lambda prompt: F.when(F.contains(prompt, F.lit("q3")), "no").otherwise('<think>x</think>{"question": "Q", "answer": "A"}')
+    assert quality.run_rewriting(spark, source, str(tmp_path / "out.json"), "id", 9, 1, model) == 8
+    assert "text" not in spark.read.json(str(tmp_path / "out.json")).columns
+
+
+def test_search_graph_modes(spark):
+    asked = spark.createDataFrame([(1, "why")], "query_id long, query string")
+    found = spark.createDataFrame([(1, 1, "because")], "query_id long, rank int, passage string")
+    search_ = lambda q: q.join(found, "query_id").select("query_id", "rank", "passage")
+    never = lambda text, attempt: F.lit("no")
+    slow = chains.search_graph(asked, search_, None, None, never, attempts=2).first()
+    assert slow["route"] == "fail" and slow["final"] == slow["answer"] + T.DOUBT_MARK
+    fast = chains.search_graph(asked, search_, None, None, never, mode="fast").first()
+    assert fast["final"] == fast["answer"] != slow["answer"]
+    third = chains.search_graph(asked, search_, None, None, lambda text, attempt: F.lit("Yes" if attempt == 1 else "no"), attempts=2).first()
+    assert third["route"] == "pass" and third["answer"] not in (fast["answer"], slow["answer"])
+    with pytest.raises(ValueError):
+        chains.search_graph(asked, search_, None, None, never, mode="normal")
+
+
+def test_envelope(spark):
+    rows = spark.createDataFrame([("a", True, [1]), (None, None, [2])], "answer string, ok boolean, documents array<int>")
+    got = [(r["answer"], r["documents"]) for r in chains.with_envelope(rows).collect()]
+    assert got == [("a", [1]), (chains.SORRY, [])]
+
+
+def test_templates():
+    T.register_template("own", "{a}!")
+    assert "own" in T.template_names() and T.template("own") == "{a}!"
+
+
+def test_one_route_and_registered_search(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y")], "pk long, summary_dense array<double>, text string")
+    asked = spark.createDataFrame([(7, [1.0, 0.1])], "query_id long, q array<double>")
+    one = spec.api_search(1, hybrid=False)
+    got = search.hybrid(asked, rows.withColumns({c: F.lit("") for c in one.output if c != "text"}), rows, rows, one).collect()
+    assert [(r["pk"], r["rank"]) for r in got] == [(1, 1)]
+    readers.register_search("stored", readers.page_search(readers.from_rows(spark, [{"page_id": 1, "url": "u", "html": "<p>red fox</p>"}], "page_id long, url string, html string")))
+    found = readers.SEARCHES["stored"](spark.createDataFrame([(1, "fox", 3)], "query_id long, query string, cnt int")).first()
+    assert (found["rank"], found["passage"]) == (1, "red fox")

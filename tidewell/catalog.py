@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -154,6 +155,27 @@ def event_lines(spark, sf):
     return found.select(F.from_json("data", "session_id long, seq long").alias("d"), "type", "message").select("d.session_id", "d.seq", "type", "message")
 
 
+@query("SELECT conv_id AS session_id, turn AS seq, text AS message FROM conversations WHERE turn <= 3")
+def event_lines_to_done(spark, sf):
+    """A stream's lines up to its first end; what comes after it is left out."""
+    rows = messages(spark, sf)
+    line = lambda kind: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit(kind).alias("type"), F.col("content").alias("message"))))
+    lines = rows.select("session_id", (F.col("seq") * 2).alias("seq"), line("answer").alias("value")).unionByName(rows.where("seq in (3, 5)").select("session_id", F.lit(7).alias("seq"), line("done").alias("value")))
+    found = readers.event_lines(lines, stream="session_id", order="seq").where("type = 'answer'")
+    return found.select("session_id", (F.col("seq") / 2).cast("int").alias("seq"), "message")
+
+
+@query("SELECT DISTINCT md5(coalesce(text, '')) AS pk, length(coalesce(text, '')) AS n_chars FROM documents")
+def stream_ingest(spark, sf):
+    """The documents as a stream into a collection, by micro-batches, and what the collection then holds."""
+    at = f"{term_index.shared_dir(spark)}/tidewell-stream-{uuid.uuid4().hex}"
+    schema = _table(spark, sf, "documents").schema
+    stream = readers.stream_table(spark, f"{sf}/documents.parquet", schema).select(F.col("text").alias("question"), F.col("text").alias("answer"))
+    store = collection.Collection(spark, f"{at}/rows")
+    ingest.ingest_stream(stream, store, f"{at}/checkpoint").awaitTermination()
+    return store.read().select("pk", F.length("document").cast("long").alias("n_chars"))
+
+
 # Text --------------------------------------------------------------------------------------------
 
 
@@ -188,6 +210,13 @@ def stop_word_filter(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"))
 
 
+@query(f"WITH sw AS (SELECT list(DISTINCT w) s FROM (SELECT unnest({TOKENS.format('text')}) w FROM benchmark WHERE item_id < 5)) SELECT doc_id, len(list_filter({TOKENS.format('text')}, lambda x: NOT list_contains(s, x))) AS n_tokens FROM documents, sw")
+def stop_word_table(spark, sf):
+    """Tokens without those of a table of stop words, here the words of five benchmark items."""
+    stop = vocabulary.tokenised(_table(spark, sf, "benchmark").where("item_id < 5"), "item_id", "text").select(F.explode("tokens").alias("word"))
+    return vocabulary.tokenised(_table(spark, sf, "documents"), "doc_id", "text", stop).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
 @query("SELECT doc_id, substr(text, 1, 200) AS preview, substr(text, 1, 20) AS title, CAST(ceil(length(text) / 4) AS BIGINT) AS n_estimated FROM documents")
 def previews(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.preview(F.col("text"), 20).alias("title"), T.estimate(F.col("text")).cast("long").alias("n_estimated"))
@@ -314,6 +343,23 @@ def hybrid_search(spark, sf):
     return cards.withColumn("distance", F.round("distance", 6))
 
 
+API_SQL = f"""{SQL_BM25},
+en AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+ds AS (SELECT item_id query_id, e.vec_id pk, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, (SELECT * FROM embeddings SEMI JOIN en ON doc_id = vec_id) e),
+ss AS (SELECT query_id, pk, sum(qw.w * post.w) score FROM qw JOIN post USING (term) SEMI JOIN en ON doc_id = pk GROUP BY ALL),
+d AS ({_top('ds', 10)}), s AS ({_top('ss', 10)}),
+f AS (SELECT query_id, pk, sum(1.0 / (60 + rank)) score FROM (SELECT query_id, pk, rank FROM d UNION ALL SELECT query_id, pk, rank FROM s) GROUP BY ALL)"""
+
+
+@query(f"WITH {API_SQL} SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('f', 5)})")
+def api_search_run(spark, sf):
+    """The client's request: both routes with one filter and twice the limit, fused by reciprocal ranks."""
+    vocab, stats, postings = bm25_tables(spark, sf)
+    rows = corpus(spark, sf).join(vectors(spark, sf).select("pk", F.col("embedding").alias("summary_dense")), "pk", "left")
+    asked = _table(spark, sf, "benchmark").join(_table(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
+    return _rounded(search.hybrid(asked, rows, postings, query_weights(spark, sf, vocab, stats), spec.api_search(5, 'source == "en"')))
+
+
 @query("SELECT vec_id AS query_id, len(embedding) AS d, CASE WHEN label >= 8 THEN 'high' WHEN label >= 6 THEN 'middle' ELSE 'low' END AS band FROM embeddings")
 def score_bands(spark, sf):
     return vectors(spark, sf).select(F.col("pk").alias("query_id"), F.size("embedding").cast("long").alias("d"), T.score_band(F.col("label"), 8, 6).alias("band"))

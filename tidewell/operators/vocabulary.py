@@ -10,9 +10,14 @@ from ..functions.text import counted, tokens
 from .joins import by_size
 
 
-def tokenised(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(key, tokens)"""
-    return docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit("")), stop_words).alias("tokens"))
+def tokenised(docs: DataFrame, key: str, text: str, stop_words: list[str] | DataFrame | None = None) -> DataFrame:
+    """(key, tokens), without the stop words: a list, or a table (word) of at most a few thousand, which
+    goes to every row as one array."""
+    words = F.coalesce(F.col(text), F.lit(""))
+    if not isinstance(stop_words, DataFrame):
+        return docs.select(F.col(key), tokens(words, stop_words).alias("tokens"))
+    stop = F.broadcast(stop_words.agg(F.collect_set("word").alias("_stop")))
+    return docs.select(F.col(key), tokens(words).alias("_t")).join(stop, how="cross").select(key, F.filter("_t", lambda t: ~F.array_contains(F.col("_stop"), t)).alias("tokens"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,18 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.parquet(path) if ending == "parquet" else reader.json(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stream of the files of a Parquet table: a folder of parts, or one file, which streams as the only
+    one of its name in its folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
 def from_rows(spark: SparkSession, rows: list[dict], schema: StructType | str) -> DataFrame:
+    """Records at hand as a table; names that the schema lacks are left out, missing ones are null."""
     return spark.createDataFrame(rows, schema)
 
 
@@ -34,10 +45,19 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def event_lines(lines: DataFrame, value: str = "value", schema: str = "type string, message string, data string, questions array<string>, queries array<string>") -> DataFrame:
-    """Server-sent events: the objects of the lines that start with ``data: ``; broken ones are dropped."""
-    body = lines.where(F.col(value).startswith("data: ")).select(F.substring(value, 7, 1 << 30).alias("_j"))
-    return body.select(F.from_json("_j", schema).alias("e")).where("e.type is not null").select("e.*")
+def event_lines(lines: DataFrame, value: str = "value", schema: str = "type string, message string, data string, questions array<string>, queries array<string>", stream: str | None = None, order: str | None = None) -> DataFrame:
+    """Server-sent events: the objects of the lines that start with ``data: ``; broken ones are dropped.
+
+    With the columns ``stream`` and ``order`` what follows a stream's first ``done`` is left out, and
+    both columns are kept.
+    """
+    kept = [c for c in (stream, order) if c]
+    body = lines.where(F.col(value).startswith("data: ")).select(*kept, F.substring(value, 7, 1 << 30).alias("_j"))
+    events = body.select(*kept, F.from_json("_j", schema).alias("e")).where("e.type is not null")
+    if stream and order:
+        end = F.min(F.when(F.col("e.type") == "done", F.col(order))).over(Window.partitionBy(stream))
+        events = events.withColumn("_end", end).where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
+    return events.select(*kept, "e.*")
 
 
 #: Words of a batch of queries that are sent to the pages; more of them are joined by a shuffle.
