@@ -67,9 +67,12 @@ def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25:
     """
     rows = frequencies(docs, key)
     if own:
-        known = by_size(rows, vocab.select("term", "idf", "df"), "term", "df", docs.count())
-    else:
-        known = rows.join(vocab.select("term", "idf"), "term").withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+        return weighed(by_size(rows, vocab.select("term", "idf", "df"), "term", "df", docs.count()), stats, key, bm25)
+    return weighed(rows.join(vocab.select("term", "idf"), "term").withColumn("dl", F.sum("tf").over(Window.partitionBy(key))), stats, key, bm25)
+
+
+def weighed(known: DataFrame, stats: DataFrame, key: str, bm25: Bm25 = Bm25()) -> DataFrame:
+    """(key, term, tf, w) of counted terms (key, dl, term, tf, idf)."""
     rows = known.join(F.broadcast(stats.select("avgdl")), how="cross")
     f, length = F.col("tf"), 1 - bm25.b + bm25.b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
     w = F.col("idf") * f * (bm25.k1 + 1) / (f + bm25.k1 * length)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25
 from ..operators import vocabulary
+from ..operators.joins import by_size
 
 BUCKETS = 32
 
@@ -54,21 +55,27 @@ def version(spark: SparkSession, path: str) -> int:
 
 
 def build(docs: DataFrame, path: str, bm25: Bm25 = Bm25()) -> TermIndex:
-    """Writes the index of ``docs`` (pk, tokens), one row a pk, as the next version and gives it."""
+    """Writes the index of ``docs`` (pk, tokens), one row a pk, as the next version and gives it.
+
+    Texts are tokenised once: the counted terms of every row are written first, and all else comes from them.
+    """
     spark = docs.sparkSession
     to = f"{path.rstrip('/')}/v{version(spark, path) + 1}"
-    save_vocabulary(vocabulary.vocabulary(docs), vocabulary.statistics(docs), to)
+    vocabulary.frequencies(docs, "pk").write.mode("overwrite").parquet(f"{to}/counted")
+    counted, n = spark.read.parquet(f"{to}/counted"), docs.count()
+    sums = counted.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("sum_dl"))
+    mean = F.when(F.col("n") > 0, F.greatest(F.lit(1.0), F.col("sum_dl") / F.col("n"))).otherwise(F.lit(1.0))
+    sums.withColumn("avgdl", mean).write.mode("overwrite").parquet(f"{to}/statistics")
+    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms.withColumn("idf", vocabulary.idf(F.lit(n), F.col("df"))).write.mode("overwrite").parquet(f"{to}/vocabulary")
     vocab, stats = spark.read.parquet(f"{to}/vocabulary"), spark.read.parquet(f"{to}/statistics")
-    vocabulary.weights(docs, vocab, stats, "pk", bm25, own=True).withColumn("bucket", bucket_of()).write.partitionBy("bucket").mode("overwrite").parquet(f"{to}/postings")
+    known = by_size(counted, vocab, "term", "df", n)
+    vocabulary.weighed(known, stats, "pk", bm25).withColumn("bucket", bucket_of()).write.partitionBy("bucket").mode("overwrite").parquet(f"{to}/postings")
     stats.select("n").write.mode("overwrite").parquet(f"{to}/done")
+    _remove(spark, f"{to}/counted")
     return load(spark, path)
 
 
-def save_vocabulary(vocab: DataFrame, stats: DataFrame, to: str) -> None:
-    vocab.write.mode("overwrite").parquet(f"{to}/vocabulary")
-    stats.write.mode("overwrite").parquet(f"{to}/statistics")
-
-
 def load(spark: SparkSession, path: str) -> TermIndex | None:
     """The newest complete version, or None."""
     n = version(spark, path)
