@@ -15,6 +15,7 @@ from .hmm import score_documents
 from .html_main import extract
 from .jaccard_join import join_documents
 from .quality import score_quality, train_quality
+from .repeats import without_repeats
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 from .url_filter import filter_urls
 
@@ -98,6 +99,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.col("_tw_host").alias("host"), F.col("_tw_path").alias("path"), F.col("_tw_rule").alias("rule"), F.col("_tw_verdict").alias("verdict"), F.round("_tw_score", 6).alias("margin"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(F.col("_tw_id").alias("doc_id"), F.col("_tw_bytes").alias("n_bytes"), F.col("_tw_removed").alias("n_removed"), F.col("_tw_spans").alias("n_spans"), F.col("_tw_kept_sha").alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
