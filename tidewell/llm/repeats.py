@@ -144,7 +144,7 @@ def sampled(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
                     own.append(i)
                     found.append(sampler.of(data))
                     n += len(found[-1][0])
-                if n > 200_000:
+                if n > 50_000:
                     yield out(own, batch.column("key"), found)
                     own, found, n = [], [], 0
             if found:
@@ -171,7 +171,7 @@ def cut_contexts(texts: DataFrame, wanted: DataFrame, spec: RepeatSpec) -> DataF
                 out["h"].append(h[a:b])
                 out["c"].append(c[a:b])
                 out["m"].append(m[a:b])
-                if len(out["left"]) > 50_000:
+                if len(out["left"]) > 10_000:
                     yield _contexts(out)
                     out = {k: [] for k in out}
             if out["left"]:
@@ -352,7 +352,7 @@ class Repeats:
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: RepeatSpec = RepeatSpec()) -> Repeats:
-    texts = with_bodies(docs, doc_id, text, spec)
+    texts = saved(with_bodies(docs, doc_id, text, spec))
     every = saved(sampled(texts, spec))
     n = every.count()
     again = saved(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
