@@ -16,6 +16,7 @@ from .html_main import extract
 from .jaccard_join import join_documents
 from .quality import score_quality, train_quality
 from .repeats import without_repeats
+from .runs import with_runs
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 from .url_filter import filter_urls
 
@@ -99,6 +100,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.col("_tw_host").alias("host"), F.col("_tw_path").alias("path"), F.col("_tw_rule").alias("rule"), F.col("_tw_verdict").alias("verdict"), F.round("_tw_score", 6).alias("margin"))
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of one document in ten, by crc32 of the id, the words from one on repeat with a period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g, words = F.floor(h / 10).cast("int"), F.filter(F.split(text_of(docs, "text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", text_of(docs, "text").alias("text"), (h % 10 == 0).alias("chosen"), g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + CAST(FLOOR((n - a) / (3 + g % 8)) AS INT)"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> element_at(w, 1 + IF(i < a, i, a + (i - a) % p))), ' ')")
+    return rows.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_runs(repeating(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = found.select(F.col("_tw_id").alias("doc_id"), F.col("_tw_runs").alias("n_runs"), F.col("_tw_start").alias("start"), F.col("_tw_length").alias("length"), F.col("_tw_period").alias("period"), F.col("_tw_runs_sha").alias("runs_sha256"), F.col("_tw_collapsed_sha").alias("collapsed_sha256"))
+    return rows.withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select(F.col("_tw_id").alias("doc_id"), F.col("_tw_bytes").alias("n_bytes"), F.col("_tw_removed").alias("n_removed"), F.col("_tw_spans").alias("n_spans"), F.col("_tw_kept_sha").alias("kept_sha256"))
