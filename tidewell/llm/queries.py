@@ -11,6 +11,7 @@ from . import mixing, pieces
 from .ann import search
 from .common import text_of
 from .exact_dedup import duplicate_table
+from .hard_negatives import mine
 from .hmm import score_documents
 from .html_main import extract
 from .jaccard_join import join_documents
@@ -100,6 +101,37 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.col("_tw_host").alias("host"), F.col("_tw_path").alias("path"), F.col("_tw_rule").alias("rule"), F.col("_tw_verdict").alias("verdict"), F.round("_tw_score", 6).alias("margin"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    x = F.col("embedding")
+    good = ~F.exists(x, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(x.isNotNull() & good).select("vec_id", label.alias("label"), F.transform(x, lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return mine(rows, F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def repeating(docs: DataFrame) -> DataFrame:
     """doc_id, text: of one document in ten, by crc32 of the id, the words from one on repeat with a period."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -126,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.sql(), "op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": mixing.sql(), "op2_exact_dedup": OP2_SQL, "op11_hard_negatives": OP11_SQL}
