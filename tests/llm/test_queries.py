@@ -22,7 +22,7 @@ from test_texts import plain_components
 def test_query(spark, sf, name):
     got = Q.queries()[name](spark, sf).toPandas()
     sql = Q.oracle_sql().get(name)
-    source = {"op8_nearest_neighbours": None, "op9_html_extraction": "pages", "op10_url_filters": "pages"}.get(name, "documents")
+    source = {"op8_nearest_neighbours": None, "op11_hard_negatives": None, "op9_html_extraction": "pages", "op10_url_filters": "pages"}.get(name, "documents")
     if source:
         assert len(got) == spark.read.parquet(f"{sf}/{source}.parquet").count()
     if sql:

@@ -1,7 +1,7 @@
 """Hard negatives from an inverted multi-index, exact by certified windows.
 
 An anchor's positives are its best rows of the same label; the hard negatives of a positive are the best
-rows of other labels whose score lies in a window below the positive's. Scores are inner products of integers.
+rows of other labels whose score lies in a window below the positive's. Scores are inner products of integers, which must be below 2 ** 56.
 
 Two codebooks, one for either half of the components, form the cells of the index: a row's cell is the pair
 of its halves' nearest words. A half's score of any row of a word is at most the word's own score plus the
@@ -265,9 +265,8 @@ def mine(vectors: DataFrame, is_anchor: Column, vec_id: str = "vec_id", vector:
     ends = lambda x: F.array(F.lit(x).cast("long"))
     positives = windows_filled(placed, anchors.withColumns({"hi": ends(MOST), "lo": ends(LEAST)}), index, True, spec.positives, spec)
     positives = saved(positives.select("anchor", F.col("id").alias("positive_id"), F.col("score").alias("hi")))
-    # the least whole number of at least the share, in whole numbers
-    up = lambda h: h * spec.least_share + 99
-    lowest = F.transform("hi", lambda h: ((up(h) - F.pmod(up(h), F.lit(100))) / 100).cast("long"))
+    # the least whole number of at least the share
+    lowest = F.expr(f"transform(hi, h -> (h * {spec.least_share} + 99) div 100)")
     # a window below a negative score is empty
     tops = positives.where("hi >= 0").groupBy(F.col("anchor").alias("id")).agg(F.array_sort(F.collect_set("hi")).alias("hi")).withColumn("lo", lowest)
     negatives = windows_filled(placed, saved(anchors.join(tops, "id")), index, False, spec.negatives, spec)

@@ -366,6 +366,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     big = cut.where(F.col("m") > spec.block)
     if not big.isEmpty():
         found = found.unionByName(saved_parts(cut_down(big, spec)))
+    discard(cut)
     return Repeats(texts, samples, contexts.select("h", "c", "n"), found)
 
 
