@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given
@@ -14,7 +15,7 @@ from tidewell import config
 from tidewell.functions import text as T
 from tidewell.functions.filters import condition
 from tidewell.functions.vectors import cosine
-from tidewell.operators import context, dialogue, quality, search, vocabulary
+from tidewell.operators import context, dialogue, maxscore, quality, search, vocabulary
 from tidewell.plans import answer, chains, spec
 from tidewell.sources import collection, readers, term_index
 from tidewell.streaming import ingest
@@ -84,7 +85,28 @@ def test_term_index(spark, tmp_path):
     (tmp_path / "terms" / "v2" / "vocabulary").mkdir(parents=True)  # a build that ended half-way
     assert term_index.version(spark, path) == 1 and term_index.load(spark, path).statistics.first()["n"] == 1
     a = spark.createDataFrame([("a",)], "term string")
-    assert {r["term"] for r in built.postings_of(a).collect()} >= {"a"} and built.postings_of(a).count() <= 3
+    assert {r["term"] for r in built.blocks_of(a).collect()} >= {"a"} and built.blocks_of(a).count() <= 3
+
+
+def test_block_max_search_skips_blocks(spark, tmp_path):
+    """Scores as by reading everything, ties and few documents too; most blocks of frequent terms are not read."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(5, 40))) + (f" r{rng.randrange(40)}" * rng.randint(0, 3)) for _ in range(3000)]
+    tok = vocabulary.tokenised(spark.createDataFrame(list(enumerate(texts)), "pk long, text string"), "pk", "text")
+    index = term_index.build(tok, str(tmp_path / "terms"))
+    assert index.blocks.agg({"part": "max"}).first()[0] > 10 and index.postings.count() == sum(len(set(t.split())) for t in texts)
+    asked = [" ".join([*rng.sample(common, 6), f"r{k}", f"r{k + 1}"]) for k in range(10)] + ["c0", "r5", "nothing"]
+    queries = vocabulary.tokenised(spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), "query_id", "text")
+    weights = vocabulary.weights(queries, index.vocabulary, index.statistics, "query_id").select("query_id", "term", "w")
+    for allowed in (None, spark.range(0, 3000, 3).withColumnRenamed("id", "pk")):
+        trace: dict = {}
+        got = search.ranked(maxscore.top(weights, index, 10, allowed, trace), 10)
+        postings = index.postings if allowed is None else index.postings.join(allowed, "pk", "left_semi")
+        want = search.ranked(search.sparse_scores(weights, postings), 10)
+        rows = lambda df: sorted((r["query_id"], r["rank"], r["pk"], round(r["score"], 6)) for r in df.collect())
+        assert rows(got) == rows(want) and len(rows(got)) > 100
+        assert trace["essential"] < trace["all"] and trace["rest"] < trace["all"]
 
 
 def test_frequent_terms_are_joined_alike(spark):

@@ -12,7 +12,7 @@ from . import config
 from .functions import text as T
 from .functions.filters import condition
 from .functions.vectors import hash_embedding
-from .operators import context, dialogue, quality, search, vocabulary
+from .operators import context, dialogue, maxscore, quality, search, vocabulary
 from .plans import answer, chains, spec
 from .sources import collection, readers, term_index
 from .streaming import ingest
@@ -70,10 +70,15 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
 
-def bm25_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vocabulary, statistics, postings by pk) of the stored index of the documents."""
-    index = term_index.for_table(spark, f"{sf}/documents.parquet", doc_tokens(spark, sf))
-    return index.vocabulary, index.statistics, index.postings
+def bm25_index(spark: SparkSession, sf: str) -> term_index.TermIndex:
+    """The stored index of the documents."""
+    return term_index.for_table(spark, f"{sf}/documents.parquet", doc_tokens(spark, sf))
+
+
+def bm25_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, term_index.TermIndex]:
+    """(vocabulary, statistics, index) of the documents."""
+    index = bm25_index(spark, sf)
+    return index.vocabulary, index.statistics, index
 
 
 def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +255,7 @@ def vocabulary_idf(spark, sf):
 
 @query(f"WITH {SQL_BM25} SELECT pk AS doc_id, term, tf, round(w, 6) AS w FROM post")
 def bm25_weights(spark, sf):
-    return bm25_tables(spark, sf)[2].select(F.col("pk").alias("doc_id"), "term", "tf", F.round("w", 6).alias("w"))
+    return bm25_index(spark, sf).postings.select(F.col("pk").alias("doc_id"), "term", "tf", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {SQL_BM25} SELECT term, df, round(idf, 6) AS idf FROM voc")
@@ -293,6 +298,13 @@ def bm25_search(spark, sf):
     return _rounded(search.bm25_top(query_tokens(spark, sf), bm25_tables(spark, sf)[2], 10))
 
 
+@query(_SQL["sparse_search"])
+def block_max_search(spark, sf):
+    """The sparse search by bounds of terms and blocks, whatever the length of the lists."""
+    vocab, stats, index = bm25_tables(spark, sf)
+    return _rounded(search.ranked(maxscore.top(query_weights(spark, sf, vocab, stats), index, 10), 10))
+
+
 @query(f"WITH {SQL_BM25} SELECT query_id, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w, term) r, count(*) OVER (PARTITION BY query_id) n FROM qw) WHERE r > floor(n * 0.25)")
 def drop_ratio(spark, sf):
     vocab, stats, _ = bm25_tables(spark, sf)
@@ -312,8 +324,7 @@ def _routes(spark, sf) -> list[DataFrame]:
     ids = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asked = ids.join(_table(spark, sf, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
     dense = search.dense_scores(asked, vectors(spark, sf), "embedding")
-    sparse = search.sparse_scores(query_weights(spark, sf, vocab, stats), postings)
-    return [search.ranked(dense, 10), search.ranked(sparse, 10)]
+    return [search.ranked(dense, 10), search.sparse_top(query_weights(spark, sf, vocab, stats), postings, 10)]
 
 
 @query(f"WITH {ROUTE_SQL}, f AS (SELECT query_id, pk, sum(1.0 / (60 + rank)) score FROM (SELECT query_id, pk, rank FROM d UNION ALL SELECT query_id, pk, rank FROM s) GROUP BY ALL) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('f', 10)})")
@@ -731,7 +742,7 @@ def source_cards(spark, sf):
 
 @query(f"WITH {SQL_BM25} SELECT pk AS doc_id, count(*) AS n_terms, round(sum(w), 4) AS total FROM post GROUP BY pk")
 def sparse_vectors(spark, sf):
-    vectors_ = vocabulary.sparse_vectors(bm25_tables(spark, sf)[2], "pk")
+    vectors_ = vocabulary.sparse_vectors(bm25_index(spark, sf).postings, "pk")
     total = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + x)
     return vectors_.select(F.col("pk").alias("doc_id"), F.size("vector").cast("long").alias("n_terms"), F.round(total, 4).alias("total"))
 

@@ -71,12 +71,12 @@ def weights(docs: DataFrame, vocab: DataFrame, stats: DataFrame, key: str, bm25:
     return weighed(rows.join(vocab.select("term", "idf"), "term").withColumn("dl", F.sum("tf").over(Window.partitionBy(key))), stats, key, bm25)
 
 
-def weighed(known: DataFrame, stats: DataFrame, key: str, bm25: Bm25 = Bm25()) -> DataFrame:
-    """(key, term, tf, w) of counted terms (key, dl, term, tf, idf)."""
+def weighed(known: DataFrame, stats: DataFrame, key: str, bm25: Bm25 = Bm25(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, tf, w) of counted terms (key, dl, term, tf, idf), with further columns to keep."""
     rows = known.join(F.broadcast(stats.select("avgdl")), how="cross")
     f, length = F.col("tf"), 1 - bm25.b + bm25.b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))
     w = F.col("idf") * f * (bm25.k1 + 1) / (f + bm25.k1 * length)
-    return rows.select(key, "term", "tf", w.alias("w")).where("w > 0")
+    return rows.select(key, "term", "tf", w.alias("w"), *keep).where("w > 0")
 
 
 def sparse_vectors(postings: DataFrame, key: str) -> DataFrame:

@@ -1,43 +1,66 @@
-"""The stored term index: vocabulary, statistics and postings, built once and read by every search.
+"""The stored term index: vocabulary, statistics and blocks of postings, built once and read by every search.
 
 An index is a folder of versions. A version is complete when its last part, ``done``, is there; readers
 take the newest complete one, so a build that ends half-way changes nothing, and vocabulary and
-statistics always belong together. Postings are stored by bucket of their term's hash, so that a search
-reads the buckets of its terms and nothing else.
+statistics always belong together.
+
+Postings are stored in blocks, each with the greatest weight in it. The documents' key hashes, cut to their
+first bits, deal documents to parts; a term's blocks are its postings by part, of as many bits, its level, as make
+blocks of about ``BLOCK`` postings. So a rare term has one block, no block grows with the data, and
+the block in which a document's posting of a term must be follows from key and level. Blocks lie by
+bucket of their term's hash, sorted by term, so that a search reads the buckets of its terms and skips
+row groups by the terms in them; the number of buckets grows with the number of postings.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Bm25
 from ..operators import vocabulary
 from ..operators.joins import by_size
 
-BUCKETS = 32
+#: Postings in a block, about; postings in a bucket, about, and the least number of buckets.
+BLOCK, IN_BUCKET, LEAST_BUCKETS = 64, 1 << 22, 8
+#: Terms of a vocabulary that are sent to all tasks; of more, only frequent ones.
+SMALL_VOCABULARY = 1 << 20
 
 
-def bucket_of(term: str = "term"):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(buckets: Column, term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), buckets).cast("int")
+
+
+def part_of(pk: str, level: str) -> Column:
+    """The part of a document's key at a level, a column or a number: the first ``level`` bits of its hash."""
+    return F.expr(f"IF({level} > 0, shiftrightunsigned(xxhash64({pk}), 64 - {level}), 0L)")
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Tables of a stored version: (term, df, idf), one row (n, sum_dl, avgdl), (pk, term, tf, w, bucket)."""
+    """Tables of a stored version: (term, df, idf, top, level), one row (n, sum_dl, avgdl, buckets), and
+    blocks (term, part, top, pks, tfs, ws, bucket)."""
 
     vocabulary: DataFrame
     statistics: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
 
-    def postings_of(self, terms: DataFrame) -> DataFrame:
-        """The postings in the buckets of these terms."""
-        wanted = [r["b"] for r in terms.select(bucket_of().alias("b")).distinct().collect()]
-        return self.postings if len(wanted) == BUCKETS else self.postings.where(F.col("bucket").isin(wanted))
+    @property
+    def postings(self) -> DataFrame:
+        """(pk, term, tf, w) of all blocks."""
+        rows = self.blocks.select("term", F.explode(F.arrays_zip("pks", "tfs", "ws")).alias("p"))
+        return rows.select(F.col("p.pks").alias("pk"), "term", F.col("p.tfs").alias("tf"), F.col("p.ws").alias("w"))
+
+    def blocks_of(self, terms: DataFrame) -> DataFrame:
+        """The blocks in the buckets of these terms."""
+        n = self.statistics.first()["buckets"]
+        wanted = [r["b"] for r in terms.select(bucket_of(F.lit(n)).alias("b")).distinct().collect()]
+        return self.blocks if len(wanted) == n else self.blocks.where(F.col("bucket").isin(wanted))
 
 
 def _files(spark: SparkSession, path: str):
@@ -63,27 +86,37 @@ def build(docs: DataFrame, path: str, bm25: Bm25 = Bm25()) -> TermIndex:
     to = f"{path.rstrip('/')}/v{version(spark, path) + 1}"
     vocabulary.frequencies(docs, "pk").write.mode("overwrite").parquet(f"{to}/counted")
     counted, n = spark.read.parquet(f"{to}/counted"), docs.count()
+    buckets = max(LEAST_BUCKETS, -(-counted.count() // IN_BUCKET))
     sums = counted.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("sum_dl"))
     mean = F.when(F.col("n") > 0, F.greatest(F.lit(1.0), F.col("sum_dl") / F.col("n"))).otherwise(F.lit(1.0))
-    sums.withColumn("avgdl", mean).write.mode("overwrite").parquet(f"{to}/statistics")
-    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms.withColumn("idf", vocabulary.idf(F.lit(n), F.col("df"))).write.mode("overwrite").parquet(f"{to}/vocabulary")
-    vocab, stats = spark.read.parquet(f"{to}/vocabulary"), spark.read.parquet(f"{to}/statistics")
-    known = by_size(counted, vocab, "term", "df", n)
-    vocabulary.weighed(known, stats, "pk", bm25).withColumn("bucket", bucket_of()).write.partitionBy("bucket").mode("overwrite").parquet(f"{to}/postings")
+    sums.withColumns({"avgdl": mean, "buckets": F.lit(buckets)}).write.mode("overwrite").parquet(f"{to}/statistics")
+    level = F.greatest(F.ceil(F.log2(F.col("df") / BLOCK)), F.lit(0)).cast("int")
+    terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", vocabulary.idf(F.lit(n), F.col("df")).alias("idf"), level.alias("level"))
+    terms.write.mode("overwrite").parquet(f"{to}/terms")
+    terms, stats = spark.read.parquet(f"{to}/terms"), spark.read.parquet(f"{to}/statistics")
+    known = counted.join(F.broadcast(terms), "term") if terms.count() <= SMALL_VOCABULARY else by_size(counted, terms.withColumn("rows", F.col("df")), "term", "rows", n)
+    rows = vocabulary.weighed(known, stats, "pk", bm25, keep=("level",)).select("term", part_of("pk", "level").alias("part"), F.struct("pk", "tf", "w").alias("p"))
+    blocks = rows.groupBy("term", "part").agg(F.max("p.w").alias("top"), F.array_sort(F.collect_list("p")).alias("_p"))
+    blocks = blocks.select("term", "part", "top", F.col("_p.pk").alias("pks"), F.col("_p.tf").alias("tfs"), F.col("_p.w").alias("ws"), bucket_of(F.lit(buckets)).alias("bucket"))
+    blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "part").write.partitionBy("bucket").mode("overwrite").parquet(f"{to}/blocks")
+    tops = spark.read.schema(BLOCKS).parquet(f"{to}/blocks").groupBy("term").agg(F.max("top").alias("top"))
+    terms.join(tops, "term", "left").select("term", "df", "idf", F.coalesce("top", F.lit(0.0)).alias("top"), "level").write.mode("overwrite").parquet(f"{to}/vocabulary")
     stats.select("n").write.mode("overwrite").parquet(f"{to}/done")
     _remove(spark, f"{to}/counted")
+    _remove(spark, f"{to}/terms")
     return load(spark, path)
 
 
+BLOCKS = "term string, part long, top double, pks array<long>, tfs array<long>, ws array<double>, bucket int"
+
+
 def load(spark: SparkSession, path: str) -> TermIndex | None:
     """The newest complete version, or None."""
     n = version(spark, path)
     if n < 0:
         return None
     at = f"{path.rstrip('/')}/v{n}"
-    postings = spark.read.schema("pk long, term string, tf long, w double, bucket int").parquet(f"{at}/postings")
-    return TermIndex(spark.read.parquet(f"{at}/vocabulary"), spark.read.parquet(f"{at}/statistics"), postings)
+    return TermIndex(spark.read.parquet(f"{at}/vocabulary"), spark.read.parquet(f"{at}/statistics"), spark.read.schema(BLOCKS).parquet(f"{at}/blocks"))
 
 
 _own_dir: str | None = None
@@ -103,6 +136,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """``df`` written once into the shared folder and read back; the table goes when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/tidewell-scratch-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    atexit.register(_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def stamp(spark: SparkSession, path: str) -> str:
     """What tells a table's files from those of another day: their number, bytes and last change."""
     fs, at = _files(spark, path)
