@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell import config
 from tidewell.functions import text as T
-from tidewell.functions.filters import condition
+from tidewell.functions.filters import FilterError, condition
 from tidewell.functions.vectors import cosine
 from tidewell.operators import context, dialogue, maxscore, quality, search, vocabulary
 from tidewell.plans import answer, chains, spec
@@ -157,8 +157,16 @@ def test_filters(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c[", 3)], "id string, n int")
     ids = lambda f: sorted(r["id"] for r in rows.where(condition(f)).collect())
     assert ids('id in ["a","b"]') == ["a", "b"] and ids('id == "c["') == ["c["] and ids("") == ["a", "b", "c["] and ids("not (n < 2) && n != 3") == ["b"]
-    with pytest.raises(Exception):
-        rows.where(condition("id === == 1")).collect()
+    assert ids("2 <= n and id NOT IN ('b')") == ["c["] and ids(r"id like 'c%' || n = -1") == ["c["] and ids("id is not null and !(n>=2)") == ["a"] and ids("n in []") == []
+    more = spark.createDataFrame([(["x", 'q"'], (1,), True), (None, None, None)], "tags array<string>, meta struct<k:int>, ok boolean")
+    count = lambda f: more.where(condition(f)).count()
+    assert count(r'array_contains(tags, "q\"") and meta.k == 1 and ok == true') == 1 and count("tags is null") == 1
+
+
+@pytest.mark.parametrize("text", ["id === == 1", "java_method('java.lang.System', 'getProperty', 'user.name') == 'root'", "exists (select 1)", "id in (select id)", "id == reverse('a')", "n + 1 == 2", "id", "n == 1 n", "n == 1; n", "not", "id in ['a'", "id like n", "array_contains(tags, upper('x'))", "n == current_user", "(n == 1"])
+def test_filters_of_no_known_form_are_refused(text):
+    with pytest.raises(FilterError):
+        condition(text)
 
 
 def test_dialogue(spark):
@@ -270,9 +278,9 @@ def test_login_and_user_info(spark):
     users = spark.createDataFrame([("12345678901", "secret1", "doctor")], "phone string, password string, role string").select("phone", F.sha2("password", 256).alias("password_hash"), "role")
     tries = spark.createDataFrame([("12345678901", "secret1"), ("12345678901", "wrong"), ("0", "secret1")], "phone string, password string")
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    tokens = dialogue.logins(users, tries, now)
-    assert tokens.count() == 1
-    assert dialogue.user_info(tokens, users, F.lit("2024-01-05").cast("timestamp")).first()["role"] == "doctor"
+    tokens = spark.createDataFrame(dialogue.logins(users, tries, now).collect())
+    assert tokens.count() == 1 and tokens.first()["token"] != dialogue.logins(users, tries, now).first()["token"]
+    assert dialogue.user_info(tokens, users, F.lit("2024-01-30").cast("timestamp")).first()["role"] == "doctor"
     assert dialogue.user_info(tokens, users, F.lit("2024-02-05").cast("timestamp")).count() == 0
 
 
@@ -303,12 +311,12 @@ def test_search_graph_modes(spark):
     asked = spark.createDataFrame([(1, "why")], "query_id long, query string")
     found = spark.createDataFrame([(1, 1, "because")], "query_id long, rank int, passage string")
     search_ = lambda q: q.join(found, "query_id").select("query_id", "rank", "passage")
-    never = lambda text, attempt: F.lit("no")
+    never = lambda prompt, text, attempt: F.lit("<think>yes</think>no")
     slow = chains.search_graph(asked, search_, None, None, never, attempts=2).first()
     assert slow["route"] == "fail" and slow["final"] == slow["answer"] + T.DOUBT_MARK
     fast = chains.search_graph(asked, search_, None, None, never, mode="fast").first()
     assert fast["final"] == fast["answer"] != slow["answer"]
-    third = chains.search_graph(asked, search_, None, None, lambda text, attempt: F.lit("Yes" if attempt == 1 else "no"), attempts=2).first()
+    third = chains.search_graph(asked, search_, None, None, lambda prompt, text, attempt: F.lit("Yes" if attempt == 1 else "no"), attempts=2).first()
     assert third["route"] == "pass" and third["answer"] not in (fast["answer"], slow["answer"])
     with pytest.raises(ValueError):
         chains.search_graph(asked, search_, None, None, never, mode="normal")

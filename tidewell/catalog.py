@@ -394,6 +394,12 @@ def filter_expression(spark, sf):
     return _table(spark, sf, "documents").where(condition('lang == "en" && (source in ["src1", "src2"] || doc_id < 100)')).select("doc_id", "lang", "source")
 
 
+@query("SELECT doc_id FROM documents WHERE (lang NOT IN ('de', 'fr') AND source LIKE 'src%' AND 50 <= n_chars) OR (NOT (n_chars > 20 OR lang = 'en') AND text IS NOT NULL)")
+def filter_forms(spark, sf):
+    text = "(lang not in ['de', 'fr'] && source like 'src%' && 50 <= n_chars) || (!(n_chars > 20 or lang == 'en') and text is not null)"
+    return _table(spark, sf, "documents").where(condition(text)).select("doc_id")
+
+
 WEB_SQL = f"""
 wp AS (SELECT page_id, url, regexp_replace(html, '<[^>]*>', '', 'g') passage FROM pages),
 wt AS (SELECT page_id, unnest(list_distinct({TOKENS.format('passage')})) term FROM wp),
@@ -516,7 +522,7 @@ def gather_answers(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' WHEN toxic > 0 THEN 'retry' ELSE 'fail' END AS route, CASE WHEN quality = 1 THEN toxic ELSE greatest(toxic - 1, 0) END AS attempts_left FROM labels")
 def judge_route(spark, sf):
-    rows = _table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "YES.").otherwise("no").alias("verdict"), F.col("toxic").alias("attempts_left"))
+    rows = _table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "<think>no</think> YES.").otherwise("<think>maybe yes</think>no").alias("verdict"), F.col("toxic").alias("attempts_left"))
     return answer.judged(rows).select("doc_id", "route", "attempts_left")
 
 
@@ -542,7 +548,7 @@ STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 HISTORY_SQL = """
 lu AS (SELECT conv_id sid, max(turn) lt, arg_max(text, turn) question FROM conversations WHERE role = 'user' GROUP BY 1),
 mf AS (SELECT sid, seq, content, t >= 200 * 0.7 AND r <= greatest(2, n // 2) folded FROM (SELECT sid, turn seq, text content, count(*) OVER (PARTITION BY sid) n, sum(ceil(length(text) / 4)) OVER (PARTITION BY sid) t, row_number() OVER (PARTITION BY sid ORDER BY turn) r FROM conversations JOIN lu ON conv_id = sid WHERE turn < lt)),
-mh AS (SELECT sid, concat_ws(chr(10), nullif(string_agg(content, chr(10) ORDER BY seq) FILTER (folded), ''), string_agg(content, chr(10) ORDER BY seq) FILTER (NOT folded)) history FROM mf GROUP BY sid)"""
+mh AS (SELECT sid, concat_ws(chr(10), 'ref ' || md5('Summarise:' || chr(10) || string_agg(content, chr(10) ORDER BY seq) FILTER (folded)), string_agg(content, chr(10) ORDER BY seq) FILTER (NOT folded)) history FROM mf GROUP BY sid)"""
 
 
 def _told(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -571,16 +577,16 @@ asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL},
 gd AS (SELECT query_id, rank, passage FROM wr JOIN wp USING (page_id)),
 gr AS (SELECT query_id, CASE WHEN query_id % 2 = 1 THEN rank WHEN rank = 2 THEN 1 ELSE 2 END pos, passage FROM gd WHERE query_id % 2 = 1 OR rank <= 2
        UNION ALL SELECT query_id, 2 + rank, passage FROM gd WHERE query_id % 2 = 0 AND rank = 1),
-gx AS (SELECT query_id, string_agg('## 文档' || n || '：' || chr(10) || passage || chr(10), '' ORDER BY n) context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) n FROM gr) GROUP BY query_id),
-ga AS (SELECT query_id, query, [('ref ' || md5({PROMPT_SQL.format("coalesce(context, '')", 'query')} || '#' || i)) FOR i IN [0, 1, 2]] a FROM asked LEFT JOIN gx USING (query_id)),
-gv AS (SELECT *, [substr(x, 5, 1) < '6' FOR x IN a] v FROM ga)"""
+gx AS (SELECT query_id, string_agg('## 文档' || n || '：' || chr(10) || passage || chr(10), '' ORDER BY n) context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) n FROM gr) WHERE n <= 6 GROUP BY query_id),
+ga AS (SELECT query_id, query, context, [('ref ' || md5({PROMPT_SQL.format("coalesce(context, '')", 'query')} || '#' || i)) FOR i IN [0, 1, 2]] a FROM asked LEFT JOIN gx USING (query_id)),
+gv AS (SELECT *, [substr(md5('Documents:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer: ' || x || chr(10) || 'Supported?'), 1, 1) < '6' FOR x IN a] v FROM ga)"""
 
 
 @query(f"WITH {GRAPH_SQL} SELECT query_id, a[i] AS answer, route, a[i] || CASE route WHEN 'fail' THEN chr(10) || chr(10) || '（内容可能不属实）' ELSE '' END AS final FROM (SELECT *, CASE WHEN v[1] THEN 1 WHEN v[2] THEN 2 ELSE 3 END i, CASE WHEN v[1] OR v[2] OR v[3] THEN 'pass' ELSE 'fail' END route FROM gv)")
 def search_graph_run(spark, sf):
     """The search graph in analysis mode over the benchmark: even items go to the web with two documents
-    kept in turned order, odd ones have a reply that cannot be read; a judge that passes three answers in
-    eight, two further attempts."""
+    kept in turned order, odd ones have a reply that cannot be read; a judge that passes three in eight of
+    documents, query and answer, two further attempts."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     pages = readers.page_search(_table(spark, sf, "pages"))
     reply = F.to_json(F.struct(F.lit(True).alias("need_search"), F.col("query").alias("search_query"), F.array(F.lit(2), F.lit(1)).alias("remain_doc_index")))
@@ -591,7 +597,7 @@ def search_graph_run(spark, sf):
     def web(queries: DataFrame) -> DataFrame:
         return pages(queries.withColumn("cnt", F.lit(1)))
 
-    judge = lambda text, _: F.when(F.substring(text, 5, 1) < "6", "Yes.").otherwise("no")
+    judge = lambda prompt, *_: F.when(F.substring(F.md5(prompt), 1, 1) < "6", "Yes.").otherwise("<think>yes?</think>no")
     return chains.search_graph(asked, pages, web, router, judge).select("query_id", "answer", "route", "final")
 
 

@@ -147,6 +147,7 @@ TEMPLATES: dict[str, str] = {
     "rewrite": "History:\n{history}\n\nRewrite as one question: {question}",
     "summary": "Summarise:\n{history}",
     "dialogue": "History:\n{history}\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:",
+    "judge": "Documents:\n{context}\n\nQuestion: {question}\nAnswer: {answer}\nSupported?",
     "background": "Known: {background}\nSaid: {question}\nBackground:",
 }
 

@@ -53,7 +53,8 @@ def summaries(compressed: DataFrame, summarise=None) -> DataFrame:
     """
     folded = F.array_sort(F.collect_list(F.when(F.col("folded"), F.struct("seq", "content"))))
     text = F.array_join(F.transform(folded, lambda x: x["content"]), "\n")
-    return compressed.groupBy("session_id").agg((summarise(text) if summarise else text).alias("summary"), F.count_if(~F.col("folded")).alias("kept"))
+    told = F.when(F.count_if(F.col("folded")) > 0, summarise(text)).otherwise(F.lit("")) if summarise else text
+    return compressed.groupBy("session_id").agg(told.alias("summary"), F.count_if(~F.col("folded")).alias("kept"))
 
 
 def rolled(entries: Column, fold_at: int = 8, fold: int = 4, keep: int = 10) -> Column:
@@ -102,11 +103,13 @@ def with_extras(saved: DataFrame) -> DataFrame:
     return rows.withColumns({"rewritten_query": F.coalesce("_x.rewritten_query", F.lit("")), "documents": F.coalesce("_x.documents", none), "sub_queries": F.coalesce("_x.sub_queries", none)}).drop("_x")
 
 
-def logins(users: DataFrame, attempts: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """Tokens (phone, role, token, expires_at) of the attempts (phone, password) that match a stored user."""
+def logins(users: DataFrame, attempts: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Tokens (phone, role, token, expires_at) of the attempts (phone, password) that match a stored user.
+
+    A token is a random id, so the rows are to be written once, before anything reads them twice."""
     known = attempts.withColumn("password_hash", F.sha2("password", 256)).join(users, ["phone", "password_hash"])
     expires = (now + F.expr(f"INTERVAL {days} DAYS")).alias("expires_at")
-    return known.select("phone", "role", F.sha2(F.concat_ws("|", "phone", "password_hash", now.cast("string")), 256).alias("token"), expires)
+    return known.select("phone", "role", F.uuid().alias("token"), expires)
 
 
 def user_info(tokens: DataFrame, users: DataFrame, now: Column) -> DataFrame:
