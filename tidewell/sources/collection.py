@@ -1,22 +1,22 @@
-"""The collection: one wide table of records, written by overwrite, append, upsert and delete.
-
-A read of ``old`` rows and a write of the new ones never share a folder, so nothing is read while it is
-overwritten.
-"""
+"""The collection: one wide table of records, written by overwrite, append, upsert and delete, and merged when it is read."""
 
 from __future__ import annotations
 
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..config import Mapping, Settings
 from ..functions import text as T
 from ..functions.vectors import hash_embedding
+from .term_index import scratch
 
 FIELDS = ["pk", "text", "summary", "document", "source", "source_name", "lt_doc_id", "chunk_id", "summary_dense", "text_dense"]
 
@@ -91,18 +91,57 @@ def chunks(rows: DataFrame, key: str, n: int) -> DataFrame:
     return ranged.withColumn("_n", own).join(F.broadcast(counts), "_p").withColumn("batch", F.floor((F.col("_n") + F.col("_before") - 1) / n)).drop("_p", "_n", "_before")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """When a collection's buckets split and its layers merge."""
+
+    #: Buckets at first, and rows in a bucket on the average beyond which one splits.
+    buckets: int = 16
+    bucket_rows: int = 1 << 20
+    #: Layers over a bucket's first that are merged with each other, and the share of the first's rows
+    #: beyond which they are merged into it.
+    layers: int = 8
+    share: float = 0.25
+
+
+def bucket_of(count: int, first: int, key: str = "pk") -> Column:
+    """The bucket of a key among ``count`` by linear hashing: of ``first`` buckets those before the next in
+    line have split, so one more bit of the hash tells to which of two a key went."""
+    h = F.xxhash64(F.col(key).cast("string"))
+    before = F.pmod(h, F.lit(first))
+    return F.when(before < count - first, F.pmod(h, F.lit(2 * first))).otherwise(before).cast("int")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Layers' rows (``_mark``, ``_row``, ``_seq``) as one layer: rows that no later mark replaces, and for keys that
+    only have marks the mark; a row whose key is marked anywhere here is marked."""
+    marks = rows.where("_mark").groupBy(F.col("pk").alias("_k")).agg(F.max("_seq").alias("_m"))
+    both = rows.join(marks, F.col("pk") == F.col("_k"), "left")
+    stay = both.where(F.col("_row") & (F.col("_m").isNull() | (F.col("_seq") >= F.col("_m")))).withColumn("_mark", F.col("_m").isNotNull())
+    gone = both.where(~F.col("_row") & (F.col("_seq") == F.col("_m")))
+    return stay.drop("_k", "_m").unionByName(gone.drop("_k", "_m"))
+
+
 class Collection:
-    """A collection stored under one path, by bucket of its key's hash.
+    """A collection stored under one path, by bucket of its key's hash, merged when it is read.
+
+    A bucket is a list of layers, oldest first; a layer is the files of one write. Every write puts its rows
+    into a folder of its own, ``data/<name>/bucket=k``, and then a manifest, ``versions/v<n>``, that adds
+    the folder to the layers of its buckets. No write reads or moves the rows that are there: an
+    upsert's rows are marked as replacing older layers' rows of their keys, a delete is such marks alone,
+    an insert has none. Readers let a row through unless a later layer has a mark of its key.
 
-    Every write puts its rows into a folder of its own, ``data/<name>/bucket=k``, and then a manifest,
-    ``versions/v<n>``, that says which folders each bucket has. A manifest is written once, by whoever
-    is first, so of two writers at the same time one fails instead of undoing the other's change; a
-    reader sees a version whole or not at all. Inserts only add folders. Upserts and deletes rewrite the
-    buckets of the keys that they name; the files of all others stay as they are.
+    Layers over a bucket's first one are merged with each other when there are ``layers`` of them, and
+    into the first when they hold more than ``share`` of its rows, so a row is rewritten a few times
+    however many writes follow. Buckets split by linear hashing: with more than ``bucket_rows`` rows a bucket on the
+    average, the next bucket in line is dealt to two, one hash bit further, and the others stay as they are.
+
+    A manifest is written once, by whoever is first, so of two writers at the same time one fails
+    instead of undoing the other's change; a reader sees a version whole or not at all.
     """
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), buckets: int = 16):
-        self.spark, self.path, self.settings, self.buckets = spark, path.rstrip("/"), settings, buckets
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings(), buckets: int = 16, layout: Layout | None = None):
+        self.spark, self.path, self.settings, self.layout = spark, path.rstrip("/"), settings, layout or Layout(buckets)
 
     def _at(self, name: str = ""):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -113,33 +152,54 @@ class Collection:
         return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(at)), default=-1) if fs.exists(at) else -1
 
     def _manifest(self) -> dict:
+        """version; schema; count, the number of buckets; first, their number when it was a power of two
+        times the number at first; buckets: the layers [name, rows, version] of each."""
         n = self.version()
         if n < 0:
-            return {"version": -1, "schema": None, "buckets": {}}
+            return {"version": -1, "schema": None, "count": self.layout.buckets, "first": self.layout.buckets, "buckets": {}}
         row = self.spark.read.option("wholetext", True).text(f"{self.path}/versions/v{n}").first()
         return json.loads(row["value"])
 
-    def _commit(self, old: dict, schema: StructType, buckets: dict[str, list[str]]) -> None:
+    def _commit(self, old: dict, schema: StructType, buckets: dict[str, list[list]], count: int = 1, first: int = 1) -> None:
         version = old["version"] + 1
         fs, at = self._at(f"versions/v{version}")
         out = fs.create(at, False)  # fails where another writer was first
-        out.write(json.dumps({"version": version, "schema": schema.jsonValue(), "buckets": buckets}).encode())
+        out.write(json.dumps({"version": version, "schema": schema.jsonValue(), "count": count, "first": first, "buckets": buckets}).encode())
         out.close()
 
-    def _bucket(self, key: str = "pk") -> Column:
-        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
+    def _put(self, rows: DataFrame, manifest: dict, marked: bool = False, plain: bool = True) -> tuple[str, dict[str, int]]:
+        """Writes rows into a folder of their own; its name and the number of rows in each bucket.
 
-    def _put(self, rows: DataFrame) -> tuple[str, list[str]]:
-        """Writes rows into a folder of their own; its name and the buckets in it."""
+        marked: the rows replace those of their keys in older layers; plain: they are rows, and not marks alone.
+        """
         name = uuid.uuid4().hex
-        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        if "_mark" not in rows.columns:
+            rows = rows.withColumns({"_mark": F.lit(marked), "_row": F.lit(plain)})
+        rows.withColumn("bucket", bucket_of(manifest["count"], manifest["first"])).write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
         fs, at = self._at(f"data/{name}")
-        return name, [s.getPath().getName()[7:] for s in fs.listStatus(at) if s.getPath().getName().startswith("bucket=")]
+        found = [s.getPath().getName()[7:] for s in fs.listStatus(at) if s.getPath().getName().startswith("bucket=")]
+        counts = {str(r["bucket"]): r["count"] for r in self.spark.read.parquet(f"{self.path}/data/{name}").groupBy("bucket").count().collect()} if found else {}
+        return name, counts
 
-    def _rows(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
+    def _layers(self, manifest: dict, buckets: dict[str, list[list]]) -> DataFrame:
+        """The rows of these layers with ``_mark``, ``_row`` and ``_seq``, the version of their layer."""
         schema = StructType.fromJson(manifest["schema"])
-        folders = [f"{self.path}/data/{name}/bucket={b}" for b, names in manifest["buckets"].items() if buckets is None or b in buckets for name in names]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        stored = StructType([*schema.fields, StructField("_mark", BooleanType()), StructField("_row", BooleanType())])
+        folders: dict[tuple[int, str], list[str]] = {}
+        for b, layers in buckets.items():
+            for name, _, seq in layers:
+                folders.setdefault((seq, name), []).append(f"{self.path}/data/{name}/bucket={b}")
+        parts = [self.spark.read.schema(stored).parquet(*paths).withColumn("_seq", F.lit(seq).cast("long")) for (seq, _), paths in sorted(folders.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], StructType([*stored.fields, StructField("_seq", LongType())]))
+
+    def _rows(self, manifest: dict, buckets: dict[str, list[list]] | None = None) -> DataFrame:
+        """What readers see of these buckets, all by default."""
+        buckets = manifest["buckets"] if buckets is None else buckets
+        names = StructType.fromJson(manifest["schema"]).names
+        one = {b: x for b, x in buckets.items() if len(x) == 1}
+        more = {b: x for b, x in buckets.items() if len(x) > 1}
+        rows = self._layers(manifest, one).where("_row").select(*names)
+        return rows.unionByName(merged(self._layers(manifest, more)).where("_row").select(*names)) if more else rows
 
     def read(self, fields: list[str] | None = None) -> DataFrame:
         """The newest version; an error where there is none."""
@@ -154,42 +214,81 @@ class Collection:
         old = self._manifest()
         if old["version"] >= 0 and not drop_old:
             return False
-        name, found = self._put(rows if "pk" in rows.columns else rows.withColumn("pk", F.lit(None).cast("string")))
-        self._commit(old, rows.schema, {b: [name] for b in found})
+        new = {"count": self.layout.buckets, "first": self.layout.buckets}
+        name, counts = self._put(rows if "pk" in rows.columns else rows.withColumn("pk", F.lit(None).cast("string")), new)
+        self._commit(old, rows.schema, {b: [[name, n, old["version"] + 1]] for b, n in counts.items()}, **new)
+        self.compact()
         return True
 
-    def insert(self, rows: DataFrame) -> None:
-        """Adds rows, without a look at what is there; columns that only one side has are null in the other."""
+    def _add(self, rows: DataFrame, marked: bool, plain: bool) -> None:
+        """A layer over the buckets of these rows; columns that only one side has are null in the other."""
         old = self._manifest()
-        if old["version"] < 0:
-            self.create(rows)
-            return
         schema = StructType.fromJson(old["schema"])
         more = [f for f in rows.schema.fields if f.name not in schema.names]
-        name, found = self._put(rows)
-        self._commit(old, StructType([*schema.fields, *more]), {b: old["buckets"].get(b, []) + [name] * (b in found) for b in {*old["buckets"], *found}})
+        name, counts = self._put(rows, old, marked, plain)
+        buckets = {b: [*old["buckets"].get(b, []), *([[name, counts[b], old["version"] + 1]] if b in counts else [])] for b in {*old["buckets"], *counts}}
+        self._commit(old, StructType([*schema.fields, *more]), buckets, old["count"], old["first"])
+        self.compact()
 
-    def _replace(self, old: dict, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrites the buckets that hold one of the keys; the others keep their files."""
-        touched = [str(r["b"]) for r in keys.select(self._bucket().alias("b")).distinct().collect()]
-        rows = change(self._rows(old, touched))
-        name, found = self._put(rows)
-        kept = {b: names for b, names in old["buckets"].items() if b not in touched}
-        self._commit(old, rows.schema, kept | {b: [name] for b in found})
+    def insert(self, rows: DataFrame) -> None:
+        """Adds rows, without a look at what is there."""
+        if self.version() < 0:
+            self.create(rows)
+        else:
+            self._add(rows, False, True)
 
     def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> None:
-        old = self._manifest()
-        if old["version"] < 0:
+        """Adds rows in place of those with their keys; of equal keys in ``rows`` the last counts."""
+        if self.version() < 0:
             self.create(latest(rows, order=order))
         else:
-            self._replace(old, rows, lambda before: upserted(before, rows, order=order))
+            self._add(latest(rows, order=order), True, True)
 
     def delete(self, ids: DataFrame) -> None:
-        self._replace(self._manifest(), ids, lambda before: deleted(before, ids))
+        self._add(ids.select("pk").distinct(), True, False)
+
+    def compact(self, whole: bool = False) -> bool:
+        """Merges layers and splits buckets where the layout asks for it, or merges all with ``whole``; whether
+        there was anything to do. If another writer is first, its version stands and this work is left undone."""
+        old, layout = self._manifest(), self.layout
+        size = {b: sum(x[1] for x in layers) for b, layers in old["buckets"].items()}
+        above = {b: sum(x[1] for x in layers[1:]) for b, layers in old["buckets"].items()}
+        count, first = old["count"], old["first"]
+        full = {b for b, layers in old["buckets"].items() if len(layers) > 1 and (whole or above[b] > layout.share * layers[0][1])}
+        some = {b for b, layers in old["buckets"].items() if len(layers) > layout.layers and b not in full}
+        total = sum(size.values())
+        while total > count * layout.bucket_rows:
+            full.add(str(count - first))  # the next in line
+            count += 1
+            if count == 2 * first:
+                # all were split; the first of them are next, which may split once more
+                first *= 2
+        full &= old["buckets"].keys()
+        some -= full
+        if not full and not some:
+            return False
+        new = {"count": count, "first": first}
+        buckets = {b: layers for b, layers in old["buckets"].items() if b not in full}
+        version = old["version"] + 1
+        if full:
+            name, counts = self._put(self._rows(old, {b: old["buckets"][b] for b in full}), new)
+            # a split bucket's rows are in one of two buckets, of which neither has other layers
+            buckets |= {b: [[name, n, version]] for b, n in counts.items()}
+        if some:
+            rest = self._layers(old, {b: old["buckets"][b][1:] for b in some})
+            name, counts = self._put(merged(rest).drop("_seq"), new)
+            buckets |= {b: [old["buckets"][b][0], *([[name, counts[b], version]] if b in counts else [])] for b in some}
+        try:
+            self._commit(old, StructType.fromJson(old["schema"]), buckets, **new)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+                raise
+            return False
+        return True
 
     def vacuum(self) -> int:
         """Removes the folders that the newest version does not name; how many."""
-        named = {name for names in self._manifest()["buckets"].values() for name in names}
+        named = {layer[0] for layers in self._manifest()["buckets"].values() for layer in layers}
         fs, at = self._at("data")
         gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in named] if fs.exists(at) else []
         for path in gone:
@@ -209,10 +308,10 @@ class Collection:
         elif not batch:
             self.upsert(rows)
         if batch:
-            parts = chunks(latest(rows), "pk", batch)
+            parts = scratch(chunks(latest(rows), "pk", batch), "batch")
             total, done = parts.count(), 0
             for i in range(-(-total // batch)):
-                self.upsert(parts.where(F.col("batch") == i).drop("batch"))
+                self._add(parts.where(F.col("batch") == i).drop("batch"), True, True)
                 done = min(total, done + batch)
                 if progress:
                     progress(done, total)

@@ -136,11 +136,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """``df`` written once into the shared folder and read back; the table goes when the driver ends."""
+def scratch(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written once into the shared folder, where told in a folder for each value of a column, and
+    read back; the table goes when the driver ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tidewell-scratch-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     atexit.register(_remove, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
