@@ -15,7 +15,7 @@ from .functions.vectors import hash_embedding
 from .operators import context, dialogue, maxscore, quality, search, vocabulary
 from .plans import answer, chains, spec
 from .sources import collection, readers, term_index
-from .streaming import ingest
+from .streaming import ingest, memory
 
 FLAGSHIP = "hybrid_search"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,7 +170,7 @@ def event_lines_to_done(spark, sf):
     return found.select("session_id", (F.col("seq") / 2).cast("int").alias("seq"), "message")
 
 
-@query("SELECT DISTINCT md5(coalesce(text, '')) AS pk, length(coalesce(text, '')) AS n_chars FROM documents")
+@query("SELECT DISTINCT md5(coalesce(text, '')) AS pk, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS digest FROM documents")
 def stream_ingest(spark, sf):
     """The documents as a stream into a collection, by micro-batches, and what the collection then holds."""
     at = f"{term_index.shared_dir(spark)}/tidewell-stream-{uuid.uuid4().hex}"
@@ -178,7 +178,54 @@ def stream_ingest(spark, sf):
     stream = readers.stream_table(spark, f"{sf}/documents.parquet", schema).select(F.col("text").alias("question"), F.col("text").alias("answer"))
     store = collection.Collection(spark, f"{at}/rows")
     ingest.ingest_stream(stream, store, f"{at}/checkpoint").awaitTermination()
-    return store.read().select("pk", F.length("document").cast("long").alias("n_chars"))
+    return store.read().select("pk", F.length("document").cast("long").alias("n_chars"), F.sha2("document", 256).alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS pk, CASE WHEN doc_id % 5 = 0 THEN 'again' WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS lang, source, md5(text) AS digest FROM documents WHERE doc_id % 5 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def collection_merge(spark, sf):
+    """A collection after a creation, an upsert, a deletion and another upsert, merged as it is read."""
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pk"), "lang", "source", F.md5("text").alias("digest"))
+    store = collection.Collection(spark, f"{term_index.shared_dir(spark)}/tidewell-merge-{uuid.uuid4().hex}", layout=collection.Layout(bucket_rows=1 << 16))
+    store.create(docs)
+    store.upsert(docs.where("pk % 2 = 0").withColumn("lang", F.upper("lang")))
+    store.delete(_table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("pk")))
+    store.upsert(docs.where("pk % 5 = 0").withColumn("lang", F.lit("again")))
+    return store.read()
+
+
+def _message_stream(spark, sf) -> DataFrame:
+    stream = readers.stream_table(spark, f"{sf}/conversations.parquet", _table(spark, sf, "conversations").schema)
+    return stream.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("content"))
+
+
+def _streamed(spark, rows: DataFrame, schema: str) -> DataFrame:
+    """All that a stream gives, through a sink by batches."""
+    at = f"{term_index.shared_dir(spark)}/tidewell-stream-{uuid.uuid4().hex}"
+    sink = memory.EpochSink(spark, f"{at}/rows", schema)
+    sink.start(rows, f"{at}/checkpoint").awaitTermination()
+    return sink.read().drop("epoch")
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+st AS (
+  SELECT conv_id, i, turn, [t] AS kept, 0 AS folds, '' AS running FROM m WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, turn, list_append(CASE WHEN cut > 0 THEN kept[cut + 1:] ELSE kept END, t), folds + CASE WHEN cut > 0 THEN 1 ELSE 0 END,
+         CASE WHEN cut > 0 THEN concat_ws(chr(10), nullif(running, ''), 'ref ' || md5('Summarise:' || chr(10) || array_to_string(kept[:cut], chr(10)))) ELSE running END
+  FROM (SELECT m.conv_id, m.i, m.turn, m.t, st.kept, st.folds, st.running,
+               CASE WHEN m.role = 'user' AND list_sum(list_transform(st.kept, lambda x: ceil(length(x) / 4))) >= 100 * 0.7 THEN greatest(2, len(st.kept) // 2) ELSE 0 END AS cut
+        FROM st JOIN m ON m.conv_id = st.conv_id AND m.i = st.i + 1))
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, len(kept) AS kept, CAST(folds AS BIGINT) AS folds, running, array_to_string(CASE WHEN running = '' THEN kept ELSE list_prepend(running, kept) END, chr(10)) AS history FROM st""")
+def session_memory_stream(spark, sf):
+    """The memory of every session after each of its messages, from a stream with state."""
+    return _streamed(spark, memory.session_memory(_message_stream(spark, sf), memory.MemorySpec(max_tokens=100)), memory.MEMORY)
+
+
+@query("""WITH e AS (SELECT conv_id, turn, unnest(CASE role WHEN 'user' THEN [{'k': 'rewrite', 'd': text, 'j': 0}] WHEN 'assistant' THEN [{'k': 'answer', 'd': text, 'j': 0}, {'k': 'done', 'd': '', 'j': 1}] ELSE [{'k': 'progress', 'd': text, 'j': 0}] END) AS x FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, x.j) - 1 AS event_no, turn AS seq, 'data: ' || CAST(json_object('type', x.k, 'data', coalesce(x.d, '')) AS VARCHAR) || chr(10) || chr(10) AS event FROM e""")
+def session_event_stream(spark, sf):
+    """The event lines of every session, numbered across batches, from a stream with state."""
+    return _streamed(spark, memory.session_events(_message_stream(spark, sf)), memory.EVENTS)
 
 
 # Text --------------------------------------------------------------------------------------------
