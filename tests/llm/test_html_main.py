@@ -141,3 +141,47 @@ def test_training_on_the_given_pages(spark, sf):
     rng = np.random.default_rng(0)
     assert all(value(weights + 0.01 * rng.standard_normal(7)) >= value(weights) for _ in range(200))
     assert np.array_equal(H.trained(pages.limit(0)), H.PRIOR)
+
+
+def test_text_without_markup_notices_and_references():
+    words = "Just some words without markup at all in this page."
+    assert main_text(words) == words and main_text("<p") == ""
+    notice = "<div><p>We use cookies to make this page better for you. Accept all.</p></div>"
+    assert main_text(f"{notice}<article>{BODY}</article>") == main_text(f"{notice}<div>{BODY}</div>") == TEXT
+    links = "<ul><li><a href='a'>First source of this</a></li><li><a href='b'>Second source</a></li></ul>"
+    assert main_text(f"<article>{BODY}{links}</article>") == f"{TEXT}\nFirst source of this\nSecond source"
+
+
+def test_the_classifier_decides(spark, sf):
+    """Its log odds are the only terminal capacities: turned around, they turn all labels around."""
+    weights, markup = H.classifier(Q.table(spark, sf, "pages"))
+    of_text = H.Scores(weights, markup)
+    same = total = 0
+    for r in Q.table(spark, sf, "pages").collect():
+        page = H.parsed(r["html"] or "")
+        scores, edges = H.network(page, of_text)
+        assert len(scores) == len(page.blocks)
+        turned = H.minimum_cut([-s for s in scores], edges)
+        same += sum(a == b for a, b in zip(H.minimum_cut(scores, edges), turned, strict=True))
+        total += len(scores)
+    assert same < 0.1 * total
+
+
+def test_edges_mend_what_signs_get_wrong():
+    page = H.parsed(f"<div><p>{LONG}</p><h2>Two words</h2><p>{OTHER}</p><p>So</p><p>{LONG}</p></div><div><div>x</div><div>y z</div></div>")
+    scores, edges = H.network(page, H.Scores())
+    assert H.minimum_cut(scores, []) == [True, False, True, False, True, False, False]
+    assert H.minimum_cut(scores, edges) == [True, True, True, True, True, False, False]
+
+
+def test_markup_is_fitted_given_the_text():
+    cells = np.array([[5, 0, 0, 0], [20, 1, 0, 1]])
+    yes, no = np.array([30.0, 10.0]), np.array([50.0, 0.0])
+    both, kind = np.concatenate([cells, cells]), np.repeat([H.WHOLE, H.APART], 2)
+    none = np.zeros(2)
+    fitted = H.fit_markup(both, kind, np.concatenate([yes, none]), np.concatenate([none, no]), H.PRIOR)
+    text, scale = np.clip(H.features(cells) @ H.PRIOR, -5, 5), H.WEIGHT / 90
+    for k, n, sign in ((H.WHOLE, yes, 1), (H.APART, no, -1)):
+        value = lambda w, k=k, n=n, sign=sign: (n * scale * np.logaddexp(0, -sign * (text + w))).sum() + 0.5 * H.MARKUP_PRECISION * (w - H.MARKUP[k]) ** 2
+        assert all(value(fitted[k] + d) > value(fitted[k]) for d in (-0.01, 0.01))
+    assert np.array_equal(H.fit_markup(cells[:0], np.zeros(0), none[:0], none[:0], H.PRIOR), H.MARKUP)

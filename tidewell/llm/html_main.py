@@ -1,17 +1,19 @@
 """Main text of HTML pages by minimum cut.
 
-A page is cut into text blocks. A classifier of a block's own text (words, closing punctuation, link
-share, tag) gives its capacity from the content terminal or to the boilerplate terminal. Elements
-whose tag, role, names or links say what they hold are nodes too: their evidence, times the blocks
-below, is their capacity. Neighbouring blocks are joined by adjacency edges, a block and the
-nearest such element around it, and such elements inside one another, by DOM edges. The maximum
-flow's cut is the cheapest labelling, and the blocks on the content side are the text: a short
-paragraph stays with its article, a fluent sentence goes with the advert that it is in.
-
-The classifier is a logistic regression over all blocks whose markup leaves no doubt (in an article
-without a contrary sign, or in navigation and the like), counted over all pages by cell of feature
-values, of which there are at most ``CELLS``. Counts are scaled to one weight, so that fixed prior
-weights, which alone decide where no page has such blocks, matter the same at every size.
+A page is cut into text blocks. A classifier gives each its capacity from the content terminal or to
+the boilerplate terminal, in log odds: a logistic regression over the block's own text (words, closing
+punctuation, link share, tag, words of notices) and over what the elements around it are (an article, one apart from the
+text, one whose name or form speaks against it or for it, none on a page that has an article, none at
+all). Neighbouring blocks are joined by adjacency edges, blocks of one box, list or table and what
+stands around it by DOM edges, on the scale of the capacities. The maximum flow's cut is the cheapest
+labelling, and the blocks on the content side are the text: a short paragraph stays with its article, and a
+fluent sentence goes with the advert that it is in.
+
+The text's part is fitted on all blocks whose markup leaves no doubt (in an article without a contrary
+sign, or in navigation and the like), counted over all pages by cell of feature values, of which
+there are at most ``CELLS``; then the markup's part on the same blocks, given the text's. Pages carry no labels, so
+kinds of markup that no such block has keep their prior weights. Counts are scaled to one weight, so that
+prior weights, which alone decide where no page has such blocks, matter the same at every size.
 
 Null and empty pages, and pages without a content block, give the empty text. Pages are parsed
 whole in one pass; broken markup is read as browsers do, near enough: unknown ends are dropped, open
@@ -62,25 +64,16 @@ CELLS = 50 * 2 * 11 * 4
 #: Weight of all counts together, and the prior's precision: what a text is like is learnt, what
 #: tags tell of it hardly, as pages of one make would teach their template's habits.
 WEIGHT, PRECISION = 200.0, np.array([0.44, 0.44, 0.44, 0.44, 50.0, 50.0, 50.0])
+#: Kinds of markup around a block and what they tell before any fit, in log odds.
+WHOLE, APART, AGAINST, FOR, OUTSIDE, BARE, NONE = range(7)
+MARKUP = np.array([6.0, -9.0, -8.0, 2.0, -3.0, 3.0, 0.0])
+#: The precision of those priors, on the scale of ``WEIGHT``.
+MARKUP_PRECISION = 4.0
+#: Words of notices: with two of them a short text is likely one, in log odds.
+NOTICE = re.compile(r"(?i)\b(?:cookies?|consent|privacy|accept(?: all)?|newsletters?|subscribe|sign (?:up|in)|log ?in|copyright|all rights reserved|advertisement|terms of (?:use|service))\b|©")
+NOTICED = -6.0
 #: Capacity of one unit of log odds, and the most that a block's own text counts.
 UNIT, MOST = 10, 50
-#: Capacity of the edge of a block to the element that holds it; the unit of elements' evidence.
-HOLD = 120
-#: Evidence of elements, in ``HOLD`` a block below: articles, tags and roles of no main text, names
-#: (and forms) against and for, lists of links.
-WHOLE, APART, AGAINST, FOR, LINKS = 3.0, -3.0, -2.5, 0.4, -2.5
-
-
-@dataclass
-class Element:
-    """An element with evidence: its like around it (-1: none), the evidence, and how many elements
-    around and itself are there that only names, or a form, speak against."""
-
-    parent: int
-    evidence: float
-    doubts: int
-    named: bool
-    blocks: int = 0
 
 
 @dataclass
@@ -90,9 +83,9 @@ class Block:
     container: int
     depth: int
     links: float
-    #: The nearest element with evidence (-1: none) and its count of doubts.
-    holder: int
+    #: Elements around it that only names, or a form, speak against; whether one speaks for it.
     doubts: int
+    favoured: bool
     #: 1 or -1 where markup leaves no doubt.
     sure: int
     #: The list or table around it (0: none), the element around that, and the characters.
@@ -104,9 +97,8 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    elements: list[Element] = field(default_factory=list)
-    #: list or table -> the element with evidence around it
-    groups: dict[int, int] = field(default_factory=dict)
+    #: Elements on the page.
+    elements: int = 0
 
 
 def _names(attributes: str) -> tuple[list[list[str]], str, bool]:
@@ -145,10 +137,10 @@ class _Open:
 
     tag: str
     number: int = 0
-    holder: int = -1
     outer: bool = False
     inner: bool = False
     doubts: int = 0
+    favoured: bool = False
     #: Doubts that an article does not end.
     listed: int = 0
     group: int = 0
@@ -171,7 +163,7 @@ def parsed(page: str) -> Page:
             own = stack[-1]
             box = stack[-2].number if len(stack) > 1 and own.tag in IN_BOX else own.number
             sure = -1 if own.outer else int(own.inner and not own.doubts)
-            out.blocks.append(Block(text, own.tag, box, len(stack), linked / max(shown, 1), own.holder, own.doubts, sure, own.group, own.around, shown))
+            out.blocks.append(Block(text, own.tag, box, len(stack), linked / max(shown, 1), own.doubts, own.favoured, sure, own.group, own.around, shown))
         parts.clear()
         shown = linked = 0
 
@@ -224,31 +216,47 @@ def parsed(page: str) -> Page:
             continue
         number += 1
         up = stack[-1]
-        own = _Open(tag, number, up.holder, up.outer, up.inner, up.doubts, up.listed, up.group, up.around)
+        own = _Open(tag, number, up.outer, up.inner, up.doubts, up.favoured, up.listed, up.group, up.around)
         names, role, hidden = _names(m[3] or m[6] or "")
         whole = tag in ("article", "main") or role in ("main", "article")
-        evidence, named = 0.0, False
         if tag not in ("html", "body"):
             against = [x for x in (_against(n[:1] if whole else n, up.inner) for n in names) if x and (not whole or LISTED_NAME.match(x))]
             if tag in OUTER or tag == "header" and not up.inner or role in OUTER_ROLES or hidden:
-                evidence, own.outer = APART, True
+                own.outer = True
             elif against or tag == "form" or role == "form":
-                evidence, named, own.inner = AGAINST, True, False
+                own.inner = own.favoured = False
                 own.doubts += 1
                 own.listed += any(map(LISTED_NAME.match, against))
             elif whole and not up.outer:
-                own.doubts, own.inner, own.group = up.listed, True, 0
-                evidence = 0.0 if up.listed else WHOLE
+                own.doubts, own.inner, own.group = up.listed, not up.listed, 0
             elif any(x[0] not in STATE and any(map(INNER_NAME.match, x)) for x in names):
-                evidence = FOR
-        if evidence:
-            out.elements.append(Element(up.holder, evidence, own.doubts, named))
-            own.holder = len(out.elements) - 1
+                own.favoured = True
         if tag in GROUPS:
             own.group, own.around = number, up.number
-            out.groups[number] = own.holder
         stack.append(own)
     end_block()
+    out.elements = number
+    return out
+
+
+def kinds(page: Page, of_text: Scores) -> list[int]:
+    """The kind of markup around each block. A doubt that nearly all of the page's likely text is under
+    tells nothing, and a page whose text stands in an article has none outside it."""
+    likely: Counter[int] = Counter()
+    for b in page.blocks:
+        likely[b.doubts] += max(of_text[cell(b)], 0) if b.sure >= 0 else 0
+    shared = likely.total() and next(k for k in sorted(likely) if 10 * sum(v for x, v in likely.items() if x <= k) >= likely.total())
+    out = []
+    has = any(b.sure > 0 for b in page.blocks)
+    for b in page.blocks:
+        if b.sure:
+            out.append(WHOLE if b.sure > 0 else APART)
+        elif b.doubts > shared:
+            out.append(AGAINST)
+        elif has:
+            out.append(OUTSIDE)
+        else:
+            out.append(FOR if b.favoured else NONE if page.elements else BARE)
     return out
 
 
@@ -283,17 +291,36 @@ def fit(cells: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 
 class Scores(dict):
-    """cell -> capacity: positive is the cost of calling a block with this text boilerplate, negative
-    that of calling it content."""
+    """cell -> capacity of a block with this text, positive where content is likelier; ``markup``: what its kind adds."""
 
-    def __init__(self, weights: np.ndarray = PRIOR):
+    def __init__(self, weights: np.ndarray = PRIOR, markup: np.ndarray = MARKUP):
         self.weights = weights
+        self.markup = [round(UNIT * float(x)) for x in markup]
 
     def __missing__(self, key: tuple[int, int, int, int]) -> int:
         value = self[key] = max(-MOST, min(MOST, round(UNIT * float((features(np.array(key)) @ self.weights)[0]))))
         return value
 
 
+def fit_markup(cells: np.ndarray, kind: np.ndarray, yes: np.ndarray, no: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of the kinds of markup, given the text's: Newton's method for each kind by itself, as a block
+    has one."""
+    out, total = MARKUP.copy(), float(yes.sum() + no.sum())
+    if not total:
+        return out
+    text = np.clip(features(cells) @ weights, -MOST / UNIT, MOST / UNIT)
+    for k in np.unique(kind):
+        of, scale = kind == k, WEIGHT / total
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(text[of] + out[k], -30, 30)))
+            n = (yes + no)[of] * scale
+            step = ((n * p - yes[of] * scale).sum() + MARKUP_PRECISION * (out[k] - MARKUP[k])) / ((n * p * (1 - p)).sum() + MARKUP_PRECISION)
+            out[k] -= step
+            if abs(step) < 1e-9:
+                break
+    return out
+
+
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int, int]]) -> list[bool]:
     """Which nodes stay with the source: the scores are terminal capacities (source if positive, sink
     if negative); an edge (a, b, there, back) costs ``there`` if only a stays, ``back`` if only b
@@ -366,8 +393,8 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int, int]]) -> li
     return [not x for x in lost[:n]]
 
 
-def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 30) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """(capacities of the blocks and then of the elements, edges) of a page."""
+def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 45) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """(capacities of the blocks, edges) of a page."""
     blocks = page.blocks
     # short parts of lists and tables speak against them by their links only
     of_group: dict[int, list[float]] = {}
@@ -376,10 +403,12 @@ def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 30) ->
         sums[0] += b.links * b.size
         sums[1] += b.size
     linked = {k: min(1.0, 2 * x / max(n, 1)) if k else 1.0 for k, (x, n) in of_group.items()}
-    scores = []
-    for b in blocks:
+    scores, around = [], kinds(page, of_text)
+    for b, kind in zip(blocks, around, strict=True):
         s = of_text[cell(b)]
-        scores.append(round(s * max(linked[b.group], min(1.0, 2 * b.links))) if b.group and s < 0 else s)
+        s = round(s * max(linked[b.group], min(1.0, 2 * b.links))) if b.group and s < 0 else s
+        noticed = kind != WHOLE and len(b.text) < 400 and len({x.lower() for x in NOTICE.findall(b.text)}) > 1
+        scores.append(s + of_text.markup[kind] + round(UNIT * NOTICED) * noticed)
     edges: list[tuple[int, int, int, int]] = []
     # a list or table holds together and to what stands before and after it, the less the more links it has
     tie = {k: round(same_box * (1 - x)) for k, x in linked.items()}
@@ -390,6 +419,8 @@ def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 30) ->
         if i:
             edge = same_box if blocks[i - 1].container == b.container else near // (1 + abs(blocks[i - 1].depth - b.depth))
             edge = max(edge, tie[b.group]) if blocks[i - 1].group == b.group else edge
+            # what stands in another kind of markup is hardly nearer for being next
+            edge = edge if around[i - 1] == around[i] else edge // 3
             edges.append((i - 1, i, edge, edge))
         before = last.get(b.container, -1)
         if 0 <= before < i - 1:
@@ -403,43 +434,13 @@ def network(page: Page, of_text: Scores, near: int = 15, same_box: int = 30) ->
             begun.add(b.group)
             ended[b.around] = i
         last[b.container] = i
-    # a doubt that nearly all of the page's likely text is under tells nothing
-    likely: Counter[int] = Counter()
-    for b, s in zip(blocks, scores, strict=True):
-        likely[b.doubts] += max(s, 0)
-    shared = likely.total() and next(k for k in sorted(likely) if 10 * sum(v for x, v in likely.items() if x <= k) >= likely.total())
-    # lists of links are elements with evidence of their own
-    elements, of_list = list(page.elements), {}
-    for k, x in linked.items():
-        share = of_group[k][0] / max(of_group[k][1], 1)
-        if k and share > 0.5:
-            of_list[k] = len(elements)
-            elements.append(Element(page.groups[k], LINKS, 0, False))
-    count = [0] * len(elements)
-    for i, b in enumerate(blocks):
-        e = of_list.get(b.group, b.holder)
-        if e >= 0:
-            count[e] += 1
-            hold = round(HOLD * (1 - 0.75 * b.links)) if elements[e].evidence > 0 else HOLD
-            edges.append((i, len(blocks) + e, HOLD, hold))
-    for e in [*of_list.values(), *range(len(page.elements) - 1, -1, -1)]:  # from the inside out
-        up = elements[e].parent
-        if up >= 0:
-            count[up] += count[e]
-    for e, element in enumerate(elements):
-        void = element.named and element.doubts <= shared
-        scores.append(0 if void else round(element.evidence * HOLD * count[e]))
-        if element.parent >= 0 and count[e]:
-            # text inside what is apart from the text is rarer than a part of an article that is none
-            whole = HOLD * count[e]
-            edges.append((len(blocks) + e, len(blocks) + element.parent, whole, whole if void or element.evidence > 0 else whole // 5))
     return scores, [x for x in edges if x[2] or x[3]]
 
 
 def label(page: Page, of_text: Scores | None = None) -> list[bool]:
     """True for the blocks on the content side of the minimum cut."""
     scores, edges = network(page, of_text if of_text is not None else Scores())
-    return minimum_cut(scores, edges)[: len(page.blocks)]
+    return minimum_cut(scores, edges)
 
 
 def main_text(page: str, of_text: Scores | None = None) -> str:
@@ -447,8 +448,8 @@ def main_text(page: str, of_text: Scores | None = None) -> str:
     return "\n".join(b.text for b, content in zip(found.blocks, label(found, of_text), strict=True) if content)
 
 
-def trained(pages: DataFrame, html: str = "html") -> np.ndarray:
-    """The classifier's weights from all blocks of all pages that markup decides beyond doubt."""
+def counted(pages: DataFrame, html: str = "html") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, numbers of blocks of text, numbers of others) over all blocks of all pages that markup decides beyond doubt."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[tuple] = Counter()
@@ -458,18 +459,33 @@ def trained(pages: DataFrame, html: str = "html") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({name: pa.array([key[i] for key in n], pa.int32()) for i, name in enumerate(("words", "closed", "links", "kind", "sure"))} | {"n": pa.array(list(n.values()), pa.int64())})
 
     key = ["words", "closed", "links", "kind"]
-    counted = pages.select(text_of(pages, html).alias("_tw_html")).mapInArrow(count, "words int, closed int, links int, kind int, sure int, n long")
-    rows = counted.groupBy(*key).agg(F.sum(F.when(F.col("sure") > 0, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("sure") < 0, F.col("n")).otherwise(0)).alias("no")).orderBy(*key).collect()
-    return fit(np.array([[r[k] for k in key] for r in rows]), np.array([r["yes"] for r in rows], dtype=np.float64), np.array([r["no"] for r in rows], dtype=np.float64))
+    rows = pages.select(text_of(pages, html).alias("_tw_html")).mapInArrow(count, "words int, closed int, links int, kind int, sure int, n long")
+    rows = rows.groupBy(*key).agg(F.sum(F.when(F.col("sure") > 0, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("sure") < 0, F.col("n")).otherwise(0)).alias("no")).orderBy(*key).collect()
+    return np.array([[r[k] for k in key] for r in rows]), np.array([r["yes"] for r in rows], dtype=np.float64), np.array([r["no"] for r in rows], dtype=np.float64)
+
+
+def trained(pages: DataFrame, html: str = "html") -> np.ndarray:
+    """The weights of the text's part of the classifier."""
+    return fit(*counted(pages, html))
+
+
+def classifier(pages: DataFrame, html: str = "html") -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both parts of the classifier, fitted on these pages."""
+    cells, yes, no = counted(pages, html)
+    weights = fit(cells, yes, no)
+    # a block that counts as text is of a whole, one that does not is apart
+    both, none = np.concatenate([cells, cells]), np.zeros_like(yes)
+    kind = np.repeat([WHOLE, APART], len(cells))
+    return weights, fit_markup(both, kind, np.concatenate([yes, none]), np.concatenate([none, no]), weights)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "_tw_text") -> DataFrame:
     """``pages`` with the main text of each page in ``into``; the classifier is fitted on these pages."""
-    weights = trained(pages, html)
+    weights, markup = classifier(pages, html)
 
     @F.arrow_udf("string")
     def main(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of_text = Scores(weights)
+        of_text = Scores(weights, markup)
         for column in parts:
             yield pa.array([main_text(x.as_py() or "", of_text) for x in column], pa.string())
 
