@@ -14,7 +14,7 @@ from .functions.filters import condition
 from .functions.vectors import hash_embedding
 from .operators import context, dialogue, maxscore, quality, search, vocabulary
 from .plans import answer, chains, spec
-from .sources import collection, readers, term_index
+from .sources import collection, dense_index, readers, term_index
 from .streaming import ingest, memory
 
 FLAGSHIP = "hybrid_search"
@@ -329,6 +329,20 @@ def dense_cosine_search(spark, sf):
     return _rounded(search.dense_top(_dense_queries(spark, sf), vectors(spark, sf), "embedding", 10))
 
 
+def dense_graphs(spark: SparkSession, sf: str) -> str:
+    """The path of the stored dense index of the embeddings, built when it is first asked for."""
+    at = term_index.place(spark, f"{sf}/embeddings.parquet", "graphs")
+    if not dense_index.exists(spark, at):
+        dense_index.build(vectors(spark, sf), at, "embedding")
+    return at
+
+
+@query()
+def dense_graph_search(spark, sf):
+    """``dense_cosine_search`` by the stored index; tests hold its recall."""
+    return _rounded(dense_index.top(_dense_queries(spark, sf), dense_graphs(spark, sf), 10))
+
+
 @query(f"WITH qv AS (SELECT vec_id query_id, embedding q FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT query_id, vec_id pk, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) score FROM qv, embeddings WHERE label IN (1, 2, 3) AND label != 2) SELECT query_id, pk, rank, round(score, 6) AS score FROM ({_top('ds', 5)})")
 def filtered_inner_search(spark, sf):
     return _rounded(search.dense_top(_dense_queries(spark, sf), vectors(spark, sf), "embedding", 5, "IP", "label in [1, 2, 3] && label != 2"))

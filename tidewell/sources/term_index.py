@@ -156,13 +156,17 @@ def stamp(spark: SparkSession, path: str) -> str:
 def for_table(spark: SparkSession, path: str, docs: DataFrame) -> TermIndex:
     """The index of ``docs``, the tokens of the table at ``path``: built when it is first asked for and
     kept in the shared folder until the driver ends."""
-    name = "".join(c if c.isalnum() else "-" for c in f"{path}-{stamp(spark, path)}")
-    at = f"{shared_dir(spark)}/tidewell-terms-{spark.sparkContext.applicationId}/{name}"
+    at = place(spark, path, "terms")
     found = load(spark, at)
-    if found is None:
-        atexit.register(_remove, spark, at)
-        found = build(docs, at)
-    return found
+    return found if found is not None else build(docs, at)
+
+
+def place(spark: SparkSession, path: str, kind: str) -> str:
+    """Where an index of the table at ``path`` lies in the shared folder, until the driver ends."""
+    name = "".join(c if c.isalnum() else "-" for c in f"{path}-{stamp(spark, path)}")
+    at = f"{shared_dir(spark)}/tidewell-{kind}-{spark.sparkContext.applicationId}/{name}"
+    atexit.register(_remove, spark, at)
+    return at
 
 
 def _remove(spark: SparkSession, path: str) -> None:
