@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage and survives lost executors; the table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
@@ -71,8 +71,13 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         _remove(df.sparkSession, _paths[id(df)])
     for df in tables[:1]:
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
+        release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs now."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

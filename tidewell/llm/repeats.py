@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_by_size, mix64, saved, saved_parts, text_of
+from .common import discard, join_by_size, mix64, release, saved, saved_parts, text_of
 from .exact_dedup import exact_dedup
 
 
@@ -352,16 +352,19 @@ class Repeats:
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: RepeatSpec = RepeatSpec()) -> Repeats:
-    texts = saved(with_bodies(docs, doc_id, text, spec))
+    texts = saved(with_bodies(docs, doc_id, text, spec), "zstd")
     every = saved(sampled(texts, spec))
     n = every.count()
     again = saved(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    release(docs.sparkSession)
     samples = saved(join_by_size(every, again, "h", "n", n).select("key", "pos", "h", "c"))
     discard(every)
     contexts = saved(samples.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("at")))
     several = saved(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    release(docs.sparkSession)
     wanted = join_by_size(contexts.select("h", "c", "at.key", "at.pos"), several.withColumn("rows", F.col("m")), "h", "rows", max(1, n // 50))
-    cut = saved(cut_contexts(texts, wanted.select("key", "pos", "h", "c", "m"), spec))
+    cut = saved(cut_contexts(texts, wanted.select("key", "pos", "h", "c", "m"), spec), "zstd")
+    release(docs.sparkSession)
     found = saved(scanned(cut.where(F.col("m") <= spec.block).withColumn("g", F.col("h")), spec))
     big = cut.where(F.col("m") > spec.block)
     if not big.isEmpty():
@@ -387,6 +390,7 @@ def repeated_spans(found: Repeats, spec: RepeatSpec = RepeatSpec()) -> DataFrame
     single = found.contexts.where("n = 1")
     other = found.found.groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r")).join(single, ["h", "c"]).select("h", "c", "n", "l", "r")
     reach = saved(own.unionByName(other))
+    release(reach.sparkSession)
     at = join_by_size(found.samples, reach, ["h", "c"], "n", max(1, found.samples.count()))
     return at.groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("spans"))
 
