@@ -153,9 +153,21 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("_tw_id").alias("doc_id"), F.col("_tw_bytes").alias("n_bytes"), F.col("_tw_removed").alias("n_removed"), F.col("_tw_spans").alias("n_spans"), F.col("_tw_kept_sha").alias("kept_sha256"))
 
 
+OP13_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS times FROM w) WHERE times > 1),
+b AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS begins FROM s),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b) GROUP BY ALL),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS left_hex FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(left_hex, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.sql(), "op2_exact_dedup": OP2_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op1_mixing": mixing.sql(), "op2_exact_dedup": OP2_SQL, "op11_hard_negatives": OP11_SQL, "op13_suffix_dedup": OP13_SQL}
