@@ -17,7 +17,7 @@ from tidewell.functions.filters import FilterError, condition
 from tidewell.functions.vectors import cosine
 from tidewell.operators import context, dialogue, maxscore, quality, search, vocabulary
 from tidewell.plans import answer, chains, spec
-from tidewell.sources import collection, readers, term_index
+from tidewell.sources import collection, page_index, readers, term_index
 from tidewell.streaming import ingest
 
 
@@ -369,12 +369,13 @@ def test_templates():
     assert "own" in T.template_names() and T.template("own") == "{a}!"
 
 
-def test_one_route_and_registered_search(spark):
+def test_one_route_and_registered_search(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y")], "pk long, summary_dense array<double>, text string")
     asked = spark.createDataFrame([(7, [1.0, 0.1])], "query_id long, q array<double>")
     one = spec.api_search(1, hybrid=False)
     got = search.hybrid(asked, rows.withColumns({c: F.lit("") for c in one.output if c != "text"}), rows, rows, one).collect()
     assert [(r["pk"], r["rank"]) for r in got] == [(1, 1)]
-    readers.register_search("stored", readers.page_search(readers.from_rows(spark, [{"page_id": 1, "url": "u", "html": "<p>red fox</p>"}], "page_id long, url string, html string")))
+    pages = readers.from_rows(spark, [{"page_id": 1, "url": "u", "html": "<p>red fox</p>"}], "page_id long, url string, html string")
+    readers.register_search("stored", page_index.searcher(page_index.build(pages, str(tmp_path / "pages"))))
     found = readers.SEARCHES["stored"](spark.createDataFrame([(1, "fox", 3)], "query_id long, query string, cnt int")).first()
     assert (found["rank"], found["passage"]) == (1, "red fox")

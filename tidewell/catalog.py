@@ -14,7 +14,7 @@ from .functions.filters import condition
 from .functions.vectors import hash_embedding
 from .operators import context, dialogue, maxscore, quality, search, vocabulary
 from .plans import answer, chains, spec
-from .sources import collection, dense_index, readers, term_index
+from .sources import collection, dense_index, event_log, page_index, readers, term_index
 from .streaming import ingest, memory
 
 FLAGSHIP = "hybrid_search"
@@ -228,6 +228,56 @@ def session_event_stream(spark, sf):
     return _streamed(spark, memory.session_events(_message_stream(spark, sf)), memory.EVENTS)
 
 
+def _session_lines(rows: DataFrame) -> DataFrame:
+    """Event lines of messages: a rewriting or an answer, an end of every session's third message, and a broken line of every tenth."""
+    kind = F.when(F.col("role") == "user", "rewrite").when(F.col("role") == "assistant", "answer").otherwise("progress")
+    told = F.to_json(F.struct(kind.alias("type"), "session_id", "seq", F.coalesce("content", F.lit("")).alias("data")))
+    ends = F.to_json(F.struct(F.lit("done").alias("type"), "session_id", "seq", F.lit("").alias("data")))
+    lines = F.array(told, F.when(F.col("seq") == 3, ends), F.when(F.col("seq") % 10 == 9, F.lit('{"type": "answer", ')))
+    return rows.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("_j")).select(F.concat(F.lit("data: "), F.col("_j"), F.lit("\n\n")).alias("event"))
+
+
+def _log(spark) -> str:
+    """A new folder for a log in the shared one, which goes when the driver ends."""
+    at = f"{term_index.shared_dir(spark)}/tidewell-log-{uuid.uuid4().hex}"
+    term_index.removed_at_end(spark, at)
+    event_log.register(spark)
+    return at
+
+
+LOGGED = "session_id long, seq int, data string"
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+d AS (SELECT DISTINCT conv_id FROM e WHERE turn = 3)
+SELECT conv_id AS session_id, turn AS seq, t AS data FROM e LEFT JOIN d USING (conv_id) WHERE role = 'assistant' AND (d.conv_id IS NULL OR turn <= 3)""")
+def event_log_table(spark, sf):
+    """Answers of every session up to its end, read from a log of event lines by a source of the library's own."""
+    at = _log(spark)
+    event_log.write(_session_lines(messages(spark, sf)), at)
+    found = event_log.read(spark, at, types=["answer", "done"]).select("type", F.from_json("event", LOGGED).alias("e"))
+    answers = event_log.until_done(found.select("type", "e.*"), "session_id", "seq").where("type = 'answer'")
+    return answers.select("session_id", "seq", "data")
+
+
+@query("""SELECT conv_id AS session_id, turn AS seq, CASE role WHEN 'user' THEN 'rewrite' WHEN 'assistant' THEN 'answer' ELSE 'progress' END AS type, coalesce(text, '') AS data FROM conversations
+UNION ALL SELECT conv_id, turn, 'done', '' FROM conversations WHERE turn = 3
+UNION ALL SELECT NULL, NULL, 'broken', '{"type": "answer", ' FROM conversations WHERE turn % 10 = 9""")
+def event_log_stream(spark, sf):
+    """All events of a log that grows between two runs of a stream, each of them once; lines that cannot be read are kept as such."""
+    at = _log(spark)
+    out = f"{at}-out"
+    term_index.removed_at_end(spark, out)
+    sink = memory.EpochSink(spark, f"{out}/rows", event_log.SCHEMA)
+    for turns in ("seq <= 3", "seq > 3"):
+        event_log.write(_session_lines(messages(spark, sf).where(turns)), at)
+        stream = spark.readStream.format(event_log.NAME).option("broken", "keep").load(at)
+        sink.start(stream, f"{out}/checkpoint").awaitTermination()
+    whole = F.when(F.col("type") != "broken", F.from_json("event", LOGGED)).alias("e")
+    rows = sink.read().select("type", "event", whole)
+    return rows.select("e.session_id", "e.seq", "type", F.when(F.col("type") == "broken", F.col("event")).otherwise(F.col("e.data")).alias("data"))
+
+
 # Text --------------------------------------------------------------------------------------------
 
 
@@ -469,11 +519,16 @@ wn AS (SELECT query_id, page_id, count(*) n FROM wq JOIN wt USING (term) GROUP B
 wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, page_id) rank FROM wn QUALIFY rank <= 3)"""
 
 
+def web_pages(spark: SparkSession, sf: str):
+    """The web search over the stored pages."""
+    return page_index.searcher(page_index.for_table(spark, f"{sf}/pages.parquet"))
+
+
 @query(f"WITH asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL} SELECT query_id, rank, page_id, url FROM wr JOIN wp USING (page_id)")
 def web_search(spark, sf):
     """The stored pages that hold most words of each benchmark item."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(3).alias("cnt"))
-    return readers.page_search(_table(spark, sf, "pages"))(asked).select("query_id", "rank", "page_id", "url")
+    return web_pages(spark, sf)(asked).select("query_id", "rank", "page_id", "url")
 
 
 # Context, dialogue, answers ----------------------------------------------------------------------
@@ -599,7 +654,7 @@ PROMPT_SQL = "'Context:' || chr(10) || {0} || chr(10) || chr(10) || 'Question: '
 def answer_questions(spark, sf):
     """Benchmark items answered from the pages that match them, within a budget."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(3).alias("cnt"))
-    hits = readers.page_search(_table(spark, sf, "pages"))(asked.withColumnRenamed("question", "query")).withColumnRenamed("passage", "text")
+    hits = web_pages(spark, sf)(asked.withColumnRenamed("question", "query")).withColumnRenamed("passage", "text")
     return answer.answers(asked.drop("cnt"), hits, model=chains.fingerprint).select("query_id", "question", F.length("context").cast("long").alias("n_context"), "answer", "ok")
 
 
@@ -628,7 +683,7 @@ SELECT query_id AS session_id, question, query, coalesce(documents, '') AS docum
 def multi_turn_chain(spark, sf):
     """Every session's last user message as one more turn: compressed history, rewriting, retrieval over the pages, packing, answer."""
     asked, before = _told(spark, sf)
-    turns = chains.multi_turn(asked, before, readers.page_search(_table(spark, sf, "pages")), config.Dialogue(max_tokens=200))
+    turns = chains.multi_turn(asked, before, web_pages(spark, sf), config.Dialogue(max_tokens=200))
     book = chains.token_book(turns)
     return turns.select("session_id", "question", "query", F.array_join("documents", ",").alias("documents"), "answer").join(book.select("session_id", F.get("msg_len", 0).cast("long").alias("query_len"), F.get("msg_tokens", 0).cast("long").alias("query_tokens")), "session_id")
 
@@ -649,7 +704,7 @@ def search_graph_run(spark, sf):
     kept in turned order, odd ones have a reply that cannot be read; a judge that passes three in eight of
     documents, query and answer, two further attempts."""
     asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pages = readers.page_search(_table(spark, sf, "pages"))
+    pages = web_pages(spark, sf)
     reply = F.to_json(F.struct(F.lit(True).alias("need_search"), F.col("query").alias("search_query"), F.array(F.lit(2), F.lit(1)).alias("remain_doc_index")))
 
     def router(rows: DataFrame) -> DataFrame:

@@ -81,13 +81,17 @@ def sparse_top(query_weights: DataFrame, postings: DataFrame | TermIndex, limit:
     """
     asked = pruned(query_weights, drop_ratio)
     if isinstance(postings, TermIndex):
-        asked = scratch(asked)
-        if maxscore.postings_asked(asked, postings) <= maxscore.READ_ALL:
-            return ranked(maxscore.read(postings.blocks_of(asked), asked, allowed), limit)
-        return ranked(maxscore.top(asked, postings, limit, allowed), limit)
+        return stored_top(scratch(asked), postings, limit, allowed)
     return ranked(sparse_scores(asked, postings.join(allowed, "pk", "left_semi") if allowed is not None else postings), limit)
 
 
+def stored_top(asked: DataFrame, index: TermIndex, limit: int, allowed: DataFrame | None = None) -> DataFrame:
+    """``sparse_top`` of query terms that are a stored table, as they are read several times."""
+    if maxscore.postings_asked(asked, index) <= maxscore.READ_ALL:
+        return ranked(maxscore.read(index.blocks_of(asked), asked, allowed), limit)
+    return ranked(maxscore.top(asked, index, limit, allowed), limit)
+
+
 def bm25_top(queries: DataFrame, postings: DataFrame | TermIndex, limit: int) -> DataFrame:
     """Classical BM25: sums of the postings' weights over the query's terms (query_id, tokens), repeated ones again."""
     terms = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import strip_tags, tokens
-
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """JSON lines or Parquet, by the path's ending; anything else is an error."""
@@ -60,9 +58,6 @@ def event_lines(lines: DataFrame, value: str = "value", schema: str = "type stri
     return events.select(*kept, "e.*")
 
 
-#: Words of a batch of queries that are sent to the pages; more of them are joined by a shuffle.
-QUERY_TERMS = 1 << 20
-
 SEARCHES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -71,23 +66,6 @@ def register_search(name: str, search: Callable[[DataFrame], DataFrame]) -> None
     SEARCHES[name] = search
 
 
-def page_search(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """An offline web search over stored pages: those that hold most of the query's words, then smaller ids."""
-    words = pages.select("page_id", "url", strip_tags(F.col("html")).alias("passage"))
-    index = words.select("page_id", F.explode(F.array_distinct(tokens(F.col("passage")))).alias("term"))
-
-    def search(queries: DataFrame) -> DataFrame:
-        terms = queries.select("query_id", "cnt", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-        # the queries' words go to the pages, whose words stay where they are
-        terms = F.broadcast(terms) if terms.count() <= QUERY_TERMS else terms
-        hits = index.join(terms, "term").groupBy("query_id", "cnt", "page_id").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("n"), "page_id")
-        top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("cnt"))
-        return top.join(words, "page_id").select("query_id", "rank", "page_id", "url", "passage")
-
-    return search
-
-
 def documents_of(result: Column) -> Column:
     """A tool's JSON array of records; invalid or empty text gives none."""
     return F.coalesce(F.from_json(result, "array<struct<passage: string, url: string>>"), F.array().cast("array<struct<passage: string, url: string>>"))

@@ -169,6 +169,11 @@ def place(spark: SparkSession, path: str, kind: str) -> str:
     return at
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Lets a folder go when the driver ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         fs, at = _files(spark, path)
