@@ -13,7 +13,7 @@ from .functions import text as T
 from .functions.filters import condition
 from .functions.vectors import hash_embedding
 from .operators import context, dialogue, maxscore, quality, search, vocabulary
-from .plans import answer, chains, spec
+from .plans import answer, chains, measured, spec
 from .sources import collection, dense_index, event_log, page_index, readers, term_index
 from .streaming import ingest, memory
 
@@ -658,6 +658,18 @@ def answer_questions(spark, sf):
     return answer.answers(asked.drop("cnt"), hits, model=chains.fingerprint).select("query_id", "question", F.length("context").cast("long").alias("n_context"), "answer", "ok")
 
 
+@query(f"WITH asked AS (SELECT item_id query_id, text query FROM benchmark), {WEB_SQL}, {ANSWER_SQL.format(budget=512, join='')}, p AS (SELECT query_id, md5({PROMPT_SQL.format(chr(99) + 'oalesce(context, ' + chr(39) * 2 + ')', 'query')}) h FROM asked LEFT JOIN hx USING (query_id)) SELECT query_id, CASE WHEN h < '4' THEN 'No answer was found.' ELSE 'ref ' || h END AS answer, h >= '4' AS ok, h >= '4' AS timed, h < '4' AS untimed, (SELECT count(*) FROM wr) AS n_hits, (SELECT count(*) FROM asked) AS n_answers FROM p")
+def measured_answers(spark, sf):
+    """Benchmark items answered in a measured run by a model that says nothing to a quarter of the prompts: the
+    envelope has the times of the steps, or the apology and none, and the run has counted their rows."""
+    asked = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(3).alias("cnt"))
+    run = measured.Run(spark)
+    rows = measured.answered(run, asked, web_pages(spark, sf), model=lambda prompt: F.when(F.md5(prompt) < "4", "").otherwise(chains.fingerprint(prompt)))
+    both = F.least("search_time", "generation_time") > 0
+    none = F.greatest("search_time", "generation_time") == 0
+    return rows.select("query_id", "answer", "ok", both.alias("timed"), none.alias("untimed"), F.lit(run.rows("search")).cast("long").alias("n_hits"), F.lit(run.rows("answer")).cast("long").alias("n_answers"))
+
+
 # Whole chains ------------------------------------------------------------------------------------
 
 STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
