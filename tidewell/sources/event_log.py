@@ -12,8 +12,8 @@ object is a row (file, at, type, event, problem): the file's name, the line's pl
 Files are cut into pieces of ``splitBytes``; small ones share a task. A line belongs to the piece in which it
 starts. The options ``files`` (JSON array of names, a * at the end stands for any ending) choose files before any is
 opened, ``types`` (JSON array) drops other rows before they leave the reader. With ``pushDown`` set to ``true``
-Spark hands over its own conditions on these two columns. Spark keeps one reader for all scans of a loaded
-table, so such a table must not be read twice with different conditions in one plan; hence the option. A stream's offset is one place per file, always behind a whole line, so what is being
+Spark hands over its own conditions on these two columns. Scans of one loaded table seem to
+share a reader (seen on Spark 4.1.2), so such a table must not be read twice with different conditions in one plan; hence the option. A stream's offset is one place per file, always behind a whole line, so what is being
 written waits for its end. A piece that cannot be read is an error; with ``onError`` set to ``rows``
 it gives, after the rows that could be read, one of type ``unreadable`` with its first place and the
 problem, and the other pieces are read.
