@@ -13,6 +13,12 @@ can miss e = floor((1 - t) n) of them in a partner:
   subclass is indexed. c follows the size level floor(log2 n), and a document writes the pairs of
   each level that a partner's size allows. Below eight shingles frequent ones are indexed one by one.
 
+The class is found by counting every shingle's documents, and sent to all tasks as a filter of bounded
+size. What the filter takes for frequent is treated so, consistently in all documents, and any
+classification gives the same links; a rare shingle always has fewer than ``heavy`` documents. A full
+filter, with far more frequent shingles than bits, would make all shingles count as frequent and pairs
+of them the only entries.
+
 Documents that share an index entry are candidates. To find components it is enough to compare all
 documents of an entry with its most shared document first, and then only those that are still in
 different components: by pairs where an entry has few documents, by blocks of documents where it has
@@ -53,10 +59,10 @@ class JoinSpec:
     words: int = 5
     #: Links need 100 * intersection >= percent * union.
     percent: int = 80
-    #: Documents from which a shingle is of the frequent class; raised where more than ``most_heavy``
-    #: shingles could reach it, which bounds what is broadcast.
+    #: Documents from which a shingle is of the frequent class.
     heavy: int = 64
-    most_heavy: int = 1 << 22
+    #: Bits of the filter of frequent shingles at most, a power of two: 64 MB.
+    most_bits: int = 1 << 29
     #: Ids up to which a filter on documents is broadcast.
     most_ids: int = 1 << 20
 
@@ -137,13 +143,15 @@ def most_common(p: bytes, q: bytes, m: int, n: int) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> tuple[np.ndarray, DataFrame]:
-    """(sorted keys of the frequent class, (doc, n, bins) of every document with words).
+def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, filter_bits: int) -> tuple[np.ndarray, DataFrame]:
+    """(filter of the frequent class, (doc, n, bins) of every document with words).
 
-    A key is the top ``bucket_bits + 32`` bits of a hash that ``least`` documents or more have. A
-    task sends four bytes for each distinct shingle of a chunk of its documents, by bucket, and the
-    documents' sizes and histograms along with them.
+    The filter has 2^filter_bits bits. A bit stands for the hashes that begin with its number and is set
+    where ``spec.heavy`` documents or more have one of them, so a bucket of hashes owns a stretch of the
+    filter and sends that alone. A task sends four bytes for each distinct shingle of a chunk of its
+    documents, by bucket, and the documents' sizes and histograms along with them.
     """
+    own_bits = filter_bits - bucket_bits
     low, spread, chunk = np.uint64(32 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,7 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
         bucket = int(group["bucket"].iloc[0])
         if bucket < 0:
             doc, n = (np.frombuffer(b"".join(group[c]), dtype=kind) for c, kind in (("once", np.int64), ("n", np.int32)))
-            return pd.DataFrame({"keys": None, "doc": doc, "n": n, "bins": group["more"].to_numpy()})
+            return pd.DataFrame({"bucket": bucket, "bits": None, "doc": doc, "n": n, "bins": group["more"].to_numpy()})
         once = [np.frombuffer(x, dtype=np.uint32) for x in group["once"]]
         more = [np.frombuffer(x, dtype=np.uint32) for x in group["more"]]
         n = [np.frombuffer(x, dtype=np.int32) for x in group["n"]]
@@ -182,31 +190,28 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
         order = np.argsort(prints, kind="stable")
         prints, weights = prints[order], weights[order]
         starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        heavy = prints[starts][np.add.reduceat(weights, starts) >= least].astype(np.uint64)
-        return pd.DataFrame({"keys": [((np.uint64(bucket) << np.uint64(32)) | heavy).tobytes()], "doc": pd.array([None], dtype="Int64"), "n": pd.array([None], dtype="Int32"), "bins": [None]})
+        heavy = prints[starts][np.add.reduceat(weights, starts) >= spec.heavy]
+        bits = np.zeros(1 << own_bits, dtype=bool)
+        bits[heavy >> np.uint32(32 - own_bits)] = True
+        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits).tobytes() if len(heavy) else None], "doc": pd.array([None], dtype="Int64"), "n": pd.array([None], dtype="Int32"), "bins": [None]})
 
-    found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "keys binary, doc long, n int, bins binary"))
-    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.where(F.length("keys") > 0).select("keys").toLocalIterator()]
-    heavy = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
-    return heavy, found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
+    found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "bucket int, bits binary, doc long, n int, bins binary"))
+    table = np.zeros(1 << max(0, filter_bits - 3), dtype=np.uint8)
+    size = (1 << own_bits) // 8
+    for r in found.where(F.col("bits").isNotNull()).select("bucket", "bits").toLocalIterator():
+        table[r["bucket"] * size :][:size] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return table, found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
 
 
 class HeavyTest:
-    """Which hashes belong to heavy keys."""
+    """Which hashes count as frequent: all that are, and few others while the filter has room."""
 
-    def __init__(self, keys: np.ndarray, bucket_bits: int):
-        self.keys, self.low = keys, np.uint64(32 - bucket_bits)
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[keys & np.uint64((1 << 22) - 1)] = True
+    def __init__(self, table: np.ndarray):
+        self.table, self.low = table, np.uint64(64 - (len(table) * 8).bit_length() + 1)
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        key = s >> self.low
-        out = self.maybe[key & np.uint64((1 << 22) - 1)]
-        at = np.flatnonzero(out)
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-            out[at] = self.keys[place] == key[at]
-        return out
+        place = s >> self.low
+        return (self.table[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bits: int) -> DataFrame:
@@ -220,7 +225,7 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
     shift, spread, chunk = np.uint64(64 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, test = WordHashes(), HeavyTest(shared.value, bucket_bits)
+        hashes, test = WordHashes(), HeavyTest(shared.value)
         parts: list[tuple[int, int, np.ndarray]] = []
         frequent: list[tuple[int, bytes, bytes, bytes]] = []
         waiting = 0
@@ -410,7 +415,10 @@ def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     total = max(1, chars // 5)
     bucket_bits = min(20, max(8, (total >> 19).bit_length()))
-    heavy, sizes = measured(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
+    # 16 bits for each shingle that can be frequent, and at least 8 a bucket
+    wanted = (total * 16 // spec.heavy).bit_length()
+    filter_bits = max(bucket_bits + 3, min(max(20, wanted), spec.most_bits.bit_length() - 1))
+    heavy, sizes = measured(docs, spec, bucket_bits, filter_bits)
     raw = saved(index_entries(docs, spec, heavy, bucket_bits))
     counts = raw.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
     counts = saved(counts)
