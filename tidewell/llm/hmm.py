@@ -44,9 +44,9 @@ class HmmSpec:
     classes: int = 1 << 10
     #: Most frequent tokens sent to every task; the counts of all others are joined by a shuffle.
     known: int = 1 << 17
-    #: Rounds of training are these and ``rounds``.
-    sample_rounds: int = 12
-    rounds: int = 3
+    #: Rounds of training at most; they end when one raises the log-likelihood by less than this share of it.
+    rounds: int = 15
+    settled: float = 3e-4
     segment: int = 256
     add: float = 0.1
     #: Symbols in a block, and tasks whose sums meet in one group.
@@ -335,8 +335,12 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     # a task sends its sums once, so four splits a task send a quarter, as long as all cores have work
     tasks = max(-(-tasks // 4), min(tasks, 2 * docs.sparkSession.sparkContext.defaultParallelism))
     train = train.coalesce(tasks)
-    for _ in range(spec.sample_rounds + spec.rounds):
-        model, _ = baum_welch_round(train, model, vocabulary.frequency, spec, tasks)
+    before = float("-inf")
+    for _ in range(spec.rounds):
+        model, likelihood = baum_welch_round(train, model, vocabulary.frequency, spec, tasks)
+        if likelihood - before <= spec.settled * abs(likelihood):
+            break
+        before = likelihood
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
