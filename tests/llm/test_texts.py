@@ -81,9 +81,10 @@ def plain_components(rows: list[tuple], percent: int = 80) -> dict:
     return {i: (max(map(len, sets[i])), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("heavy", "crowd"), [(64, 64), (2, 64), (2, 2)])
-def test_join_against_all_pairs(spark, awkward, monkeypatch, heavy, crowd):
-    """With ``heavy=2`` every shared shingle is of the frequent class; with a crowd of 2 all is compared in blocks."""
+@pytest.mark.parametrize(("heavy", "crowd", "bits"), [(64, 64, 1 << 29), (2, 64, 1 << 29), (2, 2, 1 << 29), (2, 64, 1 << 11)])
+def test_join_against_all_pairs(spark, awkward, monkeypatch, heavy, crowd, bits):
+    """With ``heavy=2`` every shared shingle is of the frequent class; with a crowd of 2 all is compared in
+    blocks; with few bits the filter takes many other shingles for frequent."""
     monkeypatch.setattr(J, "CROWD", crowd)
     monkeypatch.setattr(J, "GROUP", 1 << 17 if crowd > 2 else 300)
     rng = random.Random(heavy)
@@ -100,12 +101,38 @@ def test_join_against_all_pairs(spark, awkward, monkeypatch, heavy, crowd):
     made = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = awkward.select("doc_id", "text").unionByName(made)
     want = plain_components([(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()])
-    got = J.join_documents(docs, spec=J.JoinSpec(heavy=heavy)).collect()
+    got = J.join_documents(docs, spec=J.JoinSpec(heavy=heavy, most_bits=bits)).collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == (want[r["doc_id"]] if r["doc_id"] is not None else (0, None)), r
 
 
+@pytest.mark.parametrize("filter_bits", [11, 20])
+def test_rare_shingles_stay_below_the_threshold(spark, filter_bits):
+    """A filter of any size holds all shingles of ``heavy`` documents, so those left are in fewer."""
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(7)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(lines, 4)) + f" own{i}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "_id long, _text string")
+    spec, hashes = J.JoinSpec(heavy=10), J.WordHashes()
+    table, sizes = J.measured(docs, spec, 8, filter_bits)
+    assert len(table) == 1 << (filter_bits - 3) and sizes.count() == 150
+    seen = collections.Counter(x for _, text in rows for x in J.shingles(J.words_of(text), hashes, 5).tolist())
+    every = J.np.array(sorted(seen), dtype=J.np.uint64)
+    frequent = dict(zip(every.tolist(), J.HeavyTest(table)(every).tolist(), strict=True))
+    assert all(frequent[x] for x, n in seen.items() if n >= 10) and any(n >= 10 for n in seen.values())
+    false = [x for x, n in seen.items() if n < 10 and frequent[x]]
+    assert len(false) < len(every) * (0.2 if filter_bits == 11 else 0.01)
+
+
+def test_slices_read_their_own_folder(spark):
+    keyed = spark.range(3000).select(F.col("id").alias("_tw_id"), F.sha2(F.col("id").cast("string"), 256).alias("_tw_sha")).withColumn("_tw_h", F.xxhash64("_tw_sha"))
+    slices = D.by_slice(keyed, 16)
+    files = [{r["f"] for r in own.select(F.input_file_name().alias("f")).distinct().collect()} for own in slices]
+    assert sum(own.count() for own in slices) == 3000 and all(own.columns == keyed.columns for own in slices)
+    assert sum(map(len, files)) == len(set().union(*files)) and all("PartitionFilters: [isnotnull(_tw_slice" in own._jdf.queryExecution().toString() for own in slices)
+
+
 def test_join_of_nothing(nothing):
     assert J.join_documents(nothing).count() == 0 and J.one_of_each(nothing).count() == 0
 

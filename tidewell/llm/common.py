@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def saved(df: DataFrame, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, a folder for each value of ``by``, and read back.
 
     This cuts the lineage and survives lost executors; the table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path

@@ -7,9 +7,10 @@ other row has, and passes straight through; only the others shuffle, to be group
 of the text. False positives cost a shuffle of that row and nothing else.
 
 The bit table has ``BITS_PER_ROW`` bits a row up to ``most_bits``, which bounds what is broadcast and
-what a Python worker holds. Beyond that the hash space is cut into slices, which are taken one after
-the other: a slice's table is built, its rows of the (id, hash) table are flagged and written, and the
-table is given up before the next. The (id, hash) table is read twice a slice, the texts are not.
+what a Python worker holds. Beyond that the hash space is cut into slices: the (id, hash) table is
+written once more, a folder a slice, without a shuffle. The slices are taken one after the other: a
+slice's table is built from its own folder, its rows are flagged and written, and the table is given up
+before the next. So each row of the (id, hash) table is read three times, however many slices there are.
 
 Null text counts as empty; very long texts only move as hashes; the text is not changed before
 comparison. Equal texts: the row with the largest id stays, a null id below all others. Rows that
@@ -117,13 +118,22 @@ def slicing(rows: int, most_bits: int) -> tuple[int, int]:
     return bits // slices, slices
 
 
+def by_slice(keyed: DataFrame, slices: int) -> list[DataFrame]:
+    """``keyed`` by slices of its hashes. Each reads the folder of its slice only; as few tasks as keep
+    all cores at work write them, as each writes a file a slice."""
+    if slices == 1:
+        return [keyed]
+    tasks = 4 * keyed.sparkSession.sparkContext.defaultParallelism
+    cut = saved(keyed.withColumn("_tw_slice", F.pmod(F.shiftright("_tw_h", 40), F.lit(slices)).cast("int")).coalesce(tasks), by="_tw_slice")
+    return [cut.where(F.col("_tw_slice") == i).drop("_tw_slice") for i in range(slices)]
+
+
 def flagged(keyed: DataFrame, rows: int, most_bits: int) -> DataFrame:
     """``keyed`` with ``_tw_maybe`` in place of ``_tw_h``, written; one slice's table is held at a time."""
     bits, slices = slicing(rows, most_bits)
 
     def parts() -> Iterator[DataFrame]:
-        for i in range(slices):
-            own = keyed if slices == 1 else keyed.where(F.pmod(F.shiftright("_tw_h", 40), F.lit(slices)) == i)
+        for own in by_slice(keyed, slices):
             maybe, table = repeated_filter(own.select(F.col("_tw_h").alias("h")), bits)
             yield own.withColumn("_tw_maybe", maybe(F.col("_tw_h"))).drop("_tw_h")
             table.destroy()
