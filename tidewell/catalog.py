@@ -12,7 +12,7 @@ from . import config
 from .functions import text as T
 from .functions.filters import condition
 from .functions.vectors import hash_embedding
-from .operators import context, dialogue, maxscore, quality, search, vocabulary
+from .operators import alignment, context, dialogue, maxscore, quality, search, vocabulary
 from .plans import answer, chains, measured, spec
 from .sources import collection, dense_index, event_log, page_index, readers, term_index
 from .streaming import ingest, memory
@@ -839,6 +839,38 @@ def answer_metrics(spark, sf):
     return means.select(*[F.round(c, 6).alias(c) for c in means.columns])
 
 
+BREAK_SQL = r"string_split_regex(coalesce({0}, ''), '[.!?。！？\n]+')"
+
+
+def _statements_sql(text: str) -> str:
+    return f"list_filter(list_transform({BREAK_SQL.format(text)}, lambda s: list_distinct({TOKENS.format('s')})), lambda t: len(t) > 0)"
+
+
+ALIGNED_SQL = f"""{SQL_BM25},
+sc AS (SELECT query_id, pk, sum(qtf.tf * post.w) score FROM qtf JOIN post USING (term) GROUP BY ALL),
+ht AS (SELECT query_id, rank, text FROM ({_top('sc', 5)}) JOIN documents ON pk = doc_id),
+an AS (SELECT item_id query_id, coalesce(array_to_string({BREAK_SQL.format('h.text')}[1:2], '. ') || '. ', '') || {BREAK_SQL.format('b.text')}[1] response, b.text reference FROM benchmark b LEFT JOIN ht h ON item_id = query_id AND rank = 1),
+cl AS (SELECT query_id, kind, generate_subscripts(t, 1) no, unnest(t) c FROM (SELECT query_id, 'response' kind, {_statements_sql('response')} t FROM an UNION ALL SELECT query_id, 'reference', {_statements_sql('reference')} FROM an)),
+cx AS (SELECT query_id, rank, unnest({_statements_sql('text')}) x FROM ht),
+fo AS (SELECT DISTINCT query_id, kind, no, rank FROM cl JOIN cx USING (query_id) WHERE len(list_intersect(c, x)) * 100 >= len(c) * 60),
+sh AS (SELECT query_id, kind, count(*) FILTER (f) / count(*) share FROM (SELECT query_id, kind, EXISTS (FROM fo WHERE fo.query_id = cl.query_id AND fo.kind = cl.kind AND fo.no = cl.no) f FROM cl) GROUP BY ALL),
+ap AS (SELECT query_id, avg(nth / rank) p FROM (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) nth FROM (SELECT DISTINCT query_id, rank FROM fo WHERE kind = 'reference')) GROUP BY 1)"""
+
+
+@query(f"WITH {ALIGNED_SQL} SELECT query_id, round(coalesce(max(share) FILTER (kind = 'response'), 0), 6) AS faithfulness, round(coalesce(max(share) FILTER (kind = 'reference'), 0), 6) AS context_recall, round(coalesce(any_value(p), 0), 6) AS context_precision FROM (SELECT DISTINCT query_id FROM an) LEFT JOIN sh USING (query_id) LEFT JOIN ap USING (query_id) GROUP BY query_id")
+def aligned_metrics(spark, sf):
+    """Items as references, against their BM25 hits; a stand-in answers with the best hit's first two
+    sentences and the first of the item."""
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("reference"))
+    best = search.bm25_top(query_tokens(spark, sf), bm25_index(spark, sf), 5)
+    hits = best.join(_table(spark, sf, "documents").select(F.col("doc_id").alias("pk"), "text"), "pk").select("query_id", "rank", "text")
+    cut = lambda c: F.split(F.coalesce(c, F.lit("")), alignment.SENTENCE_BREAK)
+    first = hits.where("rank = 1").select("query_id", F.concat(F.array_join(F.slice(cut(F.col("text")), 1, 2), ". "), F.lit(". ")).alias("_first"))
+    answers = items.join(first, "query_id", "left").withColumn("response", F.concat(F.coalesce("_first", F.lit("")), F.get(cut(F.col("reference")), 0)))
+    done = alignment.metrics(answers, hits)
+    return done.select("query_id", *[F.round(c, 6).alias(c) for c in ("faithfulness", "context_recall", "context_precision")])
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_activity(spark, sf):
     out = ingest.activity(_table(spark, sf, "events"))
