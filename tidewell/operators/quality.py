@@ -93,9 +93,22 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, precision, reciprocal_rank) at k of hits (query_id, pk, rank) against (query_id, pk)."""
-    top = hits.where(F.col("rank") <= k).join(relevant.withColumn("_rel", F.lit(1)), ["query_id", "pk"], "left")
-    wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("_want"))
-    per = top.groupBy("query_id").agg(F.count("_rel").alias("_hit"), F.min(F.when(F.col("_rel") == 1, F.col("rank"))).alias("_first"))
+    top = hits.where(F.col("rank") <= k).join(relevant.withColumn("_rel", F.lit(1)), ["query_id", "pk"], "left").where("_rel = 1")
+    return _at_k(top, relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("_want")), k)
+
+
+def label_metrics(hits: DataFrame, asked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """``retrieval_metrics`` where the rows (pk, label) of a query's label (query_id, label) are the relevant
+    ones: they are counted by label, and no pair of query and relevant row is made."""
+    sizes = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = asked.join(sizes, "label").groupBy("query_id").agg(F.sum("_n").alias("_want"))
+    top = hits.where(F.col("rank") <= k).join(labels, "pk").join(asked, ["query_id", "label"], "left_semi")
+    return _at_k(top, wanted, k)
+
+
+def _at_k(found: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Metrics of relevant hits (query_id, rank) and numbers of relevant rows (query_id, _want)."""
+    per = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hit"), F.min("rank").alias("_first"))
     rows = wanted.join(per, "query_id", "left")
     hit = F.coalesce("_hit", F.lit(0))
     return rows.select("query_id", (hit / F.col("_want")).alias("recall"), (hit / F.lit(k)).alias("precision"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"))
