@@ -9,13 +9,22 @@ from ..config import Bm25
 from ..functions.text import counted, tokens
 from .joins import by_size
 
+#: Words of a table of stop words that are looked up as a set.
+STOP_WORDS = 1 << 13
+
 
 def tokenised(docs: DataFrame, key: str, text: str, stop_words: list[str] | DataFrame | None = None) -> DataFrame:
-    """(key, tokens), without the stop words: a list, or a table (word) of at most a few thousand, which
-    goes to every row as one array."""
+    """(key, tokens), without the stop words: a list, or a table (word).
+
+    A table of up to ``STOP_WORDS`` distinct words goes to every row as a set of values, in which a token is looked
+    up by its hash; of more words, as one array, which is gone through for each token.
+    """
     words = F.coalesce(F.col(text), F.lit(""))
     if not isinstance(stop_words, DataFrame):
         return docs.select(F.col(key), tokens(words, stop_words).alias("tokens"))
+    found = [r["word"] for r in stop_words.where("word is not null").select("word").distinct().limit(STOP_WORDS + 1).collect()]
+    if len(found) <= STOP_WORDS:
+        return docs.select(F.col(key), tokens(words, sorted(found)).alias("tokens"))
     stop = F.broadcast(stop_words.agg(F.collect_set("word").alias("_stop")))
     return docs.select(F.col(key), tokens(words).alias("_t")).join(stop, how="cross").select(key, F.filter("_t", lambda t: ~F.array_contains(F.col("_stop"), t)).alias("tokens"))
 
