@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tidewell import catalog
-from tidewell.operators import blocks, quality, search
+from tidewell.operators import blocks, quality, search, vocabulary
+from tidewell.sources import term_index
 
 
 def _hits(df):
@@ -48,3 +50,43 @@ def test_label_metrics_make_no_pairs(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.retrieval_metrics(hits, pairs, 2).collect())) == [(1, 1 / 3, 0.5, 0.5), (3, 0.0, 0.0, 0.0)]
     plan = catalog.retrieval_metrics(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_terms_by_blocks(spark, tmp_path, monkeypatch):
+    """As by adding up all postings, of which none is a row of its own; presence counts common words."""
+    for name, size in (("QUERIES", 4), ("ROWS", 90), ("FEW", 50)):
+        monkeypatch.setattr(blocks, name, size)
+    rng = random.Random(4)
+    texts = [" ".join([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] + [f"r{rng.randrange(200)}"] * rng.randint(0, 2)) for _ in range(400)] + [None, ""]
+    docs = vocabulary.tokenised(spark.createDataFrame(list(enumerate(texts)), "pk long, text string"), "pk", "text")
+    index = term_index.build(docs, str(tmp_path / "terms"))
+    asked = [(q, t, 0.5 + q % 3) for q in range(11) for t in sorted({*rng.sample("abcdefgh", 3), f"r{q}", "nowhere"})] + [(99, "nowhere", 1.0), (100, "a", 1.0)]
+    asked = spark.createDataFrame(asked, "query_id long, term string, w double")
+    for allowed in (None, spark.range(0, 400, 3).withColumnRenamed("id", "pk")):
+        postings = index.postings if allowed is None else index.postings.join(allowed, "pk", "left_semi")
+        got = search.sparse_top(asked, index, 6, allowed=allowed)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(arrays_zip" not in plan and "pks" not in plan
+        assert [x[:3] for x in _hits(got)] == [x[:3] for x in _hits(search.ranked(search.sparse_scores(asked, postings), 6))]
+        one = asked.withColumn("w", F.lit(1.0))
+        got = search.sparse_top(one, replace(index, presence=True), 6, allowed=allowed)
+        assert _hits(got) == _hits(search.ranked(search.sparse_scores(one, postings.withColumn("w", F.lit(1.0))), 6))
+    assert not term_index.exists(spark, f"{index.at}/blocks")  # inverted only for searches by bounds
+
+
+def test_counts_beyond_a_byte(spark, tmp_path):
+    docs = spark.createDataFrame([(1, [f"w{i}" for i in range(300)]), (2, ["w1"])], "pk long, tokens array<string>")
+    index = replace(term_index.build(docs, str(tmp_path / "terms")), presence=True)
+    asked = spark.createDataFrame([(1, f"w{i}", 1.0) for i in range(300)], "query_id long, term string, w double")
+    assert [(r["pk"], r["score"]) for r in search.sparse_top(asked, index, 2).orderBy("rank").collect()] == [(1, 300.0), (2, 1.0)]
+
+
+def test_stop_words_are_looked_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b w1 W2 a"), (2, None)], "pk long, text string")
+    stop = spark.createDataFrame([(f"w{i}",) for i in range(50)] + [("a",), ("a",), (None,)], "word string")
+    got = vocabulary.tokenised(docs, "pk", "text", stop)
+    assert "INSET" in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(vocabulary, "STOP_WORDS", 3)
+    many = vocabulary.tokenised(docs, "pk", "text", stop)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.collect())) == [(1, ["b"]), (2, [])]
+    assert vocabulary.tokenised(docs, "pk", "text", stop.where("word = 'x'")).first()["tokens"] == ["a", "b", "w1", "w2", "a"]
