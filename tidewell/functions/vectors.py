@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,27 +32,34 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def hash_embedding(tokens: Column, dimension: int = 64) -> Column:
-    """A deterministic embedding of a token array: signed counts by hash, scaled to length 1.
+@cache
+def _embedder(dimension: int):
+    @F.arrow_udf("array<double>")
+    def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def code(token: str) -> int:
+            return int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % (2 * dimension)
 
-    Every token is hashed once, to a number whose last bit is the sign and whose others are the slot.
-    The sorted numbers are cut where they change, so the counts take one pass and a slot one look-up.
-    """
-    codes = F.sort_array(F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % (2 * dimension)))
+        for rows in parts:
+            named = rows.flatten().dictionary_encode()  # a token is hashed once a batch
+            codes = np.array([0 if t is None else code(t) for t in named.dictionary.to_pylist()], dtype=np.int64)
+            known = named.indices.is_valid().to_numpy(zero_copy_only=False)
+            own = codes[named.indices.fill_null(0).to_numpy()[known]] if len(codes) else np.zeros(0, dtype=np.int64)
+            row = pc.list_parent_indices(rows).to_numpy()[known]
+            made = np.bincount(row * dimension + own // 2, weights=own % 2 * 2.0 - 1.0, minlength=len(rows) * dimension).astype(np.float64).reshape(len(rows), dimension)
+            length = np.sqrt((made * made).sum(1, keepdims=True))  # of whole numbers, so exact
+            made = np.divide(made, length, out=np.zeros_like(made), where=length > 0)
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimension)
+            yield pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
 
-    def counts(c: Column) -> Column:
-        n = F.size(c)
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | (F.get(c, i) != F.get(c, i - 1))))
-        own = lambda e: F.transform(e, lambda x, i: x - F.when(i > 0, F.get(e, i - 1)).otherwise(0))
-        return let(ends, lambda e: F.map_from_arrays(F.transform(e, lambda x: F.get(c, x - 1)), own(e)))
+    return embed
 
-    def slots(m: Column) -> Column:
-        at = lambda k: F.coalesce(F.try_element_at(m, k.cast("int")), F.lit(0))
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (at(2 * i + 1) - at(2 * i)).cast("double"))
 
-    raw = let(let(codes, counts), slots)
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return let(raw, lambda v: let(length(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
+def hash_embedding(tokens: Column, dimension: int = 64) -> Column:
+    """A deterministic embedding of a token array: signed counts by hash, scaled to length 1.
+
+    A token's hash is a number whose last bit is the sign and whose others are the slot.
+    """
+    return _embedder(dimension)(tokens)
 
 
 def normalised(score: Column, metric: str) -> Column:
