@@ -2,10 +2,13 @@
 
 A document's tokens are its distinct shingles of five words. Equal texts are joined first and one
 document of each stands for all. Shingles in at least ``heavy`` of these form the frequent class.
-All shingles are ordered with the rare class first, by hash inside a class. A document of n shingles
-can miss e = floor((1 - t) n) of them in a partner:
+All shingles are ordered with the rare class first. Rare ones are ordered by the level of their cell
+and then by hash: cells divide the hashes evenly, and a cell's level is floor(log2) of the number of
+documents of its most frequent shingle. A document of n shingles can miss e = floor((1 - t) n) of
+them in a partner:
 
-* rare shingles are indexed one by one: the first e + 1 of them, or all if there are fewer;
+* rare shingles are indexed one by one: the first e + 1 of them, or all if there are fewer. Those of
+  level 0 are in one document only and are not sent;
 * a document with fewer than e + 1 rare ones also indexes its frequent ones. Whatever partner has no
   rare shingle in common misses all r rare ones, so at most e - r of the frequent ones; extended by
   g = c + 1, the frequent prefix of e - r + g holds the first g common ones. The frequent class is
@@ -53,10 +56,12 @@ class JoinSpec:
     words: int = 5
     #: Links need 100 * intersection >= percent * union.
     percent: int = 80
-    #: Documents from which a shingle is of the frequent class; raised where more than ``most_heavy``
-    #: shingles could reach it, which bounds what is broadcast.
+    #: Documents from which a shingle is of the frequent class; doubled while more than ``most_heavy``
+    #: shingles reach it, which bounds what is broadcast.
     heavy: int = 64
     most_heavy: int = 1 << 22
+    #: Cells of four bits that order the rare class: one for eight words, up to two to this power.
+    most_cells: int = 26
     #: Ids up to which a filter on documents is broadcast.
     most_ids: int = 1 << 20
 
@@ -137,12 +142,17 @@ def most_common(p: bytes, q: bytes, m: int, n: int) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> tuple[np.ndarray, DataFrame]:
-    """(sorted keys of the frequent class, (doc, n, bins) of every document with words).
+def level_of(n: np.ndarray) -> np.ndarray:
+    """floor(log2) of positive numbers, 15 at most."""
+    return np.minimum(np.frexp(n.astype(np.float64))[1] - 1, 15).astype(np.uint8)
 
-    A key is the top ``bucket_bits + 32`` bits of a hash that ``least`` documents or more have. A
-    task sends four bytes for each distinct shingle of a chunk of its documents, by bucket, and the
-    documents' sizes and histograms along with them.
+
+def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(sorted keys of the frequent class, levels of cells in four bits each, (doc, n, bins) of every document with words).
+
+    A key is the top ``bucket_bits + 32`` bits of a hash that as many documents have as the frequent
+    class needs; a cell is its top ``cell_bits``. A task sends four bytes for each distinct shingle of
+    a chunk of its documents, by bucket, and the documents' sizes and histograms along with them.
     """
     low, spread, chunk = np.uint64(32 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
@@ -169,11 +179,13 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
         if waiting:
             yield out()
 
+    inside = cell_bits - bucket_bits
+
     def find(group: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group["bucket"].iloc[0])
         if bucket < 0:
             doc, n = (np.frombuffer(b"".join(group[c]), dtype=kind) for c, kind in (("once", np.int64), ("n", np.int32)))
-            return pd.DataFrame({"keys": None, "doc": doc, "n": n, "bins": group["more"].to_numpy()})
+            return pd.DataFrame({"bucket": bucket, "keys": None, "rows": None, "cells": None, "doc": doc, "n": n, "bins": group["more"].to_numpy()})
         once = [np.frombuffer(x, dtype=np.uint32) for x in group["once"]]
         more = [np.frombuffer(x, dtype=np.uint32) for x in group["more"]]
         n = [np.frombuffer(x, dtype=np.int32) for x in group["n"]]
@@ -182,13 +194,46 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, least: int) -> t
         order = np.argsort(prints, kind="stable")
         prints, weights = prints[order], weights[order]
         starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        heavy = prints[starts][np.add.reduceat(weights, starts) >= least].astype(np.uint64)
-        return pd.DataFrame({"keys": [((np.uint64(bucket) << np.uint64(32)) | heavy).tobytes()], "doc": pd.array([None], dtype="Int64"), "n": pd.array([None], dtype="Int32"), "bins": [None]})
+        prints, rows = prints[starts], np.add.reduceat(weights, starts)
+        shared, cells = rows > 1, np.zeros(1 << inside, dtype=np.uint8)
+        np.maximum.at(cells, prints[shared] >> np.uint32(32 - inside), level_of(rows[shared]))
+        often = rows >= spec.heavy
+        keys = (np.uint64(bucket) << np.uint64(32)) | prints[often].astype(np.uint64)
+        return pd.DataFrame({"bucket": [bucket], "keys": [keys.tobytes()], "rows": [rows[often].astype(np.int64).tobytes()], "cells": [(cells[::2] | cells[1::2] << 4).tobytes()], "doc": pd.array([None], dtype="Int64"), "n": pd.array([None], dtype="Int32"), "bins": [None]})
+
+    found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "bucket int, keys binary, rows binary, cells binary, doc long, n int, bins binary"))
+    heavy = frequent_class(found.where(F.length("keys") > 0).select("keys", "rows"), spec)
+    cells = np.zeros((1 << bucket_bits, 1 << (inside - 1)), dtype=np.uint8)
+    for r in found.where(F.col("cells").isNotNull()).select("bucket", "cells").toLocalIterator():
+        cells[r["bucket"]] = np.frombuffer(r["cells"], dtype=np.uint8)
+    return heavy, cells.reshape(-1), found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
+
 
-    found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "keys binary, doc long, n int, bins binary"))
-    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.where(F.length("keys") > 0).select("keys").toLocalIterator()]
-    heavy = np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
-    return heavy, found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
+def frequent_class(found: DataFrame, spec: JoinSpec) -> np.ndarray:
+    """Sorted keys with ``heavy`` documents or more; that number is doubled while there are more than ``most_heavy`` keys.
+
+    The keys are counted where they are, and only those of the class are sent to the driver.
+    """
+    steps = range(40)
+
+    def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(steps), dtype=np.int64)
+        for batch in it:
+            for x in batch.column("rows"):
+                rows = np.frombuffer(x.as_py(), dtype=np.int64)
+                n += [int((rows >= spec.heavy << i).sum()) for i in steps]
+        yield pa.record_batch({"i": pa.array(list(steps), pa.int32()), "k": pa.array(n)})
+
+    counted = {r["i"]: r["k"] for r in found.select("rows").mapInArrow(over, "i int, k long").groupBy("i").agg(F.sum("k").alias("k")).collect()}
+    least = spec.heavy << next(i for i in steps if counted.get(i, 0) <= spec.most_heavy)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            pairs = zip(batch.column("keys"), batch.column("rows"), strict=True)
+            yield pa.record_batch({"keys": pa.array([np.frombuffer(k.as_py(), dtype=np.uint64)[np.frombuffer(n.as_py(), dtype=np.int64) >= least].tobytes() for k, n in pairs], pa.binary())})
+
+    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.mapInArrow(cut, "keys binary").toLocalIterator()]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
 class HeavyTest:
@@ -209,18 +254,29 @@ class HeavyTest:
         return out
 
 
-def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bits: int) -> DataFrame:
+class Levels:
+    """The levels of hashes, by their cells."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells, self.shift = cells, np.uint64(64 - len(cells).bit_length())
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        cell = s >> self.shift
+        return self.cells[cell >> np.uint64(1)] >> ((cell & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & 15
+
+
+def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, cells: np.ndarray, bucket_bits: int) -> DataFrame:
     """(sig, doc, n): index entries that at least two documents may share.
 
     Rare shingles travel packed by bucket and are matched there; a rare shingle has fewer documents
     than the frequent class needs, so no group is large. Frequent shingles of a document travel as
     they are and are combined on arrival, one row an entry.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, cells))
     shift, spread, chunk = np.uint64(64 - bucket_bits), 1 << 9, chunk_of(bucket_bits)
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, test = WordHashes(), HeavyTest(shared.value, bucket_bits)
+        hashes, test, levels_of = WordHashes(), HeavyTest(shared.value[0], bucket_bits), Levels(shared.value[1])
         parts: list[tuple[int, int, np.ndarray]] = []
         frequent: list[tuple[int, bytes, bytes, bytes]] = []
         waiting = 0
@@ -242,8 +298,12 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
                     continue
                 e, common = misses(len(s), spec.percent), test(s)
                 rare = s[~common]
-                parts.append((doc, len(s), rare[: e + 1]))
-                waiting += min(len(rare), e + 1)
+                level = levels_of(rare)
+                first = np.argsort(level, kind="stable")[: e + 1]
+                sent = rare[first[level[first] > 0]]
+                if len(sent):
+                    parts.append((doc, len(s), sent))
+                    waiting += len(sent)
                 if len(rare) <= e:
                     often = s[common]
                     most = e - len(rare) + max(2, (1 << levels(len(s), spec.percent)[-1]) // 16) + 1
@@ -252,7 +312,7 @@ def index_entries(docs: DataFrame, spec: JoinSpec, heavy: np.ndarray, bucket_bit
                 if waiting >= chunk:
                     yield out()
                     parts, frequent, waiting = [], [], 0
-        if parts:
+        if waiting:
             yield out()
 
     def match(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -410,8 +470,9 @@ def links(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     chars = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     total = max(1, chars // 5)
     bucket_bits = min(20, max(8, (total >> 19).bit_length()))
-    heavy, sizes = measured(docs, spec, bucket_bits, max(spec.heavy, -(-total // spec.most_heavy)))
-    raw = saved(index_entries(docs, spec, heavy, bucket_bits))
+    cell_bits = min(spec.most_cells, max(21, (total >> 3).bit_length()))
+    heavy, cells, sizes = measured(docs, spec, bucket_bits, cell_bits)
+    raw = saved(index_entries(docs, spec, heavy, cells, bucket_bits))
     counts = raw.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select("sig", "m")
     counts = saved(counts)
     rows = int(counts.agg(F.sum("m")).first()[0] or 0)
