@@ -37,6 +37,7 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +77,45 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
     for i in range(k):
         h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return np.unique(mix64(h))
+    return _distinct(mix64(h))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The values in order, each once; there is one at least."""
+    s = np.sort(h)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def shingles_of_all(texts: list[list[bytes]], hashes: WordHashes, k: int) -> list[np.ndarray]:
+    """What ``shingles`` gives for each text: words of all are hashed at once, and windows within a text are kept."""
+    ends = np.cumsum([len(x) for x in texts]).tolist()
+    if not ends or ends[-1] < k:
+        return [shingles(x, hashes, k) for x in texts]
+    w = hashes.of(list(itertools.chain.from_iterable(texts)))
+    h = np.full(len(w) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : len(h) + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h = mix64(h)
+    return [_distinct(h[b - len(x) : b - k + 1]) if len(x) >= k else shingles(x, hashes, k) for x, b in zip(texts, ends, strict=True)]
+
+
+#: Words of texts that are hashed at once; more only of one text.
+BLOCK_WORDS = 1 << 15
+
+
+def sets_of_texts(texts: pa.Array, hashes: WordHashes, k: int) -> Iterator[np.ndarray]:
+    """The shingles of each text, those of some texts at once."""
+    block: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        words = words_of(text.as_py())
+        if block and n + len(words) > BLOCK_WORDS:
+            yield from shingles_of_all(block, hashes, k)
+            block, n = [], 0
+        block.append(words)
+        n += len(words)
+    yield from shingles_of_all(block, hashes, k)
 
 
 def misses(n: int, percent: int) -> int:
@@ -113,8 +152,7 @@ def frequent_entries(heavy: np.ndarray, n: int, rare: int, percent: int) -> np.n
 
 
 def _sets(batch: pa.RecordBatch, hashes: WordHashes, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    for doc, text in zip(batch.column("_id"), batch.column("_text"), strict=True):
-        yield doc.as_py(), shingles(words_of(text.as_py()), hashes, k)
+    yield from zip(batch.column("_id").to_pylist(), sets_of_texts(batch.column("_text"), hashes, k), strict=True)
 
 
 def chunk_of(bucket_bits: int) -> int:
@@ -360,6 +398,8 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 #: Shingles of the documents of a cluster that are compared in one group, of either side.
 GROUP = 1 << 17
+#: Shingles, and 32 for each document, of the small clusters that are compared in one group.
+BIN = 1 << 15
 #: Documents from which an index entry is compared by blocks and not by pairs.
 CROWD = 64
 
@@ -370,11 +410,20 @@ def _packer(spec: JoinSpec):
         hashes = WordHashes()
         for texts in parts:
             for k in range(0, len(texts), 256):
-                yield pa.array([shingles(words_of(x.as_py()), hashes, spec.words).tobytes() for x in texts[k : k + 256]], pa.binary())
+                yield pa.array([s.tobytes() for s in sets_of_texts(texts[k : k + 256], hashes, spec.words)], pa.binary())
 
     return packed
 
 
+def with_sets(need: DataFrame, docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
+    """(``need`` with the sets ``s`` of its column doc, the table of sets): a document's set is made once, however
+    many rows ask for it."""
+    small = need.count() <= spec.most_ids
+    ids = need.select("doc").distinct()
+    sets = saved(docs.join(F.broadcast(ids) if small else ids, docs["_id"] == ids["doc"]).select("doc", _packer(spec)("_text").alias("s")))
+    return sets.join(F.broadcast(need) if small else need, "doc"), sets
+
+
 def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of the documents that ask with all others of another component, one for each component."""
     sets = [np.frombuffer(x, dtype=np.uint64) for x in group["s"]]
@@ -416,11 +465,10 @@ def crowd_links(crowd: DataFrame, docs: DataFrame, spec: JoinSpec, rows: int) ->
     meets = placed.where("ask").select("cluster", "doc", "comp", "ask", F.col("i").alias("x"), F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("y"))
     told = placed.where("not ask").select("cluster", "doc", "comp", "ask", others, "i").select("cluster", "doc", "comp", "ask", F.col("o").alias("x"), F.col("i").alias("y"))
     need = saved(asks.unionByName(meets).unionByName(told))
-    wanted = F.broadcast(need) if need.count() <= spec.most_ids else need
-    sets = docs.join(wanted, docs["_id"] == wanted["doc"]).select("cluster", "x", "y", "doc", "comp", "ask", _packer(spec)("_text").alias("s"))
+    asked, sets = with_sets(need, docs, spec)
     percent = spec.percent
-    found = saved(sets.groupBy("cluster", "x", "y").applyInPandas(lambda g: block_links(g, percent), "a long, b long"))
-    discard(members, need)
+    found = saved(asked.groupBy("cluster", "x", "y").applyInPandas(lambda g: block_links(g, percent), "a long, b long"))
+    discard(members, need, sets)
     return found
 
 
@@ -429,14 +477,17 @@ def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec
 
     Pairs are compared by cluster, the components of the candidate graph, so that a document's set
     travels once and not with each of its pairs. A large cluster is cut into blocks of documents; a
-    group is a pair of blocks and gets only the documents that its pairs name.
+    group is a pair of blocks and gets only the documents that its pairs name. Clusters of one block
+    share groups, as most have a few documents only.
     """
     pairs = saved(possible(pairs, sizes, spec.percent))
     clusters = components(pairs)
     weighed = clusters.join(sizes.groupBy("doc").agg(F.max("n").alias("n")), F.col("node") == F.col("doc")).select("doc", "comp", "n")
     blocks = weighed.groupBy("comp").agg(F.ceil(F.sum("n") / GROUP).alias("_m"))
-    placed = saved(weighed.join(blocks, "comp").select("doc", "comp", F.pmod(F.xxhash64("doc"), F.col("_m")).alias("block")))
-    one, two = placed.select(F.col("doc").alias("a"), "comp", F.col("block").alias("_x")), placed.select(F.col("doc").alias("b"), F.col("block").alias("_y"))
+    placed = saved(weighed.join(blocks, "comp").select("doc", "comp", F.pmod(F.xxhash64("doc"), F.col("_m")).alias("block"), "n", "_m"))
+    bins = 1 + int(placed.where("_m = 1").agg(F.sum(F.col("n") + 32)).first()[0] or 0) // BIN
+    grouped = placed.withColumn("comp", F.when(F.col("_m") == 1, -1 - F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.col("comp")))
+    one, two = grouped.select(F.col("doc").alias("a"), "comp", F.col("block").alias("_x")), grouped.select(F.col("doc").alias("b"), F.col("block").alias("_y"))
     key = ["comp", "x", "y"]
     keyed = saved(pairs.join(one, "a").join(two, "b").select("comp", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"), "a", "b"))
     need = saved(keyed.select(*key, F.col("a").alias("doc")).unionByName(keyed.select(*key, F.col("b").alias("doc"))).distinct())
@@ -458,10 +509,9 @@ def compared(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, spec: JoinSpec
                         found.append((a, b))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
 
-    asked = F.broadcast(need) if need.count() <= spec.most_ids else need
-    sets = docs.join(asked, docs["_id"] == asked["doc"]).select(*key, "doc", _packer(spec)("_text").alias("s"))
-    found = saved(sets.groupBy(*key).cogroup(keyed.groupBy(*key)).applyInPandas(check, "a long, b long"))
-    discard(pairs, placed, keyed, need)
+    asked, sets = with_sets(need, docs, spec)
+    found = saved(asked.groupBy(*key).cogroup(keyed.groupBy(*key)).applyInPandas(check, "a long, b long"))
+    discard(pairs, placed, keyed, need, sets)
     return found
 
 
