@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, saved_parts, text_of
+from .common import fetched, mix64, saved, saved_parts, text_of
 
 BITS_PER_ROW = 16
 HASHES = 2
@@ -85,7 +85,7 @@ def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
     table = np.zeros(bits // 8, dtype=np.uint8)
     merged = hashes.select("h").mapInArrow(mark, "block long, places binary, times int").groupBy("block").applyInPandas(merge, "block long, table binary")
     size = min(BLOCK_BITS, bits) // 8
-    for row in merged.toLocalIterator():
+    for row in fetched(merged):
         table[row["block"] * (BLOCK_BITS // 8) :][:size] = np.frombuffer(row["table"], dtype=np.uint8)[:size]
     return table
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_share, saved
+from .common import fetched, hashed_share, saved
 
 LEAST, MOST = -(1 << 62), 1 << 62
 
@@ -145,7 +145,7 @@ def fit_index(rows: DataFrame, n: int, spec: MineSpec) -> tuple[MultiIndex, Data
     index.radii = [np.zeros(len(w)) for w in index.words]
     most = 0.0
     # one row a cell, most_words ** 2 at most
-    for r in placed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("most").alias("most")).toLocalIterator():
+    for r in fetched(placed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("most").alias("most"))):
         index.rows[r["a"], r["b"]] = r["n"]
         for half, (word, far) in enumerate(((r["a"], r["x"]), (r["b"], r["y"]))):
             index.radii[half][word] = max(index.radii[half][word], far)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, join_by_size, mix64, saved, text_of, words_of
+from .common import WordHashes, discard, fetched, join_by_size, mix64, saved, text_of, words_of
 from .components import components
 from .exact_dedup import _keyed, duplicate_table
 
@@ -242,7 +242,7 @@ def measured(docs: DataFrame, spec: JoinSpec, bucket_bits: int, cell_bits: int)
     found = saved(docs.mapInArrow(count, "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInPandas(find, "bucket int, keys binary, rows binary, cells binary, doc long, n int, bins binary"))
     heavy = frequent_class(found.where(F.length("keys") > 0).select("keys", "rows"), spec)
     cells = np.zeros((1 << bucket_bits, 1 << (inside - 1)), dtype=np.uint8)
-    for r in found.where(F.col("cells").isNotNull()).select("bucket", "cells").toLocalIterator():
+    for r in fetched(found.where(F.col("cells").isNotNull()).select("bucket", "cells")):
         cells[r["bucket"]] = np.frombuffer(r["cells"], dtype=np.uint8)
     return heavy, cells.reshape(-1), found.where(F.col("doc").isNotNull()).select("doc", "n", "bins")
 
@@ -270,7 +270,7 @@ def frequent_class(found: DataFrame, spec: JoinSpec) -> np.ndarray:
             pairs = zip(batch.column("keys"), batch.column("rows"), strict=True)
             yield pa.record_batch({"keys": pa.array([np.frombuffer(k.as_py(), dtype=np.uint64)[np.frombuffer(n.as_py(), dtype=np.int64) >= least].tobytes() for k, n in pairs], pa.binary())})
 
-    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in found.mapInArrow(cut, "keys binary").toLocalIterator()]
+    parts = [np.frombuffer(r["keys"], dtype=np.uint64) for r in fetched(found.mapInArrow(cut, "keys binary"))]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 

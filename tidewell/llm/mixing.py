@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import saved, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells up to this many rows are sent to every executor; more are joined by a shuffle.
+#: Cells up to this many rows are sent to every executor and raked by one task; more shuffle.
 MOST_BROADCAST = 100_000
 
 
@@ -56,18 +56,25 @@ def targets_of(cells: DataFrame, dim: str, alpha: float, given: dict[str, float]
     return raw.select(dim, (F.col("_raw") / F.lit(float(whole))).alias(f"_share_{dim}"))
 
 
-def rake(cells: DataFrame, dims: list[str], alpha: float, targets: dict[str, dict[str, float]] | None, rounds: int, every: int = 4) -> DataFrame:
-    """``cells`` with the raked share of all tokens in ``raked``."""
+def rake(cells: DataFrame, dims: list[str], alpha: float, targets: dict[str, dict[str, float]] | None, rounds: int, every: int = 4, most: int = MOST_BROADCAST) -> DataFrame:
+    """``cells`` with the raked share of all tokens in ``raked``.
+
+    Up to ``most`` cells, of however many documents, are a small table: one task has them, and no sum shuffles.
+    """
+    few = cells.count() <= most
+    cells = cells.coalesce(1) if few else cells
     for dim in dims:
         cells = cells.join(targets_of(cells, dim, alpha, (targets or {}).get(dim)), dim, "left")
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = saved(cells.withColumn("raked", F.col("tokens") / F.lit(float(total))))
+    cells = cells.coalesce(1) if few else cells
     for i in range(rounds):
         for dim in dims:
             have = F.sum("raked").over(Window.partitionBy(dim))
             cells = cells.withColumn("raked", F.when(have > 0, F.col("raked") * F.coalesce(f"_share_{dim}", F.lit(0.0)) / have).otherwise(F.lit(0.0)))
         if i % every == every - 1 or i == rounds - 1:
             cells = saved(cells)
+            cells = cells.coalesce(1) if few else cells
     return cells
 
 

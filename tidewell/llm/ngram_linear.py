@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, saved, text_of
+from .common import fetched, hashed_share, saved, text_of
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def log_count_ratios(train: DataFrame, spec: NgramSpec) -> tuple[np.ndarray, np.
         return pd.DataFrame({"block": [group["block"].iloc[0]], "n": [total.astype(np.int32).tobytes()]})
 
     merged = train.select("y", "text").mapInArrow(count, "block int, n binary").groupBy("block").applyInPandas(merge, "block int, n binary")
-    parts = {r["block"]: np.frombuffer(r["n"], dtype=np.int32) for r in merged.toLocalIterator()}
+    parts = {r["block"]: np.frombuffer(r["n"], dtype=np.int32) for r in fetched(merged)}
     if not parts:
         return np.zeros(1 << spec.bits, np.int64), np.zeros(1 << spec.bits, np.int64), np.zeros(2)
     tables = np.concatenate([parts[i].reshape(2, -1) for i in range((1 << spec.bits) // block)], axis=1).astype(np.int64)
