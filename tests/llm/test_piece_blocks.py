@@ -59,3 +59,17 @@ def test_decoded_together(monkeypatch, spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
     both = rows.select(pieces.coder(spark, 2)("t").alias("c"), pieces.coder(spark, 2, decoded=False)("t").alias("d"), "t")
     assert both.select("d.*").columns == ["ids", "scores"] and both.where("c.ids = d.ids AND c.scores = d.scores AND c.decoded = t").count() == both.where(F.col("t").isNotNull()).count() == 7
+
+
+def test_ids_of_all_paths(spark):
+    """The rows hold the ids of every one of the N best paths, which are those found alone and decode to the text."""
+    rng = random.Random(7)
+    texts = ["", " ", "\n", "a", "漢é😀 ▁\n\n x\n", "b" * 300, *(" ".join("".join(rng.choice("abthe nio") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(80))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    own = pieces.Encoder(pieces.Vocabulary.read(), 4)
+    found = rows.select("t", pieces.coder(spark, 4)("t").alias("c")).select("t", "c.*").collect()
+    assert len(found) == len(texts) and any(len(r["paths"]) == 4 for r in found)
+    for r in found:
+        assert list(zip(r["scores"], r["paths"], strict=True)) == [(s, pieces.unpacked(ids)) for s, ids in own.encode(r["t"])]
+        assert r["paths"][0] == r["ids"] and {own.decode(ids) for ids in r["paths"]} == {r["t"]}
+        assert len({tuple(ids) for ids in r["paths"]}) == len(r["paths"])
