@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewell.llm import pieces
 
 
@@ -73,3 +74,16 @@ def test_ids_of_all_paths(spark):
         assert list(zip(r["scores"], r["paths"], strict=True)) == [(s, pieces.unpacked(ids)) for s, ids in own.encode(r["t"])]
         assert r["paths"][0] == r["ids"] and {own.decode(ids) for ids in r["paths"]} == {r["t"]}
         assert len({tuple(ids) for ids in r["paths"]}) == len(r["paths"])
+
+
+def test_pipeline_keeps_all_paths(spark, awkward):
+    """The pipeline's last stage gives the ids of every path, and decodes them; columns of its results' names are replaced."""
+    docs = awkward.withColumns({"path_ids": F.lit(1), "round_trip": F.lit("own")})
+    found = corpus_pipeline.encode_pieces(spark, docs, "")
+    assert set(awkward.columns) <= set(found.columns) and len(set(found.columns)) == len(found.columns)
+    own = pieces.Encoder(pieces.Vocabulary.read(), 4)
+    rows = found.collect()
+    assert len(rows) == awkward.count()
+    for r in rows:
+        assert r["round_trip"] and r["path_ids"][0] == r["piece_ids"] and len(r["path_ids"]) == len(r["path_scores"])
+        assert list(zip(r["path_scores"], r["path_ids"], strict=True)) == [(s, pieces.unpacked(ids)) for s, ids in own.encode(r["text"] or "")]
