@@ -32,15 +32,36 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+#: Tokens of the rows that are embedded at once, more only of one row; tokens whose hashes stay known.
+TOKENS, KNOWN = 1 << 18, 1 << 17
+
+
+def token_slices(rows: pa.Array, most: int) -> Iterator[pa.Array]:
+    """A list array in slices of consecutive rows with up to ``most`` items, more only of one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(rows):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield rows.slice(at, to - at)
+        at = to
+
+
 @cache
 def _embedder(dimension: int):
     @F.arrow_udf("array<double>")
     def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def code(token: str) -> int:
-            return int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % (2 * dimension)
+        seen: dict[str | None, int] = {}
 
-        for rows in parts:
-            named = rows.flatten().dictionary_encode()  # a token is hashed once a batch
+        def code(token: str) -> int:
+            got = seen.get(token)
+            if got is None:
+                if len(seen) >= KNOWN:
+                    seen.clear()
+                got = seen[token] = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % (2 * dimension)
+            return got
+
+        def embedded(rows: pa.Array) -> pa.Array:
+            named = rows.flatten().dictionary_encode()  # a token is looked up once a slice
             codes = np.array([0 if t is None else code(t) for t in named.dictionary.to_pylist()], dtype=np.int64)
             known = named.indices.is_valid().to_numpy(zero_copy_only=False)
             own = codes[named.indices.fill_null(0).to_numpy()[known]] if len(codes) else np.zeros(0, dtype=np.int64)
@@ -49,7 +70,13 @@ def _embedder(dimension: int):
             length = np.sqrt((made * made).sum(1, keepdims=True))  # of whole numbers, so exact
             made = np.divide(made, length, out=np.zeros_like(made), where=length > 0)
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimension)
-            yield pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+            return pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+
+        for rows in parts:
+            if len(rows):
+                yield pa.concat_arrays([embedded(x) for x in token_slices(rows, TOKENS)])
+            else:
+                yield embedded(rows)
 
     return embed
 

@@ -66,6 +66,14 @@ def latest(rows: DataFrame, key: str = "pk", order: list[Column] | None = None)
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def last_shaped(records: DataFrame, mapping: Mapping = Mapping()) -> DataFrame:
+    """``shape_records`` with the last record of equal keys only. What is made of other columns is made after
+    records have met by key, so that it is not shuffled with them."""
+    slim = shape_records(records, mapping).drop("text").repartition("pk")
+    rows = slim.withColumn("text", T.qa_text(F.col("source"), F.col("summary"), F.col("document")))
+    return latest(rows.select("pk", "text", *[c for c in slim.columns if c != "pk"]))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "pk", order: list[Column] | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys; within ``new`` the last row of a key counts.
 
@@ -237,12 +245,16 @@ class Collection:
         else:
             self._add(rows, False, True)
 
-    def upsert(self, rows: DataFrame, order: list[Column] | None = None) -> None:
-        """Adds rows in place of those with their keys; of equal keys in ``rows`` the last counts."""
+    def upsert(self, rows: DataFrame, order: list[Column] | None = None, single: bool = False) -> None:
+        """Adds rows in place of those with their keys; of equal keys in ``rows`` the last counts.
+
+        single: ``rows`` has no key twice, so that none is looked for.
+        """
+        fresh = rows if single else latest(rows, order=order)
         if self.version() < 0:
-            self.create(latest(rows, order=order))
+            self.create(fresh)
         else:
-            self._add(latest(rows, order=order), True, True)
+            self._add(fresh, True, True)
 
     def delete(self, ids: DataFrame) -> None:
         self._add(ids.select("pk").distinct(), True, False)
@@ -301,14 +313,13 @@ class Collection:
         With ``batch`` and ``progress``, records are written in batches of so many by key and ``progress``
         is told the number written and the whole number after each.
         """
-        rows = with_vectors(shape_records(records, self.settings.mapping), self.settings.dimension)
+        rows = with_vectors(last_shaped(records, self.settings.mapping), self.settings.dimension)
         if drop_old or self.version() < 0:
-            rows = latest(rows)
             self.create(rows.limit(0) if batch else rows)
         elif not batch:
-            self.upsert(rows)
+            self.upsert(rows, single=True)
         if batch:
-            parts = scratch(chunks(latest(rows), "pk", batch), "batch")
+            parts = scratch(chunks(rows, "pk", batch), "batch")
             total, done = parts.count(), 0
             for i in range(-(-total // batch)):
                 self._add(parts.where(F.col("batch") == i).drop("batch"), True, True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.collection import Collection, shape_records, with_vectors
+from ..sources.collection import Collection, last_shaped, with_vectors
 
 SESSION = "session_id string, n_messages long, n_chars long, last_role string"
 
@@ -18,7 +18,7 @@ def ingest_stream(records: DataFrame, target: Collection, checkpoint: str, avail
     """Starts a query that upserts every micro-batch; a batch that is replayed writes the same rows again."""
 
     def write(batch: DataFrame, _: int) -> None:
-        target.upsert(with_vectors(shape_records(batch, target.settings.mapping), target.settings.dimension))
+        target.upsert(with_vectors(last_shaped(batch, target.settings.mapping), target.settings.dimension), single=True)
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
