@@ -90,3 +90,20 @@ def test_stop_words_are_looked_up(spark, monkeypatch):
     many = vocabulary.tokenised(docs, "pk", "text", stop)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.collect())) == [(1, ["b"]), (2, [])]
     assert vocabulary.tokenised(docs, "pk", "text", stop.where("word = 'x'")).first()["tokens"] == ["a", "b", "w1", "w2", "a"]
+
+
+def test_queries_by_terms_make_blocks_of_many_terms(spark, tmp_path, monkeypatch):
+    """Rows are sent to every block of queries, so short queries share one; of blocks of any size the hits are the same."""
+    docs = spark.createDataFrame([(i, [f"w{i * j % 37}" for j in range(1, 9)]) for i in range(300)], "pk long, tokens array<string>")
+    index = replace(term_index.build(docs, str(tmp_path / "terms")), presence=True)
+    asked = spark.createDataFrame([(q, f"w{q * j % 37}", 1.0) for q in range(60) for j in range(1, 5)], "query_id long, term string, w double").distinct()
+    queries = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    terms = asked.count()
+    monkeypatch.setattr(blocks, "QUERIES", 4)
+    assert blocks.query_blocks(queries) == 15 and blocks.query_blocks(queries, terms="terms") == 1
+    want = _hits(search.sparse_top(asked, index, 5))
+    monkeypatch.setattr(blocks, "TERMS", 50)
+    assert blocks.query_blocks(queries, terms="terms") == -(-terms // 50)
+    assert _hits(search.sparse_top(asked, index, 5)) == want
+    monkeypatch.setattr(blocks, "TERM_QUERIES", 3)
+    assert blocks.query_blocks(queries, terms="terms") == 20 and _hits(search.sparse_top(asked, index, 5)) == want
